@@ -3,7 +3,7 @@ import importlib
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-MODULES = ["metrics"]
+MODULES = ["metrics", "linkage"]
 
 
 def query(name: str, sql: str | None = None):
