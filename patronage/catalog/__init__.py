@@ -3,7 +3,7 @@ import importlib
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-MODULES = ["metrics", "linkage"]
+MODULES = ["metrics", "linkage", "customers"]
 
 
 def query(name: str, sql: str | None = None):

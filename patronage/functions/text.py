@@ -244,8 +244,7 @@ def truthy(c: Column) -> Column:
 
 def confidence_label(c: Column) -> Column:
     pct = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)) * 10000 + 0.5) / 100
-    text = F.regexp_replace(F.format_number(pct, "0.##"), r"\.$", "")
-    return F.concat(text, F.lit("%"))
+    return F.concat(F.regexp_replace(pct.cast("string"), r"\.0$", ""), F.lit("%"))
 
 
 def column_letter(index0: Column) -> Column:

@@ -220,4 +220,6 @@ def with_views(body: str) -> str:
         return body
     ctes = ",\n".join(f"{n} AS ({re.sub(r'{(\w+)}', r'\1', VIEWS[n])})" for n in order)
     rest = body.strip()
+    if rest.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes},\n{rest[15:]}"
     return f"WITH {ctes},\n{rest[5:]}" if rest.upper().startswith("WITH ") else f"WITH {ctes}\n{rest}"
