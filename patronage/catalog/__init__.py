@@ -3,7 +3,7 @@ import importlib
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-MODULES = ["metrics", "linkage", "customers"]
+MODULES = ["metrics", "linkage", "customers", "sheets"]
 
 
 def query(name: str, sql: str | None = None):

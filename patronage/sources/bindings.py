@@ -177,6 +177,23 @@ VIEWS["lead_mappings"] = """
       FROM {customer}"""
 
 
+# --- Fixed values: sample course cells, one per order key modulo their number ---
+CELLS = ["27-28 Jun", "RL 30-31 Aug", "Free 17-18 Jan", "Wait", "คืนเงิน", "17-18 Jan 26", "Oct", "", "8-9 Mar ย้ายเรียน IN",
+         "2026.0", "เพิ่ม IN-6806-00164", "31 Feb", "30,31 Jan-1 Feb", "13-14 Jun คุณสมชาย ใจดี เรียนแทน", "27-28 Jun D-1"]
+VIEWS["sheet_flat"] = f"""
+      SELECT 'Inner' || CASE WHEN o_orderkey % 2 = 0 THEN '2025' ELSE '2026' END AS sheet, CAST(o_orderkey + 2 AS BIGINT) AS row_number,
+        CASE WHEN o_orderkey % 11 <> 0 THEN CAST(CAST(o_orderdate AS DATE) AS STRING) END AS paid_text,
+        CASE WHEN o_orderkey % 13 <> 0 THEN ' ' || CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS STRING) ELSE 'free' END AS amount_text,
+        CASE WHEN o_orderkey % 11 <> 0 THEN 'IN-' || CAST(o_orderkey % 5000 AS STRING) END AS slip_text,
+        CASE WHEN o_orderkey % 19 <> 0 THEN 'Name  ' || CAST(o_custkey AS STRING) END AS name_text,
+        CASE WHEN o_custkey % 3 = 0 THEN '08' || lpad(CAST(o_custkey AS STRING), 8, '0') END AS phone_text,
+        CASE WHEN o_custkey % 3 <> 2 THEN 'User' || CAST(o_custkey AS STRING) || '@Example.com' END AS email_text,
+        CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderkey % 130 AS STRING) END AS age_text, o_orderpriority AS rep_text,
+        CASE CAST(o_orderkey % {len(CELLS)} AS INT) {" ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(CELLS))} END AS inner_cell,
+        CASE WHEN o_orderkey % 7 = 0 THEN '1-2 Feb' END AS pro_cell
+      FROM {{orders}}"""
+
+
 class Tables:
     """Base tables and CRM views of one folder as lazily built DataFrames: ``t.customers``."""
 
