@@ -5,7 +5,6 @@ from . import vocabulary as V
 from .courses import counts_as_seat
 from .text import NOT_AFTER, NOT_BEFORE, blank_to_null, number, replace_first, squeeze
 
-KINDS_DONE_EARLY = "refund penalty adjustment transfer waitlist merchandise"
 SLIP = f"(?i){NOT_BEFORE}(IN-[0-9]{{4}}-[0-9]{{5}}){NOT_AFTER}"
 
 
@@ -18,32 +17,35 @@ def _whole(token: Column) -> Column:
     return F.when(n == F.floor(n), n)
 
 
-def session_struct(label: Column, sheet_year: Column) -> Column:
-    """First day of a session text: (label, year, start, precision)."""
-    clean = squeeze(label)
-    tokens = F.filter(F.split(F.regexp_replace(clean, "[,\\-–—]", " "), " +"), lambda t: t != "")
-    flags = F.transform(tokens, _is_month)
-    first = F.array_position(flags, True)
-    last = F.size(flags) - F.array_position(F.reverse(flags), True) + 1
-    before = F.filter(
-        F.transform(F.slice(tokens, F.lit(1), F.greatest(first.cast("int") - 1, F.lit(0))), _whole),
-        lambda n: n.between(1, 31))
-    tail = F.slice(tokens, (last + 1).cast("int"), F.size(tokens))
-    lead_day = F.get(before, F.lit(0))
-    next_number = F.get(F.filter(F.transform(tail, _whole), lambda n: n.isNotNull()), F.lit(0))
-    day = F.coalesce(lead_day, F.when(next_number.between(1, 31), next_number))
-    short_year = F.get(F.filter(tail, lambda t: t.rlike("^[0-9]{2}$")), F.lit(0)).try_cast("int")
-    year = F.when(lead_day.isNotNull(), F.coalesce(short_year + 2000, sheet_year)).otherwise(sheet_year)
-    month = F.array_position(
-        F.array(*[F.lit(m) for m in V.MONTHS]), F.lower(F.left(F.get(tokens, (first - 1).cast("int")), F.lit(3))))
-    start = F.date_add(F.make_date(year, month.cast("int"), F.lit(1)), (F.coalesce(day, F.lit(1.0)) - 1).cast("int"))
-    found = (clean != "") & (first > 0)
-    return F.struct(
-        blank_to_null(clean).alias("session_label"),
-        F.when(found, year).alias("session_year"),
-        F.when(found, start).alias("session_start"),
-        F.when(found & day.isNotNull(), "day").when(found, "month").otherwise("none").alias("session_precision"),
-    )
+def add_session(df: DataFrame, label: str, sheet_year: str) -> DataFrame:
+    """Add ``_label``, ``_year``, ``_start`` and ``_precision``: the first day named by a session text.
+
+    Built in steps so each token list is computed once per row and not once per use.
+    """
+    c = F.col
+    df = df.withColumn("_label", squeeze(c(label)))
+    df = df.withColumn("_tokens", F.filter(F.split(F.regexp_replace("_label", "[,\\-–—]", " "), " +"), lambda t: t != ""))
+    df = df.withColumn("_months", F.transform("_tokens", _is_month))
+    df = df.withColumns({
+        "_first": F.array_position("_months", True).cast("int"),
+        "_last": (F.size("_months") - F.array_position(F.reverse("_months"), True) + 1).cast("int")})
+    df = df.withColumns({
+        "_before": F.slice("_tokens", F.lit(1), F.greatest(c("_first") - 1, F.lit(0))),
+        "_tail": F.slice("_tokens", c("_last") + 1, F.size("_tokens")),
+        "_month": F.lower(F.left(F.get("_tokens", c("_first") - 1), F.lit(3)))})
+    df = df.withColumns({
+        "_lead": F.get(F.filter(F.transform("_before", _whole), lambda n: n.between(1, 31)), F.lit(0)),
+        "_next": F.get(F.filter(F.transform("_tail", _whole), lambda n: n.isNotNull()), F.lit(0)),
+        "_short": F.get(F.filter("_tail", lambda t: t.rlike("^[0-9]{2}$")), F.lit(0)).try_cast("int")})
+    day = F.coalesce("_lead", F.when(c("_next").between(1, 31), c("_next")))
+    year = F.when(c("_lead").isNotNull(), F.coalesce(c("_short") + 2000, c(sheet_year))).otherwise(c(sheet_year))
+    df = df.withColumns({"_day": day, "_year0": year})
+    month = F.array_position(F.array(*[F.lit(m) for m in V.MONTHS]), c("_month")).cast("int")
+    start = F.date_add(F.make_date(c("_year0"), month, F.lit(1)), (F.coalesce("_day", F.lit(1.0)) - 1).cast("int"))
+    found = c("_first") > 0
+    return df.withColumns({
+        "_year": F.when(found, c("_year0")), "_start": F.when(found, start),
+        "_precision": F.when(found & c("_day").isNotNull(), "day").when(found, "month").otherwise("none")})
 
 
 def classify_cells(df: DataFrame, value: str = "value", sheet_year: str = "sheet_year") -> DataFrame:
@@ -83,23 +85,21 @@ def classify_cells(df: DataFrame, value: str = "value", sheet_year: str = "sheet
 
     moved = F.col("_text").contains(V.CELL_MOVED)
     label = F.when(moved, F.trim(F.regexp_replace(F.col("_text"), V.CELL_MOVED + ".*$", ""))).otherwise(F.col("_text"))
-    df = df.withColumn("_moved", moved).withColumn("_s", session_struct(label, F.col(sheet_year)))
+    df = add_session(df.withColumns({"_moved": moved, "_session": label}), "_session", sheet_year)
 
-    early, s = F.col("_early"), F.col("_s")
-    goods_rest = F.col("_rest").rlike(V.CELL_GOODS_START)
+    early = F.col("_early")
+    df = df.withColumn("_done", early.isNotNull() | F.col("_rest").rlike(V.CELL_GOODS_START))
     kind = (
         F.when(early.isNotNull(), early)
-        .when(goods_rest, "merchandise")
+        .when(F.col("_done"), "merchandise")
         .when(F.col("_moved"), "transfer")
-        .when((s["session_precision"] == "none") & (F.col("_prefix") == "enrolled"), "unknown")
+        .when((F.col("_precision") == "none") & (F.col("_prefix") == "enrolled"), "unknown")
         .otherwise(F.col("_prefix"))
     )
-    done = early.isNotNull() | goods_rest
-    session = lambda f: F.when(~done, s[f]).alias(f)
     kept = [c for c in df.columns if not c.startswith("_")]
+    df = df.withColumn("kind", kind)
+    session = lambda c: F.when(~F.col("_done"), F.col(c))
     return df.select(
-        *kept, kind.alias("kind"), session("session_label"), session("session_year"), session("session_start"),
-        F.when(done, "none").otherwise(s["session_precision"]).alias("session_precision"),
-        (F.when(done, False).otherwise(F.col("_sub"))).alias("substitute"),
-        counts_as_seat(kind).alias("counts_as_seat"),
-    )
+        *kept, "kind", blank_to_null(session("_label")).alias("session_label"), session("_year").alias("session_year"),
+        session("_start").alias("session_start"), F.coalesce(session("_precision"), F.lit("none")).alias("session_precision"),
+        F.coalesce(session("_sub"), F.lit(False)).alias("substitute"), counts_as_seat(F.col("kind")).alias("counts_as_seat"))

@@ -11,6 +11,7 @@ def local_session(name: str = "patronage", cpus: str = "*") -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")  # larger methods escape the JIT compiler
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )

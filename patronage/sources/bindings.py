@@ -194,6 +194,37 @@ VIEWS["sheet_flat"] = f"""
       FROM {{orders}}"""
 
 
+VIEWS["identities"] = """
+      SELECT 'idn_' || CAST(c_custkey AS STRING) AS identity_id, 'line' AS provider, 'chan_0' AS channel_id, 'U' || CAST(c_custkey AS STRING) AS external_id,
+        'cus_' || CAST(c_custkey AS STRING) AS customer_id, c_custkey % 3 <> 0 AS verified, CAST(DATE '2024-02-01' AS TIMESTAMP) AS linked_at
+      FROM {customer} WHERE c_custkey % 8 = 0 OR c_custkey % 5 = 0
+      UNION ALL SELECT 'idl_' || CAST(c_custkey AS STRING), 'line_login', 'login', 'U' || CAST(c_custkey AS STRING), 'cus_' || CAST(c_custkey + 2 AS STRING), TRUE,
+        CAST(CASE WHEN c_custkey % 48 = 0 THEN DATE '2024-01-01' ELSE DATE '2024-03-01' END AS TIMESTAMP)
+      FROM {customer} WHERE c_custkey % 16 = 0"""
+VIEWS["partner_feed"] = """
+      SELECT o_orderkey AS k, o_custkey AS c, CASE WHEN o_orderkey % 10 = 7 THEN o_orderkey - 1 ELSE o_orderkey END AS e,
+        CASE WHEN o_orderkey % 20 = 7 THEN 2 ELSE 1 END AS revision,
+        CASE WHEN o_orderkey % 15 = 0 THEN 'purchase.void' WHEN o_orderkey % 13 = 0 THEN 'tag' WHEN o_orderkey % 29 = 0 THEN 'refund' ELSE 'purchase' END AS type,
+        CASE WHEN o_orderkey % 40 <> 27 AND o_custkey % 4 = 0 THEN 'U' || CAST(o_custkey AS STRING) END AS line_user_id,
+        CASE WHEN o_orderkey % 40 <> 27 AND o_custkey % 6 <> 5 THEN '08' || lpad(CAST(CASE WHEN o_custkey % 10 = 7 THEN o_custkey - 1 ELSE o_custkey END AS STRING), 8, '0') END AS phone,
+        CASE WHEN o_orderkey % 40 <> 27 AND o_custkey % 2 = 0 AND o_custkey % 5 <> 4 THEN 'user' || CAST(CASE WHEN o_custkey % 10 = 3 THEN o_custkey - 1 ELSE o_custkey END AS STRING)
+          || CASE o_custkey % 3 WHEN 0 THEN '@example.com' WHEN 1 THEN '@mail.example.org' ELSE '@shop.example.net' END END AS email,
+        CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS STRING) AS amount_text, CAST(CAST(o_orderdate AS DATE) AS STRING) AS paid_text
+      FROM {orders}"""
+VIEWS["partner_raw"] = """
+      SELECT 'partner-a' AS partner_id, k AS seq, '{"eventId":"ord-' || CAST(e AS STRING) || '","type":"' || type || '","occurredAt":"2024-01-05T10:00:00'
+        || CASE WHEN k % 19 = 0 THEN '' ELSE '+07:00' END || '","revision":' || CAST(revision AS STRING)
+        || CASE WHEN type = 'purchase.void' THEN ',"voids":"ord-' || CAST(k - 1 AS STRING) || '"' ELSE
+          ',"subject":{"fullName":"Someone"' || CASE WHEN line_user_id IS NOT NULL THEN ',"lineUserId":"' || line_user_id || '"' ELSE '' END
+          || CASE WHEN phone IS NOT NULL THEN ',"phone":"' || phone || '"' ELSE '' END || CASE WHEN email IS NOT NULL THEN ',"email":"' || email || '"' ELSE '' END
+          || '},"payment":{"externalPaymentId":"slip ' || CAST(k AS STRING) || '","amount":' || amount_text || ',"currency":"THB","paidAt":"' || paid_text
+          || '","lines":[{"courseLabel":"' || CASE WHEN k % 37 = 0 THEN 'commu' ELSE 'Inner' END || '","courseCode":"' || CASE WHEN k % 17 = 0 THEN 'NOPE' ELSE 'INNER' END
+          || '","kind":"' || CASE WHEN k % 31 = 0 THEN 'bogus' WHEN k % 3 = 0 THEN 'relearn' ELSE 'enrolled' END
+          || '","countsAsSeat":true},{"courseLabel":"หนังสือ","kind":"enrolled"}]}' END
+        || CASE WHEN k % 23 = 0 THEN ',"summary":"x"' ELSE '' END || '}' AS raw
+      FROM {partner_feed}"""
+
+
 class Tables:
     """Base tables and CRM views of one folder as lazily built DataFrames: ``t.customers``."""
 
@@ -209,7 +240,8 @@ class Tables:
                 self._made[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
             else:
                 uses = {u: getattr(self, u) for u in re.findall(r"\{(\w+)\}", VIEWS[name])}
-                self._made[name] = self.spark.sql(VIEWS[name], **uses)
+                text = re.sub(r"\{(\w+)\}", r"@@\1@@", VIEWS[name]).replace("{", "{{").replace("}", "}}")
+                self._made[name] = self.spark.sql(re.sub(r"@@(\w+)@@", r"{\1}", text), **uses)
         return self._made[name]
 
 
