@@ -3,7 +3,7 @@ import importlib
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-MODULES = ["metrics", "linkage", "customers", "sheets", "partner"]
+MODULES = ["metrics", "linkage", "customers", "sheets", "partner", "intake"]
 
 
 def query(name: str, sql: str | None = None):

@@ -2,8 +2,8 @@
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from . import vocabulary as V
 
@@ -182,32 +182,42 @@ def _literal_map(pairs: dict) -> Column:
     return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
 
 
-def extract_hashtags(message: Column, include_marks: bool = False) -> Column:
-    """``#word`` runs, first spelling kept per normal form. A Python-free form of the key is
-    used for the comparison; compatibility variants must be folded before (see posts)."""
+@F.pandas_udf(ArrayType(StringType()))
+def _nfkc_list(s: pd.Series) -> pd.Series:
+    return s.map(lambda tags: [unicodedata.normalize("NFKC", t) for t in tags], na_action="ignore")
+
+
+def hashtags_in(message: Column, include_marks: bool = False) -> Column:
+    """All ``#word`` runs as written."""
     word = r"[\p{L}\p{N}\p{M}_]+" if include_marks else r"[\p{L}\p{N}_]+"
-    tags = F.regexp_extract_all(message, F.lit(f"(#{word})"), F.lit(1))
-    keys = F.transform(tags, lambda t: hashtag_key(t, composed=True))
-    kept = F.filter(
-        F.arrays_zip(tags.alias("tag"), keys.alias("key"),
-                     F.transform(keys, lambda k, i: F.array_position(keys, k) == i + 1).alias("first")),
-        lambda z: z["first"] & (z["key"] != ""))
-    return F.coalesce(F.transform(kept, lambda z: z["tag"]), F.array().cast("array<string>"))
+    return F.coalesce(F.regexp_extract_all(message, F.lit(f"(#{word})"), F.lit(1)), F.array().cast("array<string>"))
+
 
+def hashtag_keys(tags: Column) -> Column:
+    """Normal forms of tags; only lists with non-ASCII letters travel to Python for the Unicode fold."""
+    foreign = F.exists(tags, lambda t: t.rlike(r"[^\x00-\x7f]"))
+    folded = F.coalesce(_nfkc_list(F.when(foreign, tags)), tags)
+    return F.transform(folded, lambda t: hashtag_key(t, composed=True))
 
-def hashtag_courses(tags: Column) -> Column:
-    """Struct: course code (one known), unknown tags, ambiguous and unmapped flags."""
+
+def read_hashtags(df: DataFrame, message: str = "message", include_marks: bool = False) -> DataFrame:
+    """Add hashtags (first spelling per normal form), course_code, unknown_hashtags, ambiguous, unmapped."""
+    df = df.withColumn("_tags", hashtags_in(F.col(message), include_marks))
+    df = df.withColumn("_keys", hashtag_keys(F.col("_tags")))
+    pairs = F.filter(
+        F.transform("_keys", lambda k, i: F.struct(
+            F.get("_tags", i).alias("tag"), k.alias("key"), (F.array_position("_keys", k) == i + 1).alias("first"))),
+        lambda z: z["first"] & (z["key"] != ""))
+    df = df.withColumn("_pairs", pairs)
     codes = _literal_map(_alias_codes())
-    code_of = lambda t: F.element_at(codes, hashtag_key(t, composed=True))
-    known = F.array_distinct(F.filter(F.transform(tags, code_of), lambda x: x.isNotNull()))
-    unknown = F.filter(tags, lambda t: code_of(t).isNull())
-    course = F.when(F.size(known) == 1, F.get(known, F.lit(0)))
-    return F.struct(
-        course.alias("course_code"),
-        unknown.alias("unknown_hashtags"),
-        (F.size(known) > 1).alias("ambiguous"),
-        ((F.size(tags) == 0) | (F.size(unknown) > 0) | (F.size(known) != 1)).alias("unmapped"),
-    )
+    code_of = lambda z: F.element_at(codes, z["key"])
+    df = df.withColumns({
+        "hashtags": F.transform("_pairs", lambda z: z["tag"]),
+        "_known": F.array_distinct(F.filter(F.transform("_pairs", code_of), lambda x: x.isNotNull())),
+        "unknown_hashtags": F.transform(F.filter("_pairs", lambda z: code_of(z).isNull()), lambda z: z["tag"])})
+    return df.withColumns({
+        "course_code": F.when(F.size("_known") == 1, F.get("_known", F.lit(0))), "ambiguous": F.size("_known") > 1,
+        "unmapped": (F.size("unknown_hashtags") > 0) | (F.size("_known") != 1)}).drop("_tags", "_keys", "_pairs", "_known")
 
 
 # ---- sheet values ---------------------------------------------------------------------------

@@ -225,6 +225,45 @@ VIEWS["partner_raw"] = """
       FROM {partner_feed}"""
 
 
+VIEWS["webhook_raw"] = """
+      SELECT event_id AS seq, CAST(ts AS TIMESTAMP) AS received_at, '{"destination":"chan_0","events":[{' || CASE WHEN event_id % 7 <> 0 THEN '"webhookEventId":"w' || CAST(event_id AS STRING) || '",' ELSE '' END
+        || '"type":"message","timestamp":' || CAST(1700000000000 + event_id * 1000 AS STRING) || ',"source":{"type":"' || CASE WHEN event_id % 9 = 0 THEN 'group' ELSE 'user' END
+        || '","userId":"U' || CAST(user_id AS STRING) || '"},"message":{"id":"m' || CAST(event_id AS STRING) || '","type":"text","text":"secret words"}},{"type":"follow","timestamp":'
+        || CAST(1700000000000 + event_id * 1000 AS STRING) || ',"source":{"type":"user","userId":"U' || CAST(user_id AS STRING) || '"}}]}' AS raw
+      FROM {events}"""
+VIEWS["lead_feed"] = """
+      SELECT c_custkey AS k, 'lead_' || CAST(c_custkey AS STRING) AS leadgen_id, CASE WHEN c_custkey % 5 <> 0 THEN 'page_' || CAST(c_custkey % 3 AS STRING) END AS page_id,
+        'page_9' AS entry_id, 'form_' || CAST(c_custkey % 17 AS STRING) AS form_id, CASE WHEN c_custkey % 3 <> 0 THEN 'ad_' || CAST(c_custkey % 29 AS STRING) END AS ad_id,
+        CASE WHEN c_custkey % 11 = 0 THEN 'feed' ELSE 'leadgen' END AS kind,
+        CASE WHEN c_custkey % 2 = 0 THEN 'Lead  ' || CAST(c_custkey AS STRING) END AS full_name, 'First' || CAST(c_custkey AS STRING) AS first_name,
+        CASE WHEN c_custkey % 4 <> 3 THEN '08' || lpad(CAST(c_custkey + 3 AS STRING), 8, '0') END AS phone_text, 'user' || CAST(c_custkey AS STRING) || '@Example.com' AS email_text,
+        CASE c_custkey % 3 WHEN 0 THEN 'Yes' WHEN 1 THEN 'no' END AS agree
+      FROM {customer} WHERE c_custkey % 13 <> 0"""
+VIEWS["lead_raw"] = """
+      SELECT k, '{"object":"page","entry":[{"id":"' || entry_id || '","changes":[{"field":"' || kind || '","value":{"leadgen_id":"' || leadgen_id || '"'
+        || CASE WHEN page_id IS NOT NULL THEN ',"page_id":"' || page_id || '"' ELSE '' END || ',"form_id":"' || form_id || '"'
+        || CASE WHEN ad_id IS NOT NULL THEN ',"ad_id":"' || ad_id || '"' ELSE '' END || ',"created_time":' || CAST(1700000000 + k AS STRING) || '}}]}]}' AS raw
+      FROM {lead_feed}"""
+VIEWS["post_raw"] = """
+      SELECT page_id, '{' || CASE WHEN page_id % 17 <> 0 THEN '"id":" post_' || CAST(page_id AS STRING) || '",' ELSE '' END || '"message":"Round ' || CAST(page_id AS STRING)
+        || CASE page_id % 6 WHEN 0 THEN ' #Inner #inner_makeover' WHEN 1 THEN ' #Communication now' WHEN 2 THEN ' #TTRT #Presentation' WHEN 3 THEN ' plain text' WHEN 4 THEN ' #DeepIn #promo' ELSE ' #ｉｎｎｅｒｃａｍｐ' END
+        || '","created_time":"' || CASE WHEN page_id % 19 = 0 THEN 'soon' ELSE CAST(DATE '2024-01-01' + CAST(page_id % 366 AS INT) AS STRING) || 'T20:30:00+0000' END
+        || '","permalink_url":"' || url || '","reactions":{"summary":{"total_count":' || CAST(length(html) % 500 - 50 AS STRING) || '}},"shares":{"count":' || CAST(page_id % 23 AS STRING) || '}}' AS post_json,
+        CASE WHEN page_id % 4 = 0 THEN '{"data":[{"name":"other","values":[{"value":1}]},{"name":"post_impressions_unique","values":[{"value":5},{"value":' || CAST(page_id AS STRING) || '}]}]}' END AS insight_json,
+        'ad_' || CAST(page_id % 37 AS STRING) AS ad_id
+      FROM {pages}"""
+VIEWS["submissions"] = """
+      SELECT 'sub_' || CAST(event_id AS STRING) AS submission_id, event_id, 'cus_' || CAST(user_id AS STRING) AS customer_id, CAST(ts AS TIMESTAMP) AS at,
+        'key_' || CAST(CASE WHEN event_id % 12 = 5 THEN event_id - 1 ELSE event_id END AS STRING) AS idempotency_key, 'form-a' AS form_id, CAST(event_id % 4 AS INT) AS version,
+        '{"fullNameTh":"' || CASE WHEN event_id % 5 = 0 THEN ' ' ELSE ' Name ' || CAST(event_id AS STRING) END || '"'
+        || CASE WHEN event_id % 3 <> 0 THEN ',"phone":"08' || CASE WHEN event_id % 7 = 0 THEN '1' ELSE lpad(CAST(event_id AS STRING), 8, '0') END || '"' ELSE '' END
+        || CASE WHEN event_id % 4 = 0 THEN ',"nickname":"x"' WHEN event_id % 4 = 1 THEN ',"nickname":"nick"' ELSE '' END
+        || ',"heardFrom":"' || CASE event_id % 3 WHEN 0 THEN 'friend' WHEN 1 THEN 'ad' ELSE 'radio' END || '","interests":' || CASE event_id % 4 WHEN 0 THEN '[]' WHEN 1 THEN '["a"]' WHEN 2 THEN '["a","z"]' ELSE '["a","b","c"]' END
+        || ',"birthYear":"' || CASE WHEN event_id % 2 = 0 THEN '1992' ELSE '2535' END || '","consentDataProcessing":' || CASE WHEN event_id % 6 = 0 THEN 'false' ELSE 'true' END
+        || CASE WHEN event_id % 8 = 0 THEN ',"isAdmin":true' ELSE '' END || '}' AS answers
+      FROM {events}"""
+
+
 class Tables:
     """Base tables and CRM views of one folder as lazily built DataFrames: ``t.customers``."""
 
