@@ -3,7 +3,7 @@ import importlib
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-MODULES = ["metrics", "linkage", "customers", "sheets", "partner", "intake", "operations"]
+MODULES = ["metrics", "linkage", "customers", "sheets", "partner", "intake", "operations", "streams"]
 
 
 def query(name: str, sql: str | None = None):

@@ -26,7 +26,7 @@ def superseded(t):
     return I.mark_superseded(t.intents, STAMP).select("intent_id", F.col("superseded_at").isNotNull().alias("superseded"))
 
 
-@query("staff_verdicts", """WITH RECURSIVE ordered AS (SELECT *, row_number() OVER (PARTITION BY customer_id, course_code ORDER BY created_at, intent_id) AS n
+VERDICT_SQL = """WITH RECURSIVE ordered AS (SELECT *, row_number() OVER (PARTITION BY customer_id, course_code ORDER BY created_at, intent_id) AS n
       FROM intents WHERE customer_id IS NOT NULL AND voided_at IS NULL),
     f AS (SELECT customer_id, course_code, 0::BIGINT AS n, NULL::STRING AS intent_id, NULL::STRING AS rejection,
         NULL::TIMESTAMP AS c_obs, FALSE AS c_staff, 0.0::DOUBLE AS c_conf, NULL::TIMESTAMP AS c_created, NULL::STRING AS c_id, FALSE AS c_sticky
@@ -42,7 +42,10 @@ def superseded(t):
             WHEN o.source = 'ai' AND f.c_staff AND o.observed_at <= f.c_obs THEN 'staff_decided' END AS rejection
           FROM f JOIN ordered o ON o.customer_id = f.customer_id AND o.course_code IS NOT DISTINCT FROM f.course_code AND o.n = f.n + 1)))
     SELECT intent_id, rejection FROM f WHERE n > 0
-    UNION ALL SELECT intent_id, NULL FROM intents WHERE customer_id IS NULL AND voided_at IS NULL""")
+    UNION ALL SELECT intent_id, NULL FROM intents WHERE customer_id IS NULL AND voided_at IS NULL"""
+
+
+@query("staff_verdicts", VERDICT_SQL)
 def verdicts(t):
     return I.staff_verdicts(t.intents.where("voided_at is null")).select("intent_id", "rejection")
 

@@ -4,7 +4,6 @@ Each view is one plain SELECT that Spark and other ANSI engines read alike, so t
 the library and its checks. ``{name}`` refers to a base table or to another view.
 """
 import re
-from functools import cached_property  # noqa: F401
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -159,12 +158,6 @@ VIEWS = {
         CAST(page_id % 23 AS BIGINT) AS shares, CAST(length(html) AS BIGINT) AS reach,
         'ad_' || CAST(page_id % 37 AS STRING) AS ad_id, page_id % 10 = 3 AS synthetic
       FROM {{pages}}""",
-    "lead_mappings": """
-      SELECT DISTINCT CASE page_id % 3 WHEN 0 THEN 'adId' WHEN 1 THEN 'formId' ELSE 'pageId' END AS match_on,
-        CASE page_id % 3 WHEN 0 THEN 'ad_' || CAST(page_id % 29 AS STRING) WHEN 1 THEN 'form_' || CAST(page_id % 17 AS STRING)
-          ELSE 'page_' || CAST(page_id % 2 AS STRING) END AS match_value,
-        CASE WHEN page_id % 7 <> 0 THEN 'COMMU' END AS course_code, 'camp ' || CAST(page_id % 3 AS STRING) AS campaign_name
-      FROM {pages} WHERE page_id < 30""",
 }
 VIEWS["lead_mappings"] = """
       SELECT DISTINCT CASE c_custkey % 3 WHEN 0 THEN 'adId' WHEN 1 THEN 'formId' ELSE 'pageId' END AS match_on,
@@ -276,7 +269,7 @@ class Tables:
             raise AttributeError(name)
         if name not in self._made:
             if name in BASE:
-                self._made[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+                self._made[name] = self._base(name)
             else:
                 uses = {u: getattr(self, u) for u in re.findall(r"\{(\w+)\}", VIEWS[name])}
                 text = re.sub(r"\{(\w+)\}", r"@@\1@@", VIEWS[name]).replace("{", "{{").replace("}", "}}")
@@ -284,6 +277,27 @@ class Tables:
         return self._made[name]
 
 
+    def _base(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+
+
+class StreamTables(Tables):
+    """The same tables with one base table read as a stream of files."""
+
+    def __init__(self, spark: SparkSession, folder: str, streamed: str = "events", files: str | None = None, per_trigger: int = 8):
+        super().__init__(spark, folder)
+        self._streamed, self._files, self._per_trigger = streamed, files, per_trigger
+
+    def _base(self, name: str) -> DataFrame:
+        table = super()._base(name)
+        if name != self._streamed:
+            return table
+        reader = self.spark.readStream.schema(table.schema).option("maxFilesPerTrigger", self._per_trigger)
+        if self._files:
+            return reader.parquet(self._files)
+        return reader.option("pathGlobFilter", f"{name}.parquet").parquet(self.folder)
+
+
 def with_views(body: str) -> str:
     """Prefix a SELECT with the views it names, for an engine that only has the base tables."""
     wanted, queue = [], [body]
