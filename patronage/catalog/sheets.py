@@ -2,9 +2,8 @@
 from pyspark.sql import functions as F
 
 from patronage.catalog import query
-from patronage.functions.text import redact_text
 from patronage.operators import sheets as X
-from patronage.operators.scrub import flag_shared_slips
+from patronage.operators.scrub import flag_shared_slips, redact_columns
 from patronage.sources.bindings import CELLS
 from patronage.sources.store import run_manifest
 
@@ -158,9 +157,9 @@ def _redacted(c):
 
 @query("redact_documents", f"SELECT doc_id, {_redacted('text')} AS text FROM documents")
 def redact_documents(t):
-    return t.documents.select("doc_id", redact_text(F.col("text")).alias("text"))
+    return redact_columns(t.documents.select("doc_id", "text"), "text")
 
 
 @query("redact_conversations", f"SELECT conv_id, turn, {_redacted('text')} AS text FROM conversations")
 def redact_conversations(t):
-    return t.conversations.select("conv_id", "turn", redact_text(F.col("text")).alias("text"))
+    return redact_columns(t.conversations.select("conv_id", "turn", "text"), "text")

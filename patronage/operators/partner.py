@@ -5,7 +5,7 @@ from patronage.functions import vocabulary as V
 from patronage.functions.courses import clean_code, code_by_header, counts_as_seat, is_non_course, known_code
 from patronage.functions.dates import source_year_month, valid_date_text
 from patronage.functions.text import normalize_email, normalize_phone, strip
-from patronage.sources.store import settle
+from patronage.sources.store import settle, spread
 
 # --- Fixed values: accepted keys of each object, in checking order ---
 KEYS = {
@@ -59,6 +59,55 @@ def _no(c: Column) -> Column:
     return ~F.coalesce(c, F.lit(False))
 
 
+# --- Fixed values: JSON kinds per key, for the quick shape test on canonical JSON ---
+TEXT_KEYS = "eventId|type|occurredAt|lineUserId|phone|email|fullName|externalPaymentId|currency|paidAt|saleRep|courseLabel|courseCode|" \
+            "sessionLabel|sessionStart|kind|status|hesitationReason|source|model|lock|voids|adOrOrganic|campaignId|contentRef|reason|requestedAt"
+ODD_KINDS = (f'"({TEXT_KEYS})":(?!"|null)|"(revision|amount|confidence)":(?![0-9-]|null)|"countsAsSeat":(?!true|false)|'
+             r'"(subject|payment|intent|attribution|erase)":(?!\{)|"(lines|tags)":(?!\[)|'
+             '"(eventId|type|occurredAt|currency|courseLabel|kind|status|source|confidence|revision|voids|lock|reason|requestedAt)":null')
+EVENT_JSON = ("eventId string, type string, occurredAt string, revision double, subject struct<lineUserId:string,phone:string,email:string,fullName:string>, "
+              "payment struct<externalPaymentId:string,amount:double,currency:string,paidAt:string,saleRep:string,"
+              "lines:array<struct<courseLabel:string,courseCode:string,sessionLabel:string,sessionStart:string,kind:string,countsAsSeat:boolean>>>, "
+              "intent struct<courseCode:string,status:string,hesitationReason:string,confidence:double,source:string,model:string,lock:string>, "
+              "voids string, tags array<string>, attribution struct<source:string,adOrOrganic:string,campaignId:string,contentRef:string>, "
+              "erase struct<reason:string,requestedAt:string>")
+
+
+def _plainly_fine(e: Column, j: Column) -> Column:
+    """True only for events with nothing to complain about; the slow path finds the exact problem of the rest."""
+    def fits(c, n, needed=False):
+        ok = F.length(strip(c)).between(1, n)
+        return F.coalesce(ok, F.lit(not needed))
+
+    def within(keys, name):
+        return F.coalesce(F.size(F.array_except(keys, F.array(*[F.lit(k) for k in KEYS[name]]))) == 0, F.lit(True))
+
+    s, p, i, a, x = (e[n] for n in ("subject", "payment", "intent", "attribution", "erase"))
+    lines = F.from_json(F.get_json_object(j, "$.payment.lines"), "array<map<string,string>>")
+    line_ok = F.forall(lines, lambda m: within(F.map_keys(m), "line"))
+    lines_fit = F.forall(p["lines"], lambda r: fits(r["courseLabel"], 200, True) & fits(r["courseCode"], 50) & fits(r["sessionLabel"], 300)
+                         & fits(r["kind"], 40, True) & (r["sessionStart"].isNull() | valid_date_text(r["sessionStart"])))
+    checks = [
+        ~j.rlike(ODD_KINDS), within(F.json_object_keys(j), ""), fits(e["eventId"], 240, True), fits(e["type"], 40, True),
+        e["occurredAt"].rlike(r"(Z|[+-][0-9]{2}:[0-9]{2})$") & e["occurredAt"].try_cast("timestamp").isNotNull(),
+        e["revision"].isNull() | ((e["revision"] >= 1) & (e["revision"] == F.floor(e["revision"]))), fits(e["voids"], 240), e["tags"].isNull(),
+        s.isNull() | (fits(s["lineUserId"], 200) & fits(s["phone"], 100) & fits(s["email"], 320) & fits(s["fullName"], 300)
+                      & F.coalesce(s["lineUserId"], s["phone"], s["email"], s["fullName"]).isNotNull()
+                      & within(F.json_object_keys(F.get_json_object(j, "$.subject")), "subject")),
+        p.isNull() | (fits(p["externalPaymentId"], 200) & fits(p["saleRep"], 100) & strip(p["currency"]).rlike("^[A-Z]{3}$")
+                      & F.coalesce(p["amount"] >= 0, j.contains('"amount":null')) & (p["paidAt"].isNull() & j.contains('"paidAt":null') | valid_date_text(p["paidAt"]))
+                      & F.size(p["lines"]).between(1, 100) & lines_fit & line_ok
+                      & within(F.json_object_keys(F.get_json_object(j, "$.payment")), "payment")),
+        i.isNull() | (fits(i["courseCode"], 50) & fits(i["status"], 60, True) & fits(i["hesitationReason"], 80) & i["confidence"].between(0, 1)
+                      & i["source"].isin("ai", "staff") & fits(i["model"], 200) & F.coalesce(i["lock"].isin("soft", "sticky"), F.lit(True))
+                      & within(F.json_object_keys(F.get_json_object(j, "$.intent")), "intent")),
+        a.isNull() & x.isNull()]
+    out = F.lit(True)
+    for c in checks:
+        out = out & F.coalesce(c, F.lit(False))
+    return out
+
+
 def _issues(d: _Doc, raw: Column) -> Column:
     """First schema problem of an event as its path, null when the shape is right."""
     out = []
@@ -141,12 +190,10 @@ def _line_issue(v: Column, i: Column) -> Column:
         F.when(F.size(F.array_except(keys, F.array(*[F.lit(k) for k in KEYS["line"]]))) > 0, path("")))
 
 
-def _read_line(v: Column) -> Column:
-    d = _Doc(v)
+def _read_line(x: Column) -> Column:
     return F.struct(
-        strip(d.text("courseLabel")).alias("course_label"), strip(d.text("courseCode")).alias("course_code"),
-        strip(d.text("sessionLabel")).alias("session_label"), d.text("sessionStart").try_cast("date").alias("session_start"),
-        strip(d.text("kind")).alias("kind"))
+        strip(x["courseLabel"]).alias("course_label"), strip(x["courseCode"]).alias("course_code"),
+        strip(x["sessionLabel"]).alias("session_label"), x["sessionStart"].try_cast("date").alias("session_start"), strip(x["kind"]).alias("kind"))
 
 
 def parse_events(df: DataFrame) -> DataFrame:
@@ -154,25 +201,25 @@ def parse_events(df: DataFrame) -> DataFrame:
 
     ``df``: partner_id, seq (arrival order), raw. Staged so the document is parsed once.
     """
-    df = df.withColumn("doc", F.try_parse_json("raw"))
+    df = spread(df).withColumn("doc", F.try_parse_json("raw"))
     df = df.withColumn("json", F.to_json("doc"))
-    d = _Doc(F.col("doc"))
+    df = df.withColumn("e", F.from_json("json", EVENT_JSON))
+    df = df.withColumn("fine", _plainly_fine(F.col("e"), F.col("json")))
+    d, e = _Doc(F.col("doc")), F.col("e")
     is_object = F.coalesce(F.schema_of_variant("doc").startswith("OBJECT"), F.lit(False))
-    forbidden = F.coalesce(F.col("json").rlike('"(' + "|".join(V.FORBIDDEN_KEYS) + ')"\\s*:'), F.lit(False))
+    forbidden = F.coalesce(F.col("json").rlike('"(' + "|".join(V.FORBIDDEN_KEYS) + ')":'), F.lit(False))
+    issue = F.when(F.col("fine"), None).when(~is_object, "event").otherwise(_issues(d, F.col("json")))
+    s, p, i = e["subject"], e["payment"], e["intent"]
     df = df.withColumns({
-        "event_id": F.coalesce(strip(d.text("eventId")), F.lit("unknown")), "type": strip(d.text("type")),
-        "occurred_at": d.text("occurredAt").try_cast("timestamp"), "revision": F.coalesce(d.number("revision").cast("int"), F.lit(1)),
-        "forbidden": forbidden, "issue": F.when(~is_object, "event").otherwise(_issues(d, F.col("json"))),
-        "has_subject": d.object("subject"), "has_payment": d.object("payment"), "has_intent": d.object("intent"), "has_tags": ~d.missing("tags"),
-        "voids": strip(d.text("voids")), "erase_reason": F.coalesce(d.text("erase.reason"), F.lit("customer_request")),
-        "line_user_id": strip(d.text("subject.lineUserId")), "phone": normalize_phone(d.text("subject.phone")),
-        "email": normalize_email(d.text("subject.email")), "full_name": strip(d.text("subject.fullName")),
-        "external_payment_id": strip(d.text("payment.externalPaymentId")), "amount": d.number("payment.amount").cast("decimal(18,2)"),
-        "currency": strip(d.text("payment.currency")), "paid_at": d.text("payment.paidAt").try_cast("date"), "sale_rep": strip(d.text("payment.saleRep")),
-        "lines": F.transform(F.try_variant_get("doc", "$.payment.lines", "array<variant>"), _read_line),
-        "intent_course": strip(d.text("intent.courseCode")), "intent_status": strip(d.text("intent.status")),
-        "intent_reason": strip(d.text("intent.hesitationReason")), "intent_confidence": d.number("intent.confidence"),
-        "intent_source": d.text("intent.source"), "intent_model": strip(d.text("intent.model")), "intent_lock": d.text("intent.lock")})
+        "event_id": F.coalesce(strip(d.text("eventId")), F.lit("unknown")), "type": strip(e["type"]), "occurred_at": e["occurredAt"].try_cast("timestamp"),
+        "revision": F.coalesce(e["revision"].cast("int"), F.lit(1)), "forbidden": forbidden, "issue": issue,
+        "has_subject": s.isNotNull(), "has_payment": p.isNotNull(), "has_intent": i.isNotNull(), "has_tags": e["tags"].isNotNull(),
+        "voids": strip(e["voids"]), "erase_reason": F.coalesce(e["erase"]["reason"], F.lit("customer_request")),
+        "line_user_id": strip(s["lineUserId"]), "phone": normalize_phone(s["phone"]), "email": normalize_email(s["email"]), "full_name": strip(s["fullName"]),
+        "external_payment_id": strip(p["externalPaymentId"]), "amount": p["amount"].cast("decimal(18,2)"), "currency": strip(p["currency"]),
+        "paid_at": p["paidAt"].try_cast("date"), "sale_rep": strip(p["saleRep"]), "lines": F.transform(p["lines"], _read_line),
+        "intent_course": strip(i["courseCode"]), "intent_status": strip(i["status"]), "intent_reason": strip(i["hesitationReason"]),
+        "intent_confidence": i["confidence"], "intent_source": i["source"], "intent_model": strip(i["model"]), "intent_lock": i["lock"]})
     t, c = F.col("type"), F.col
     bad_kind = F.get(F.filter("lines", lambda x: ~x["kind"].isin(V.PARTNER_KINDS)), F.lit(0))["kind"]
     tag = lambda kind, why: F.struct(F.lit(kind).alias("outcome"), (why if isinstance(why, Column) else F.lit(why)).alias("reason"))
@@ -200,7 +247,7 @@ def parse_events(df: DataFrame) -> DataFrame:
         "intent_reason": F.when(c("intent_status") == "hesitant", F.coalesce("intent_reason", F.lit("unknown"))),
         "intent_confidence": F.when(staff, 1.0).otherwise(c("intent_confidence")), "intent_model": F.when(~staff, c("intent_model")),
         "intent_lock": F.when(staff, F.coalesce("intent_lock", F.lit("soft"))).otherwise("soft")})
-    return _canonical(df.drop("_v", "doc", "json", "forbidden", "issue"))
+    return _canonical(df.drop("_v", "doc", "json", "e", "fine", "forbidden", "issue"))
 
 
 def _canonical(df: DataFrame) -> DataFrame:

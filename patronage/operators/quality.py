@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from patronage.functions.text import birth_year_be, normalize_email, normalize_phone, number, strip
 from patronage.functions.vocabulary import FIXED_LIMITS as L
+from patronage.sources.store import spread
 
 
 @dataclass(frozen=True)
@@ -30,28 +31,35 @@ class Rule:
 
 
 class _Answers:
-    """Typed access to the answers document (a variant column)."""
+    """Per-field columns of the answers document, each read once: its JSON kind and its text."""
 
-    def __init__(self, v: Column):
-        self.v = v
+    @staticmethod
+    def read(df: DataFrame, rules: list) -> DataFrame:
+        names = list(dict.fromkeys([r.field_id for r in rules] + [r.visible_if[0] for r in rules if r.visible_if]))
+        schema = ", ".join(f"`{n}` variant" for n in names)
+        df = df.withColumn("_doc", F.from_json("answers", schema))
+        df = df.withColumns({f"_v_{n}": F.col("_doc")[n] for n in names})
+        df = df.withColumns({f"_k_{n}": F.schema_of_variant(f"_v_{n}") for n in names})
+        return df.withColumns({f"_s_{n}": F.try_variant_get(f"_v_{n}", "$", "string") for n in names})
 
-    def raw(self, name: str) -> Column:
-        return F.try_variant_get(self.v, f"$.{name}", "variant")
+    @staticmethod
+    def done(df: DataFrame) -> DataFrame:
+        return df.drop(*[c for c in df.columns if c == "_doc" or c[:3] in ("_v_", "_k_", "_s_")])
 
     def kind(self, name: str) -> Column:
-        return F.schema_of_variant(self.raw(name))
+        return F.col(f"_k_{name}")
 
     def missing(self, name: str) -> Column:
         return self.kind(name).isNull()
 
     def text(self, name: str) -> Column:
-        return F.when(self.kind(name) == "STRING", F.try_variant_get(self.v, f"$.{name}", "string"))
+        return F.when(self.kind(name) == "STRING", F.col(f"_s_{name}"))
 
     def any_text(self, name: str) -> Column:
-        return F.try_variant_get(self.v, f"$.{name}", "string")
+        return F.col(f"_s_{name}")
 
     def items(self, name: str) -> Column:
-        return F.when(self.kind(name).startswith("ARRAY"), F.try_variant_get(self.v, f"$.{name}", "array<string>"))
+        return F.when(self.kind(name).startswith("ARRAY"), F.try_variant_get(f"_v_{name}", "$", "array<string>"))
 
     def truth(self, name: str) -> Column:
         t = self.any_text(name)
@@ -124,19 +132,17 @@ def validate(df: DataFrame, rules: list) -> DataFrame:
     Fields the form does not ask for are violations too, which blocks smuggled columns.
     """
     live = [r for r in rules if r.type not in ("readonly", "image")]
-    df = df.withColumn("_doc", F.try_parse_json("answers"))
-    a = _Answers(F.col("_doc"))
+    df, a = _Answers.read(spread(df), live), _Answers()
     found = [F.when(F.coalesce(bad, F.lit(False)), F.struct(F.lit(r.field_id).alias("field"), F.lit(code).alias("code")))
              for r in live for code, bad in _checks(a, r)]
     extra = F.array_except(F.json_object_keys("answers"), F.array(*[F.lit(r.field_id) for r in live]))
     unknown = F.transform(F.coalesce(extra, F.array().cast("array<string>")), lambda k: F.struct(k.alias("field"), F.lit("unknown").alias("code")))
-    return df.withColumn("violations", F.concat(F.filter(F.array(*found), lambda v: v.isNotNull()), unknown)).drop("_doc")
+    return df.withColumn("violations", F.concat(F.filter(F.array(*found), lambda v: v.isNotNull()), unknown)).transform(_Answers.done)
 
 
 def normalize_answers(df: DataFrame, rules: list, current_year: int) -> DataFrame:
     """Add ``normal``: map of cleaned answers; blanks and missing fields are left out."""
-    df = df.withColumn("_doc", F.try_parse_json("answers"))
-    a = _Answers(F.col("_doc"))
+    df, a = _Answers.read(df, rules), _Answers()
     pairs = []
     for r in rules:
         raw = a.any_text(r.field_id)
@@ -151,7 +157,7 @@ def normalize_answers(df: DataFrame, rules: list, current_year: int) -> DataFram
         else:
             value = strip(raw)
         pairs.append(F.when(~a.missing(r.field_id) & (F.coalesce(raw, F.lit("x")) != ""), F.struct(F.lit(r.field_id).alias("k"), value.alias("v"))))
-    return df.withColumn("normal", F.map_from_entries(F.filter(F.array(*pairs), lambda p: p.isNotNull()))).drop("_doc")
+    return df.withColumn("normal", F.map_from_entries(F.filter(F.array(*pairs), lambda p: p.isNotNull()))).transform(_Answers.done)
 
 
 def summarize_answers(answers: Column) -> Column:

@@ -3,7 +3,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, MapType, StringType, StructType
 
 from patronage.functions.hashing import email_hash, name_keys, nickname_key, person_token, phone_hash, slip_group
-from patronage.functions.text import age_band, mask_email, mask_phone, safe_session_label
+from patronage.functions.text import age_band, mask_email, mask_phone, redact_text, safe_session_label
+from patronage.sources.store import spread
 
 PHONE_IN_TEXT = r"(?<![0-9])(\+66|0)[2-9][0-9]{7,8}(?![0-9])"
 EMAIL_IN_TEXT = r"(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}"
@@ -98,6 +99,11 @@ def flag_shared_slips(payments: DataFrame) -> DataFrame:
     return payments.join(shared, "slip_no", "left").withColumn("slip_shared", F.coalesce("slip_shared", F.lit(False)))
 
 
+def redact_columns(df: DataFrame, *columns: str) -> DataFrame:
+    """Log redaction over whole text columns."""
+    return spread(df).withColumns({c: redact_text(F.col(c)) for c in columns})
+
+
 # ---- audit ----------------------------------------------------------------------------------
 
 def _text_leaves(schema: StructType, path=()):

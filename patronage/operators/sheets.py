@@ -6,6 +6,7 @@ from patronage.functions.cells import classify_cells
 from patronage.functions.courses import code_by_header
 from patronage.functions.text import (blank_to_null, normalize_phone, number, safe_session_label, sheet_age, sheet_amount,
                                       sheet_date, sheet_text, sheet_year, squeeze)
+from patronage.sources.store import settle, spread
 
 FIELDS = list(V.SHEET_FIELDS)
 
@@ -47,7 +48,7 @@ def parse_rows(rows: DataFrame) -> DataFrame:
     email = F.lower(sheet_text(f("email")))
     phone = normalize_phone(f("phone"))
     here = F.concat_ws(":", F.lit("row"), "sheet", F.col("row_number").cast("string"))
-    return rows.select(
+    return spread(rows).select(
         "sheet", "row_number", "courses", sheet_year(F.col("sheet")).alias("sheet_year"),
         sheet_date(f("paidAt")).alias("paid_at"), sheet_amount(f("amount")).alias("amount"), sheet_text(f("slipNo")).alias("slip_no"),
         sheet_text(f("fullNameTh")).alias("display_name"), sheet_text(f("fullNameEn")).alias("full_name_en"),
@@ -73,8 +74,8 @@ def import_rows(rows: DataFrame) -> dict:
     People come from one hash aggregation; ids are hashes of natural keys, so payments and
     enrolments find their person without a join.
     """
-    parsed = parse_rows(rows)
-    cells = row_cells(parsed)
+    parsed = settle(parse_rows(rows))
+    cells = settle(row_cells(parsed))
     known = cells.where("course_code is not null")
     signal_rows = known.select("sheet", "row_number").distinct().withColumn("_cells", F.lit(True))
     has_money = F.col("paid_at").isNotNull() | F.col("amount").isNotNull() | F.col("slip_no").isNotNull()

@@ -17,6 +17,17 @@ def shared_folder(spark) -> str:
     return folder
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Let row-heavy parsing use every core when a small input arrives in fewer splits than cores.
+
+    Meant for plain scans. A large input has more splits than cores and passes without a shuffle.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write a result that several later steps read, and continue from the written table.
 
