@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from patronage.catalog import query
 from patronage.operators import linkage as L, scrub as S
-from patronage.sources.store import settle
+from patronage.sources.store import settle, spread
 
 KEY = "test-pepper"  # a fixed key so both engines hash alike; real jobs pass their secret
 YEAR = 2026
@@ -41,7 +41,7 @@ LKEY = "CAST(substr(person_id, 5) AS BIGINT)"
     CAST(first_interaction_at AS DATE) AS first_interaction_at, CAST(form_submitted_at AS DATE) AS form_submitted_at,
     lead_pending AS lead_pending FROM customers""")
 def scrub_customers(t):
-    df = S.scrub_customers(t.customers, KEY)
+    df = S.scrub_customers(spread(t.customers), KEY)
     return df.withColumns({"name_keys": F.concat_ws(",", "name_keys"),
                            "lead_pending": F.col("lead_attribution.attribution_pending")}).drop("lead_attribution", "source_updated_at")
 
@@ -101,7 +101,7 @@ def scrub_intents(t):
 
 
 def legacy_scrubbed(t):
-    return S.scrub_legacy_people(t.legacy_people, S.person_payment_stats(t.legacy_payments, t.legacy_enrollments), KEY)
+    return S.scrub_legacy_people(spread(t.legacy_people), S.person_payment_stats(t.legacy_payments, t.legacy_enrollments), KEY)
 
 
 @query("leak_audit_scrubbed_customers", """SELECT '' AS "column", '' AS violation, 0 AS "rows" WHERE FALSE""")
@@ -123,7 +123,7 @@ EMAIL_RX = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
     SELECT doc_id, unnest([CASE WHEN regexp_matches(' ' || text || ' ', '[^0-9](\\+66|0)[2-9][0-9]{{7,8}}[^0-9]') THEN 'phone' END,
       CASE WHEN regexp_matches(text, '{EMAIL_RX}') AND NOT contains(text, '***') THEN 'email' END]) AS v FROM documents) WHERE v IS NOT NULL""")
 def leak_documents(t):
-    return S.leak_audit(t.documents.select("doc_id", "text"), "doc_id").select(F.col("id").cast("long").alias("id"), "violation")
+    return S.leak_audit(spread(t.documents.select("doc_id", "text")), "doc_id").select(F.col("id").cast("long").alias("id"), "violation")
 
 
 # ---- linkage --------------------------------------------------------------------------------
@@ -131,7 +131,7 @@ def leak_documents(t):
 def match_sides(t):
     held = (t.owned_items.where("counts_as_seat and customer_id is not null").groupBy("customer_id")
             .agg(F.sort_array(F.collect_set("course_code")).alias("course_codes")))
-    customers = S.scrub_customers(t.customers, KEY).join(held, "customer_id", "left")
+    customers = S.scrub_customers(spread(t.customers), KEY).join(held, "customer_id", "left")
     return L.customer_side(customers, YEAR), L.legacy_side(legacy_scrubbed(t))
 
 

@@ -143,13 +143,18 @@ def fuzzy_pairs(customers: DataFrame, legacy: DataFrame, excluded: DataFrame, to
     graded = need.join(classes, "block").select(
         "block", "cset", "lset", "need",
         (key_weight + F.size(F.array_intersect("courses", "lc")) * COURSE_WEIGHT).alias("score"))
-    lists = (graded.join(ranked.select("block", "lset", "legacy_id", "pos"), ["block", "lset"])
+    lists = settle(graded.join(ranked.select("block", "lset", "legacy_id", "pos"), ["block", "lset"])
              .where(F.col("pos") <= F.col("need"))
              .withColumn("rank", F.row_number().over(
                  Window.partitionBy("block", "cset").orderBy(F.desc("score"), "legacy_id")))
              .where(F.col("rank") <= F.col("need")).select("block", "cset", "legacy_id", "score", "rank"))
-    scored_common = (c_blocks.select("id", "block", "cset", "need").join(lists, ["block", "cset"])
-                     .where(F.col("rank") <= F.col("need")).select("id", "legacy_id", "score"))
+    # The score a block guarantees at a customer's depth is a floor: lower entries of other blocks cannot reach its top.
+    wants = c_blocks.select("id", "block", "cset", "need")
+    floor = (wants.join(lists.select("block", "cset", F.col("rank").alias("need"), "score"), ["block", "cset", "need"])
+             .groupBy("id").agg(F.max("score").alias("floor")))
+    scored_common = (wants.join(floor, "id", "left").join(lists, ["block", "cset"])
+                     .where((F.col("rank") <= F.col("need")) & (F.col("score") >= F.coalesce("floor", F.lit(0))))
+                     .select("id", "legacy_id", "score"))
 
     pairs = (scored_rare.unionByName(scored_common)
              .groupBy(F.col("id").alias("customer_id"), F.col("legacy_id").alias("legacy_person_id"))
