@@ -5,9 +5,10 @@ score over shared keys. Keys such as an age band, a mail domain or a very common
 a large part of both sides, so pairs are never listed block by block:
 
 * *rare* keys (few people behind them) are joined as usual;
-* *common* keys go through blocks of key combinations. People of one block who also have the same
-  course set score alike against a customer, so a block keeps them as one ranked list, and a
-  customer reads only the first N plus the number of its own excluded partners.
+* *common* keys go through blocks of key combinations. A combination that few people hold is joined
+  like a rare key. In a large block, people with the same course set score alike against a customer,
+  so the block keeps them as one ranked list, and a customer reads only the first N plus the number
+  of its own excluded partners.
 
 The result equals scoring every pair, and the work grows with people, not with pairs.
 """
@@ -114,8 +115,14 @@ def fuzzy_pairs(customers: DataFrame, legacy: DataFrame, excluded: DataFrame, to
     c_rare, c_common = split(c)
     p_rare, p_common = split(p)
 
-    # Rare keys: at most ``rare`` partners per key.
-    rare_pairs = c_rare.join(p_rare.withColumnRenamed("id", "legacy_id"), "key").select("id", "legacy_id").distinct()
+    # Combinations of common keys. A combination few people hold is joined like a rare key, and only the
+    # smallest such ones are needed: whoever shares more keys is found there too and scored on all of them.
+    sizes = settle(p_common.select(F.explode(_subsets(F.col("common_keys"))).alias("block")).groupBy("block").agg(F.count("*").alias("n")))
+    c_large, c_small = _split_blocks(c_common, sizes, rare)
+    p_large, p_small = _split_blocks(p_common, sizes, rare)
+
+    rare_pairs = c_rare.unionByName(c_small).join(
+        p_rare.unionByName(p_small).withColumnRenamed("id", "legacy_id"), "key").select("id", "legacy_id").distinct()
     scored_rare = (
         rare_pairs.join(c, "id")
         .join(p.select(F.col("id").alias("legacy_id"), F.col("courses").alias("lc"), F.col("keys").alias("lk")), "legacy_id")
@@ -123,27 +130,28 @@ def fuzzy_pairs(customers: DataFrame, legacy: DataFrame, excluded: DataFrame, to
             F.aggregate(F.array_intersect("keys", "lk"), F.lit(0), lambda a, k: a + _weight(k))
             + F.size(F.array_intersect("courses", "lc")) * COURSE_WEIGHT).alias("score")))
 
-    # Common keys: blocks of key combinations, people of a block grouped by course set.
+    # Large combinations: people of a block grouped by course set.
     n_excluded = excluded.groupBy(F.col("customer_id").alias("id")).agg(F.count("*").alias("skip"))
-    c_blocks = settle(c_common.join(c.select("id", "courses"), "id").join(n_excluded, "id", "left")
-                .select("id", F.concat_ws(",", "courses").alias("cset"), "courses",
-                        (F.lit(top) + F.coalesce("skip", F.lit(0))).alias("need"),
-                        F.explode(_subsets(F.col("common_keys"))).alias("block")))
+    c_blocks = settle(c_large.join(c.select("id", "courses"), "id").join(n_excluded, "id", "left")
+                      .select("id", F.concat_ws(",", "courses").alias("cset"), "courses",
+                              (F.lit(top) + F.coalesce("skip", F.lit(0))).alias("need"), "block"))
     need = c_blocks.groupBy("block", "cset").agg(F.max("need").alias("need"), F.first("courses").alias("courses"))
-    p_blocks = (p_common.join(p.select("id", "courses"), "id")
-                .select(F.col("id").alias("legacy_id"), F.concat_ws(",", "courses").alias("lset"), "courses",
-                        F.explode(_subsets(F.col("common_keys"))).alias("block")))
+    p_blocks = (p_large.join(p.select("id", "courses"), "id")
+                .select(F.col("id").alias("legacy_id"), F.concat_ws(",", "courses").alias("lset"), "courses", "block"))
     deepest = need.groupBy("block").agg(F.max("need").alias("deep"))
     # Position inside (block, course set) by id; rows past the deepest need can never be read.
     in_class = Window.partitionBy("block", "lset").orderBy("legacy_id")
     ranked = settle(_spread_row_number(p_blocks.join(deepest, "block"), in_class)
               .where(F.col("pos") <= F.col("deep")).select("block", "lset", F.col("courses").alias("lc"), "legacy_id", "pos"))
-    classes = ranked.groupBy("block", "lset").agg(F.first("lc").alias("lc"))
+    classes = ranked.groupBy("block", "lset").agg(F.first("lc").alias("lc"), F.min("legacy_id").alias("head"))
     key_weight = F.aggregate(F.filter(F.split("block", SEP), lambda k: k != ""), F.lit(0), lambda a, k: a + _weight(k))
     graded = need.join(classes, "block").select(
-        "block", "cset", "lset", "need",
+        "block", "cset", "lset", "need", "head",
         (key_weight + F.size(F.array_intersect("courses", "lc")) * COURSE_WEIGHT).alias("score"))
-    lists = settle(graded.join(ranked.select("block", "lset", "legacy_id", "pos"), ["block", "lset"])
+    # The first ``need`` people of a list come from at most that many course sets, the ones with the best heads.
+    by_head = Window.partitionBy("block", "cset").orderBy(F.desc("score"), "head")
+    graded = graded.withColumn("place", F.row_number().over(by_head)).where(F.col("place") <= F.col("need"))
+    lists = settle(graded.drop("head", "place").join(ranked.select("block", "lset", "legacy_id", "pos"), ["block", "lset"])
              .where(F.col("pos") <= F.col("need"))
              .withColumn("rank", F.row_number().over(
                  Window.partitionBy("block", "cset").orderBy(F.desc("score"), "legacy_id")))
@@ -164,6 +172,21 @@ def fuzzy_pairs(customers: DataFrame, legacy: DataFrame, excluded: DataFrame, to
     return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
 
 
+def _split_blocks(side: DataFrame, sizes: DataFrame, rare: int) -> tuple:
+    """Blocks of each person: the large ones (id, block), and the smallest small ones as keys (id, key)."""
+    n = F.col("n")
+    known = side.select("id", F.explode(_subsets(F.col("common_keys"))).alias("block")).join(sizes, "block")
+    sets = known.groupBy("id").agg(F.collect_set(F.when(n > rare, F.col("block"))).alias("large"),
+                                   F.collect_set(F.when(n <= rare, F.col("block"))).alias("small"))
+
+    def smallest(block):
+        keys = F.filter(F.split(block, SEP), lambda k: k != "")
+        return F.forall(keys, lambda k: F.array_contains("large", F.concat(F.lit(SEP), F.array_join(F.array_remove(keys, k), SEP))))
+
+    sets = settle(sets.select("id", "large", F.filter("small", smallest).alias("small")))
+    return sets.select("id", F.explode("large").alias("block")), sets.select("id", F.explode("small").alias("key"))
+
+
 def _spread_row_number(df: DataFrame, window) -> DataFrame:
     """Row number within (block, lset), cut in two steps so a hot class never meets one task whole:
     each of 64 slices keeps its own first ``deep`` rows, then the survivors are numbered."""
