@@ -209,3 +209,38 @@ def erase_audit(t):
 @query("erase_keeps_other_intents", "SELECT intent_id FROM intents WHERE customer_id IS NULL OR CAST(substr(customer_id, 5) AS BIGINT) % 50 <> 12")
 def erase_intents(t):
     return S.drop_owned(t.intents, _erase(t)).select("intent_id")
+
+
+DEC = """dc AS (SELECT 'lnk_a' || c_custkey AS link_id, CASE WHEN c_custkey % 6 = 0 THEN 'auto' ELSE 'needs_review' END AS expected,
+    CASE WHEN c_custkey % 10 = 1 THEN 'auto' WHEN c_custkey % 3 = 0 THEN 'rejected' ELSE 'confirmed' END AS decision FROM customers WHERE c_custkey % 5 <> 0),
+  jd AS (SELECT dc.*, l.status, coalesce(dc.expected = l.status AND l.status IN ('needs_review', 'auto') AND decision IN ('confirmed', 'rejected'), FALSE) AS ok
+    FROM dc LEFT JOIN customer_links l ON l.link_id = dc.link_id)"""
+
+
+def _decided(t):
+    from patronage.operators.decisions import LINK_STEPS, apply_decisions
+    d = t.customers.where("c_custkey % 5 <> 0").select(
+        F.concat(F.lit("lnk_a"), F.col("c_custkey").cast("string")).alias("link_id"),
+        F.expr("CASE WHEN c_custkey % 6 = 0 THEN 'auto' ELSE 'needs_review' END").alias("expected"),
+        F.expr("CASE WHEN c_custkey % 10 = 1 THEN 'auto' WHEN c_custkey % 3 = 0 THEN 'rejected' ELSE 'confirmed' END").alias("decision"),
+        F.lit("staff").alias("actor"), F.col("updated_at").alias("at"))
+    return apply_decisions(t.customer_links, d, "link_id", "status", LINK_STEPS)
+
+
+@query("link_decisions", f"WITH {DEC} SELECT l.link_id, coalesce(jd.decision, l.status) AS status FROM customer_links l LEFT JOIN jd ON jd.link_id = l.link_id AND jd.ok")
+def link_decisions(t):
+    return _decided(t)[0].select("link_id", "status")
+
+
+@query("link_decision_conflicts", f"WITH {DEC} SELECT link_id, expected, status AS found, decision FROM jd WHERE NOT ok")
+def link_conflicts(t):
+    return _decided(t)[1].select("link_id", "expected", "found", "decision")
+
+
+@query("assign_event_owners", f"""{LOG} SELECT k AS seq, CASE WHEN status = 'pending_identity' AND e % 3 = 0 AND (e % 100) % 20 > 1 THEN 'accepted' ELSE status END AS status FROM log2""")
+def assign_owners(t):
+    from patronage.operators.decisions import assign_owners as assign
+    d = t.partner_feed.where("e % 3 = 0").select(
+        F.lit("partner-a").alias("partner_id"), F.concat(F.lit("ord-"), F.col("e").cast("string")).alias("event_id"),
+        F.concat(F.lit("cus_"), (F.col("e") % 100).cast("string")).alias("owner"), F.col("k").alias("at"))
+    return assign(log(t), d, t.customers)[0].select("seq", "status")
