@@ -2,7 +2,9 @@
 from __future__ import annotations
 
 
-from patronage.llm import chat
+from pyspark.sql import functions as F
+
+from patronage.llm import chat, mixing, urls
 from patronage.llm.shared import table
 
 QUERIES: dict = {}
@@ -42,3 +44,18 @@ def op1_chat_format(spark, sf_dir):
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     chats = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return chat.read_back(chat.format_chats(chats.unionByName(extra)))
+
+
+#: Rules of the URL filter, (verdict, host/path).
+RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+@query("op2_url_filter")
+def op2_url_filter(spark, sf_dir):
+    return urls.judge(table(spark, sf_dir, "pages"), "page_id", RULES)
+
+
+@query("op3_mixing")
+def op3_mixing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "source", mixing.words_in(F.col("text")).alias("size"))
+    return mixing.taken_words(*mixing.mix(docs)).select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken")
