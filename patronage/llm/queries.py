@@ -2,9 +2,10 @@
 from __future__ import annotations
 
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from patronage.llm import chat, mixing, urls
+from patronage.llm import chat, mixing, pieces, tokens, urls
 from patronage.llm.shared import table
 
 QUERIES: dict = {}
@@ -59,3 +60,18 @@ def op2_url_filter(spark, sf_dir):
 def op3_mixing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "source", mixing.words_in(F.col("text")).alias("size"))
     return mixing.taken_words(*mixing.mix(docs)).select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+@query("op4_sentencepiece")
+def op4_sentencepiece(spark, sf_dir):
+    """Encodes every whole text, decodes it again and compares; ``ids_hash`` stands for the exact pieces."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    both = pieces.decode(pieces.encode(docs, path, seed=4), path)
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.col("text")).alias("lossless"))
+
+
+@query("op6_token_counts")
+def op6_token_counts(spark, sf_dir):
+    counts = tokens.token_counts(table(spark, sf_dir, "documents"), "doc_id", public_tokenizers.path("word_bpe_49k.json"))
+    return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
