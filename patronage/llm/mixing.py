@@ -96,10 +96,11 @@ def drawn(sources: DataFrame, seed: int, block: int, shard: int, repeats: int) -
         return wanted.select("source", F.lit(0).cast("long").alias("block_no"), F.lit(0).cast("long").alias("pass")).where("false")
     # the whole parts, and for the rest the bounds of each source on the line of fractional parts
     width = F.least(F.lit(shard).cast("long"), F.lit(slots).cast("long") - F.col("shard") * shard)
-    per_shard = spark.range(shards).withColumnRenamed("id", "shard").withColumn("width", width)
     line = Window.partitionBy("shard").orderBy(F.col("source").asc_nulls_last())
     share = (
-        per_shard.join(wanted.withColumn("p", F.col("wanted") / F.lit(total)))
+        wanted.withColumn("p", F.col("wanted") / F.lit(total))
+        .withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
+        .withColumn("width", width)
         .withColumn("whole", F.floor(F.col("width") * F.col("p")).cast("long"))
         .withColumn("part", F.col("width") * F.col("p") - F.col("whole"))
         .withColumn("bound", F.coalesce(F.sum("part").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))

@@ -63,12 +63,11 @@ def lexical(urls: DataFrame, url: str = "url") -> DataFrame:
     )
 
 
-def suffix_statistics(labelled: DataFrame, suffix: str) -> DataFrame:
-    """(suffix, rate, n): one row per suffix among the labelled URLs; ``label`` is 1.0 for blocked."""
-    overall = labelled.agg(F.avg("label").alias("overall"))
+def suffix_statistics(labelled: DataFrame, suffix: str, overall: float) -> DataFrame:
+    """(suffix, rate, n): one row per suffix among the labelled URLs; ``label`` is 1.0 for blocked, ``overall`` its mean."""
     counts = labelled.groupBy(suffix).agg(F.sum("label").alias("blocked"), F.count("*").alias("n"))
-    rate = (F.col("blocked") + SMOOTHING * F.col("overall")) / (F.col("n") + SMOOTHING)
-    return counts.join(overall).select(suffix, rate.alias(f"f_{suffix}_rate"), F.log1p("n").alias(f"f_{suffix}_n"))
+    rate = (F.col("blocked") + SMOOTHING * overall) / (F.col("n") + SMOOTHING)
+    return counts.select(suffix, rate.alias(f"f_{suffix}_rate"), F.log1p("n").alias(f"f_{suffix}_n"))
 
 
 def with_statistics(urls: DataFrame, statistics: dict, overall: float) -> DataFrame:
@@ -98,7 +97,7 @@ def judge(pages: DataFrame, key: str, rules: list, threshold: float = 0.5) -> Da
     labelled = rows.where(F.col("label").isNotNull())
     blocked, n = labelled.agg(F.coalesce(F.sum("label"), F.lit(0.0)), F.count("*")).first()
     if 0 < blocked < n:
-        statistics = {s: settle(suffix_statistics(labelled, s)) for s in ("last", "pair")}
+        statistics = {s: settle(suffix_statistics(labelled, s, blocked / n)) for s in ("last", "pair")}
         complete = with_statistics(rows, statistics, blocked / n)
         model = train(complete.where(F.col("label").isNotNull()))
         scored = model.transform(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(complete))
