@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from patronage.llm import chat, mixing, pieces, tokens, urls
+from patronage.llm import chat, mixing, pieces, quality, tokens, urls
 from patronage.llm.shared import table
 
 QUERIES: dict = {}
@@ -75,3 +75,10 @@ def op4_sentencepiece(spark, sf_dir):
 def op6_token_counts(spark, sf_dir):
     counts = tokens.token_counts(table(spark, sf_dir, "documents"), "doc_id", public_tokenizers.path("word_bpe_49k.json"))
     return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
+@query("op5_quality")
+def op5_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select("doc_id", quality.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

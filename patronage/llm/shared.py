@@ -4,7 +4,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Texts of one processing slice inside a task, in bytes; bounds the working memory of numpy code.
@@ -51,7 +51,7 @@ def slices(sizes, limit: int = SLICE_BYTES):
 def text_batches(batches, column: str = "text"):
     """Cut Arrow batches so that each holds about ``SLICE_BYTES`` of text; yields (batch, list of texts, null as empty)."""
     for batch in batches:
-        lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
         for a, b in slices(lengths):
             part = batch.slice(a, b - a)
             yield part, [x or "" for x in part.column(column).to_pylist()]
