@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from patronage.llm import chat, mixing, pieces, quality, tokens, urls
+from patronage.llm import chat, lattice, mixing, pieces, pii, quality, tokens, urls
 from patronage.llm.shared import table
 
 QUERIES: dict = {}
@@ -82,3 +82,19 @@ def op5_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     return quality.score(docs, model).select("doc_id", quality.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op8_pii")
+def op8_pii(spark, sf_dir):
+    """Counts and ``base_sha256`` are those of the base patterns; ``n_added`` are the tagger's own spans."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    tagged = pii.tag(docs, pii.fit(docs))
+    named = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = F.filter("spans", lambda s: s["base"])
+    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return tagged.select("doc_id", *counts, F.sha2(named(base), 256).alias("base_sha256"), named(F.col("spans")).alias("spans"), (F.size("spans") - F.size(base)).cast("long").alias("n_added"))
+
+
+@query("op10_lattice_dedup")
+def op10_lattice_dedup(spark, sf_dir):
+    return lattice.near_duplicates(table(spark, sf_dir, "embeddings"))
