@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from patronage.llm import chat, lattice, mixing, pieces, pii, quality, tokens, urls
+from patronage.llm import chat, jaccard, lattice, mixing, pieces, pii, quality, tokens, urls
 from patronage.llm.shared import table
 
 QUERIES: dict = {}
@@ -98,3 +98,24 @@ def op8_pii(spark, sf_dir):
 @query("op10_lattice_dedup")
 def op10_lattice_dedup(spark, sf_dir):
     return lattice.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op9_jaccard_join", r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF x <> ''] AS w
+  FROM documents),
+cut AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)] END) AS s
+  FROM words),
+sized AS (SELECT doc_id, count(*) AS n FROM cut GROUP BY doc_id),
+pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM cut a JOIN cut b ON a.s = b.s AND a.doc_id < b.doc_id
+  JOIN sized m ON m.doc_id = a.doc_id JOIN sized n ON n.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, m.n, n.n HAVING 100 * count(*) >= 80 * (m.n + n.n - count(*))),
+links AS (SELECT x, y FROM pairs UNION ALL SELECT y, x FROM pairs),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, c.component_id
+FROM documents d LEFT JOIN sized s USING (doc_id) JOIN (SELECT x, min(y) AS component_id FROM reach GROUP BY x) c ON c.x = d.doc_id""")
+def op9_jaccard_join(spark, sf_dir):
+    return jaccard.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
