@@ -1,11 +1,50 @@
-"""The training-data pipeline over ``documents``: each stage's rows are written and read again by the next."""
+"""The training-data pipeline over ``documents``: each stage's rows are written and read again by the next.
+
+Stages: documents that the line classifier rejects go; one document of each class of near-duplicates stays; personal data
+are masked; sources are mixed to their target weights; what is left is encoded to SentencePiece pieces with merge-dropout.
+All stages but the last return the columns of ``documents``.
+"""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from patronage.llm import jaccard, mixing, pieces, pii, quality
 from patronage.llm.shared import settle, table
 
-STAGES: list = []
+#: Documents with a lower score go.
+LEAST_QUALITY = 0.3
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).where(F.col("score") >= LEAST_QUALITY).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard.deduplicated(docs)
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    clean = pii.masked(pii.tag(docs, pii.fit(docs)))
+    return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed(docs)
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), seed=4)
+
+
+STAGES = [
+    ("quality classifier", keep_good),
+    ("n-gram Jaccard join", drop_near_duplicates),
+    ("PII", mask_personal_data),
+    ("mixing sources to target weights", mix_sources),
+    ("SentencePiece encoding", encode_pieces),
+]
 
 #: No SQL: the stages hold a trained classifier, a trained tagger and a tokenizer.
 ORACLE_SQL = None

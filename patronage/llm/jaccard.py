@@ -134,7 +134,10 @@ def _may_link(a: str, b: str, percent: int) -> Column:
 
 
 def join(docs: DataFrame, key: str = "doc_id", percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
-    """(``key``, n_shingles, component_id) for every row of ``docs`` (``key``, ``text``)."""
+    """(``key``, text_key, n_shingles, component_id, kept) for every row of ``docs`` (``key``, ``text``).
+
+    ``text_key`` is xxhash64 of the text. ``kept`` marks one (key, text_key) of each component, the one with the smallest id.
+    """
     spark = docs.sparkSession
     rows = docs.select(F.col(key).alias("doc_id"), "text").withColumn("text_key", F.xxhash64("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -189,10 +192,21 @@ def join(docs: DataFrame, key: str = "doc_id", percent: int = PERCENT, rounds: i
     links = verified.unionByName(verify(open_)).where("linked").select("a", "b")
     member = components(links)
 
-    named = every.select("doc_id", "node", F.col("n").alias("n_shingles")).join(member, "node", "left")
+    named = every.select("doc_id", "text_key", "node", F.col("n").alias("n_shingles")).join(member, "node", "left")
     # a node that links with nothing stands alone but for its copies; a document without shingles is its own
     named = settle(named.withColumn("group", F.coalesce("component", "node")))
-    smallest = named.where(F.col("group").isNotNull()).groupBy("group").agg(F.min("doc_id").alias("component_id"))
-    whole = named.where(F.col("group").isNotNull()).join(smallest, "group").select("doc_id", "n_shingles", "component_id")
-    empty = named.where(F.col("group").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key"))
+    smallest = named.where(F.col("group").isNotNull()).groupBy("group").agg(first.alias("first"))
+    is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & F.col("text_key").eqNullSafe(F.col("first.text_key"))
+    whole = named.where(F.col("group").isNotNull()).join(smallest, "group").select("doc_id", "text_key", "n_shingles", F.col("first.doc_id").alias("component_id"), is_first.alias("kept"))
+    empty = named.where(F.col("group").isNull()).select("doc_id", "text_key", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
     return whole.unionByName(empty).withColumnRenamed("doc_id", key)
+
+
+def deduplicated(docs: DataFrame, key: str = "doc_id", percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: one of each component, and every row without shingles."""
+    kept = join(docs, key, percent).where("kept").select(F.col(key).alias("k"), F.col("text_key").alias("t"), (F.col("n_shingles") == 0).alias("bare")).distinct()
+    keyed = docs.withColumn("_text_key", F.xxhash64("text"))
+    chosen = keyed.join(kept, F.col(key).eqNullSafe(F.col("k")) & F.col("_text_key").eqNullSafe(F.col("t")))
+    turn = F.row_number().over(Window.partitionBy("k", "t").orderBy(F.lit(0)))
+    return chosen.withColumn("_turn", turn).where("bare OR _turn = 1").select(*docs.columns)

@@ -154,3 +154,25 @@ def taken_words(documents: DataFrame, pieces: DataFrame) -> DataFrame:
     sums = sums.select(F.col("key").alias("k"), F.col("source").alias("s"), F.col("start").alias("b"), "taken")
     some = documents.where("size > 0").join(sums, documents.key.eqNullSafe(sums.k) & documents.source.eqNullSafe(sums.s) & (documents.start == sums.b), "left").drop("k", "s", "b")
     return some.unionByName(documents.where("size = 0").withColumn("taken", F.lit(0).cast("long"))).fillna({"taken": 0})
+
+
+def mixed(docs: DataFrame, seed: int = 11, block: int = BLOCK) -> DataFrame:
+    """The mix itself, with the columns of ``docs``: for each pass over a document's source one row with the words taken.
+
+    Runs of words keep the white space between them; words of blocks that the mix leaves out are missing, and a document
+    none of whose blocks is taken has no row. ``n_chars``, where there is one, is the length of the new text.
+    """
+    keyed = settle(docs.withColumn("_key", F.xxhash64(F.col("doc_id"), F.col("text"))))
+    _, pieces = mix(keyed.select(F.col("_key").alias("key"), "source", words_in(F.col("text")).alias("size")), seed, block)
+    runs = pieces.groupBy("key", "source", "start", "pass").agg(F.sort_array(F.collect_list(F.struct("from_word", "to_word"))).alias("_runs"))
+    runs = runs.select(F.col("key").alias("_k"), F.col("source").alias("_s"), "_runs")
+    # a copy of a document lies elsewhere in its source's stream, so its pieces are its own; equal rows share key and text
+    one = keyed.dropDuplicates(["_key", "source"])
+    both = one.join(runs, (F.col("_key") == F.col("_k")) & F.col("source").eqNullSafe(F.col("_s")))
+    words = F.split(F.regexp_replace("text", f"^{SPACE}+", ""), f"(?<={SPACE})(?={WORD[:-1]})")
+    both = both.withColumn("_words", words)
+    text = F.array_join(F.flatten(F.transform("_runs", lambda r: F.slice(F.col("_words"), (r["from_word"] + 1).cast("int"), (r["to_word"] - r["from_word"]).cast("int")))), "")
+    both = both.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        both = both.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return both.select(*docs.columns)

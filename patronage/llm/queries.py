@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from patronage.llm import chat, jaccard, lattice, mixing, pieces, pii, quality, tokens, urls
+from patronage.llm import chat, jaccard, lattice, mixing, neighbours, pieces, pii, quality, tokens, urls
 from patronage.llm.shared import table
 
 QUERIES: dict = {}
@@ -118,4 +118,9 @@ reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y F
 SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, c.component_id
 FROM documents d LEFT JOIN sized s USING (doc_id) JOIN (SELECT x, min(y) AS component_id FROM reach GROUP BY x) c ON c.x = d.doc_id""")
 def op9_jaccard_join(spark, sf_dir):
-    return jaccard.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return jaccard.join(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op7_curve_neighbours")
+def op7_curve_neighbours(spark, sf_dir):
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(20)) == 0)
