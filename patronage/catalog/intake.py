@@ -48,20 +48,16 @@ def triage(t):
     return E.triage(t.inbound, t.identities, t.customers).select("seq", "skipped", "route", "needs_profile")
 
 
-FOLD = """d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_id, provider ORDER BY seq) AS rn FROM inbound WHERE event_type <> 'postback' AND line_user_id IS NOT NULL AND seq % 25 NOT IN (23, 24)) WHERE rn = 1),
+FOLD = """d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_id, provider ORDER BY received_at, seq) AS rn FROM inbound WHERE event_type <> 'postback' AND line_user_id IS NOT NULL) WHERE rn = 1),
   fo AS (SELECT line_user_id, min(occurred_at) AS f, max(occurred_at) AS l, min(occurred_at) FILTER (event_type = 'message') AS m, count(*) FILTER (event_type <> 'message') AS marks,
     bool_or(event_type = 'follow') AS fol, bool_or(event_type = 'unfollow') AS ever, arg_max(event_type, (occurred_at, event_id)) FILTER (event_type <> 'message') AS last FROM d GROUP BY 1)"""
 
 
-def _clean(t):
-    return t.inbound.where("seq % 25 not in (23, 24)")
-
-
 @query("fold_chat_events", f"""WITH {FOLD} SELECT line_user_id, strftime(f, '%Y-%m-%d %H:%M:%S') AS first_interaction_at, strftime(l, '%Y-%m-%d %H:%M:%S') AS last_interaction_at,
     strftime(m, '%Y-%m-%d %H:%M:%S') AS first_message_at, array_to_string(list_filter([CASE WHEN fol THEN 'line-follower' END, CASE WHEN m IS NOT NULL THEN 'engaged' END], lambda x: x IS NOT NULL), ',') AS tags,
     marks + (m IS NOT NULL)::INT AS milestones, CASE WHEN last = 'unfollow' THEN 'inactive' WHEN last IS NOT NULL AND ever THEN 'lead' WHEN last IS NOT NULL THEN 'followed' END AS status_change FROM fo""")
 def fold_chat(t):
-    return E.fold_customers(_clean(t)).select("line_user_id", ts("first_interaction_at"), ts("last_interaction_at"), ts("first_message_at"),
+    return E.fold_customers(t.inbound).select("line_user_id", ts("first_interaction_at"), ts("last_interaction_at"), ts("first_message_at"),
                                               F.concat_ws(",", "tags").alias("tags"), "milestones", "status_change")
 
 
@@ -70,14 +66,16 @@ def fold_chat(t):
     FROM customers LEFT JOIN fo ON line_user_id = 'U' || c_custkey""")
 def merge_fold(t):
     owner = t.customers.select(F.concat(F.lit("U"), F.col("c_custkey").cast("string")).alias("line_user_id"), "customer_id")
-    return E.merge_fold(t.customers, E.fold_customers(_clean(t)), owner).select("customer_id", "customer_status", ts("first_interaction_at"))
+    return E.merge_fold(t.customers, E.fold_customers(t.inbound), owner).select("customer_id", "customer_status", ts("first_interaction_at"))
 
 
-@query("milestone_log", f"""WITH {FOLD} SELECT event_id AS source_event_id, event_type AS type FROM d WHERE event_type <> 'message' AND seq % 3 <> 0
-    UNION ALL SELECT arg_min(event_id, (occurred_at, event_id)), 'first_message' FROM d WHERE event_type = 'message' GROUP BY line_user_id HAVING arg_min(seq, (occurred_at, event_id)) % 3 <> 0""")
+@query("milestone_log", f"""WITH {FOLD}, m AS (SELECT event_id AS source_event_id, event_type AS type, occurred_at, line_user_id FROM d WHERE event_type <> 'message'
+    UNION ALL SELECT arg_min(event_id, (occurred_at, event_id)), 'first_message', min(occurred_at), line_user_id FROM d WHERE event_type = 'message' GROUP BY line_user_id)
+    SELECT source_event_id, arg_min(type, (occurred_at, line_user_id, type)) AS type FROM m
+    WHERE source_event_id NOT IN (SELECT event_id FROM inbound WHERE seq % 3 = 0) GROUP BY 1""")
 def milestone_log(t):
     stored = t.inbound.where("seq % 3 = 0").select(F.col("event_id").alias("source_event_id"))
-    return E.milestones(_clean(t), stored).select("source_event_id", "type")
+    return E.milestones(t.inbound, stored).select("source_event_id", "type")
 
 
 @query("retry_policy", """WITH f AS (SELECT 'evt_' || (event_id % 400) AS event_id, max(ts) AS last_at, count(*) AS attempts FROM events WHERE event_type = 'error' GROUP BY 1)

@@ -63,10 +63,11 @@ def keyed_hash(t):
     return t.documents.select("doc_id", hmac_sha256(F.col("text"), KEY).alias("h"))
 
 
-@query("sheet_ranges", """WITH i AS (SELECT c_custkey, c_custkey % 700 AS i FROM customer)
-    SELECT c_custkey, CASE WHEN i < 26 THEN '' ELSE chr(CAST(64 + i // 26 AS INT)) END || chr(CAST(65 + i % 26 AS INT)) AS letters FROM i""")
+@query("sheet_ranges", """WITH RECURSIVE i AS (SELECT c_custkey, c_custkey AS i, '' AS letters FROM customer
+      UNION ALL SELECT c_custkey, i // 26 - 1, chr(CAST(65 + i % 26 AS INT)) || letters FROM i WHERE i >= 0)
+    SELECT c_custkey, letters FROM i WHERE i < 0""")
 def sheet_ranges(t):
-    return t.customer.select("c_custkey", T.column_letter(F.col("c_custkey") % 700).alias("letters"))
+    return t.customer.select("c_custkey", T.column_letter(F.col("c_custkey")).alias("letters"))
 
 
 # ---- forms ----------------------------------------------------------------------------------
@@ -86,13 +87,12 @@ BAD = """bad AS (SELECT event_id, unnest([CASE WHEN event_id % 5 = 0 THEN 'fullN
 
 @query("form_violations", f"WITH {BAD} SELECT event_id, split_part(v, '/', 1) AS field, split_part(v, '/', 2) AS code FROM bad WHERE v IS NOT NULL")
 def form_violations(t):
-    v = Q.validate(t.submissions, RULES).select("event_id", F.explode("violations").alias("v"))
-    return v.select("event_id", "v.field", "v.code")
+    return Q.violations(t.submissions, RULES, "event_id")
 
 
-@query("form_normalized", """SELECT event_id, trim('Name ' || event_id) AS full_name, CASE WHEN event_id % 2 = 0 THEN '2535' ELSE '2535' END AS birth_year FROM submissions WHERE event_id % 5 <> 0""")
+@query("form_normalized", """SELECT event_id, CASE WHEN event_id % 5 = 0 THEN '' ELSE 'Name ' || event_id END AS full_name, '2535' AS birth_year FROM submissions""")
 def form_normalized(t):
-    n = Q.normalize_answers(t.submissions.where("event_id % 5 <> 0"), RULES, 2026)
+    n = Q.normalize_answers(t.submissions, RULES, 2026)
     return n.select("event_id", F.col("normal")["fullNameTh"].alias("full_name"), F.col("normal")["birthYear"].alias("birth_year"))
 
 
@@ -127,12 +127,13 @@ def published_form(t):
     return Q.published(_schemas(t))
 
 
-FIRSTS = """fs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY idempotency_key ORDER BY "at", submission_id) AS rn FROM submissions) WHERE rn = 1)"""
+FIRSTS = f"""{BAD}, fs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY idempotency_key ORDER BY "at", submission_id) AS rn FROM submissions
+    WHERE event_id NOT IN (SELECT event_id FROM bad WHERE v IS NOT NULL)) WHERE rn = 1)"""
 
 
 def _revised(t):
     stored = t.customers.where("c_custkey % 2 = 0").select("customer_id", (F.col("c_custkey") % 5).cast("int").alias("revision"))
-    return Q.number_revisions(Q.first_submissions(t.submissions), stored)
+    return Q.number_revisions(Q.first_submissions(Q.valid_submissions(t.submissions, RULES)), stored)
 
 
 REV = f"""{FIRSTS}, rv AS (SELECT fs.*, CAST(coalesce(CASE WHEN CAST(substr(customer_id, 5) AS BIGINT) % 2 = 0 AND CAST(substr(customer_id, 5) AS BIGINT) < (SELECT count(*) FROM customer)
@@ -144,20 +145,19 @@ def form_revisions(t):
     return _revised(t).select("submission_id", "customer_id", "revision")
 
 
-@query("form_write_back", f"""WITH {REV}, nm AS (SELECT customer_id, arg_max('Name ' || event_id, revision) FILTER (event_id % 5 <> 0) AS n,
+@query("form_write_back", f"""WITH {REV}, nm AS (SELECT customer_id, arg_max('Name ' || event_id, revision) AS n,
       arg_max(CASE event_id % 3 WHEN 0 THEN 'friend' WHEN 1 THEN 'ad' ELSE 'radio' END, revision) AS h FROM rv GROUP BY 1)
     SELECT c.customer_id, coalesce(n, display_name) AS display_name, coalesce(h, heard_from) AS heard_from FROM customers c LEFT JOIN nm ON nm.customer_id = c.customer_id""")
 def form_write_back(t):
     valid = Q.normalize_answers(_revised(t), RULES, 2026)
-    valid = valid.withColumn("normal", F.map_filter("normal", lambda k, v: v != ""))
     return Q.write_back(t.customers, valid, "2026-01-01").select("customer_id", "display_name", "heard_from")
 
 
-@query("current_answers", f"""WITH {REV}, nm AS (SELECT customer_id, arg_max('Name ' || event_id, revision) FILTER (event_id % 5 <> 0) AS n, max(revision) AS r, arg_max(event_id, revision) AS e FROM rv GROUP BY 1)
-    SELECT c.customer_id, CASE WHEN e IS NULL OR e % 5 = 0 THEN display_name ELSE 'Name ' || e END AS full_name FROM customers c LEFT JOIN nm ON nm.customer_id = c.customer_id""")
+@query("current_answers", f"""WITH {REV}, nm AS (SELECT customer_id, arg_max(event_id, revision) AS e FROM rv GROUP BY 1)
+    SELECT c.customer_id, CASE WHEN e IS NULL THEN display_name ELSE 'Name ' || e END AS full_name FROM customers c LEFT JOIN nm ON nm.customer_id = c.customer_id""")
 def current_answers(t):
     profiles = Q.normalize_answers(_revised(t), RULES, 2026).select(
-        "customer_id", "revision", F.map_filter("normal", lambda k, v: v != "").alias("answers"))
+        "customer_id", "revision", F.col("normal").alias("answers"))
     stored = t.customers.select("customer_id", F.create_map(F.lit("fullNameTh"), F.col("display_name")).alias("fields"))
     return Q.current_answers(stored, profiles).select("customer_id", F.col("answers")["fullNameTh"].alias("full_name"))
 

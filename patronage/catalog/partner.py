@@ -135,25 +135,29 @@ def corrections(t):
     return fixed.agg(F.count("*").alias("fixed"))
 
 
-@query("partner_review_candidates", f"""WITH ev AS (SELECT k, '+66' || substr(phone, 2) AS phone, email FROM partner_feed WHERE k % 17 = 0),
+@query("partner_review_candidates", f"""{LOG}, ev AS (SELECT k, '+66' || substr(l.phone, 2) AS phone, l.email, CASE WHEN k % 3 = 0 THEN n.display_name END AS name
+      FROM log2 l LEFT JOIN customers n ON n.c_custkey = l.c WHERE l.status IN ('quarantined', 'pending_identity')),
     hits AS (SELECT k, customer_id, 'phone' AS how FROM ev JOIN customers c ON c.phone = ev.phone WHERE status = 'active'
-      UNION SELECT k, customer_id, 'email' FROM ev JOIN customers c ON c.email = ev.email WHERE status = 'active'),
+      UNION SELECT k, customer_id, 'email' FROM ev JOIN customers c ON c.email = ev.email WHERE status = 'active'
+      UNION SELECT k, customer_id, 'name' FROM ev JOIN customers c ON c.display_name = ev.name WHERE status = 'active'),
     g AS (SELECT k, customer_id, string_agg(how, ',' ORDER BY how) AS matched_by, count(*) AS n FROM hits GROUP BY 1, 2)
     SELECT 'ord-' || k AS event_id, customer_id AS candidate_id, matched_by FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n DESC, customer_id) AS rn FROM g) WHERE rn <= 20""")
 def review_candidates(t):
-    ev = t.partner_feed.where("k % 17 = 0").select(F.concat(F.lit("ord-"), F.col("k").cast("string")).alias("event_id"),
-                                                    P.normalize_phone(F.col("phone")).alias("phone"), "email", F.lit(None).cast("string").alias("display_name"))
+    waiting = log(t).where("status in ('quarantined', 'pending_identity')").select(F.col("seq").alias("k"))
+    names = t.customers.select(F.col("c_custkey").alias("c"), "display_name")
+    ev = t.partner_feed.join(waiting, "k", "left_semi").join(names, "c", "left").select(
+        F.concat(F.lit("ord-"), F.col("k").cast("string")).alias("event_id"), P.normalize_phone(F.col("phone")).alias("phone"), "email",
+        F.when(F.col("k") % 3 == 0, F.col("display_name")).alias("display_name"))
     return N.match_candidates_for(ev, t.customers).select("event_id", "candidate_id", F.concat_ws(",", "matched_by").alias("matched_by"))
 
 
 @query("contact_conflicts", """WITH o AS (SELECT customer_id, phone FROM customers WHERE status = 'active' AND phone IS NOT NULL),
     p AS (SELECT c.customer_id, min(o.customer_id) AS candidate_id FROM customers c JOIN o ON o.phone = c.phone AND o.customer_id <> c.customer_id GROUP BY 1)
-    SELECT * FROM p WHERE customer_id <> 'cus_7'""")
+    , no AS (SELECT customer_id AS a, 'cus_' || (c_custkey - 1) AS b FROM customers WHERE c_custkey % 20 = 7)
+    SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM no WHERE (a = customer_id AND b = candidate_id) OR (b = customer_id AND a = candidate_id))""")
 def contact_conflicts(t):
-    rejected = t.customers.where("customer_id = 'cus_7'").select(F.lit("cus_7").alias("a"), F.lit("cus_6").alias("b"))
-    found = N.contact_conflicts(t.customers, t.customers, rejected)
-    return found.where("customer_id <> 'cus_6' or candidate_id <> 'cus_7'").unionByName(
-        t.customers.where("customer_id = 'cus_6' and status = 'active'").select("customer_id", F.lit("cus_7").alias("candidate_id")))
+    rejected = t.customers.where("c_custkey % 20 = 7").select(F.col("customer_id").alias("a"), F.concat(F.lit("cus_"), (F.col("c_custkey") - 1).cast("string")).alias("b"))
+    return N.contact_conflicts(t.customers, t.customers, rejected)
 
 
 MERGE = """mp AS (SELECT 'cus_' || (c_custkey - 1) AS a, customer_id AS b FROM customers WHERE c_custkey % 10 = 7 AND status = 'active' AND (c_custkey - 1) % 20 > 1),

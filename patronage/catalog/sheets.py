@@ -2,6 +2,7 @@
 from pyspark.sql import functions as F
 
 from patronage.catalog import query
+from patronage.functions import vocabulary as V
 from patronage.operators import sheets as X
 from patronage.operators.scrub import flag_shared_slips, redact_columns
 from patronage.sources.bindings import CELLS
@@ -109,9 +110,10 @@ PROF = ROWS + """, p AS (SELECT *, CASE WHEN TRY_CAST(age_text AS INT) BETWEEN 1
 
 @query("sheet_profile_fill", f"""WITH {PROF} SELECT sheet, count(*) AS "rows", round(count(email) / count(*), 4) AS fill_email, round(count(phone) / count(*), 4) AS fill_phone,
     round(count(page) / count(*), 4) AS fill_profile_age, round(count(amount) / count(*), 4) AS fill_amount, round(count(paid_at) / count(*), 4) AS fill_paid_at,
-    round(count(slip_text) / count(*), 4) AS fill_slip_no, count(DISTINCT phone) AS distinct_phones FROM p GROUP BY 1""")
+    round(count(slip_text) / count(*), 4) AS fill_slip_no, count(DISTINCT phone) AS distinct_phones,
+    0.0::DOUBLE AS fill_full_name_en, 0.0::DOUBLE AS fill_nickname, 0.0::DOUBLE AS fill_social_handle FROM p GROUP BY 1""")
 def profile_fill(t):
-    return X.sheet_fill(X.profiled(sheet_rows(t))).drop("fill_full_name_en", "fill_nickname", "fill_social_handle")
+    return X.sheet_fill(X.profiled(sheet_rows(t)))
 
 
 @query("sheet_profile_quantiles", f"""WITH {PROF}, v AS (SELECT sheet, 'age' AS measure, CAST(page AS DOUBLE) AS v FROM p WHERE page IS NOT NULL
@@ -125,7 +127,7 @@ def profile_quantiles(t):
     return age.unionByName(X.index_quantiles(p, "sheet", "amount", 1000).withColumn("measure", F.lit("amount")))
 
 
-EDGE = [0, 3000, 10000, 17000, 20000, 35000, 60000, 120000, 250000, 10**9]
+EDGE = V.AMOUNT_EDGES
 BUCKET = "CASE " + " ".join(f"WHEN amount >= {a} AND amount < {b} THEN '{a}-{b}'" for a, b in zip(EDGE, EDGE[1:])) + " END"
 
 
@@ -134,12 +136,14 @@ BUCKET = "CASE " + " ".join(f"WHEN amount >= {a} AND amount < {b} THEN '{a}-{b}'
       UNION ALL SELECT sheet, 'courses_per_row', CAST((inner_cell <> '')::INT + (pro_cell IS NOT NULL)::INT AS STRING) FROM p
       UNION ALL SELECT sheet, 'course_hits', ' Inner' FROM p WHERE inner_cell <> ''
       UNION ALL SELECT sheet, 'course_hits', 'MC Pro#5' FROM p WHERE pro_cell IS NOT NULL
+      UNION ALL SELECT sheet, 'course_sessions', ' Inner / ' || CASE WHEN contains(inner_cell, 'คุณ') THEN '«ข้อความอื่น»' ELSE inner_cell END FROM p WHERE inner_cell <> ''
+      UNION ALL SELECT sheet, 'course_sessions', 'MC Pro#5 / ' || pro_cell FROM p WHERE pro_cell IS NOT NULL
       UNION ALL SELECT sheet, 'sale_rep', rep_text FROM p
       UNION ALL SELECT sheet, 'repeat_by_phone', CAST(count(*) AS STRING) FROM p WHERE phone IS NOT NULL GROUP BY sheet, phone
       UNION ALL SELECT sheet, 'slip_reuse', CAST(count(*) AS STRING) FROM p WHERE slip_text IS NOT NULL GROUP BY sheet, slip_text)
     SELECT sheet, measure, bucket, count(*) AS n FROM h GROUP BY ALL""")
 def profile_histograms(t):
-    return X.sheet_histograms(X.profiled(sheet_rows(t))).where("measure <> 'course_sessions'")
+    return X.sheet_histograms(X.profiled(sheet_rows(t)))
 
 
 WORD = "[A-Za-z0-9_]"

@@ -1,4 +1,5 @@
 """Contact, name, mask, redaction and hashtag columns."""
+import re
 import unicodedata
 
 import pandas as pd
@@ -42,16 +43,16 @@ def normalize_phone(c: Column) -> Column:
     digits = F.regexp_replace(raw, "[^0-9]", "")
     n = F.length(digits)
     national = (
-        F.when(raw.startswith("+"), F.when(digits.startswith("66"), F.substring(digits, 3, 40)))
-        .when(digits.startswith("0"), F.substring(digits, 2, 40))
-        .when(digits.startswith("66") & (n == 11), F.substring(digits, 3, 40))
+        F.when(raw.startswith("+"), F.when(digits.startswith("66"), F.right(digits, n - 2)))
+        .when(digits.startswith("0"), F.right(digits, n - 1))
+        .when(digits.startswith("66") & (n == 11), F.right(digits, n - 2))
         .when(n == 9, digits)
     )
     return F.when(national.rlike("^[2-9][0-9]{7,8}$"), F.concat(F.lit("+66"), national))
 
 
 def local_phone(c: Column) -> Column:
-    return F.when(c.startswith("+66"), F.concat(F.lit("0"), F.substring(c, 4, 40))).otherwise(c)
+    return F.when(c.startswith("+66"), F.concat(F.lit("0"), F.right(c, F.length(c) - 3))).otherwise(c)
 
 
 def normalize_email(c: Column) -> Column:
@@ -76,12 +77,9 @@ def unicode_form(c: Column, form: str) -> Column:
 def normalize_name(c: Column, composed: bool = False) -> Column:
     """Collapse spaces and strip the first matching title. ``composed=True`` skips the NFC step."""
     v = squeeze(c if composed else unicode_form(c, "NFC"))
-    low = F.lower(v)
-    stripped = []
-    for title in V.NAME_TITLES:
-        rest = F.trim(F.substring(v, len(title) + 1, 1 << 20))
-        stripped.append(F.when(low.startswith(title) & (F.length(rest) >= 2), rest))
-    out = F.coalesce(*stripped, v)
+    # the first title in the list that leaves a name wins; alternatives are tried in that order
+    titles = "|".join(re.escape(x) for x in V.NAME_TITLES)
+    out = F.regexp_replace(v, rf"(?iu)^(?:{titles}) *(?=[^ ].)", "")
     return F.when(F.length(out) >= 2, out)
 
 
@@ -114,7 +112,7 @@ def mask_phone(c: Column) -> Column:
 def mask_email(c: Column) -> Column:
     hit = F.regexp_extract(c, r"(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}", 0)
     local = F.substring_index(hit, "@", 1)
-    domain = F.substring(hit, F.length(local) + 1, F.lit(400))
+    domain = F.right(hit, F.length(hit) - F.length(local))
     keep = F.when(F.length(local) <= 2, 1).otherwise(2)
     masked = F.when(hit == "", F.lit("***")).otherwise(
         F.concat(F.substring(local, F.lit(1), keep), F.lit("***"), domain))
@@ -258,7 +256,9 @@ def confidence_label(c: Column) -> Column:
 
 
 def column_letter(index0: Column) -> Column:
-    """Spreadsheet letters for a zero-based index below 26 + 26 * 26."""
-    high = F.floor(index0 / 26).cast("int")
-    letter = lambda n: F.char(n.cast("long") + 65)
-    return F.concat(F.when(high > 0, letter(high - 1)).otherwise(F.lit("")), letter(index0 % 26))
+    """Spreadsheet letters for any zero-based index: digits of base 26 that have no zero."""
+    start = F.struct(index0.cast("long").alias("left"), F.lit("").alias("out"))
+    # 14 letters number more columns than a long can
+    step = lambda acc, _: F.when(acc["left"] < 0, acc).otherwise(F.struct(
+        (F.floor(acc["left"] / 26) - 1).cast("long").alias("left"), F.concat(F.char(acc["left"] % 26 + 65), acc["out"]).alias("out")))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(14)), start, step, lambda acc: acc["out"])

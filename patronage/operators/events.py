@@ -46,10 +46,18 @@ def triage(events: DataFrame, identities: DataFrame, customers: DataFrame) -> Da
     return j.withColumns({"route": route, "needs_profile": (route == "process") & F.col("_named").isNull()}).drop("_named")
 
 
+def first_arrivals(events: DataFrame) -> DataFrame:
+    """One row per (event, provider): the first to arrive, whatever the order of the input rows."""
+    order = [c for c in ("received_at", "seq") if c in events.columns]
+    rest = [c for c in events.columns if c not in ("event_id", "provider", *order)]
+    g = events.groupBy("event_id", "provider").agg(F.min(F.struct(*order, *rest)).alias("_r"))
+    return g.select("event_id", "provider", "_r.*").select(*events.columns)
+
+
 def fold_customers(events: DataFrame) -> DataFrame:
     """Per chat user: first/last contact, first message, tags, milestones and the status the last
-    follow or unfollow leaves. All aggregates commute, so late events land in the right place."""
-    e = events.where(F.col("event_type").isin(SUPPORTED) & F.col("line_user_id").isNotNull()).dropDuplicates(["event_id", "provider"])
+    follow or unfollow leaves, with its time. All aggregates commute, so late events land in the right place."""
+    e = first_arrivals(events.where(F.col("event_type").isin(SUPPORTED) & F.col("line_user_id").isNotNull()))
     is_ = lambda k: F.col("event_type") == k
     at = F.col("occurred_at")
     g = e.groupBy("line_user_id").agg(
@@ -64,27 +72,35 @@ def fold_customers(events: DataFrame) -> DataFrame:
         F.filter(F.array(F.when(F.col("_followed"), "line-follower"), F.when(msg, "engaged")), lambda x: x.isNotNull()).alias("tags"),
         (F.col("_marks") + msg.cast("int")).alias("milestones"),
         F.when(F.col("_last.left"), "inactive").when(F.col("_last").isNotNull() & F.col("_ever_left"), "lead")
-        .when(F.col("_last").isNotNull(), "followed").alias("status_change"))
+        .when(F.col("_last").isNotNull(), "followed").alias("status_change"),
+        F.col("_last.occurred_at").alias("last_mark_at"), F.col("_last.event_id").alias("last_mark_id"))
 
 
 def merge_fold(customers: DataFrame, fold: DataFrame, owner: DataFrame) -> DataFrame:
-    """Customers after a fold; ``owner`` maps line_user_id to customer_id. The display name is never touched."""
+    """Customers after a fold; ``owner`` maps line_user_id to customer_id. The display name is never touched.
+
+    With several chat ids the latest mark of all counts, and who ever left any of them comes back as a lead.
+    """
     f = fold.join(owner, "line_user_id").groupBy("customer_id").agg(
-        F.min("first_interaction_at").alias("_f"), F.max("status_change").alias("_s"), F.max("last_interaction_at").alias("_l"))
+        F.min("first_interaction_at").alias("_f"), F.max("last_interaction_at").alias("_l"),
+        F.max(F.when(F.col("status_change").isNotNull(), F.struct("last_mark_at", "last_mark_id", "status_change")))["status_change"].alias("_s"),
+        F.max(F.col("status_change").isin("lead", "inactive")).alias("_left"))
     j = customers.join(f, "customer_id", "left")
-    back = (F.col("_s") == "lead") | ((F.col("_s") == "followed") & (F.col("customer_status") == "inactive"))
+    back = (F.col("_s") == "lead") | ((F.col("_s") == "followed") & (F.coalesce("_left", F.lit(False)) | (F.col("customer_status") == "inactive")))
     status = F.when(F.col("_s") == "inactive", "inactive").when(back, "lead").otherwise(F.col("customer_status"))
     return j.withColumns({"first_interaction_at": F.least("first_interaction_at", "_f"), "customer_status": status,
-                          "updated_at": F.greatest("updated_at", "_l")}).drop("_f", "_s", "_l")
+                          "updated_at": F.greatest("updated_at", "_l")}).drop("_f", "_s", "_l", "_left")
 
 
 def milestones(events: DataFrame, stored: DataFrame) -> DataFrame:
     """Follow, unfollow and first-message rows not logged before, one per source event."""
-    e = events.where(F.col("event_type").isin(SUPPORTED) & F.col("line_user_id").isNotNull())
+    e = first_arrivals(events.where(F.col("event_type").isin(SUPPORTED) & F.col("line_user_id").isNotNull()))
     marks = e.where("event_type <> 'message'").select("line_user_id", F.col("event_type").alias("type"), "occurred_at", F.col("event_id").alias("source_event_id"))
     first = e.where("event_type = 'message'").groupBy("line_user_id").agg(F.min(F.struct("occurred_at", "event_id")).alias("m")).select(
         "line_user_id", F.lit("first_message").alias("type"), "m.occurred_at", F.col("m.event_id").alias("source_event_id"))
-    return marks.unionByName(first).dropDuplicates(["source_event_id"]).join(stored.select("source_event_id"), "source_event_id", "left_anti")
+    one = marks.unionByName(first).groupBy("source_event_id").agg(F.min(F.struct("occurred_at", "line_user_id", "type")).alias("_r"))
+    one = one.select("_r.line_user_id", "_r.type", "_r.occurred_at", "source_event_id")
+    return one.join(stored.select("source_event_id"), "source_event_id", "left_anti")
 
 
 def retry_policy(failures: DataFrame) -> DataFrame:
@@ -94,7 +110,7 @@ def retry_policy(failures: DataFrame) -> DataFrame:
     dead = F.col("attempts") >= L["max_attempts"]
     return g.select("event_id", "provider", "attempts", F.when(dead, "dead").otherwise("pending").alias("status"), wait.alias("backoff_s"),
                     F.when(~dead, F.timestamp_seconds(F.unix_timestamp("l.failed_at") + wait)).alias("next_attempt_at"),
-                    redact_text(F.substring("l.error", 1, 1 << 20)).alias("last_error"))
+                    redact_text(F.col("l.error")).alias("last_error"))
 
 
 def retain(df: DataFrame, at: str, now: str, days: int | None = None, years: int | None = None) -> DataFrame:

@@ -8,6 +8,15 @@ FILL_FORWARD = ["title", "heard_from", "display_name", "nickname", "full_name_en
 FILLED = ["display_name", "nickname", "phone", "email", "birth_year", "consent_data"]
 
 
+def lookup_key(wanted: Column, key: Column, df: DataFrame) -> Column:
+    """``key`` for rows that look something up; for the others a value that nothing has, spread by the row's contents.
+
+    Nulls would all go to one task of a join.
+    """
+    simple = [F.col(f"`{f.name}`") for f in df.schema.fields if not f.dataType.simpleString().startswith(("map", "variant"))]
+    return F.coalesce(F.when(wanted, key), F.concat(F.lit("\x00"), F.xxhash64(*simple).cast("string")))
+
+
 def follow_merges(customers: DataFrame, strict: bool) -> DataFrame:
     """Merged customer -> survivor over at most five hops.
 
@@ -48,12 +57,12 @@ def resolve_events(events: DataFrame, identities: DataFrame, customers: DataFram
     ``is_new`` and ``linked``. New ids are hashes of the triple, so equal events meet.
     """
     triple = ["provider", "channel_id", "external_id"]
-    known = identities.groupBy(*triple).agg(F.min_by("customer_id", "linked_at").alias("known_id"))
+    known = identities.groupBy(*triple).agg(F.min_by("customer_id", F.struct("linked_at", "customer_id")).alias("known_id"))
     known = surviving(known, "known_id", customers, strict=False)
     j = events.join(known, triple, "left")
     for contact in ("phone", "email"):
-        # Only rows still without an owner look up a contact, so known rows never meet in one task.
-        key = F.when(F.col("known_id").isNull(), F.col(contact))
+        # Only rows still without an owner look up a contact.
+        key = lookup_key(F.col("known_id").isNull(), F.col(contact), events)
         owners = _contact_owner(customers, contact).withColumnRenamed(contact, f"_{contact}")
         j = j.withColumn(f"_{contact}", key).join(owners, f"_{contact}", "left")
     new_id = F.concat(F.lit("cus_"), F.left(F.sha2(F.concat_ws("|", *triple), 256), F.lit(26)))
@@ -84,7 +93,7 @@ def resolve_subjects(subjects: DataFrame, identities: DataFrame, customers: Data
     open_ = F.col("by_line").isNull() & ~F.col("_make")
     for contact in ("phone", "email"):
         owners = _contact_owner(customers, contact).withColumnRenamed(contact, f"_{contact}")
-        j = j.withColumn(f"_{contact}", F.when(open_, F.col(contact))).join(owners, f"_{contact}", "left")
+        j = j.withColumn(f"_{contact}", lookup_key(open_, F.col(contact), subjects)).join(owners, f"_{contact}", "left")
     phone_hit, email_hit = F.col("phone_n").isNotNull(), F.col("phone_n").isNull() & F.col("email_n").isNotNull()
     new_id = F.concat(F.lit("cus_"), F.left(F.sha2(F.concat_ws("|", F.lit("line"), F.lit("partner"), "line_user_id"), 256), F.lit(26)))
     owner = (F.when(F.col("by_line"), F.col("line_owner")).when(F.col("_make"), new_id)

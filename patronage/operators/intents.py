@@ -1,6 +1,8 @@
 """Opinions per (customer, course): which one is current, and which machine opinions a person overrules."""
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from patronage.operators.identity import lookup_key
+
 PAIR = ["customer_id", "course_code"]
 
 
@@ -82,7 +84,7 @@ def staff_verdicts(df: DataFrame) -> DataFrame:
         F.col("s.lead_id").alias("_lead_id"), F.col("s.m").alias("_m"))
     bounds = epochs.select(F.col("lead_id").alias("_lead_id"), "first_late").join(states, "_lead_id")
     # A lead id belongs to exactly one (customer, course), so it alone finds the epoch.
-    out = led.withColumn("_lead_id", F.when(F.col("source") == "ai", F.col("_lead.intent_id"))).join(bounds, "_lead_id", "left")
+    out = led.withColumn("_lead_id", lookup_key(F.col("source") == "ai", F.col("_lead.intent_id"), df)).join(bounds, "_lead_id", "left")
     led_by_staff = (F.col("source") == "ai") & F.col("_lead").isNotNull() & (F.col("_m") <= F.col("_lead.observed_at"))
     overtaken = F.coalesce(F.col("_arrival") > F.col("first_late"), F.lit(False))
     rejection = (F.when(led_by_staff & F.col("_lead.sticky"), "staff_sticky")

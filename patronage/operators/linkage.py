@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from patronage.functions.dates import days_between
 from patronage.functions.text import age_band, age_from_be, email_domain, last4
+from patronage.operators.identity import lookup_key
 from patronage.sources.store import settle
 
 # --- Fixed values: key weights of the candidate score ---
@@ -207,9 +208,9 @@ def evidence(pairs: DataFrame, customers: DataFrame, legacy: DataFrame) -> DataF
     same = lambda x: F.coalesce(F.col("c_" + x) == F.col("l_" + x), F.lit(False))
     j = j.withColumns({"phone_hash_match": same("phone_hash"), "email_hash_match": same("email_hash")})
     for h in ("phone", "email"):
-        # Only matched pairs look up their hash, which keeps null and unmatched rows out of the join.
+        # Only matched pairs look up their hash.
         col = f"{h}_key"
-        j = j.withColumn(col, F.when(F.col(f"{h}_hash_match"), F.col(f"c_{h}_hash")))
+        j = j.withColumn(col, lookup_key(F.col(f"{h}_hash_match"), F.col(f"c_{h}_hash"), pairs))
         j = j.join(counts(customers, f"{h}_hash", f"{h}_c").withColumnRenamed(f"{h}_hash", col), col, "left")
         j = j.join(counts(legacy, f"{h}_hash", f"{h}_l").withColumnRenamed(f"{h}_hash", col), col, "left")
     competing = lambda h: F.coalesce(F.col(f"{h}_c") - 1 + F.col(f"{h}_l") - 1, F.lit(0))

@@ -140,6 +140,21 @@ def validate(df: DataFrame, rules: list) -> DataFrame:
     return df.withColumn("violations", F.concat(F.filter(F.array(*found), lambda v: v.isNotNull()), unknown)).transform(_Answers.done)
 
 
+def violations(df: DataFrame, rules: list, key: str) -> DataFrame:
+    """One row (key, field, code) per violation.
+
+    ``explode_outer`` keeps the optimizer from testing the computed array in a filter of its own, which would be pushed
+    below the parsed columns and parse the answers once more for every check.
+    """
+    v = validate(df, rules).select(key, F.explode_outer("violations").alias("v"))
+    return v.where("v IS NOT NULL").select(key, "v.field", "v.code")
+
+
+def valid_submissions(df: DataFrame, rules: list) -> DataFrame:
+    """Submissions without violations; only these are folded."""
+    return validate(df, rules).where(F.size("violations") == 0).drop("violations")
+
+
 def normalize_answers(df: DataFrame, rules: list, current_year: int) -> DataFrame:
     """Add ``normal``: map of cleaned answers; blanks and missing fields are left out."""
     df, a = _Answers.read(df, rules), _Answers()

@@ -131,12 +131,12 @@ def leak_audit(df: DataFrame, id_column: str, forbidden: tuple = ("social_handle
         col = F.col(".".join(f"`{p}`" for p in path))
         values = {"value": lambda c: F.array(c), "array": lambda c: c, "map": F.map_values}[kind](col)
         bad = {"phone": F.exists(values, lambda v: v.rlike(PHONE_IN_TEXT)),
-               "email": F.exists(values, lambda v: v.rlike(EMAIL_IN_TEXT) & ~v.contains("***"))}
+               "email": F.exists(values, lambda v: v.rlike(EMAIL_IN_TEXT))}
         if path[-1] == "name_keys":
             bad["name_key"] = F.exists(values, lambda v: ~v.rlike("^[0-9a-f]{12}$"))
         checks += [F.when(hit, F.struct(F.lit(name).alias("column"), F.lit(kind_).alias("violation"))) for kind_, hit in bad.items()]
     found = F.filter(F.array(*checks), lambda x: x.isNotNull())
-    rows = df.select(F.col(id_column).cast("string").alias("id"), F.explode(found).alias("v")).select("id", "v.column", "v.violation")
+    rows = df.select(F.col(id_column).cast("string").alias("id"), F.explode_outer(found).alias("v")).where("v IS NOT NULL").select("id", "v.column", "v.violation")
     present = [c for c in df.columns if c in forbidden]
     if present:
         spark = df.sparkSession
