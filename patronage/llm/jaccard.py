@@ -8,11 +8,12 @@ Exact, by a grouped prefix join:
 2. Two sets can only reach the threshold if they share a token of their prefixes, the first size - ceil(0.8 * size) + 1
    tokens. A token met by one node only is dropped, which leaves a small part of the rows.
 3. Nodes of one token and a similar size form a group. Each node is compared with the group leader that it shares most
-   tokens with, and linked nodes are merged; this is repeated with other leaders. Large groups of near copies become one
+   tokens with, in two rounds of groups and leaders, and linked nodes are merged. Large groups of near copies become one
    component here with one comparison per node and round.
 4. What is left are pairs of nodes that share a token but belong to different components. Groups with one component are
-   dropped whole; in the others only pairs across components are expanded, filtered by size and by token position, and
-   verified. So no link between components is lost, and no pair within one is listed.
+   dropped whole; in the others only pairs across components are expanded, and only those that share enough tokens of
+   their prefixes for the threshold are verified. So no link between components is lost, and none within one is listed.
+5. Whole sets are made again from the text for the nodes to be verified only; a bitmap of fixed size tells which.
 
 Defined results: a null or empty text, or one of white space, has no shingles and links with nothing; fewer words than a
 shingle form one shingle; repeated rows are documents of their own, also with equal ids; a component's id is its smallest
@@ -29,6 +30,8 @@ from patronage.llm.graphs import components
 from patronage.llm.shared import settle, text_batches
 
 WORDS, PERCENT, ROUNDS = 5, 80, 2
+#: Bits that mark the texts whose sets are needed: 2 MB are sent to the tasks, whatever the number of texts.
+MARKS = 1 << 24
 #: How often a shingle must occur in one slice of texts to be counted, and the most shingles that are kept as common. They
 #: set the order only; what is left out is ordered by hash.
 OFTEN, COMMON = 4, 1 << 17
@@ -100,12 +103,20 @@ def _nodes(common, percent: int):
     return run
 
 
-def _sets(batches):
-    for batch, texts in text_batches(batches):
-        sets = [shingles(t).tobytes() for t in texts]
-        nodes = batch.column("node").to_pylist()
-        right = [k for k, own in enumerate(sets) if xxhash.xxh3_128_digest(own) == nodes[k]]
-        yield pa.RecordBatch.from_arrays([pa.array([nodes[k] for k in right], pa.binary()), pa.array([sets[k] for k in right], pa.binary())], names=["node", "shingles"])
+def _sets(bits: bytes, size: int):
+    """Sets of the texts whose ``row_key`` is marked in ``bits``."""
+
+    def run(batches):
+        marked = np.unpackbits(np.frombuffer(bits, dtype=np.uint8), bitorder="little").astype(bool)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            chosen = np.flatnonzero(marked[batch.column("row_key").to_numpy() % size])
+            for _, texts in text_batches([batch.take(pa.array(chosen))] if len(chosen) else []):
+                sets = [x.tobytes() for x in map(shingles, texts)]
+                yield pa.RecordBatch.from_arrays([pa.array(map(xxhash.xxh3_128_digest, sets), pa.binary()), pa.array(sets, pa.binary())], names=["node", "shingles"])
+
+    return run
 
 
 def _verified(percent: int):
@@ -123,14 +134,29 @@ def _verified(percent: int):
     return run
 
 
-def _may_link(a: str, b: str, percent: int) -> Column:
-    """Sizes and token positions of two rows of a group allow the threshold, if the token is the first that they share.
+def _needed(m: Column, n: Column, percent: int) -> Column:
+    """How many tokens two sets of sizes m and n must share within their prefixes.
 
-    Of two sets with sizes m and n at least ceil(p (m + n) / (100 + p)) tokens are common, all from this token on.
+    They share ceil(p (m + n) / (100 + p)) tokens. Those outside of both prefixes lie, in one of the two sets, behind its
+    prefix, so they are at most ceil(p m / 100) - 1 or ceil(p n / 100) - 1.
     """
-    m, n, i, j = F.col(f"{a}.n"), F.col(f"{b}.n"), F.col(f"{a}.place"), F.col(f"{b}.place")
-    need = percent * (m + n)
-    return (100 * F.least(m, n) >= percent * F.greatest(m, n)) & ((100 + percent) * F.least(m - i, n - j) >= need)
+    up = lambda x, y: F.floor((x + (y - 1)) / y).cast("long")
+    return up(percent * (m + n), 100 + percent) - up(percent * F.greatest(m, n), 100) + 1
+
+
+def _similar_sizes(m: Column, n: Column, percent: int) -> Column:
+    return 100 * F.least(m, n) >= percent * F.greatest(m, n)
+
+
+def marked_rows(keys: DataFrame, bits: int = MARKS) -> bytes:
+    """A bit for each hash value of ``row_key``, as bytes; their number is fixed, so the result has ``bits`` / 8 bytes."""
+    place = F.pmod("row_key", F.lit(bits))
+    maps = keys.select(place.alias("at")).groupBy(F.bitmap_bucket_number(F.col("at") + 1).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("at") + 1)).alias("map"))
+    out = bytearray(bits // 8)
+    for row in maps.collect():
+        start = (row["part"] - 1) * len(row["map"])
+        out[start : start + len(row["map"])] = row["map"]
+    return bytes(out)
 
 
 def join(docs: DataFrame, key: str = "doc_id", percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
@@ -142,55 +168,54 @@ def join(docs: DataFrame, key: str = "doc_id", percent: int = PERCENT, rounds: i
     rows = docs.select(F.col(key).alias("doc_id"), "text").withColumn("text_key", F.xxhash64("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     common = spark.sparkContext.broadcast(common_shingles(rows))
-    every = settle(rows.mapInArrow(_nodes(common, percent), f"doc_id {kind}, text_key long, node binary, n long, prefix array<long>"))
-
-    # tokens that at least two nodes share, with the token's place in the node's order
-    heads = every.where("n > 0").select("node", "n", "prefix").withColumn("turn", F.row_number().over(Window.partitionBy("node").orderBy("n"))).where("turn = 1")
-    entries = heads.select("node", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("place", "token"))
-    entries = entries.withColumn("met", F.count("*").over(Window.partitionBy("token"))).where("met > 1").drop("met")
-    entries = settle(entries)
-
-    # texts of the nodes that share a token, as sets
-    shared = entries.select("node").distinct()
-    one = every.where("n > 0").join(shared, "node", "left_semi").groupBy("node").agg(F.min(F.struct("text_key", "doc_id")).alias("one"))
-    one = one.select("node", F.col("one.text_key").alias("k"), F.col("one.doc_id").alias("d"))
-    texts = rows.join(one, (F.col("text_key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("node", "text")
-    sets = settle(texts.mapInArrow(_sets, "node binary, shingles binary").dropDuplicates(["node"]))
-
-    def verify(pairs: DataFrame) -> DataFrame:
+    made = rows.mapInArrow(_nodes(common, percent), f"doc_id {kind}, text_key long, node binary, n long, prefix array<long>")
+    # one row of each node keeps the prefix
+    turn = F.row_number().over(Window.partitionBy("node").orderBy("doc_id", "text_key"))
+    every = made.where("n > 0").withColumn("head", turn == 1).unionByName(made.where("n = 0").withColumn("head", F.lit(False)))
+    every = settle(every.withColumn("prefix", F.when(F.col("head"), F.col("prefix"))))
+
+    # tokens that at least two nodes share
+    entries = every.where("head").select("node", "n", F.explode("prefix").alias("token"))
+    entries = settle(entries.withColumn("met", F.count("*").over(Window.partitionBy("token"))).where("met > 1").drop("met"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """(a, b, linked) of (a, b); only the sets of nodes in ``pairs`` are made again and moved."""
+        nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        row_key = F.xxhash64("text_key", "doc_id")
+        keys = every.where("head").join(nodes, "node", "left_semi").select(row_key.alias("row_key"))
+        found = rows.select("text", row_key.alias("row_key")).mapInArrow(_sets(marked_rows(keys), MARKS), "node binary, shingles binary")
+        sets = settle(found.join(nodes, "node", "left_semi").dropDuplicates(["node"]))
         left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
         right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-        got = pairs.join(left, "a").join(right, "b").mapInArrow(_verified(percent), "a binary, b binary, linked boolean")
-        return settle(got)
+        return settle(pairs.join(left, "a").join(right, "b").mapInArrow(_verified(percent), "a binary, b binary, linked boolean"))
 
-    verified, member = None, None
+    # each node with the group leaders that it shares most tokens with
+    guesses = []
     for turn in range(rounds):
-        # sizes within a factor, shifted by half a step in the next round
+        # sizes within a factor, shifted by a part of it in the next round
         step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + turn / rounds)
         now = entries.withColumn("step", step)
-        if member is not None:
-            now = now.join(member, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        else:
-            now = now.withColumn("component", F.col("node"))
-        leaders = now.groupBy("token", "step").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "component")).alias("leader"), F.min("component").alias("c0"), F.max("component").alias("c1"))
-        led = now.join(leaders.where("c0 <> c1"), ["token", "step"]).where(F.col("leader.component") != F.col("component"))
-        votes = led.groupBy("node", F.col("leader.node").alias("b")).agg(F.count("*").alias("votes"))
-        best = votes.groupBy(F.col("node").alias("a")).agg(F.max(F.struct("votes", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
-        found = verify(best)
-        verified = found if verified is None else verified.unionByName(found)
-        member = settle(components(verified.where("linked").select("a", "b")))
-
-    # pairs across components
+        leader = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n"))
+        led = now.join(now.groupBy("token", "step").agg(leader.alias("leader")), ["token", "step"]).where(F.col("leader.node") != F.col("node"))
+        votes = led.groupBy("node", "n", F.col("leader.node").alias("b"), F.col("leader.n").alias("m")).agg(F.count("*").alias("votes"))
+        votes = votes.where(_similar_sizes(F.col("m"), F.col("n"), percent) & (F.col("votes") >= _needed(F.col("m"), F.col("n"), percent)))
+        best = votes.groupBy(F.col("node").alias("a")).agg(F.max(F.struct("votes", "b")).alias("best"))
+        guesses.append(best.select("a", F.col("best.b").alias("b")))
+    pairs = guesses[0]
+    for more in guesses[1:]:
+        pairs = pairs.unionByName(more)
+    first = verified(settle(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
+    member = settle(components(first.where("linked").select("a", "b")))
+
+    # pairs across components that share enough tokens
     now = entries.join(member, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    spread = now.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("token")
-    mixed = settle(now.join(spread, "token"))
-    a, b = mixed.alias("s"), mixed.alias("t")
-    across = a.join(b, (F.col("s.token") == F.col("t.token")) & (F.col("s.component") < F.col("t.component")) & _may_link("s", "t", percent))
-    pairs = across.select(F.col("s.node").alias("a"), F.col("t.node").alias("b")).distinct()
-    known = verified.select(F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q")).distinct()
-    open_ = pairs.join(known, (F.least("a", "b") == F.col("p")) & (F.greatest("a", "b") == F.col("q")), "left_anti")
-    links = verified.unionByName(verify(open_)).where("linked").select("a", "b")
-    member = components(links)
+    mixed = now.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("token")
+    mixed = settle(now.join(mixed, "token"))
+    across = mixed.alias("s").join(mixed.alias("t"), (F.col("s.token") == F.col("t.token")) & (F.col("s.component") < F.col("t.component")) & _similar_sizes(F.col("s.n"), F.col("t.n"), percent))
+    counted = across.groupBy(F.col("s.node").alias("a"), F.col("t.node").alias("b"), F.col("s.n").alias("m"), F.col("t.n").alias("n")).agg(F.count("*").alias("shared"))
+    left = counted.where(F.col("shared") >= _needed(F.col("m"), F.col("n"), percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = verified(settle(left.join(first, ["a", "b"], "left_anti")))
+    member = components(first.unionByName(rest).where("linked").select("a", "b"))
 
     named = every.select("doc_id", "text_key", "node", F.col("n").alias("n_shingles")).join(member, "node", "left")
     # a node that links with nothing stands alone but for its copies; a document without shingles is its own
