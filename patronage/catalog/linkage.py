@@ -127,6 +127,26 @@ def leak_documents(t):
     return S.leak_audit(spread(t.documents.select("doc_id", "text")), "doc_id").select(F.col("id").cast("long").alias("id"), "violation")
 
 
+@query("leak_audit_nested", """WITH c AS (SELECT c_custkey AS k FROM customer)
+    SELECT CAST(k AS STRING) AS id, 'contact.text' AS "column", 'email' AS violation FROM c WHERE k % 3 = 0
+    UNION ALL SELECT CAST(k AS STRING), 'lines.label', 'phone' FROM c WHERE k % 5 = 0
+    UNION ALL SELECT CAST(k AS STRING), 'extra.key', 'email' FROM c WHERE k % 7 = 0
+    UNION ALL SELECT CAST(k AS STRING), 'extra', 'phone' FROM c WHERE k % 11 = 0
+    UNION ALL SELECT NULL, 'lines.slip_no', 'forbidden' UNION ALL SELECT NULL, 'contact.raw', 'forbidden'""")
+def leak_nested(t):
+    """A masked and a full address in one text, contacts inside arrays of structs and maps, forbidden fields below the top."""
+    k = F.col("c_custkey")
+    phone = F.concat(F.lit("0812"), F.lpad((k % 1_000_000).cast("string"), 6, "0"))
+    mail = F.concat(F.lit("user"), k.cast("string"), F.lit("@example.com"))
+    rows = t.customer.select(
+        k.alias("id"),
+        F.struct(F.when(k % 3 == 0, F.concat(F.lit("us***@example.com or "), mail)).otherwise("us***@example.com").alias("text"), k.alias("raw")).alias("contact"),
+        F.array(F.struct(F.lit("seat").alias("label"), k.alias("slip_no")),
+                F.struct(F.when(k % 5 == 0, F.concat(F.lit("call "), phone)).otherwise("book").alias("label"), k.alias("slip_no"))).alias("lines"),
+        F.create_map(F.when(k % 7 == 0, mail).otherwise("mail"), F.when(k % 11 == 0, phone).otherwise("none")).alias("extra"))
+    return S.leak_audit(rows, "id", forbidden=S.FORBIDDEN_LEGACY)
+
+
 # ---- linkage --------------------------------------------------------------------------------
 
 def match_sides(t):

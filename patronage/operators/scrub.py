@@ -106,42 +106,68 @@ def redact_columns(df: DataFrame, *columns: str) -> DataFrame:
 
 # ---- audit ----------------------------------------------------------------------------------
 
-def _text_leaves(schema: StructType, path=()):
-    """Every string-bearing column path with its kind: value, array or map."""
-    for field in schema.fields:
-        here, kind = path + (field.name,), field.dataType
-        if isinstance(kind, StringType):
-            yield here, "value"
-        elif isinstance(kind, StructType):
-            yield from _text_leaves(kind, here)
-        elif isinstance(kind, ArrayType) and isinstance(kind.elementType, StringType):
-            yield here, "array"
-        elif isinstance(kind, MapType) and isinstance(kind.valueType, StringType):
-            yield here, "map"
-
-
-def leak_audit(df: DataFrame, id_column: str, forbidden: tuple = ("social_handle", "facebook", "instagram", "raw", "note"),
-               exempt: tuple = ("phone_hash", "email_hash")) -> DataFrame:
-    """Rows that still carry a contact: id, column, violation. Forbidden columns appear with a null id."""
+# --- Fixed values: columns that no scrubbed copy may have, by kind of copy ---
+FORBIDDEN = ("social_handle", "facebook", "instagram", "raw", "note")
+FORBIDDEN_LEGACY = ("raw", "social_handle", "source_refs", "slip_no", "age_at_import", "course_label")
+FORBIDDEN_PARTNER = ("raw", "external_payment_id", "source_event_id", "course_label", "full_name", "phone", "email")
+HASHED = ("phone_hash", "email_hash", "slip_group_id")
+
+
+def _leaves(kind, col: Column, path: tuple):
+    """(path, texts) for every part of a column that holds text: its values as an array, map keys beside map values.
+
+    A path names the fields passed; elements of arrays and maps keep their field's name.
+    """
+    def many(kind_, elements, here):
+        paths = [p for p, _ in _leaves(kind_, F.col("x"), here)]
+        return [(p, F.flatten(F.transform(elements, lambda x: dict(_leaves(kind_, x, here))[p]))) for p in paths]  # noqa: B023
+
+    if isinstance(kind, StringType):
+        return [(path, F.array(col))]
+    if isinstance(kind, StructType):
+        return [leaf for f in kind.fields for leaf in _leaves(f.dataType, col[f.name], (*path, f.name))]
+    if isinstance(kind, ArrayType):
+        return many(kind.elementType, col, path)
+    if isinstance(kind, MapType):
+        return many(kind.keyType, F.map_keys(col), (*path, "key")) + many(kind.valueType, F.map_values(col), path)
+    return []
+
+
+def _names(kind, path: tuple = ()):
+    """Every field name at any depth with its path."""
+    if isinstance(kind, StructType):
+        for f in kind.fields:
+            yield f.name, (*path, f.name)
+            yield from _names(f.dataType, (*path, f.name))
+    elif isinstance(kind, ArrayType):
+        yield from _names(kind.elementType, path)
+    elif isinstance(kind, MapType):
+        yield from _names(kind.keyType, path)
+        yield from _names(kind.valueType, path)
+
+
+def leak_audit(df: DataFrame, id_column: str, forbidden: tuple = FORBIDDEN, exempt: tuple = HASHED) -> DataFrame:
+    """Rows that still carry a contact: id, column, violation. Texts are searched at every depth.
+
+    Forbidden field names, also at every depth, appear once with a null id.
+    """
     checks = []
-    for path, kind in _text_leaves(df.schema):
-        name = ".".join(path)
-        if path[-1] in exempt or name == id_column:
-            continue
-        col = F.col(".".join(f"`{p}`" for p in path))
-        values = {"value": lambda c: F.array(c), "array": lambda c: c, "map": F.map_values}[kind](col)
-        bad = {"phone": F.exists(values, lambda v: v.rlike(PHONE_IN_TEXT)),
-               "email": F.exists(values, lambda v: v.rlike(EMAIL_IN_TEXT))}
-        if path[-1] == "name_keys":
-            bad["name_key"] = F.exists(values, lambda v: ~v.rlike("^[0-9a-f]{12}$"))
-        checks += [F.when(hit, F.struct(F.lit(name).alias("column"), F.lit(kind_).alias("violation"))) for kind_, hit in bad.items()]
+    for field in df.schema.fields:
+        for path, values in _leaves(field.dataType, F.col(f"`{field.name}`"), (field.name,)):
+            name = ".".join(path)
+            if path[-1] in exempt or name == id_column:
+                continue
+            bad = {"phone": F.exists(values, lambda v: v.rlike(PHONE_IN_TEXT)), "email": F.exists(values, lambda v: v.rlike(EMAIL_IN_TEXT))}
+            if path[-1] == "name_keys":
+                bad["name_key"] = F.exists(values, lambda v: ~v.rlike("^[0-9a-f]{12}$"))
+            checks += [F.when(hit, F.struct(F.lit(name).alias("column"), F.lit(kind_).alias("violation"))) for kind_, hit in bad.items()]
+    present = [".".join(path) for name, path in _names(df.schema) if name in forbidden]
+    named = df.sparkSession.createDataFrame([(None, c, "forbidden") for c in present], "id string, column string, violation string")
+    if not checks:
+        return named
     found = F.filter(F.array(*checks), lambda x: x.isNotNull())
     rows = df.select(F.col(id_column).cast("string").alias("id"), F.explode_outer(found).alias("v")).where("v IS NOT NULL").select("id", "v.column", "v.violation")
-    present = [c for c in df.columns if c in forbidden]
-    if present:
-        spark = df.sparkSession
-        rows = rows.unionByName(spark.createDataFrame([(None, c, "forbidden") for c in present], rows.schema))
-    return rows
+    return rows.unionByName(named) if present else rows
 
 
 def leak_counts(audit: DataFrame) -> DataFrame:
