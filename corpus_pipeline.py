@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from patronage.llm import jaccard, mixing, pieces, pii, quality
-from patronage.llm.shared import settle, table
+from patronage.llm.shared import free_name, settle, table
 
 #: Documents with a lower score go.
 LEAST_QUALITY = 0.3
@@ -18,7 +18,8 @@ LEAST_QUALITY = 0.3
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).where(F.col("score") >= LEAST_QUALITY).select(*docs.columns)
+    score = free_name(docs, "score")
+    return quality.score(docs, model, score).where(F.col(score) >= LEAST_QUALITY).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +27,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    clean = pii.masked(pii.tag(docs, pii.fit(docs)))
+    spans = free_name(docs, "spans")
+    clean = pii.masked(pii.tag(docs, pii.fit(docs), spans), spans)
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

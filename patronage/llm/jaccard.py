@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from patronage.llm.graphs import components
-from patronage.llm.shared import settle, text_batches
+from patronage.llm.shared import free_name, settle, text_batches
 
 WORDS, PERCENT, ROUNDS = 5, 80, 2
 #: Bits that mark the texts whose sets are needed: 2 MB are sent to the tasks, whatever the number of texts.
@@ -230,8 +230,9 @@ def join(docs: DataFrame, key: str = "doc_id", percent: int = PERCENT, rounds: i
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: one of each component, and every row without shingles."""
-    kept = join(docs, key, percent).where("kept").select(F.col(key).alias("k"), F.col("text_key").alias("t"), (F.col("n_shingles") == 0).alias("bare")).distinct()
-    keyed = docs.withColumn("_text_key", F.xxhash64("text"))
-    chosen = keyed.join(kept, F.col(key).eqNullSafe(F.col("k")) & F.col("_text_key").eqNullSafe(F.col("t")))
-    turn = F.row_number().over(Window.partitionBy("k", "t").orderBy(F.lit(0)))
-    return chosen.withColumn("_turn", turn).where("bare OR _turn = 1").select(*docs.columns)
+    k, t, bare, mine, turn = (free_name(docs, x) for x in ("kept_id", "kept_text", "bare", "text_key", "turn"))
+    kept = join(docs, key, percent).where("kept").select(F.col(key).alias(k), F.col("text_key").alias(t), (F.col("n_shingles") == 0).alias(bare)).distinct()
+    keyed = docs.withColumn(mine, F.xxhash64("text"))
+    chosen = keyed.join(kept, F.col(key).eqNullSafe(F.col(k)) & F.col(mine).eqNullSafe(F.col(t)))
+    chosen = chosen.withColumn(turn, F.row_number().over(Window.partitionBy(k, t).orderBy(F.lit(0))))
+    return chosen.where(F.col(bare) | (F.col(turn) == 1)).select(*docs.columns)

@@ -20,7 +20,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from patronage.llm.shared import settle
+from patronage.llm.shared import free_name, settle
 
 BLOCK, SHARD, ROUNDS, REPEATS = 64, 4096, 12, 3
 WORD, SPACE = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]"
@@ -162,16 +162,16 @@ def mixed(docs: DataFrame, seed: int = 11, block: int = BLOCK) -> DataFrame:
     Runs of words keep the white space between them; words of blocks that the mix leaves out are missing, and a document
     none of whose blocks is taken has no row. ``n_chars``, where there is one, is the length of the new text.
     """
-    keyed = settle(docs.withColumn("_key", F.xxhash64(F.col("doc_id"), F.col("text"))))
-    _, pieces = mix(keyed.select(F.col("_key").alias("key"), "source", words_in(F.col("text")).alias("size")), seed, block)
-    runs = pieces.groupBy("key", "source", "start", "pass").agg(F.sort_array(F.collect_list(F.struct("from_word", "to_word"))).alias("_runs"))
-    runs = runs.select(F.col("key").alias("_k"), F.col("source").alias("_s"), "_runs")
-    # a copy of a document lies elsewhere in its source's stream, so its pieces are its own; equal rows share key and text
-    one = keyed.dropDuplicates(["_key", "source"])
-    both = one.join(runs, (F.col("_key") == F.col("_k")) & F.col("source").eqNullSafe(F.col("_s")))
-    words = F.split(F.regexp_replace("text", f"^{SPACE}+", ""), f"(?<={SPACE})(?={WORD[:-1]})")
-    both = both.withColumn("_words", words)
-    text = F.array_join(F.flatten(F.transform("_runs", lambda r: F.slice(F.col("_words"), (r["from_word"] + 1).cast("int"), (r["to_word"] - r["from_word"]).cast("int")))), "")
+    mine, k, src, runs_, words_ = (free_name(docs, x) for x in ("mix_key", "mix_taken", "mix_source", "mix_runs", "mix_words"))
+    keyed = settle(docs.withColumn(mine, F.xxhash64(F.col("doc_id"), F.col("text"))))
+    _, pieces = mix(keyed.select(F.col(mine).alias("key"), "source", words_in(F.col("text")).alias("size")), seed, block)
+    runs = pieces.groupBy("key", "source", "start", "pass").agg(F.sort_array(F.collect_list(F.struct("from_word", "to_word"))).alias(runs_))
+    runs = runs.select(F.col("key").alias(k), F.col("source").alias(src), runs_)
+    # equal rows lie at different places of their source's stream, so each has its own runs of one and the same text
+    one = keyed.dropDuplicates([mine, "source"])
+    both = one.join(runs, (F.col(mine) == F.col(k)) & F.col("source").eqNullSafe(F.col(src)))
+    both = both.withColumn(words_, F.split(F.regexp_replace("text", f"^{SPACE}+", ""), f"(?<={SPACE})(?={WORD[:-1]})"))
+    text = F.array_join(F.flatten(F.transform(runs_, lambda r: F.slice(F.col(words_), (r["from_word"] + 1).cast("int"), (r["to_word"] - r["from_word"]).cast("int")))), "")
     both = both.withColumn("text", text)
     if "n_chars" in docs.columns:
         both = both.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

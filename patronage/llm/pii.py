@@ -192,16 +192,23 @@ class Tagger:
 
 
 def windows(text: str) -> list:
-    """Starts of the windows that cover the surroundings of every digit and ``@``, overlapping by half."""
-    out, until = [], -1
+    """Starts of the windows that cover the surroundings of every digit and ``@``; neighbours overlap by half."""
+    out: list = []
+    low = high = -1
+
+    def cover():
+        if low >= 0:
+            out.append(low)
+            while out[-1] + WINDOW < high:
+                out.append(out[-1] + WINDOW // 2)
+
     for m in ANCHOR.finditer(text):
-        at = m.start()
-        if at + AROUND > until:
-            start = max(0, at - AROUND, until - WINDOW // 2 if until >= 0 else 0)
-            while start + WINDOW // 2 <= at + AROUND and start < len(text):
-                out.append(start)
-                start += WINDOW // 2
-            until = out[-1] + WINDOW if out else until
+        a, b = max(0, m.start() - AROUND), min(len(text), m.start() + AROUND)
+        if a > high:
+            cover()
+            low, high = a, b
+        high = max(high, b)
+    cover()
     return out
 
 
@@ -305,9 +312,9 @@ def fit(docs: DataFrame, key: str = "doc_id", sample: int = SAMPLE) -> Tagger |
     return train(sorted(r.text for r in picked.collect()))
 
 
-def tag(docs: DataFrame, tagger: Tagger | None) -> DataFrame:
-    """Adds ``spans`` to all rows: (start, end, kind, base), by start, then kind as listed."""
-    base = docs.drop("spans")
+def tag(docs: DataFrame, tagger: Tagger | None, to: str = "spans") -> DataFrame:
+    """Adds ``to`` to all rows: spans (start, end, kind, base), by start, then kind as listed."""
+    base = docs.drop(to)
     names, kind = base.columns, pa.list_(pa.struct([pa.field("start", pa.int32(), False), pa.field("end", pa.int32(), False), pa.field("kind", pa.string(), False), pa.field("base", pa.bool_(), False)]))
 
     def run(batches):
@@ -317,22 +324,22 @@ def tag(docs: DataFrame, tagger: Tagger | None) -> DataFrame:
             for own, more in zip(bases, added_spans(texts, bases, tagger)):
                 both = sorted([(*s, True) for s in own] + [(*s, False) for s in more], key=lambda s: (s[0], s[2]))
                 rows.append([{"start": a, "end": b, "kind": KINDS[k], "base": is_base} for a, b, k, is_base in both])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(rows, kind)], names=[*names, "spans"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(rows, kind)], names=[*names, to])
 
-    return base.mapInArrow(run, StructType([*base.schema.fields, StructField("spans", ArrayType(SPAN), False)]))
+    return base.mapInArrow(run, StructType([*base.schema.fields, StructField(to, ArrayType(SPAN), False)]))
 
 
-def masked(docs: DataFrame) -> DataFrame:
-    """``text`` with every span of ``spans`` replaced by its kind in brackets; where spans overlap, the union is replaced."""
-    base = docs.drop("spans")
+def masked(docs: DataFrame, spans: str = "spans") -> DataFrame:
+    """``text`` with every span of column ``spans`` replaced by its kind in brackets; where spans overlap, the union is replaced."""
+    base = docs.drop(spans)
     names, place = base.columns, base.columns.index("text")
 
     def run(batches):
         for batch, texts in text_batches(batches):
             out = []
-            for text, spans in zip(texts, batch.column("spans").to_pylist()):
+            for text, own in zip(texts, batch.column(spans).to_pylist()):
                 parts, at = [], 0
-                for s in spans:
+                for s in own:
                     if s["start"] >= at:
                         parts += [text[at : s["start"]], f"[{s['kind'].upper()}]"]
                     at = max(at, s["end"])
@@ -342,4 +349,4 @@ def masked(docs: DataFrame) -> DataFrame:
             arrays[place] = pa.array([None if old is None else new for old, new in zip(whole.to_pylist(), out)], pa.string())
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return docs.select(*names, "spans").mapInArrow(run, base.schema)
+    return docs.select(*names, spans).mapInArrow(run, base.schema)

@@ -172,13 +172,13 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "q
     return train([(x, np.array([len(x)])) for x in own], np.array([y for _, y, _ in got]))
 
 
-def score(docs: DataFrame, model: dict) -> DataFrame:
-    """All rows of ``docs`` with ``score``; other columns pass through, an own ``score`` column is replaced."""
-    base = docs.drop("score")
+def score(docs: DataFrame, model: dict, to: str = "score") -> DataFrame:
+    """All rows of ``docs`` with a score in column ``to``; other columns pass through, an own one of that name is replaced."""
+    base = docs.drop(to)
     names = base.columns
 
     def run(batches):
         for batch, texts in text_batches(batches):
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(scores(texts, model), pa.float64())], names=[*names, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(scores(texts, model), pa.float64())], names=[*names, to])
 
-    return base.mapInArrow(run, StructType([*base.schema.fields, StructField("score", DoubleType(), False)]))
+    return base.mapInArrow(run, StructType([*base.schema.fields, StructField(to, DoubleType(), False)]))
