@@ -50,7 +50,8 @@ def triage(t):
 
 FOLD = """d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_id, provider ORDER BY received_at, seq) AS rn FROM inbound WHERE event_type <> 'postback' AND line_user_id IS NOT NULL) WHERE rn = 1),
   fo AS (SELECT line_user_id, min(occurred_at) AS f, max(occurred_at) AS l, min(occurred_at) FILTER (event_type = 'message') AS m, count(*) FILTER (event_type <> 'message') AS marks,
-    bool_or(event_type = 'follow') AS fol, bool_or(event_type = 'unfollow') AS ever, arg_max(event_type, (occurred_at, event_id)) FILTER (event_type <> 'message') AS last FROM d GROUP BY 1)"""
+    bool_or(event_type = 'follow') AS fol, bool_or(event_type = 'unfollow') AS ever, arg_max(event_type, (occurred_at, event_id)) FILTER (event_type <> 'message') AS last,
+    max(occurred_at) FILTER (event_type <> 'message') AS last_at, arg_max(event_id, (occurred_at, event_id)) FILTER (event_type <> 'message') AS last_id FROM d GROUP BY 1)"""
 
 
 @query("fold_chat_events", f"""WITH {FOLD} SELECT line_user_id, strftime(f, '%Y-%m-%d %H:%M:%S') AS first_interaction_at, strftime(l, '%Y-%m-%d %H:%M:%S') AS last_interaction_at,
@@ -61,12 +62,23 @@ def fold_chat(t):
                                               F.concat_ws(",", "tags").alias("tags"), "milestones", "status_change")
 
 
-@query("merge_chat_fold", f"""WITH {FOLD} SELECT customer_id, CASE WHEN last = 'unfollow' THEN 'inactive' WHEN (last IS NOT NULL AND ever) OR (last IS NOT NULL AND customer_status = 'inactive') THEN 'lead'
-    ELSE customer_status END AS customer_status, strftime(least(first_interaction_at, coalesce(f, first_interaction_at)), '%Y-%m-%d %H:%M:%S') AS first_interaction_at
-    FROM customers LEFT JOIN fo ON line_user_id = 'U' || c_custkey""")
+@query("merge_chat_fold", f"""WITH {FOLD}, ow AS (SELECT 'U' || c_custkey AS uid, customer_id AS oid FROM customers WHERE c_custkey % 6 <> 4 AND c_custkey % 10 <> 3
+      UNION ALL SELECT 'U' || c_custkey, 'cus_' || (c_custkey - 1) FROM customers WHERE c_custkey % 10 = 3),
+    fc AS (SELECT coalesce(oid, 'cus_' || left(sha256('line|' || line_user_id), 26)) AS fid, min(f) AS f, max(l) AS l, min(m) AS m, max(fol) AS fol, sum(marks + (m IS NOT NULL)::INT) AS n,
+      bool_or(last IS NOT NULL AND ever) AS ever, arg_max(last, (last_at, last_id)) FILTER (last IS NOT NULL) AS last FROM fo LEFT JOIN ow ON uid = line_user_id GROUP BY 1),
+    j AS (SELECT coalesce(customer_id, fid) AS customer_id, customer_id IS NULL AS fresh, fid IS NOT NULL AS hit, status AS st, customer_status AS cs, first_interaction_at AS f0, sheet_dirty AS sd, fc.* FROM customers FULL JOIN fc ON fid = customer_id)
+    SELECT customer_id, coalesce(st, 'active') AS status, CASE WHEN last = 'unfollow' THEN 'inactive' WHEN fresh OR (last IS NOT NULL AND (ever OR cs = 'inactive')) THEN 'lead' ELSE cs END AS customer_status,
+      strftime(least(coalesce(f0, f), coalesce(f, f0)), '%Y-%m-%d %H:%M:%S') AS first_interaction_at, strftime(l, '%Y-%m-%d %H:%M:%S') AS last_interaction_at, strftime(m, '%Y-%m-%d %H:%M:%S') AS first_message_at,
+      array_to_string([x FOR x IN [CASE WHEN m IS NOT NULL THEN 'engaged' END, CASE WHEN fol THEN 'line-follower' END] IF x IS NOT NULL], ',') AS tags,
+      CASE WHEN hit THEN 'line' ELSE '' END AS sources, CAST(coalesce(n, 0) AS BIGINT) AS milestones, coalesce(sd, FALSE) OR hit AS sheet_dirty FROM j""")
 def merge_fold(t):
-    owner = t.customers.select(F.concat(F.lit("U"), F.col("c_custkey").cast("string")).alias("line_user_id"), "customer_id")
-    return E.merge_fold(t.customers, E.fold_customers(t.inbound), owner).select("customer_id", "customer_status", ts("first_interaction_at"))
+    k = F.col("c_custkey")
+    user = F.concat(F.lit("U"), k.cast("string")).alias("line_user_id")
+    owner = t.customers.where("c_custkey % 6 <> 4 and c_custkey % 10 <> 3").select(user, "customer_id").unionByName(
+        t.customers.where("c_custkey % 10 = 3").select(user, F.concat(F.lit("cus_"), (k - 1).cast("string")).alias("customer_id")))
+    merged = E.merge_fold(t.customers, E.fold_customers(t.inbound), owner)
+    return merged.select("customer_id", "status", "customer_status", ts("first_interaction_at"), ts("last_interaction_at"), ts("first_message_at"),
+                         F.concat_ws(",", "tags").alias("tags"), F.concat_ws(",", "sources").alias("sources"), "milestones", "sheet_dirty")
 
 
 @query("milestone_log", f"""WITH {FOLD}, m AS (SELECT event_id AS source_event_id, event_type AS type, occurred_at, line_user_id FROM d WHERE event_type <> 'message'

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from patronage.catalog import query
 from patronage.functions import dates as DT, text as T
 from patronage.functions.hashing import hmac_sha256
-from patronage.operators import answers as A, mirror as M, monitor as H, quality as Q, scrub as S
+from patronage.operators import answers as A, identity as N, mirror as M, monitor as H, quality as Q, scrub as S
 from patronage.plans.analytics import AnalyticsQuery, analytics_meta, run_analytics
 from patronage.sources import store
 
@@ -145,12 +145,22 @@ def form_revisions(t):
     return _revised(t).select("submission_id", "customer_id", "revision")
 
 
-@query("form_write_back", f"""WITH {REV}, nm AS (SELECT customer_id, arg_max('Name ' || event_id, revision) AS n,
-      arg_max(CASE event_id % 3 WHEN 0 THEN 'friend' WHEN 1 THEN 'ad' ELSE 'radio' END, revision) AS h FROM rv GROUP BY 1)
-    SELECT c.customer_id, coalesce(n, display_name) AS display_name, coalesce(h, heard_from) AS heard_from FROM customers c LEFT JOIN nm ON nm.customer_id = c.customer_id""")
+@query("form_write_back", f"""WITH {REV}, nm AS (SELECT customer_id, arg_max('Name ' || event_id, revision) AS n, arg_max('nick', revision) AS k, arg_max('ad', revision) AS h, max("at") AS sat,
+      arg_max('+668' || lpad(CAST(event_id AS STRING), 8, '0'), revision) AS ph, count(*) AS subs FROM rv GROUP BY 1),
+    o AS (SELECT customer_id AS oid, phone AS op FROM customers WHERE status = 'active' AND phone IS NOT NULL),
+    cf AS (SELECT nm.customer_id, min(oid) AS cand FROM nm JOIN o ON op = ph AND oid <> nm.customer_id GROUP BY 1)
+    SELECT c.customer_id, coalesce(n, display_name) AS display_name, coalesce(k, nickname) AS nickname, coalesce(h, heard_from) AS heard_from, coalesce(ph, phone) AS phone,
+      CASE WHEN n IS NOT NULL THEN 2535 ELSE birth_year END AS birth_year, consent_data OR n IS NOT NULL AS consent_data, CASE WHEN n IS NOT NULL THEN FALSE ELSE consent_marketing END AS consent_marketing,
+      CASE WHEN n IS NOT NULL THEN 'form-completed' ELSE '' END AS tags, coalesce(subs, 0) AS form_submits, cand AS pending_merge, sheet_dirty OR n IS NOT NULL AS sheet_dirty, ai_dirty OR n IS NOT NULL AS ai_dirty,
+      strftime(greatest(coalesce(form_submitted_at, sat), coalesce(sat, form_submitted_at)), '%Y-%m-%d %H:%M:%S') AS form_submitted_at
+    FROM customers c LEFT JOIN nm ON nm.customer_id = c.customer_id LEFT JOIN cf ON cf.customer_id = c.customer_id""")
 def form_write_back(t):
     valid = Q.normalize_answers(_revised(t), RULES, 2026)
-    return Q.write_back(t.customers, valid, "2026-01-01").select("customer_id", "display_name", "heard_from")
+    claims = valid.groupBy("customer_id").agg(F.max_by(F.col("normal")["phone"], "revision").alias("phone"))
+    conflicts = N.contact_conflicts(claims, t.customers, t.spark.createDataFrame([], "a string, b string"))
+    written = Q.write_back(t.customers, valid, "2026-01-01", conflicts)
+    return written.select("customer_id", "display_name", "nickname", "heard_from", "phone", "birth_year", "consent_data", "consent_marketing", F.concat_ws(",", "tags").alias("tags"),
+                          "form_submits", "pending_merge", "sheet_dirty", "ai_dirty", F.date_format("form_submitted_at", "yyyy-MM-dd HH:mm:ss").alias("form_submitted_at"))
 
 
 @query("current_answers", f"""WITH {REV}, nm AS (SELECT customer_id, arg_max(event_id, revision) AS e FROM rv GROUP BY 1)

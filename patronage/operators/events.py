@@ -79,17 +79,33 @@ def fold_customers(events: DataFrame) -> DataFrame:
 def merge_fold(customers: DataFrame, fold: DataFrame, owner: DataFrame) -> DataFrame:
     """Customers after a fold; ``owner`` maps line_user_id to customer_id. The display name is never touched.
 
+    Writes first and last contact, first message, tags, sources, milestones, status and dirty flags; columns that
+    ``customers`` lacks start empty. Chat users without an owner become new customers whose id is a hash of theirs.
     With several chat ids the latest mark of all counts, and who ever left any of them comes back as a lead.
     """
-    f = fold.join(owner, "line_user_id").groupBy("customer_id").agg(
-        F.min("first_interaction_at").alias("_f"), F.max("last_interaction_at").alias("_l"),
+    empty = {"tags": "array<string>", "sources": "array<string>", "first_message_at": "timestamp", "last_interaction_at": "timestamp", "milestones": "bigint"}
+    for c, kind in empty.items():
+        if c not in customers.columns:
+            customers = customers.withColumn(c, F.lit(None).cast(kind))
+    new_id = F.concat(F.lit("cus_"), F.left(F.sha2(F.concat(F.lit("line|"), F.col("line_user_id")), 256), F.lit(26)))
+    f = fold.join(owner, "line_user_id", "left").withColumn("customer_id", F.coalesce("customer_id", new_id)).groupBy("customer_id").agg(
+        F.min("first_interaction_at").alias("_f"), F.max("last_interaction_at").alias("_l"), F.min("first_message_at").alias("_m"),
+        F.array_distinct(F.flatten(F.collect_set("tags"))).alias("_t"), F.sum("milestones").alias("_n"),
         F.max(F.when(F.col("status_change").isNotNull(), F.struct("last_mark_at", "last_mark_id", "status_change")))["status_change"].alias("_s"),
         F.max(F.col("status_change").isin("lead", "inactive")).alias("_left"))
-    j = customers.join(f, "customer_id", "left")
+    j = customers.withColumn("_old", F.lit(True)).join(f, "customer_id", "full")
+    touched, fresh = F.col("_f").isNotNull(), F.col("_old").isNull()
     back = (F.col("_s") == "lead") | ((F.col("_s") == "followed") & (F.coalesce("_left", F.lit(False)) | (F.col("customer_status") == "inactive")))
-    status = F.when(F.col("_s") == "inactive", "inactive").when(back, "lead").otherwise(F.col("customer_status"))
-    return j.withColumns({"first_interaction_at": F.least("first_interaction_at", "_f"), "customer_status": status,
-                          "updated_at": F.greatest("updated_at", "_l")}).drop("_f", "_s", "_l", "_left")
+    status = F.when(F.col("_s") == "inactive", "inactive").when(back | fresh, "lead").otherwise(F.col("customer_status"))
+    none = F.array().cast("array<string>")
+    text = lambda c, *more: F.sort_array(F.array_union(F.coalesce(c, none), *more))
+    out = {"status": F.coalesce("status", F.lit("active")), "source_channel": F.when(fresh, "line").otherwise(F.col("source_channel")),
+           "customer_status": status, "first_interaction_at": F.least("first_interaction_at", "_f"),
+           "last_interaction_at": F.greatest("last_interaction_at", "_l"), "first_message_at": F.least("first_message_at", "_m"),
+           "tags": text("tags", F.coalesce("_t", none)), "sources": F.when(touched, text("sources", F.array(F.lit("line")))).otherwise(F.coalesce("sources", none)),
+           "milestones": F.coalesce("milestones", F.lit(0)) + F.coalesce("_n", F.lit(0)), "updated_at": F.greatest("updated_at", "_l")}
+    out |= {c: F.coalesce(F.col(c) | touched, touched) for c in ("sheet_dirty", "ai_dirty") if c in customers.columns}
+    return j.withColumns(out).select(*customers.columns)
 
 
 def milestones(events: DataFrame, stored: DataFrame) -> DataFrame:

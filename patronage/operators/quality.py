@@ -236,8 +236,16 @@ BOUND = {"title": "title", "heardFrom": "heard_from", "fullNameTh": "display_nam
          "phone": "phone", "email": "email", "facebook": "facebook", "instagram": "instagram"}
 
 
-def write_back(customers: DataFrame, valid: DataFrame, now: str) -> DataFrame:
-    """Customers after valid submissions (with ``normal`` and ``revision``): the newest given value of a field wins."""
+def write_back(customers: DataFrame, valid: DataFrame, now: str, conflicts: DataFrame | None = None) -> DataFrame:
+    """Customers after valid submissions (with ``normal`` and ``revision``): the newest given value of a field wins.
+
+    Bound fields, birth year, consent, the completion tag, the submit count, last contact, dirty flags and, from
+    ``conflicts`` (customer_id, candidate_id), the merge a person has to decide. Columns that are missing start empty.
+    """
+    empty = {"tags": "array<string>", "form_submits": "bigint", "last_interaction_at": "timestamp", "pending_merge": "string"}
+    for c, kind in empty.items():
+        if c not in customers.columns:
+            customers = customers.withColumn(c, F.lit(None).cast(kind))
     latest = {}
     for name, column in BOUND.items():
         if column not in customers.columns:
@@ -249,11 +257,30 @@ def write_back(customers: DataFrame, valid: DataFrame, now: str) -> DataFrame:
         if name == "email":
             ok = v.contains("@")
         latest[column] = F.max(F.when(ok, F.struct("revision", v.alias("v"))))["v"].alias(f"_{column}")
-    g = valid.groupBy("customer_id").agg(*latest.values(), F.max("at").alias("_at"))
+    given = lambda name: F.element_at("normal", name)
+    year = given("birthYear").try_cast("int")
+    latest["birth_year"] = F.max(F.when(year.isNotNull(), F.struct("revision", year.alias("v"))))["v"].alias("_birth_year")
+    agreed = given("consentDataProcessing") == "true"
+    g = valid.groupBy("customer_id").agg(
+        *latest.values(), F.max("at").alias("_at"), F.count("*").alias("_n"), F.max(agreed).alias("_agreed"),
+        F.max(F.when(agreed, F.struct("revision", F.coalesce(given("consentMarketing") == "true", F.lit(False)).alias("v"))))["v"].alias("_marketing"))
+    if conflicts is not None:
+        g = g.join(conflicts.select("customer_id", F.col("candidate_id").alias("_candidate")), "customer_id", "left")
+    else:
+        g = g.withColumn("_candidate", F.lit(None).cast("string"))
     j = customers.join(g, "customer_id", "left")
+    hit = F.col("_at").isNotNull()
     out = {c: F.coalesce(f"_{c}", c) for c in latest}
     out["form_submitted_at"] = F.greatest("form_submitted_at", "_at")
-    out["updated_at"] = F.when(F.col("_at").isNotNull(), F.lit(now).cast("timestamp")).otherwise(F.col("updated_at"))
+    out["last_interaction_at"] = F.greatest("last_interaction_at", F.when(hit, F.lit(now).cast("timestamp")))
+    out["updated_at"] = F.when(hit, F.lit(now).cast("timestamp")).otherwise(F.col("updated_at"))
+    none = F.array().cast("array<string>")
+    out["tags"] = F.when(hit, F.sort_array(F.array_union(F.coalesce("tags", none), F.array(F.lit("form-completed"))))).otherwise(F.coalesce("tags", none))
+    out["form_submits"] = F.coalesce("form_submits", F.lit(0)) + F.coalesce("_n", F.lit(0))
+    out["pending_merge"] = F.coalesce("_candidate", "pending_merge")
+    out["consent_data"] = F.col("consent_data") | F.coalesce("_agreed", F.lit(False))
+    out["consent_marketing"] = F.coalesce("_marketing", "consent_marketing")
+    out |= {c: F.col(c) | hit for c in ("sheet_dirty", "ai_dirty") if c in customers.columns}
     return j.withColumns(out).select(*customers.columns)
 
 
