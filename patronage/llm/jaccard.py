@@ -34,7 +34,7 @@ WORDS, PERCENT, ROUNDS = 5, 80, 2
 MARKS = 1 << 24
 #: How often a shingle must occur in one slice of texts to be counted, and the most shingles that are kept as common. They
 #: set the order only; what is left out is ordered by hash.
-OFTEN, COMMON = 4, 1 << 17
+OFTEN, COMMON = 2, 1 << 17
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -169,33 +169,36 @@ def join(docs: DataFrame, key: str = "doc_id", percent: int = PERCENT, rounds: i
     kind = rows.schema["doc_id"].dataType.simpleString()
     common = spark.sparkContext.broadcast(common_shingles(rows))
     made = rows.mapInArrow(_nodes(common, percent), f"doc_id {kind}, text_key long, node binary, n long, prefix array<long>")
-    # one row of each node keeps the prefix
+    # one row of each node keeps the prefix, and gets the short number by which the node goes from here on
     turn = F.row_number().over(Window.partitionBy("node").orderBy("doc_id", "text_key"))
     every = made.where("n > 0").withColumn("head", turn == 1).unionByName(made.where("n = 0").withColumn("head", F.lit(False)))
-    every = settle(every.withColumn("prefix", F.when(F.col("head"), F.col("prefix"))))
+    every = settle(every.withColumns({"prefix": F.when(F.col("head"), F.col("prefix")), "id": F.when(F.col("head"), F.monotonically_increasing_id())}))
+    heads = every.where("head")
 
     # tokens that at least two nodes share
-    entries = every.where("head").select("node", "n", F.explode("prefix").alias("token"))
-    entries = settle(entries.withColumn("met", F.count("*").over(Window.partitionBy("token"))).where("met > 1").drop("met"))
+    entries = heads.select(F.col("id").alias("node"), F.col("n").cast("int").alias("n"), F.explode("prefix").alias("token"))
+    entries = settle(entries.withColumn("met", F.count("*").over(Window.partitionBy("token"))).where("met > 1"))
+    # a node is the more central, the more nodes its tokens meet: what others were copied from comes before its copies
+    central = settle(entries.groupBy("node").agg(F.sum("met").alias("central")))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """(a, b, linked) of (a, b); only the sets of nodes in ``pairs`` are made again and moved."""
-        nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        row_key = F.xxhash64("text_key", "doc_id")
-        keys = every.where("head").join(nodes, "node", "left_semi").select(row_key.alias("row_key"))
-        found = rows.select("text", row_key.alias("row_key")).mapInArrow(_sets(marked_rows(keys), MARKS), "node binary, shingles binary")
-        sets = settle(found.join(nodes, "node", "left_semi").dropDuplicates(["node"]))
-        left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-        right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-        return settle(pairs.join(left, "a").join(right, "b").mapInArrow(_verified(percent), "a binary, b binary, linked boolean"))
+        ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+        row_key = F.xxhash64("text_key", "doc_id").alias("row_key")
+        nodes = settle(heads.join(ids, "id", "left_semi").select("id", "node", row_key))
+        found = rows.select("text", row_key).mapInArrow(_sets(marked_rows(nodes.select("row_key")), MARKS), "node binary, shingles binary")
+        sets = settle(found.join(nodes.select("id", "node"), "node").dropDuplicates(["id"]).select("id", "shingles"))
+        left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
+        right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
+        return settle(pairs.join(left, "a").join(right, "b").mapInArrow(_verified(percent), "a long, b long, linked boolean"))
 
     # each node with the group leaders that it shares most tokens with
     guesses = []
     for turn in range(rounds):
         # sizes within a factor, shifted by a part of it in the next round
         step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + turn / rounds)
-        now = entries.withColumn("step", step)
-        leader = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n"))
+        now = entries.join(central, "node").select("token", "node", "n", "central", step.alias("step"))
+        leader = F.max(F.struct("central", "node", "n"))
         led = now.join(now.groupBy("token", "step").agg(leader.alias("leader")), ["token", "step"]).where(F.col("leader.node") != F.col("node"))
         votes = led.groupBy("node", "n", F.col("leader.node").alias("b"), F.col("leader.n").alias("m")).agg(F.count("*").alias("votes"))
         votes = votes.where(_similar_sizes(F.col("m"), F.col("n"), percent) & (F.col("votes") >= _needed(F.col("m"), F.col("n"), percent)))
@@ -208,7 +211,7 @@ def join(docs: DataFrame, key: str = "doc_id", percent: int = PERCENT, rounds: i
     member = settle(components(first.where("linked").select("a", "b")))
 
     # pairs across components that share enough tokens
-    now = entries.join(member, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    now = entries.select("token", "node", "n").join(member, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = now.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("token")
     mixed = settle(now.join(mixed, "token"))
     across = mixed.alias("s").join(mixed.alias("t"), (F.col("s.token") == F.col("t.token")) & (F.col("s.component") < F.col("t.component")) & _similar_sizes(F.col("s.n"), F.col("t.n"), percent))
@@ -217,9 +220,10 @@ def join(docs: DataFrame, key: str = "doc_id", percent: int = PERCENT, rounds: i
     rest = verified(settle(left.join(first, ["a", "b"], "left_anti")))
     member = components(first.unionByName(rest).where("linked").select("a", "b"))
 
-    named = every.select("doc_id", "text_key", "node", F.col("n").alias("n_shingles")).join(member, "node", "left")
+    numbered = heads.select("node", "id").join(member.withColumnRenamed("node", "id"), "id", "left").select("node", F.coalesce("component", "id").alias("group"))
+    named = every.select("doc_id", "text_key", "node", F.col("n").alias("n_shingles")).join(numbered, "node", "left")
     # a node that links with nothing stands alone but for its copies; a document without shingles is its own
-    named = settle(named.withColumn("group", F.coalesce("component", "node")))
+    named = settle(named)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key"))
     smallest = named.where(F.col("group").isNotNull()).groupBy("group").agg(first.alias("first"))
     is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & F.col("text_key").eqNullSafe(F.col("first.text_key"))
