@@ -23,12 +23,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from patronage.llm.lattice import matrix, per_group
+from patronage.llm.lattice import matrix
 from patronage.llm.shared import settle
 
 CURVES, DIMENSIONS, BITS, SAMPLE, REACH = 4, 8, 6, 64, 0.96
-#: Rows of a block, and queries that one task compares with a block at a time.
-BLOCK, QUERIES = 1024, 2048
+#: Least rows of a zone, zones to a window, and queries that one task holds.
+BLOCK, ZONES, QUERIES = 1024, 4, 2048
 
 
 def hilbert(grid: np.ndarray, bits: int) -> np.ndarray:
@@ -120,21 +120,59 @@ def _exact(queries: np.ndarray, classes: list, k: int):
 
 
 def _compared(k: int):
-    """The best k rows of a block for each query of the group."""
-
-    def run(group: pa.Table):
-        asks = group.column("asks").to_numpy()
-        x, ids = matrix(group.column("v").combine_chunks()), group.column("id").to_numpy()
-        classes = group.column("class").combine_chunks()
-        q, rows = np.flatnonzero(asks), np.flatnonzero(~asks)
-        if not len(q) or not len(rows):
-            return None
-        own, found = x[rows], []
-        for a in range(0, len(q), 256):
-            scores = x[q[a : a + 256]] @ own.T
-            found += [(s, _best(s, ids[rows], k)) for s in scores]
-        sizes = [len(b) for _, b in found]
-        return {"class": classes.take(pa.array(np.repeat(q, sizes))), "id": pa.array(ids[rows][np.concatenate([b for _, b in found])]), "score": pa.array(np.concatenate([s[b] for s, b in found]))}
+    """The best rows of a zone for each of its queries.
+
+    Rows stream past, sorted by zone, queries first; a task holds the queries of one zone and slice and their best rows.
+    Twice ``k`` are kept, so that equal vectors at the end of the list do not push out each other's smaller ids.
+    """
+    names, keep = ["class", "id", "score"], 2 * k
+
+    class Zone:
+        def __init__(self):
+            self.classes, self.asked, self.best, self.ids = [], [], None, None
+
+        def add(self, part: pa.RecordBatch):
+            asks, x, ids = part.column("asks").to_numpy(zero_copy_only=False), matrix(part.column("v")), part.column("id").to_numpy()
+            if asks.any():
+                self.asked.append(x[asks])
+                self.classes += part.column("class").filter(part.column("asks")).to_pylist()
+            own, ids = x[~asks], ids[~asks]
+            if not self.asked or not len(own):
+                return
+            if self.best is None:
+                self.q = np.concatenate(self.asked)
+                self.best, self.ids = np.full((len(self.q), keep), -np.inf), np.full((len(self.q), keep), -1, dtype=np.int64)
+            for a in range(0, len(self.q), 256):
+                rows = slice(a, a + 256)
+                scores = np.concatenate([self.best[rows], self.q[rows] @ own.T], axis=1)
+                place = np.argpartition(-scores, keep - 1, axis=1)[:, :keep]
+                everyone = np.concatenate([self.ids[rows], np.broadcast_to(ids, (len(scores), len(ids)))], axis=1)
+                self.best[rows], self.ids[rows] = np.take_along_axis(scores, place, 1), np.take_along_axis(everyone, place, 1)
+
+        def result(self):
+            if self.best is None:
+                return None
+            q, at = np.nonzero(np.isfinite(self.best))
+            classes = pa.array(self.classes, pa.string()).take(pa.array(q))
+            return pa.RecordBatch.from_arrays([classes, pa.array(self.ids[q, at]), pa.array(self.best[q, at])], names=names)
+
+    def run(batches):
+        zone, now = Zone(), None
+        for batch in batches:
+            keys = [batch.column(c).to_numpy() for c in ("curve", "zone", "slice")]
+            change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in keys], axis=0)) + 1 if batch.num_rows else []
+            for a, b in zip([0, *change], [*change, batch.num_rows]):
+                if a == b:
+                    continue
+                key = tuple(c[a] for c in keys)
+                if key != now:
+                    if (got := zone.result()) is not None:
+                        yield got
+                    zone, now = Zone(), key
+                for at in range(a, b, 2048):
+                    zone.add(batch.slice(at, min(2048, b - at)))
+        if (got := zone.result()) is not None:
+            yield got
 
     return run
 
@@ -190,17 +228,20 @@ def search(vectors: DataFrame, is_query: Column, key: str = "vec_id", column: st
     nearest = away.groupBy("q", "id").agg(F.min(F.abs(F.col("place") - F.col("own"))).alias("away"))
     window = int(nearest.agg(F.percentile("away", F.lit(reach))).first()[0] + 1)
 
-    # queries visit the blocks of their windows
+    # the windows are cut into zones, about ``ZONES`` to a window, and a query visits the zones that its window touches
     heads = placed.where("curve = 0").groupBy("class").agg(F.min(F.struct("id", "v")).alias("one")).select("class", F.col("one.v").alias("v"))
+    wide = max(block, -(-2 * window // ZONES))
     share = asked.count() / max(1, lengths["n"])
-    groups = max(1, int(np.ceil((2 * window + block) * share / QUERIES)))
-    low, high = F.floor(F.greatest(F.col("place") - window, F.lit(0)) / block), F.floor((F.col("place") + window) / block)
-    visits = query_places.join(heads, "class").select("class", F.lit(None).cast("long").alias("id"), "curve", F.explode(F.sequence(low, high)).alias("block"), F.pmod(F.xxhash64("class"), F.lit(groups)).cast("int").alias("slice"), "v", F.lit(True).alias("asks"))
-    stay = placed.select("class", "id", "curve", F.floor(F.col("place") / block).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("slice"), "v", F.lit(False).alias("asks"))
-    found = per_group(stay.unionByName(visits).withColumn("id", F.coalesce("id", F.lit(0))), ["curve", "block", "slice"], _compared(k + 1), "class string, id long, score double")
+    groups = max(1, int(np.ceil((2 * window + wide) * share / QUERIES)))
+    low, high = F.floor(F.greatest(F.col("place") - window, F.lit(0)) / wide), F.floor((F.col("place") + window) / wide)
+    visits = query_places.join(heads, "class").select("class", F.lit(0).cast("long").alias("id"), "curve", F.explode(F.sequence(low, high)).alias("zone"), F.pmod(F.xxhash64("class"), F.lit(groups)).cast("int").alias("slice"), F.lit(True).alias("asks"), "v")
+    stay = placed.select("class", "id", "curve", F.floor(F.col("place") / wide).alias("zone"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("slice"), F.lit(False).alias("asks"), "v")
+    by = ["curve", "zone", "slice"]
+    dealt_out = stay.unionByName(visits).repartition(*by).sortWithinPartitions(*by, F.desc("asks"), "id")
+    found = dealt_out.mapInArrow(_compared(k + 1), "class string, id long, score double")
 
     # merge, score exactly in order of the components, and rank for each query
-    merged = _top(found.groupBy("class", "id").agg(F.max("score").alias("score")), "class", k + 12).select("class", "id")
+    merged = _top(found.groupBy("class", "id").agg(F.max("score").alias("score")), "class", 2 * (k + 1)).select("class", "id")
     other = rows.select("id", F.col("v").alias("w"))
     exact = merged.join(other, "id").join(heads, "class")
     exact = exact.select("class", "id", F.aggregate(F.zip_with("v", "w", lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x).alias("score"))
