@@ -42,8 +42,8 @@ def extract_rows(grid: DataFrame) -> DataFrame:
                     lambda z: F.struct(z["label"].alias("label"), z["value"].alias("value"))).alias("courses"))
 
 
-def parse_rows(rows: DataFrame) -> DataFrame:
-    """Typed payment and contact columns plus the person key: phone, else e-mail, else the row itself."""
+def parse_rows(rows: DataFrame, *more: str) -> DataFrame:
+    """Typed payment and contact columns plus the person key: phone, else e-mail, else the row itself; and columns ``more``."""
     f = lambda name: F.element_at("fields", name)
     email = F.lower(sheet_text(f("email")))
     phone = normalize_phone(f("phone"))
@@ -54,7 +54,7 @@ def parse_rows(rows: DataFrame) -> DataFrame:
         sheet_text(f("fullNameTh")).alias("display_name"), sheet_text(f("fullNameEn")).alias("full_name_en"),
         sheet_text(f("nickname")).alias("nickname"), sheet_text(f("social")).alias("social_handle"),
         sheet_age(f("age")).alias("age_at_import"), sheet_text(f("saleRep")).alias("sale_rep"),
-        phone.alias("phone"), email.alias("email"), F.coalesce(phone, email, here).alias("person_key"))
+        phone.alias("phone"), email.alias("email"), F.coalesce(phone, email, here).alias("person_key"), *more)
 
 
 def _id(prefix: str, *parts) -> Column:
@@ -144,11 +144,10 @@ def amount_bucket(amount: Column) -> Column:
 
 
 def profiled(rows: DataFrame) -> DataFrame:
-    """Typed rows a profile counts: only those with a name."""
-    f = lambda name: F.element_at("fields", name)
-    parsed = parse_rows(rows).where("display_name is not null")
-    raw = rows.select("sheet", "row_number", F.floor(number(f("age"))).alias("whole_age"))
-    return parsed.join(raw, ["sheet", "row_number"]).withColumn("profile_age", F.when(F.col("whole_age").between(10, 90), F.col("whole_age")))
+    """Typed rows a profile counts, only those with a name; parsed once and written, as several counts read them."""
+    whole = F.floor(number(F.element_at("fields", "age")))
+    typed = parse_rows(rows.withColumn("whole_age", F.when(whole.between(10, 90), whole)), "whole_age")
+    return settle(typed.where("display_name is not null").withColumnRenamed("whole_age", "profile_age"))
 
 
 def sheet_fill(p: DataFrame) -> DataFrame:
@@ -159,28 +158,21 @@ def sheet_fill(p: DataFrame) -> DataFrame:
 
 
 def sheet_histograms(p: DataFrame) -> DataFrame:
-    """Long table (sheet, measure, bucket, n): amounts, months, courses per row, hits, sessions, reps, repeats, slips."""
-    n = F.count("*").alias("n")
-
-    def hist(df, measure, bucket):
-        return df.groupBy("sheet", F.lit(measure).alias("measure"), bucket.cast("string").alias("bucket")).agg(n)
+    """Long table (sheet, measure, bucket, n): amounts, months, courses per row, hits, sessions, reps, repeats, slips.
 
-    def reuse(key, measure):
+    One pass gives every row's buckets; only the two measures of reuse need a count per phone or slip first.
+    """
+    bucket = lambda measure, b, wanted: F.when(wanted, F.struct(F.lit(measure).alias("measure"), b.cast("string").alias("bucket")))
+    cells = F.filter(F.transform("courses", lambda c: F.struct(c["label"].alias("label"), squeeze(c["value"]).alias("v"))), lambda c: c["v"] != "")
+    of_cells = lambda measure, b: F.transform("cells", lambda c: F.struct(F.lit(measure).alias("measure"), b(c).alias("bucket")))
+    own = F.array(
+        bucket("amount", amount_bucket(F.col("amount")), F.col("amount").isNotNull()), bucket("month", F.month("paid_at"), F.col("paid_at").isNotNull()),
+        bucket("courses_per_row", F.size("cells"), F.lit(True)), bucket("sale_rep", F.col("sale_rep"), F.col("sale_rep").isNotNull()))
+    label = lambda c: F.concat(c["label"], F.lit(" / "), F.coalesce(safe_session_label(c["v"]), F.lit("")))
+    rows = p.select("sheet", "amount", "paid_at", "sale_rep", cells.alias("cells")).select(
+        "sheet", F.explode_outer(F.concat(own, of_cells("course_hits", lambda c: c["label"]), of_cells("course_sessions", label))).alias("b")).where("b IS NOT NULL")
+    out = rows.groupBy("sheet", "b.measure", "b.bucket").agg(F.count("*").alias("n"))
+    for key, measure in (("phone", "repeat_by_phone"), ("slip_no", "slip_reuse")):
         uses = p.where(F.col(key).isNotNull()).groupBy("sheet", key).agg(F.count("*").alias("uses"))
-        return hist(uses, measure, F.col("uses"))
-
-    cells = p.select("sheet", F.explode("courses").alias("c")).select("sheet", F.col("c.label").alias("label"), squeeze(F.col("c.value")).alias("v"))
-    cells = cells.where("v <> ''")
-    per_row = F.size(F.filter("courses", lambda c: squeeze(c["value"]) != ""))
-    parts = [
-        hist(p.where("amount is not null"), "amount", amount_bucket(F.col("amount"))),
-        hist(p.where("paid_at is not null"), "month", F.month("paid_at")),
-        hist(p, "courses_per_row", per_row),
-        hist(cells, "course_hits", F.col("label")),
-        hist(cells, "course_sessions", F.concat(F.col("label"), F.lit(" / "), F.coalesce(safe_session_label(F.col("v")), F.lit("")))),
-        hist(p.where("sale_rep is not null"), "sale_rep", F.col("sale_rep")),
-        reuse("phone", "repeat_by_phone"), reuse("slip_no", "slip_reuse")]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+        out = out.unionByName(uses.groupBy("sheet", F.lit(measure).alias("measure"), F.col("uses").cast("string").alias("bucket")).agg(F.count("*").alias("n")))
     return out
