@@ -119,10 +119,31 @@ def quarantine(t):
     return P.quarantine_table(log(t)).select("event_id", "reason")
 
 
-@query("partner_reconcile_report", f"""{LOG} SELECT count(DISTINCT e) AS scanned, 0 AS resolved, count(DISTINCT CASE WHEN NOT amb THEN e END) AS still_pending,
-    count(DISTINCT CASE WHEN amb THEN e END) AS ambiguous FROM (SELECT e, arg_max(amb, (revision, k)) AS amb FROM log2 WHERE status = 'pending_identity' GROUP BY e)""")
+LATER = """lph AS (SELECT phone, count(*) AS n, min(customer_id) AS owner FROM customers WHERE (status = 'active' OR c_custkey % 20 = 1) AND phone IS NOT NULL GROUP BY 1),
+  lem AS (SELECT email, count(*) AS n, min(customer_id) AS owner FROM customers WHERE (status = 'active' OR c_custkey % 20 = 1) AND email IS NOT NULL GROUP BY 1),
+  pd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY e ORDER BY revision DESC, k DESC) AS rp FROM log2 WHERE status = 'pending_identity' AND type = 'purchase') WHERE rp = 1),
+  rc AS (SELECT pd.e AS re, CASE WHEN by_line THEN lid WHEN lph.n = 1 THEN lph.owner WHEN lph.n IS NULL AND lem.n = 1 THEN lem.owner END AS rcust,
+    NOT by_line AND (coalesce(lph.n > 1, FALSE) OR (lph.n IS NULL AND coalesce(lem.n > 1, FALSE))) AS ramb
+    FROM pd LEFT JOIN lph ON lph.phone = '+66' || substr(pd.phone, 2) LEFT JOIN lem ON lem.email = pd.email)"""
+
+
+def _found_later(t, events):
+    """Waiting events looked up again after every twentieth customer came back."""
+    back = F.when(F.col("c_custkey") % 20 == 1, "active").otherwise(F.col("status"))
+    return P.reconcile_pending(events, t.identities, t.customers.withColumn("status", back))
+
+
+@query("partner_reconcile_report", f"""{LOG}, {LATER} SELECT count(*) AS scanned, count(rcust) AS resolved, count(CASE WHEN NOT ramb AND rcust IS NULL THEN 1 END) AS still_pending,
+    count(CASE WHEN ramb THEN 1 END) AS ambiguous FROM rc""")
 def reconcile(t):
-    return P.reconcile_report(P.reconcile_pending(log(t), t.identities, t.customers))
+    return P.reconcile_report(_found_later(t, log(t)))
+
+
+@query("reconciled_purchases", f"""{LOG}, {FOLD}, {LATER} SELECT 'ord-' || cur.e AS event_id,
+    coalesce(CASE WHEN b_out = 'ok' THEN b_cust END, cust, CASE WHEN cur.status = 'pending_identity' THEN rcust END) AS customer_id FROM cur LEFT JOIN rc ON re = cur.e""")
+def reconciled_purchases(t):
+    events = log(t)
+    return P.fold_purchases(P.reconciled(events, _found_later(t, events)))[0].select("event_id", "customer_id")
 
 
 @query("partner_corrections", f"""{LOG} SELECT count(*) AS fixed FROM (SELECT e FROM log2 WHERE outcome = 'quarantined' AND type = 'purchase' AND k % 10 <> 7 AND k % 10 <> 6 AND k % 17 = 0)""")

@@ -435,5 +435,14 @@ def reconcile_pending(log: DataFrame, identities: DataFrame, customers: DataFram
     return found.withColumn("result", F.when(F.col("ambiguous"), "ambiguous").when(F.col("customer_id").isNotNull(), "resolved").otherwise("still_pending"))
 
 
+def reconciled(log: DataFrame, found: DataFrame) -> DataFrame:
+    """The log after a look-up: resolved events get their owner and count as accepted, the others stay as they are."""
+    won = found.where("result = 'resolved'").select(*EVENT, F.col("customer_id").alias("_owner"), F.col("evidence").alias("_evidence"))
+    j = log.join(won, EVENT, "left")
+    hit = F.col("_owner").isNotNull() & (F.col("status") == "pending_identity")
+    return j.withColumns({"customer_id": F.when(hit, F.col("_owner")).otherwise(F.col("customer_id")), "reason": F.when(hit, F.col("_evidence")).otherwise(F.col("reason")),
+                          "status": F.when(hit, "accepted").otherwise(F.col("status"))}).select(*log.columns)
+
+
 def reconcile_report(found: DataFrame) -> DataFrame:
     return found.agg(F.count("*").alias("scanned"), *[F.count_if(F.col("result") == r).alias(r) for r in ("resolved", "still_pending", "ambiguous")])
