@@ -130,19 +130,19 @@ def drawn(sources: DataFrame, seed: int, block: int, shard: int, repeats: int) -
     return slot.select("source", permuted(F.pmod("j", "blocks"), F.col("blocks"), key).alias("block_no"), turn.alias("pass"))
 
 
-def mix(docs: DataFrame, seed: int = 11, block: int = BLOCK, shard: int = SHARD, weights: tuple = WEIGHTS, repeats: int = REPEATS) -> tuple:
-    """(documents, pieces) of a mix of ``docs``, which has ``key``, ``source`` and ``size``.
+def mix(docs: DataFrame, seed: int = 11, block: int = BLOCK, shard: int = SHARD, weights: tuple = WEIGHTS, repeats: int = REPEATS, carry: tuple = ()) -> tuple:
+    """(documents, pieces) of a mix of ``docs``, which has ``key``, ``source`` and ``size``; columns ``carry`` go along.
 
     documents: key, source, size, source_size, target, start. pieces: key, start, from_word, to_word, pass: the words of a
     document that one taken block holds, counted within the document.
     """
-    rows = settle(placed(settle(docs.select("key", "source", "size")), seed))
+    rows = settle(placed(settle(docs.select("key", "source", "size", *carry)), seed))
     sources = settle(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, repeats))
     taken = drawn(sources, seed, block, shard, repeats).select(F.col("source").alias("s"), "block_no", "pass")
     end = F.col("start") + F.col("size")
-    by_block = rows.where("size > 0").select("key", "source", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((end - 1) / block))).alias("at"))
+    by_block = rows.where("size > 0").select("key", "source", "start", "size", *carry, F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((end - 1) / block))).alias("at"))
     pieces = by_block.join(taken, by_block.source.eqNullSafe(taken.s) & (by_block["at"] == taken.block_no)).select(
-        "key", "source", "start", "size", "pass",
+        "key", "source", "start", "size", "pass", *carry,
         F.greatest(F.col("at") * block - F.col("start"), F.lit(0)).alias("from_word"), F.least((F.col("at") + 1) * block - F.col("start"), "size").alias("to_word"))
     named = sources.select(F.col("source").alias("s"), "source_size", "target")
     return rows.join(named, rows.source.eqNullSafe(named.s)).drop("s"), pieces
@@ -162,17 +162,16 @@ def mixed(docs: DataFrame, seed: int = 11, block: int = BLOCK) -> DataFrame:
     Runs of words keep the white space between them; words of blocks that the mix leaves out are missing, and a document
     none of whose blocks is taken has no row. ``n_chars``, where there is one, is the length of the new text.
     """
-    mine, k, src, runs_, words_ = (free_name(docs, x) for x in ("mix_key", "mix_taken", "mix_source", "mix_runs", "mix_words"))
-    keyed = settle(docs.withColumn(mine, F.xxhash64(F.col("doc_id"), F.col("text"))))
-    _, pieces = mix(keyed.select(F.col(mine).alias("key"), "source", words_in(F.col("text")).alias("size")), seed, block)
-    runs = pieces.groupBy("key", "source", "start", "pass").agg(F.sort_array(F.collect_list(F.struct("from_word", "to_word"))).alias(runs_))
-    runs = runs.select(F.col("key").alias(k), F.col("source").alias(src), runs_)
-    # equal rows lie at different places of their source's stream, so each has its own runs of one and the same text
-    one = keyed.dropDuplicates([mine, "source"])
-    both = one.join(runs, (F.col(mine) == F.col(k)) & F.col("source").eqNullSafe(F.col(src)))
-    both = both.withColumn(words_, F.split(F.regexp_replace("text", f"^{SPACE}+", ""), f"(?<={SPACE})(?={WORD[:-1]})"))
-    text = F.array_join(F.flatten(F.transform(runs_, lambda r: F.slice(F.col(words_), (r["from_word"] + 1).cast("int"), (r["to_word"] - r["from_word"]).cast("int")))), "")
-    both = both.withColumn("text", text)
+    mine, k, runs_ = (free_name(docs, x) for x in ("mix_row", "mix_taken", "mix_runs"))
+    keyed = settle(docs.withColumn(mine, F.monotonically_increasing_id()))  # written, so a row keeps its number
+    key = F.xxhash64("doc_id", "text")  # the order of the mix hangs on contents alone
+    _, pieces = mix(keyed.select(key.alias("key"), "source", words_in(F.col("text")).alias("size"), F.col(mine).alias("row")), seed, block, carry=("row",))
+    runs = pieces.groupBy("row", "pass").agg(F.sort_array(F.collect_list(F.struct("from_word", "to_word"))).alias(runs_))
+    both = keyed.join(runs.select(F.col("row").alias(k), runs_), F.col(mine) == F.col(k))
+    words = F.split(F.regexp_replace("text", f"^{SPACE}+", ""), f"(?<={SPACE})(?={WORD[:-1]})")
+    # the words are bound to a variable: as a column, the optimizer would split the text once more for every run
+    taken = lambda w: F.array_join(F.flatten(F.transform(runs_, lambda r: F.slice(w, (r["from_word"] + 1).cast("int"), (r["to_word"] - r["from_word"]).cast("int")))), "")
+    both = both.withColumn("text", F.transform(F.array(words), taken)[0])
     if "n_chars" in docs.columns:
         both = both.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return both.select(*docs.columns)
