@@ -25,6 +25,8 @@ from patronage.llm.shared import text_batches
 KINDS = ("email", "ip", "card", "phone")
 #: Most documents of the training sample, windows of the training, characters of a window and around an anchor.
 SAMPLE, TRAINED, WINDOW, AROUND = 2000, 1500, 96, 24
+#: Characters of the longest text in the training sample; tagging reads texts of any length.
+LONGEST = 20_000
 #: Least mean marginal of a span that the tagger may add.
 SURE = 0.9
 
@@ -227,20 +229,25 @@ def gold(text: str, start: int, spans: list) -> np.ndarray:
     return y
 
 
-def train(texts: list, trained: int = TRAINED) -> Tagger | None:
-    """A tagger from texts whose labelled spans are the base spans; at most ``trained`` windows, half of them with spans."""
-    with_spans, without = [], []
-    for text in texts:
-        spans, codes = base_spans(text), classes(text)
-        for start in windows(text):
-            y = gold(text, start, spans)
-            (with_spans if y.any() else without).append((padded(codes, start), y))
+def examples(text: str) -> list:
+    """(start, codes, tags) of the text's windows; the labelled spans are the base spans."""
+    spans, codes = base_spans(text), classes(text)
+    return [(start, padded(codes, start).astype(np.uint8), gold(text, start, spans).astype(np.uint8)) for start in windows(text)]
+
+
+def train_on(rows: list, trained: int = TRAINED) -> Tagger | None:
+    """A tagger from (codes, tags); at most ``trained`` windows, half of them with spans."""
+    with_spans, without = [r for r in rows if r[1].any()], [r for r in rows if not r[1].any()]
     if not with_spans:
         return None
     r = np.random.default_rng(3)
     pick = lambda rows, n: [rows[k] for k in r.permutation(len(rows))[:n]]
-    rows = pick(with_spans, trained // 2) + pick(without, trained - min(len(with_spans), trained // 2))
-    return Tagger().fit(np.stack([x for x, _ in rows]), np.stack([y for _, y in rows]))
+    some = pick(with_spans, trained // 2) + pick(without, trained - min(len(with_spans), trained // 2))
+    return Tagger().fit(np.stack([x for x, _ in some]).astype(np.int64), np.stack([y for _, y in some]).astype(np.int64))
+
+
+def train(texts: list, trained: int = TRAINED) -> Tagger | None:
+    return train_on([(x, y) for text in texts for _, x, y in examples(text)], trained)
 
 
 def reconciled(base: list, found: dict) -> list:
@@ -305,11 +312,25 @@ def added_spans(texts: list, bases: list, tagger: Tagger | None, group: int = 51
 SPAN = StructType([StructField("start", IntegerType(), False), StructField("end", IntegerType(), False), StructField("kind", StringType(), False), StructField("base", BooleanType(), False)])
 
 
-def fit(docs: DataFrame, key: str = "doc_id", sample: int = SAMPLE) -> Tagger | None:
-    """The tagger for ``docs``; at most ``sample`` texts with a digit or ``@``, picked by hash of key and text size."""
-    some = docs.where(F.col("text").rlike("[0-9@]") & (F.length("text") <= 20_000))
-    picked = some.select(F.xxhash64(F.col(key).cast("string"), F.length("text")).alias("h"), "text").orderBy("h", "text").limit(sample)
-    return train(sorted(r.text for r in picked.collect()))
+def _examples(batches):
+    for batch, texts in text_batches(batches):
+        rows = [(h, *e) for h, text in zip(batch.column("h").to_pylist(), texts) for e in examples(text)]
+        h, start, codes, tags = zip(*rows) if rows else ((), (), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(start, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array([t.tobytes() for t in tags], pa.binary())],
+                                         names=["h", "start", "codes", "tags"])
+
+
+def fit(docs: DataFrame, key: str = "doc_id", sample: int = SAMPLE, longest: int = LONGEST) -> Tagger | None:
+    """The tagger for ``docs``: from the windows of at most ``sample`` texts with a digit or ``@`` and up to ``longest`` characters.
+
+    They are picked by hash of key and text. Texts stay on the executors; windows of fixed size come to the driver.
+    """
+    h = F.xxhash64(F.col(key).cast("string"), F.col("text")).alias("h")
+    some = docs.where(F.col("text").rlike("[0-9@]") & (F.length("text") <= longest)).select(h, "text")
+    picked = some.select("h").distinct().orderBy("h").limit(sample)
+    rows = some.join(F.broadcast(picked), "h").mapInArrow(_examples, "h long, start int, codes binary, tags binary").dropDuplicates(["h", "start"])
+    found = sorted((r.h, r.start, bytes(r.codes), bytes(r.tags)) for r in rows.collect())
+    return train_on([(np.frombuffer(x, dtype=np.uint8), np.frombuffer(y, dtype=np.uint8)) for _, _, x, y in found])
 
 
 def tag(docs: DataFrame, tagger: Tagger | None, to: str = "spans") -> DataFrame:
