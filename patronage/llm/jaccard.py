@@ -11,8 +11,9 @@ Exact, by a grouped prefix join:
    tokens with, in two rounds of groups and leaders, and linked nodes are merged. Large groups of near copies become one
    component here with one comparison per node and round.
 4. What is left are pairs of nodes that share a token but belong to different components. Groups with one component are
-   dropped whole; in the others only pairs across components are expanded, and only those that share enough tokens of
-   their prefixes for the threshold are verified. So no link between components is lost, and none within one is listed.
+   dropped whole. In the others, nodes of one component and size with identical shared prefix tokens are one group; pairs
+   of groups across components that share enough tokens for the threshold are expanded to their members and verified. So no
+   link between components is lost, and none within one is listed.
 5. Whole sets are made again from the text for the nodes to be verified only; a bitmap of fixed size tells which.
 
 Defined results: a null or empty text, or one of white space, has no shingles and links with nothing; fewer words than a
@@ -214,9 +215,17 @@ def join(docs: DataFrame, key: str = "doc_id", percent: int = PERCENT, rounds: i
     now = entries.select("token", "node", "n").join(member, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = now.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("token")
     mixed = settle(now.join(mixed, "token"))
-    across = mixed.alias("s").join(mixed.alias("t"), (F.col("s.token") == F.col("t.token")) & (F.col("s.component") < F.col("t.component")) & _similar_sizes(F.col("s.n"), F.col("t.n"), percent))
+    # nodes of one component and size that share the same tokens with others are one group, whose least node stands for it
+    lists = mixed.groupBy("node", "n", "component").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
+    lists = lists.select("node", "n", "component", F.xxhash64("tokens").alias("l1"), F.xxhash64(F.lit(1), "tokens").alias("l2"))
+    alike = ["component", "n", "l1", "l2"]
+    groups = settle(lists.join(lists.groupBy(*alike).agg(F.min("node").alias("group")), alike).select("node", "group"))
+    standing = mixed.join(groups.where("node = group"), "node", "left_semi")
+    across = standing.alias("s").join(standing.alias("t"), (F.col("s.token") == F.col("t.token")) & (F.col("s.component") < F.col("t.component")) & _similar_sizes(F.col("s.n"), F.col("t.n"), percent))
     counted = across.groupBy(F.col("s.node").alias("a"), F.col("t.node").alias("b"), F.col("s.n").alias("m"), F.col("t.n").alias("n")).agg(F.count("*").alias("shared"))
-    left = counted.where(F.col("shared") >= _needed(F.col("m"), F.col("n"), percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    enough = counted.where(F.col("shared") >= _needed(F.col("m"), F.col("n"), percent)).select(F.col("a").alias("ga"), F.col("b").alias("gb"))
+    members = enough.join(groups.select(F.col("group").alias("ga"), F.col("node").alias("a")), "ga").join(groups.select(F.col("group").alias("gb"), F.col("node").alias("b")), "gb")
+    left = members.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = verified(settle(left.join(first, ["a", "b"], "left_anti")))
     member = components(first.unionByName(rest).where("linked").select("a", "b"))
 
