@@ -98,6 +98,34 @@ def test_dropout_is_seeded_varied_and_lossless(spark, folder):
     assert all(w.long(long) == w.pieces(long) for w in one.words)
 
 
+def test_dropout_decides_every_occurrence(spark, folder):
+    encoder, unit, n = pieces.Encoder(PIECES, seed=4), "▁thonanathering", 4000
+    surface, words = encoder.model.surface, encoder.words[0]
+    ids, ways, at = np.frombuffer(encoder.encode(" ".join([unit[1:]] * n)), dtype=np.int32).tolist(), [], 0
+    while at < len(ids):
+        b = at + 1
+        while b"".join(map(surface.__getitem__, ids[at:b])) != unit.replace("▁", " ").encode():
+            b += 1
+        ways.append(tuple(ids[at:b]))
+        at = b
+    assert len(ways) == n and len(set(ways)) > 20
+    # a way by the dropped occurrences alone, one by one
+    plain = tuple(pieces.Encoder(PIECES, rate=0.0).words[0].pieces(unit))
+    one_by_one = [tuple(words.pieces(unit, int(k))) for k in pieces.mixed(np.arange(1, n + 1, dtype=np.uint64))]
+    shares = [x.count(plain) / n for x in (ways, one_by_one)]
+    assert 0.1 < shares[0] < 0.9 and abs(shares[0] - shares[1]) < 0.06
+
+
+def test_dropout_is_the_same_in_batches_and_one_by_one(spark, folder, monkeypatch):
+    texts = [t for t in texts_of(spark, folder, 30) if t] + ["▁a ▁▁ b▁", "", "漢字\x00é " * 40, "-" * 90 + " x", "x" * 500]
+    together, sizes = pieces.Encoder(PIECES, seed=4).encode_all(texts)
+    alone = [pieces.Encoder(PIECES, seed=4).encode(t) for t in texts]
+    assert b"".join(alone) == together.tobytes() and [len(x) // 4 for x in alone] == sizes.tolist()
+    monkeypatch.setattr(pieces, "WIDTHS", ())
+    monkeypatch.setattr(pieces, "WIDE", 1)
+    assert pieces.Encoder(PIECES, seed=4).encode_all(texts)[0].tolist() == together.tolist()
+
+
 def test_pieces_edges(spark, odd_docs):
     got = pieces.decode(pieces.encode(odd_docs, PIECES), PIECES).collect()
     assert len(got) == odd_docs.count() and all(r.decoded == (r.text or "") for r in got) and got[0].score == "own score"
