@@ -156,6 +156,27 @@ def corrections(t):
     return fixed.agg(F.count("*").alias("fixed"))
 
 
+@query("partner_corrected_events", f"""{LOG}, q AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY e ORDER BY revision DESC, k DESC) AS rq FROM log2 WHERE status = 'quarantined') WHERE rq = 1),
+    reach AS (SELECT e AS te, max(revision) AS top FROM log2 WHERE status IN ('accepted', 'pending_identity', 'quarantined') GROUP BY 1),
+    fo AS (SELECT * FROM (SELECT e AS oe, cust AS owner, row_number() OVER (PARTITION BY e ORDER BY k) AS ro FROM log2 WHERE outcome = 'ok') WHERE ro = 1),
+    own AS (SELECT q.*, top, oe, owner, CASE WHEN type = 'purchase.void' THEN NULL WHEN by_line THEN lid WHEN mk AND type <> 'tag' THEN 'cus_' || left(sha256('line|partner|' || line_user_id), 26)
+      WHEN pn = 1 THEN po WHEN pn IS NULL AND en = 1 THEN eo END AS fcust FROM q LEFT JOIN reach ON te = e LEFT JOIN fo ON oe = e),
+    fx AS (SELECT *, CASE WHEN revision + 1 <= top THEN 'duplicate' WHEN type = 'purchase' AND oe IS NOT NULL AND fcust IS NOT NULL AND fcust IS DISTINCT FROM owner THEN 'rejected'
+      WHEN type = 'tag' THEN 'quarantined' WHEN type = 'purchase' AND coalesce(fcust, owner) IS NULL THEN 'pending_identity' ELSE 'accepted' END AS fst FROM own),
+    tg AS (SELECT e AS ge, min(came) AS came FROM (SELECT e, k AS came FROM log2 WHERE type = 'purchase' AND status IN ('accepted', 'pending_identity')
+      UNION ALL SELECT e, k + 1000000000 FROM fx WHERE type = 'purchase' AND fst IN ('accepted', 'pending_identity')) GROUP BY 1)
+    SELECT 'ord-' || fx.e AS event_id, revision + 1 AS revision, CASE WHEN type = 'purchase' THEN 'COMMU' END AS course,
+      CASE WHEN type = 'purchase.void' AND fst = 'accepted' AND NOT coalesce(tg.came < fx.k + 1000000000, FALSE) THEN 'quarantined' ELSE fst END AS status
+    FROM fx LEFT JOIN tg ON fx.type = 'purchase.void' AND ge = fx.k - 1""")
+def corrected_events(t):
+    """What becomes of every event with a row in quarantine, re-sent orders and lost voids included, after a fix of its course."""
+    none = F.lit(None).cast("string")
+    fixes = log(t).where("status = 'quarantined'").groupBy("partner_id", "event_id").agg(F.max(F.struct("revision", "seq")).alias("l")).select(
+        "partner_id", "event_id", (F.col("l.seq") + 1_000_000_000).alias("fix_seq"), F.lit("COMMU").alias("fix_course"), none.alias("fix_status"), none.alias("fix_voids"))
+    fixed = P.intake(t.partner_raw, t.identities, t.customers, fixes).where("seq >= 1000000000")
+    return fixed.select("event_id", "revision", F.when(F.col("type") == "purchase", F.get("lines", F.lit(0))["course_code"]).alias("course"), "status")
+
+
 @query("partner_review_candidates", f"""{LOG}, ev AS (SELECT k, '+66' || substr(l.phone, 2) AS phone, l.email, CASE WHEN k % 3 = 0 THEN n.display_name END AS name
       FROM log2 l LEFT JOIN customers n ON n.c_custkey = l.c WHERE l.status IN ('quarantined', 'pending_identity')),
     hits AS (SELECT k, customer_id, 'phone' AS how FROM ev JOIN customers c ON c.phone = ev.phone WHERE status = 'active'

@@ -334,11 +334,16 @@ def intake(raw: DataFrame, identities: DataFrame, customers: DataFrame, correcti
     """The event log: every arrival with its status and reason."""
     from patronage.operators.identity import resolve_subjects
     parsed = settle(parse_events(raw))
-    if corrections is not None:
-        parsed = parsed.unionByName(corrected(parsed, corrections))
     make = (F.col("outcome") == "ok") & (F.col("type") != "erase")
-    owned = settle(resolve_subjects(parsed, identities, customers, make))
-    return settle(judge_voids(settle_revisions(owned)))
+
+    def judged(arrivals):
+        owned = settle(resolve_subjects(arrivals, identities, customers, make))
+        return settle(judge_voids(settle_revisions(owned)))
+
+    if corrections is None:
+        return judged(parsed)
+    held = judged(parsed).where("status = 'quarantined'").select(*EVENT, "seq")
+    return judged(parsed.unionByName(corrected(parsed.join(held, [*EVENT, "seq"], "left_semi"), corrections)))
 
 
 def intake_summary(log: DataFrame) -> DataFrame:
@@ -406,13 +411,12 @@ def quarantine_table(log: DataFrame) -> DataFrame:
 
 
 def corrected(parsed: DataFrame, corrections: DataFrame) -> DataFrame:
-    """Staff corrections as further parsed arrivals: the latest quarantined version plus one revision.
+    """Staff corrections as further parsed arrivals: the latest version of ``parsed``, the rows in quarantine, plus one revision.
 
     ``corrections``: partner_id, event_id, fix_seq (arrival order), fix_course, fix_status, fix_voids.
     """
-    bad = parsed.where("outcome = 'quarantined'")
     rest = [c for c in parsed.columns if c not in (*EVENT, "revision", "seq")]
-    last = bad.groupBy(*EVENT).agg(F.max(F.struct("revision", "seq", F.struct(*rest).alias("r"))).alias("t")).select(
+    last = parsed.groupBy(*EVENT).agg(F.max(F.struct("revision", "seq", F.struct(*rest).alias("r"))).alias("t")).select(
         *EVENT, (F.col("t.revision") + 1).alias("revision"), "t.r.*")
     fix = F.col("fix_course")
     lines = F.transform("lines", lambda x: x.withField("course_code", fix).withField("course_label", fix))
