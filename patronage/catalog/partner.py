@@ -177,6 +177,18 @@ def corrected_events(t):
     return fixed.select("event_id", "revision", F.when(F.col("type") == "purchase", F.get("lines", F.lit(0))["course_code"]).alias("course"), "status")
 
 
+def _waiting(t):
+    """Every waiting event with its contacts and the name of its customer."""
+    waiting = log(t).where("status in ('quarantined', 'pending_identity')").select(F.col("seq").alias("k"))
+    names = t.customers.select(F.col("c_custkey").alias("c"), "display_name")
+    return t.partner_feed.join(waiting, "k", "left_semi").join(names, "c", "left").select(
+        "k", F.concat(F.lit("ord-"), F.col("k").cast("string")).alias("event_id"), P.normalize_phone(F.col("phone")).alias("phone"), "email", "display_name")
+
+
+def _candidates(t, events):
+    return N.match_candidates_for(events, t.customers).select("event_id", "candidate_id", F.concat_ws(",", "matched_by").alias("matched_by"))
+
+
 @query("partner_review_candidates", f"""{LOG}, ev AS (SELECT k, '+66' || substr(l.phone, 2) AS phone, l.email, CASE WHEN k % 3 = 0 THEN n.display_name END AS name
       FROM log2 l LEFT JOIN customers n ON n.c_custkey = l.c WHERE l.status IN ('quarantined', 'pending_identity')),
     hits AS (SELECT k, customer_id, 'phone' AS how FROM ev JOIN customers c ON c.phone = ev.phone WHERE status = 'active'
@@ -185,12 +197,18 @@ def corrected_events(t):
     g AS (SELECT k, customer_id, string_agg(how, ',' ORDER BY how) AS matched_by, count(*) AS n FROM hits GROUP BY 1, 2)
     SELECT 'ord-' || k AS event_id, customer_id AS candidate_id, matched_by FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n DESC, customer_id) AS rn FROM g) WHERE rn <= 20""")
 def review_candidates(t):
-    waiting = log(t).where("status in ('quarantined', 'pending_identity')").select(F.col("seq").alias("k"))
-    names = t.customers.select(F.col("c_custkey").alias("c"), "display_name")
-    ev = t.partner_feed.join(waiting, "k", "left_semi").join(names, "c", "left").select(
-        F.concat(F.lit("ord-"), F.col("k").cast("string")).alias("event_id"), P.normalize_phone(F.col("phone")).alias("phone"), "email",
-        F.when(F.col("k") % 3 == 0, F.col("display_name")).alias("display_name"))
-    return N.match_candidates_for(ev, t.customers).select("event_id", "candidate_id", F.concat_ws(",", "matched_by").alias("matched_by"))
+    return _candidates(t, _waiting(t).withColumn("display_name", F.when(F.col("k") % 3 == 0, F.col("display_name"))))
+
+
+@query("partner_review_all_candidates", f"""{LOG}, ev AS (SELECT k, '+66' || substr(l.phone, 2) AS phone, l.email, n.display_name AS name
+      FROM log2 l LEFT JOIN customers n ON n.c_custkey = l.c WHERE l.status IN ('quarantined', 'pending_identity')),
+    hits AS (SELECT k, customer_id, 'phone' AS how FROM ev JOIN customers c ON c.phone = ev.phone WHERE status = 'active'
+      UNION SELECT k, customer_id, 'email' FROM ev JOIN customers c ON c.email = ev.email WHERE status = 'active'
+      UNION SELECT k, customer_id, 'name' FROM ev JOIN customers c ON c.display_name = ev.name WHERE status = 'active'),
+    g AS (SELECT k, customer_id, string_agg(how, ',' ORDER BY how) AS matched_by, count(*) AS n FROM hits GROUP BY 1, 2)
+    SELECT 'ord-' || k AS event_id, customer_id AS candidate_id, matched_by FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n DESC, customer_id) AS rn FROM g) WHERE rn <= 20""")
+def review_all_candidates(t):
+    return _candidates(t, _waiting(t))
 
 
 @query("contact_conflicts", """WITH o AS (SELECT customer_id, phone FROM customers WHERE status = 'active' AND phone IS NOT NULL),

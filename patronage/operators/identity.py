@@ -172,12 +172,23 @@ def apply_merges(customers: DataFrame, merges: DataFrame, now: str) -> DataFrame
 
 
 def match_candidates_for(events: DataFrame, customers: DataFrame, limit: int = 20) -> DataFrame:
-    """Customers a reviewer may pick for an event: same phone, e-mail or exact name, with what matched."""
+    """Customers a reviewer may pick for an event: same phone, e-mail or exact name, with what matched.
+
+    A customer found by name alone ranks by id, so beyond the first ``limit`` customers of a name only those with a second
+    match can be shown: a frequent name is never joined whole.
+    """
     live = customers.where("status = 'active'")
-    parts = [events.where(F.col(c).isNotNull()).select("event_id", c).join(
-        live.select(F.col("customer_id").alias("candidate_id"), c), c).select("event_id", "candidate_id", F.lit(tag).alias("by"))
-        for c, tag in (("phone", "phone"), ("email", "email"), ("display_name", "name"))]
-    rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("event_id", "candidate_id").agg(
+    named = live.where("display_name is not null").select(F.col("customer_id").alias("candidate_id"), "display_name")
+    low = Window.partitionBy("display_name").orderBy("candidate_id")
+    first = named.withColumn("_r", F.row_number().over(low)).where(F.col("_r") <= limit).drop("_r")
+    names = events.where("display_name is not null").select("event_id", "display_name")
+    contacts = [events.where(F.col(c).isNotNull()).select("event_id", c).join(
+        live.select(F.col("customer_id").alias("candidate_id"), c, F.col("display_name")), c).select("event_id", "candidate_id", "display_name", F.lit(c).alias("by"))
+        for c in ("phone", "email")]
+    found = contacts[0].unionByName(contacts[1])
+    by_name = names.join(first, "display_name").select("event_id", "candidate_id").unionByName(
+        found.join(names, ["event_id", "display_name"]).select("event_id", "candidate_id"))
+    rows = found.drop("display_name").unionByName(by_name.withColumn("by", F.lit("name"))).groupBy("event_id", "candidate_id").agg(
         F.sort_array(F.collect_set("by")).alias("matched_by"))
     best = Window.partitionBy("event_id").orderBy(F.desc(F.size("matched_by")), "candidate_id")
     return rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
