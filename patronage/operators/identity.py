@@ -151,24 +151,39 @@ def rekey(child: DataFrame, merges: DataFrame) -> DataFrame:
 
 
 def apply_merges(customers: DataFrame, merges: DataFrame, now: str) -> DataFrame:
-    """Customers after merges: winners take over what they miss, losers become tombstones."""
-    ts = F.lit(now).cast("timestamp")
-    fill = [c for c in FILL_FORWARD if c in customers.columns]
+    """Customers after merges: winners take over what they miss, losers become tombstones.
+
+    Sources and tags unite, counters add up, consent is filled as a whole where the winner has none, first and last contact
+    widen, and both sides become dirty; of the columns that customers may lack, those present are written.
+    """
+    ts, none = F.lit(now).cast("timestamp"), F.array().cast("array<string>")
+    have = lambda *names: [c for c in names if c in customers.columns]
+    fill, counters, consent = have(*FILL_FORWARD), have("milestones", "form_submits"), have("consent_data", "consent_marketing")
+    own = {"sources": F.array_compact(F.array_union(F.array("source_channel"), F.coalesce("sources", none) if have("sources") else none))}
+    own |= {c: F.coalesce(c, none) for c in have("tags")}
     losers = customers.join(merges.withColumnRenamed("loser_id", "customer_id"), "customer_id")
-    first = [F.min(F.when(F.col(c).isNotNull() & (F.col(c).cast("string") != ""), F.struct("customer_id", c)))[c].alias(f"_f_{c}") for c in fill]
-    gained = losers.groupBy(F.col("winner_id").alias("customer_id")).agg(
-        *first, F.min("first_interaction_at").alias("_first"), F.flatten(F.collect_set(F.array("source_channel"))).alias("_sources"))
+    gains = [F.min(F.when(F.col(c).isNotNull() & (F.col(c).cast("string") != ""), F.struct("customer_id", c)))[c].alias(f"_f_{c}") for c in fill]
+    gains += [F.array_distinct(F.flatten(F.collect_set(x))).alias(f"_u_{c}") for c, x in own.items()]
+    gains += [F.sum(F.coalesce(c, F.lit(0))).alias(f"_n_{c}") for c in counters]
+    gains += [F.max("last_interaction_at").alias("_last")] if have("last_interaction_at") else []
+    given = F.coalesce(*[F.col(c).cast("string") for c in consent]).isNotNull() if consent else None
+    gains += [F.min(F.when(given, F.struct("customer_id", *consent))).alias("_consent")] if consent else []
+    gained = losers.groupBy(F.col("winner_id").alias("customer_id")).agg(*gains, F.min("first_interaction_at").alias("_first"), F.lit(True).alias("_won"))
     tomb = merges.select(F.col("loser_id").alias("customer_id"), F.col("winner_id").alias("_into"))
     j = customers.join(gained, "customer_id", "left").join(tomb, "customer_id", "left")
-    lost, won = F.col("_into").isNotNull(), F.col("_sources").isNotNull()
+    lost, won = F.col("_into").isNotNull(), F.col("_won").isNotNull()
     blank = lambda c: F.col(c).isNull() | (F.col(c).cast("string") == "")
     out = {c: F.when(blank(c) & F.col(f"_f_{c}").isNotNull(), F.col(f"_f_{c}")).otherwise(F.col(c)) for c in fill}
+    out |= {c: F.array_sort(F.array_union(x, F.coalesce(f"_u_{c}", none))) for c, x in own.items()}
+    out |= {c: F.when(won, F.coalesce(c, F.lit(0)) + F.col(f"_n_{c}")).otherwise(F.col(c)) for c in counters}
+    out |= {c: F.when(given, F.col(c)).otherwise(F.col("_consent")[c]) for c in consent}
+    out |= {"last_interaction_at": F.greatest("last_interaction_at", "_last")} if have("last_interaction_at") else {}
+    out |= {c: F.when(lost | won, True).otherwise(F.col(c)) for c in have("sheet_dirty", "ai_dirty")}
     out.update({
         "status": F.when(lost, "merged").otherwise(F.col("status")), "merged_into": F.coalesce("_into", "merged_into"),
         "first_interaction_at": F.least("first_interaction_at", "_first"),
-        "sources": F.array_sort(F.array_union(F.array("source_channel"), F.coalesce("_sources", F.array().cast("array<string>")))),
         "updated_at": F.when(lost | won, ts).otherwise(F.col("updated_at"))})
-    return j.withColumns(out).select(*customers.columns, "sources")
+    return j.withColumns(out).select(*dict.fromkeys([*customers.columns, "sources"]))
 
 
 def match_candidates_for(events: DataFrame, customers: DataFrame, limit: int = 20) -> DataFrame:
