@@ -135,9 +135,15 @@ def post_label(message: Column, permalink: Column) -> Column:
     return F.concat_ws(" | ", F.when(title != "", title), F.when(permalink != "", permalink))
 
 
+def _is_lead(customers: DataFrame) -> Column:
+    """Came by a lead form, first or later."""
+    first = F.col("source_channel").eqNullSafe("facebook_lead")
+    return first | F.coalesce(F.array_contains("sources", "facebook_lead"), F.lit(False)) if "sources" in customers.columns else first
+
+
 def marketing_leads(customers: DataFrame, posts: DataFrame) -> DataFrame:
     """Lead tab: name, phone, course, post label and day; erased people show blanks."""
-    leads = customers.where(F.col("source_channel") == "facebook_lead")
+    leads = customers.where(_is_lead(customers))
     ads = newest_post_per_ad(posts).withColumnRenamed("ad_id", "lead_ad_id")
     j = leads.join(ads, "lead_ad_id", "left")
     shown = lambda c: F.when(F.col("status") == "erased", "").otherwise(F.coalesce(c, F.lit("")))
@@ -157,6 +163,6 @@ def marketing_posts(posts: DataFrame) -> DataFrame:
 
 
 def marketing_counts(customers: DataFrame, posts: DataFrame) -> DataFrame:
-    c = customers.agg(F.count("*").alias("customers"), F.count_if(F.col("source_channel") == "facebook_lead").alias("leads"))
+    c = customers.agg(F.count("*").alias("customers"), F.count_if(_is_lead(customers)).alias("leads"))
     p = posts.agg(F.count("*").alias("posts"), F.count_if("unmapped").alias("unmapped"))
     return c.select("customers", "leads", p.select("posts").scalar().alias("posts"), p.select("unmapped").scalar().alias("unmapped_posts"))
