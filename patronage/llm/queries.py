@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from patronage.llm import chat, jaccard, lattice, mixing, neighbours, pieces, pii, quality, tokens, urls
+from patronage.llm import chat, jaccard, lattice, mixing, neighbours, pieces, pii, quality, tokens, urls, whitening
 from patronage.llm.shared import table
 
 QUERIES: dict = {}
@@ -125,3 +125,8 @@ def op9_jaccard_join(spark, sf_dir):
 @query("op7_curve_neighbours")
 def op7_curve_neighbours(spark, sf_dir):
     return neighbours.search(table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(20)) == 0)
+
+
+@query("op12_whitening")
+def op12_whitening(spark, sf_dir):
+    return whitening.components_of(table(spark, sf_dir, "embeddings"), "embedding", "vec_id")
