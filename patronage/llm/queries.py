@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from patronage.llm import chat, jaccard, lattice, mixing, neighbours, pieces, pii, quality, tokens, urls, whitening
+from patronage.llm import chat, jaccard, lattice, mixing, neighbours, periods, pieces, pii, quality, tokens, urls, whitening
 from patronage.llm.shared import table
 
 QUERIES: dict = {}
@@ -130,3 +130,30 @@ def op7_curve_neighbours(spark, sf_dir):
 @query("op12_whitening")
 def op12_whitening(spark, sf_dir):
     return whitening.components_of(table(spark, sf_dir, "embeddings"), "embedding", "vec_id")
+
+
+@query("op13_periodic_runs", r"""
+WITH steps AS (SELECT [list_reduce([CAST(b AS BIGINT)] || range(8), lambda x, k: xor(x >> 1, CASE WHEN x % 2 = 1 THEN 3988292384 ELSE 0 END)) FOR b IN range(256)] AS t),
+sums AS (
+  SELECT doc_id, text, xor(4294967295, list_reduce([4294967295::BIGINT] || [ascii(c)::BIGINT FOR c IN string_split(CAST(doc_id AS VARCHAR), '')],
+    lambda x, c: xor(x >> 8, t[xor(x, c) % 256 + 1]))) AS h
+  FROM documents, steps),
+cut AS (SELECT row_number() OVER () AS id, doc_id, h, h // 10 AS g, [x FOR x IN regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') IF x <> ''] AS w0 FROM sums),
+placed AS (SELECT *, len(w0) AS n, CASE WHEN len(w0) > 0 AND h % 10 = 0 THEN g % len(w0) ELSE len(w0) END AS a FROM cut),
+docs AS (SELECT id, doc_id, n, [w0[CASE WHEN i < a THEN i + 1 ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) + 1 END] FOR i IN range(n)] AS w FROM placed),
+words AS (SELECT id, n, unnest(w) AS word, unnest(range(n)) AS i FROM docs),
+equal AS (SELECT x.id, x.i, y.i - x.i AS q FROM words x JOIN words y ON x.id = y.id AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+islands AS (SELECT id, q, i, i - row_number() OVER (PARTITION BY id, q ORDER BY i) AS part FROM equal),
+stretches AS (SELECT id, q, min(i) AS s, count(*) + q AS l FROM islands GROUP BY id, q, part HAVING count(*) + q >= greatest(6, 4 * q)),
+runs AS (SELECT id, s, l, min(q) AS q FROM stretches GROUP BY id, s, l),
+gone AS (SELECT DISTINCT id, unnest(range(s + q, s + l)) AS i FROM runs),
+kept AS (SELECT w.id, string_agg(w.word, ' ' ORDER BY w.i) AS t FROM words w LEFT JOIN gone g ON g.id = w.id AND g.i = w.i WHERE g.i IS NULL GROUP BY w.id),
+told AS (
+  SELECT id, count(*) AS n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS lines, arg_min({'s': s, 'l': l, 'q': q}, [-l, s, q]) AS best
+  FROM runs GROUP BY id)
+SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_words, coalesce(t.n_runs, 0) AS n_runs, t.best.s AS start, t.best.l AS length, t.best.q AS period, 1000 * t.best.l // t.best.q AS exponent_milli,
+  sha256(coalesce(t.lines, '')) AS runs_sha256, sha256(coalesce(k.t, '')) AS collapsed_sha256
+FROM docs d LEFT JOIN told t USING (id) LEFT JOIN kept k USING (id)""")
+def op13_periodic_runs(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", periods.repeated(F.col("text"), F.col("doc_id")).alias("text"))
+    return periods.digests(docs, "doc_id")
