@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from patronage.llm import chat, jaccard, lattice, mixing, neighbours, periods, pieces, pii, quality, tokens, urls, whitening
+from patronage.llm import chat, jaccard, lattice, mixing, neighbours, periods, pieces, pii, quality, restaurants, tokens, urls, whitening
 from patronage.llm.shared import table
 
 QUERIES: dict = {}
@@ -157,3 +157,8 @@ FROM docs d LEFT JOIN told t USING (id) LEFT JOIN kept k USING (id)""")
 def op13_periodic_runs(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", periods.repeated(F.col("text"), F.col("doc_id")).alias("text"))
     return periods.digests(docs, "doc_id")
+
+
+@query("op11_restaurants")
+def op11_restaurants(spark, sf_dir):
+    return restaurants.score(table(spark, sf_dir, "documents"), "doc_id", restaurants.held_out("doc_id"))
