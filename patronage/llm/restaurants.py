@@ -6,7 +6,7 @@ the empty context, whose customers are their tables and whose own parent is unif
 What a dish (token) contributes depends on its customers c and its tables t only, so the sampler keeps t. A Gibbs step
 draws t from its full conditional, ``S_d(c, t) P(w)^t`` times the rising product over the restaurant's other tables, where
 S_d are the generalised Stirling numbers that count the seatings of c customers at t tables. Up to ``EXACT`` customers the
-draw is exact, beyond it comes from the saddle point of the same law (a binomial with its mean and variance), so a dish
+draw is exact, beyond it comes from the saddle point of the same law (a binomial, or a mixed Poisson, of its mean and variance), so a dish
 with a billion customers costs no more than one with a hundred.
 
 The dishes of one restaurant are drawn at once given the totals of the sweep before, and the parent is told after each
@@ -274,20 +274,21 @@ def draw_tables(c: np.ndarray, p: np.ndarray, others: np.ndarray, theta: float,
         t[at] = 1 + (share < (rng.random(len(at)) * share[:, -1])[:, None]).sum(axis=1)
     at = np.flatnonzero(c > EXACT)
     if len(at):
-        n, a = c[at].astype(float), np.full(len(at), 0.0)
-        mean = np.zeros(len(at))
-        for _ in range(4):  # the rising product counts as a power of its middle term
-            a = (theta + d * (others[at] + mean / 2)) * p[at]
-            low, high = np.full(len(at), -700.0), np.zeros(len(at))
-            for _ in range(45):
-                y = (low + high) / 2
-                over = np.log(a) + (d - 1) * y + np.log1p(-np.exp(y)) > np.log(n)
-                low, high = np.where(over, y, low), np.where(over, high, y)
-            y = np.exp(low)
-            mean = np.maximum(a * -np.expm1(d * low) / d, 1e-12)
-        spread = mean - n / (1 + (1 - y) * (1 - d) / y)
+        n, p, others = c[at].astype(float), p[at], others[at]
+        low, high = np.full(len(at), -700.0), np.full(len(at), -1e-9)
+        for _ in range(60):  # log y, where the tables' sizes fall off as (1 - y)^size and add up to c
+            y = (low + high) / 2
+            a = np.exp(np.log(n) + (1 - d) * y) / -np.expm1(y)
+            over = a * (1 + p * np.expm1(d * y)) > (theta + d * others) * p
+            low, high = np.where(over, low, y), np.where(over, y, high)
+        y = np.exp(low)
+        a = n * y ** (1 - d) / (1 - y)
+        mean = np.maximum(a * -np.expm1(d * low) / d, 1e-12)
+        spread = np.maximum(mean - n / (1 + (1 - y) * (1 - d) / y), 1e-9 * mean)
+        spread = 1 / np.maximum(1 / spread - d / (theta + d * (others + mean)), 1e-3 / spread)
         q = np.clip(1 - spread / mean, 1e-9, 1 - 1e-9)
-        t[at] = np.clip(1 + rng.binomial(np.maximum(np.rint(mean / q), 1).astype(np.int64), q), 1, c[at])
+        more = np.where(spread < mean, rng.binomial(np.maximum(np.rint(mean / q), 1).astype(np.int64), q), rng.poisson(rng.gamma(mean / np.maximum(spread / mean - 1, 1e-9), np.maximum(spread / mean - 1, 1e-9))))
+        t[at] = np.clip(1 + more, 1, c[at])
     return t
 
 
