@@ -9,7 +9,7 @@ give the fragment with period q around b, clipped to the tile.
 * A tile needs solving only if the 2^(k+1) words from b equal those q further on; rolling window hashes find these pairs
   (equal words have equal hashes, the Z-functions refute the rest). Every run holds such a boundary less than 2^k behind its
   start, one less than 2^k + q + 2^(k+1) before its end, and all between. So its tiles reach over both ends, and neighbours
-  overlap by more than q.
+  overlap by more than q. Neighbouring tiles of one task with the same period are joined before they are solved.
 * Fragments are shuffled by (document, period); those that overlap by q words or more are one stretch. A stretch found
   with a multiple of its smallest period covers the same words as the run itself, so the smallest period wins.
 * Documents of more than ``LONG`` words are exploded: strips of neighbouring tiles, one list for each octave, go as rows
@@ -71,35 +71,59 @@ def window_hashes(codes: np.ndarray):
         yield h
 
 
-def matches(hashes: np.ndarray, octave: int, first: np.ndarray, last: np.ndarray):
-    """(document number, boundary, period) where the words from a boundary may equal those a period of the octave further on."""
+def matches(hashes: np.ndarray, octave: int, first: np.ndarray, last: np.ndarray, covered: tuple) -> tuple:
+    """(document number, boundary, period), in this order, where the words from a boundary may equal those a period of the octave further on.
+
+    ``covered`` holds, by place, period and end of a stretch found in a lower octave: inside it a multiple of its period is none of its own.
+    """
     scale = 1 << octave
     counts = np.maximum((last - first - 3 * scale) // scale + 1, 0)
     doc = np.repeat(np.arange(len(first)), counts)
     at = first[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)) * scale
     periods = np.arange(scale, 2 * scale)
-    step = max(1, BLOCK // scale)
-    for a in range(0, len(at), step):
-        b = at[a : a + step]
+    found = []
+    for a in range(0, len(at), max(1, BLOCK // scale)):
+        b = at[a : a + max(1, BLOCK // scale)]
         other = b[:, None] + periods
-        inside = other + 2 * scale <= last[doc[a : a + step]][:, None]
-        row, q = np.nonzero(inside & (hashes[b][:, None] == hashes[np.minimum(other, len(hashes) - 1)]))
-        if len(row):
-            yield from zip(doc[a + row].tolist(), b[row].tolist(), periods[q].tolist())
-
-
-def tile_fragments(codes: np.ndarray, boundary: int, first: int, last: int, octave: int, periods: list) -> list:
-    """(period, start, end) around a boundary, solved on its tile alone."""
+        row, q = np.nonzero(hashes[b][:, None] == hashes[np.minimum(other, len(hashes) - 1)])
+        q = periods[q]
+        good = b[row] + q + 2 * scale <= last[doc[a + row]]
+        good &= (q % covered[0][b[row]] != 0) | (b[row] + q + 2 * scale > covered[1][b[row]])
+        found.append((doc[a + row[good]], b[row[good]], q[good]))
+    return tuple(map(np.concatenate, zip(*found))) if found else tuple(np.zeros((3, 0), np.int64))
+
+
+def joined_tiles(doc: np.ndarray, boundary: np.ndarray, period: np.ndarray, scale: int):
+    """(document, boundary, periods, last boundaries): tiles of neighbouring boundaries with the same period are joined, those that begin at one boundary solved together."""
+    order = np.lexsort((boundary, period, doc))
+    doc, boundary, period = doc[order], boundary[order], period[order]
+    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (period[1:] != period[:-1]) | (boundary[1:] != boundary[:-1] + scale)])
+    start = np.flatnonzero(new)
+    doc, first, last, period = doc[start], boundary[start], boundary[np.append(start[1:], len(boundary)) - 1], period[start]
+    order = np.lexsort((period, first))
+    doc, first, last, period = (x[order].tolist() for x in (doc, first, last, period))
+    a = 0
+    for b in range(1, len(first) + 1):
+        if b == len(first) or first[b] != first[a]:
+            yield doc[a], first[a], period[a:b], last[a:b]
+            a = b
+
+
+def tile_fragments(codes: np.ndarray, boundary: int, first: int, last: int, octave: int, periods: list, ends: list) -> list:
+    """(period, start, end) around a boundary, solved on its tile alone; ``ends`` are the last boundaries of joined tiles."""
     scale = 1 << octave
-    start, end = max(first, boundary - 2 * scale), min(last, boundary + 6 * scale)
-    s, b = codes[start:end].tolist(), boundary - start
-    ahead = z_function(s[b:])
+    start, end = max(first, boundary - 2 * scale), min(last, max(ends) + 6 * scale)
+    ahead = z_function(codes[boundary:end].tolist())
+    s, b = codes[start : boundary + periods[-1]].tolist(), boundary - start
     back = z_function(s[:b][::-1] + [-1] + s[::-1])
     found = []
-    for q in periods:
+    for q, far in zip(periods, ends):
         f, g = ahead[q], back[b + 1 + len(s) - b - q]
-        if q + f + g >= 2 * q:
+        if f + g >= q:
             found.append((q, boundary - g, boundary + q + f))
+        if boundary + f < far + 2 * scale:  # a hash of unequal words was equal: the tiles behind it count alone
+            for at in range(boundary + scale, far + 1, scale):
+                found += tile_fragments(codes, at, first, last, octave, [q], [at])
     return found
 
 
@@ -118,21 +142,24 @@ def fragments(codes: np.ndarray, sizes: np.ndarray, octaves=None) -> list:
     """For each document, the stitched fragments of all octaves (or of the given one); ``codes`` holds all words one after another."""
     last = np.cumsum(sizes)
     first, found = last - sizes, [[] for _ in sizes]
+    covered = np.full(len(codes), 1 << 62), np.zeros(len(codes), np.int64)
     for octave, hashes in enumerate(window_hashes(codes)):
         if len(sizes) == 0 or max(LEAST, TIMES << octave) > sizes.max():
             break
         if octaves is not None and octave not in octaves:
             continue
-        tile: tuple = ()
-        for doc, b, q in matches(hashes, octave, first, last):
-            if tile[:2] != (doc, b):
-                if tile:
-                    found[tile[0]] += tile_fragments(codes, tile[1], first[tile[0]], last[tile[0]], octave, tile[2])
-                tile = (doc, b, [])
-            tile[2].append(q)
-        if tile:
-            found[tile[0]] += tile_fragments(codes, tile[1], first[tile[0]], last[tile[0]], octave, tile[2])
-    return [stitched((q, s - a, e - a) for q, s, e in own) for own, a in zip(found, first.tolist())]
+        doc, boundary, period = matches(hashes, octave, first, last, covered)
+        made: dict = {}
+        for i, b, own, ends in joined_tiles(doc, boundary, period, 1 << octave) if len(doc) else ():
+            made.setdefault(i, []).extend(tile_fragments(codes, b, first[i], last[i], octave, own, ends))
+        for i, new in made.items():
+            new = stitched(new)
+            found[i] += new
+            for q, s, e in new:
+                inside = slice(s, e)
+                wider = covered[1][inside] < e
+                covered[0][inside][wider], covered[1][inside][wider] = q, e
+    return [[(q, s - a, e - a) for q, s, e in own] for own, a in zip(found, first.tolist())]
 
 
 def strips_of(codes: np.ndarray):
@@ -153,13 +180,11 @@ def _read(batches):
         ends = np.cumsum(sizes)
         short = sizes <= LONG
         found = fragments(codes[np.repeat(short, sizes)], np.where(short, sizes, 0))
-        kept, plain, strips = [], [], []
-        for i, (a, b) in enumerate(zip((ends - sizes).tolist(), ends.tolist())):
-            joined = " ".join(words[a:b].to_pylist())
-            strips.append([] if short[i] else list(strips_of(codes[a:b])))
-            open_ = found[i] or not short[i]
-            kept.append(joined if open_ else None)
-            plain.append(None if open_ else hashlib.sha256(joined.encode()).hexdigest())
+        joined = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int64()), words), pa.scalar(" ", pa.large_string())).to_pylist()
+        open_ = [bool(own) or not s for own, s in zip(found, short.tolist())]
+        kept = [t if o else None for t, o in zip(joined, open_)]
+        plain = [None if o else hashlib.sha256(t.encode()).hexdigest() for t, o in zip(joined, open_)]
+        strips = [[] if s else list(strips_of(codes[a:b])) for s, a, b in zip(short.tolist(), (ends - sizes).tolist(), ends.tolist())]
         yield pa.RecordBatch.from_arrays(
             [batch.column("row"), batch.column("key"), pa.array(sizes, pa.int64()), pa.array(kept, pa.string()), pa.array(plain, pa.string()),
              pa.array([[dict(zip(("period", "start", "end"), x)) for x in own] for own in found], pa.list_(pa.struct([("period", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))),
