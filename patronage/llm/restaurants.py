@@ -36,7 +36,7 @@ from pyspark.sql.types import ArrayType, BooleanType, StructField, StructType
 from patronage.llm.shared import settle, text_batches
 
 #: Tokens of a chunk; pairs of a part; bytes of text that are cut to words at once; customers from which a context is split.
-CHUNK, PART, PIECE, HOT = 1 << 22, 1 << 22, 1 << 20, 1 << 21
+CHUNK, PART, PIECE, HOT = 3 << 20, 1 << 22, 1 << 20, 1 << 21
 #: Sweeps that end with the parent; draws of a sweep that are left out, and those that are averaged; strengths of a context and of the parent.
 SWEEPS, BURN, DRAWS = 2, 2, 4
 STRENGTH, PARENT_STRENGTH = 1.0, 1.0
@@ -51,6 +51,14 @@ def pack(a: np.ndarray) -> bytes:
     return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
 
 
+def squeeze(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def words_of(data: bytes) -> list:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True).split(b" ")
+
+
 def unpack(data: bytes, kind) -> np.ndarray:
     n = int.from_bytes(data[:8], "little")
     raw = np.frombuffer(pa.decompress(data[8:], n, "zstd", asbytes=True), np.uint8)
@@ -100,7 +108,7 @@ def _chunks(schema: pa.Schema):
             row, key, held, size, lead = map(list, zip(*book.pieces))
             known = np.repeat(~np.array(held), size)
             chunk = TaskContext.get().partitionId() * 2**32 + made
-            values = [chunk, len(codes), int(known.sum()), b" ".join(book.words), pack(codes), row, key, held, size, lead]
+            values = [chunk, len(codes), int(known.sum()), squeeze(b" ".join(book.words)), pack(codes), row, key, held, size, lead]
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, schema)], schema=schema)
 
         book, filled = _Book(), 0
@@ -128,14 +136,14 @@ def _ask_words(parts: int):
     def run(batches):
         for batch in batches:
             for chunk, blob, packed, held, sizes in zip(*(batch.column(c).to_pylist() for c in ("chunk", "words", "codes", "held", "sizes"))):
-                words, codes = blob.split(b" "), unpack(packed, np.int32)
+                words, codes = words_of(blob), unpack(packed, np.int32)
                 counts = np.bincount(codes[np.repeat(~np.array(held), sizes)], minlength=len(words))
                 share, rows = _shares(words, parts), []
                 order = np.argsort(share, kind="stable")
                 ends = np.searchsorted(share[order], np.arange(parts + 1))
                 for p in np.unique(share).tolist():
                     at = order[ends[p] : ends[p + 1]]
-                    rows.append((p, chunk, b" ".join([words[i] for i in at.tolist()]), pack(counts[at])))
+                    rows.append((p, chunk, squeeze(b" ".join([words[i] for i in at.tolist()])), pack(counts[at])))
                 yield pa.RecordBatch.from_arrays([pa.array(list(v), k) for v, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["part", "chunk", "words", "counts"])
 
     return run
@@ -151,13 +159,13 @@ def _count_words(parts: int):
         part, asks = key[0].as_py(), sorted(zip(*(asked.column(c).to_pylist() for c in ("chunk", "words", "counts"))))
         total: dict = {}
         for _, blob, counts in asks:
-            for w, c in zip(blob.split(b" "), unpack(counts, np.int64).tolist()):
+            for w, c in zip(words_of(blob), unpack(counts, np.int64).tolist()):
                 total[w] = total.get(w, 0) + c
         named = sorted((w for w, c in total.items() if c), key=lambda w: (-total[w], w))
         number = {w: rank * parts + part for rank, w in enumerate(named)}
         rows = []
         for chunk, blob, _ in asks:
-            words = blob.split(b" ")
+            words = words_of(blob)
             rows.append((chunk, part, 0, pack(np.array([number.get(w, -1) for w in words], np.int64)), pack(np.array([total[w] for w in words], np.int64)), len(named)))
         return pa.table([pa.array(list(v), f.type) for v, f in zip(zip(*rows), ANSWER)], schema=ANSWER)
 
@@ -171,10 +179,10 @@ class _Pairs:
     """The tokens of a chunk with their contexts, and the distinct pairs in the order in which they are asked for."""
 
     def __init__(self, chunk: dict, answers: list, parts: int):
-        words = chunk["words"].split(b" ")
-        self.codes, sizes = unpack(chunk["codes"], np.int32).astype(np.int64), np.array(chunk["sizes"])
+        words = words_of(chunk["words"])
+        self.codes, sizes = unpack(chunk["codes"], np.int32), np.array(chunk["sizes"])
         starts = np.cumsum(sizes) - sizes
-        self.before = np.concatenate([[0], self.codes[:-1]])
+        self.before = np.concatenate([np.zeros(1, np.int32), self.codes[:-1]])
         self.before[starts[sizes > 0]] = np.array(chunk["leads"])[sizes > 0]
         self.train = np.repeat(~np.array(chunk["held"]), sizes)
         self.number, self.count = np.full(len(words), -1, np.int64), np.zeros(len(words), np.int64)
@@ -182,7 +190,8 @@ class _Pairs:
         for part, ids, counts in answers:
             own = self.share == part
             self.number[own], self.count[own] = unpack(ids, np.int64), unpack(counts, np.int64)
-        key, self.of = np.unique(self.before * len(words) + self.codes, return_inverse=True)
+        key, of = np.unique(self.before * np.int64(len(words)) + self.codes, return_inverse=True)
+        self.of = of.astype(np.int32)
         n = np.bincount(self.of, weights=self.train, minlength=len(key)).astype(np.int64)
         u, w = key // len(words), key % len(words)
         contexts = np.unique(u)
@@ -407,22 +416,20 @@ def _sweep(law: dict, seed: int):
 
 
 def _answer(law: dict, seed: int):
-    """What every question's pairs add to the parent's share, and that share for the contexts alone, averaged over draws."""
+    """``c - d t`` for every question's pairs, and the tables of the contexts alone, averaged over draws."""
 
     def run(key, asked, right):
         rows = right.to_pylist()
         cells = next(r for r in rows if r["c"] is not None)
         part = _Part(cells, sorted((r["to"], r["kind"], r["values"]) for r in rows if r["c"] is None), law)
         tables, totals = part.sweep([seed, cells["part"]], DRAWS)
-        whole = STRENGTH + part.customers
-        own = (part.c - law["d"] * tables) / whole[part.of]
-        alone = (STRENGTH + law["d"] * totals) / whole
+        own = part.c - law["d"] * tables
         cell, out = part.of << 40 | part.w, []
         for chunk, us, _, u, w, _ in _opened(asked):
             u = np.searchsorted(part.us, us)[u]
             at = np.minimum(np.searchsorted(cell, u << 40 | np.maximum(w, 0)), max(len(cell) - 1, 0))
             seen = (w >= 0) & (part.of[at] == u) & (part.w[at] == w) if len(cell) else np.zeros(len(w), bool)
-            value = np.where(w < 0, alone[u], np.where(seen, own[at] if len(cell) else 0.0, 0.0))
+            value = np.where(w < 0, totals[u], np.where(seen, own[at] if len(cell) else 0.0, 0.0))
             out.append((chunk, cells["part"], 2, pack(value.astype(np.float32)), None, None))
         return _table(out, ANSWER)
 
@@ -454,16 +461,18 @@ def _score(law: dict, schema: pa.Schema):
                     parent[p.share == part] = unpack(a, np.float64)
                 elif kind == 2:
                     value[p.part == part] = unpack(a, np.float32)
+            whole = STRENGTH + p.customers
             shared = (parent + law["rest"]) / law["all"]
-            alone = np.where(p.alone >= 0, value[p.alone] if len(value) else 0.0, 1.0)
-            pair = np.where(p.place >= 0, value[p.place] if len(value) else 0.0, 0.0)
-            logs = np.log10(pair[p.of] + alone[p.before] * shared[p.codes])
-            base = np.log10((p.count[p.codes] + 0.1) / (law["tokens"] + 0.1 * (law["words"] + 1)))
-            known = p.count[p.codes] > 0
+            alone = np.where(p.alone >= 0, ((STRENGTH + law["d"] * value) / whole)[p.alone] if len(value) else 0.0, 1.0)
+            pair = np.where(p.place >= 0, (value / whole)[p.place] if len(value) else 0.0, 0.0)
+            single = np.log10((p.count + 0.1) / (law["tokens"] + 0.1 * (law["words"] + 1)))
             ends = np.cumsum(chunk["sizes"])
-            sums = [np.diff(np.concatenate([[0], np.cumsum(x)])[np.concatenate([[0], ends])]) for x in (known.astype(np.int64),)]
-            own = [[float(x[a:b].sum()) for a, b in zip(ends - np.array(chunk["sizes"]), ends)] for x in (base, logs)]
-            out += list(zip(chunk["rows"], chunk["keys"], chunk["held"], chunk["sizes"], sums[0].tolist(), *own))
+            own = []
+            for a, b in zip((ends - np.array(chunk["sizes"])).tolist(), ends.tolist()):
+                codes = p.codes[a:b]
+                logs = np.log10(pair[p.of[a:b]] + alone[p.before[a:b]] * shared[codes])
+                own.append((int((p.count[codes] > 0).sum()), float(single[codes].sum()), float(logs.sum())))
+            out += list(zip(chunk["rows"], chunk["keys"], chunk["held"], chunk["sizes"], *zip(*own)))
         return _table(out, schema)
 
     return run
