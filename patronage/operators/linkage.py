@@ -1,16 +1,14 @@
 """Record linkage between customers and people of the old sales history.
 
-Exact rules come from equi joins. The undecided remainder is the top N per customer by an additive
-score over shared keys. Keys such as an age band, a mail domain or a very common name are shared by
-a large part of both sides, so pairs are never listed block by block:
+*Rules.* People who share a phone or e-mail hash, or a nickname and two name parts, form a group. A group is kept as one row
+for each member (``rule_groups``), so a switchboard number costs as many rows as people use it; pairs appear only
+where somebody asks for them (``expand_groups``).
 
-* *rare* keys (few people behind them) are joined as usual;
-* *common* keys go through blocks of key combinations. A combination that few people hold is joined
-  like a rare key. In a large block, people with the same course set score alike against a customer,
-  so the block keeps them as one ranked list, and a customer reads only the first N plus the number
-  of its own excluded partners.
+*Undecided remainder.* The top N per customer by an additive score over shared keys, found by a threshold search over
+ranked lists (``fuzzy_pairs``). Nothing lists pairs key by key or combinations of keys: a customer reads the beginnings
+of its keys' lists, scores whom it meets there in full, and stops as soon as nobody further down can do better.
 
-The result equals scoring every pair, and the work grows with people, not with pairs.
+The results equal scoring every pair.
 """
 from functools import reduce
 
@@ -19,12 +17,15 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from patronage.functions.dates import days_between
 from patronage.functions.text import age_band, age_from_be, email_domain, last4
 from patronage.operators.identity import lookup_key
+from patronage.operators.numbering import numbered
 from patronage.sources.store import settle
 
 # --- Fixed values: key weights of the candidate score ---
 WEIGHTS = {"name": 3, "nick": 3, "last4": 2, "domain": 1, "age": 1}
 COURSE_WEIGHT = 2
-SEP = "\x01"
+#: Kinds in the low three bits of a key's code, from 1 on, and their weights.
+KINDS = [*WEIGHTS, "course"]
+KIND_WEIGHTS = [*WEIGHTS.values(), COURSE_WEIGHT]
 
 
 def _empty() -> Column:
@@ -61,140 +62,144 @@ def _keys(df: DataFrame) -> Column:
     return F.concat(F.transform("names", lambda n: F.concat(F.lit("name:"), n)), single)
 
 
-def _weight(key: Column) -> Column:
-    kind = F.substring_index(key, ":", 1)
-    w = F.lit(0)
-    for name, value in WEIGHTS.items():
-        w = F.when(kind == name, value).otherwise(w)
-    return w
+def _codes(keys: Column) -> Column:
+    """Tagged keys as numbers: 61 bits of hash and the kind."""
+    kind = lambda k: F.array_position(F.array(*map(F.lit, KINDS)), F.substring_index(k, ":", 1))
+    return F.transform(keys, lambda k: F.shiftleft(F.xxhash64(k), 3).bitwiseOR(kind(k)))
 
 
-def hash_pairs(customers: DataFrame, legacy: DataFrame) -> DataFrame:
-    """Pairs that share a phone or e-mail hash. Every such pair is itself a result row."""
-    c = customers.where("open")
-    parts = [c.select("id", h).join(legacy.select(F.col("id").alias("legacy_id"), h), h).select(
-        F.col("id").alias("customer_id"), F.col("legacy_id").alias("legacy_person_id")) for h in ("phone_hash", "email_hash")]
-    return parts[0].unionByName(parts[1]).distinct()
+# --- groups decided by rules -----------------------------------------------------------------
 
 
-def name_rule_pairs(customers: DataFrame, legacy: DataFrame) -> DataFrame:
-    """Pairs with the same nickname and at least two shared name keys, found through key pairs."""
-    def two(df):
-        first = df.where("nick is not null and size(names) >= 2").select("id", "nick", "names", F.posexplode("names").alias("i", "a"))
-        return first.select("id", "nick", "a", F.explode(F.slice("names", F.col("i") + 2, F.size("names"))).alias("b"))
-    right = two(legacy).withColumnRenamed("id", "legacy_person_id")
-    return two(customers.where("open")).join(right, ["nick", "a", "b"]).select(
-        F.col("id").alias("customer_id"), "legacy_person_id").distinct()
+def _rule_keys(df: DataFrame) -> Column:
+    """(rule, key) of every group that a row belongs to."""
+    entry = lambda rule, key: F.struct(F.lit(rule).alias("rule"), key.alias("key"))
+    hashes = F.filter(F.array(entry("phone_hash", F.col("phone_hash")), entry("email_hash", F.col("email_hash"))), lambda e: e["key"].isNotNull())
+    two = F.flatten(F.transform("names", lambda a, i: F.transform(
+        F.slice("names", i + 2, F.size("names")), lambda b: entry("names", F.concat_ws("\x01", "nick", a, b)))))
+    return F.concat(hashes, F.when(F.col("nick").isNotNull() & (F.size("names") >= 2), two).otherwise(F.array().cast("array<struct<rule:string,key:string>>")))
 
 
-def _subsets(keys: Column) -> Column:
-    """All non-empty combinations of an array of keys, each as one sorted, joined string."""
-    joined = F.aggregate(
-        keys, F.array(F.lit("")),
-        lambda acc, k: F.concat(acc, F.transform(acc, lambda s: F.concat(s, F.lit(SEP), k))))
-    return F.filter(joined, lambda s: s != "")
+def rule_groups(customers: DataFrame, legacy: DataFrame) -> DataFrame:
+    """One row a member of every group with people on both sides: rule, key, side, id, open, n_customers, n_open, n_legacy, clear.
 
+    ``clear`` groups are one customer and one person. Sizes are counted before members meet them, so a group that holds half
+    of all rows is a few partial counts, and its members stay where they are when the join is split.
+    """
+    long = lambda df, side, open_: df.select(F.lit(side).alias("side"), "id", open_.alias("open"), F.explode(_rule_keys(df)).alias("g")).select("side", "id", "open", "g.*")
+    members = long(customers, "customer", F.col("open")).unionByName(long(legacy, "legacy", F.lit(True)))
+    customer = F.col("side") == "customer"
+    sizes = members.groupBy("rule", "key").agg(
+        F.count_if(customer).alias("n_customers"), F.count_if(customer & F.col("open")).alias("n_open"), F.count_if(~customer).alias("n_legacy")
+    ).where("n_open > 0 and n_legacy > 0")
+    return members.join(sizes, ["rule", "key"]).withColumn("clear", (F.col("n_customers") == 1) & (F.col("n_legacy") == 1))
+
+
+def expand_groups(groups: DataFrame) -> DataFrame:
+    """The pairs behind groups, each once; every one of them is a result row. Select the groups that are asked for first."""
+    left = groups.where("side = 'customer' and open").select("rule", "key", F.col("id").alias("customer_id"))
+    right = groups.where("side = 'legacy'").select("rule", "key", F.col("id").alias("legacy_person_id"))
+    return left.join(right, ["rule", "key"]).select("customer_id", "legacy_person_id").distinct()
+
+
+# --- undecided remainder ---------------------------------------------------------------------
+
+
+def _profile(df: DataFrame, courses: str) -> DataFrame:
+    """id, codes of the blocking keys, codes of keys and courses, the courses, their set as text, and the hashes."""
+    tagged = F.transform("courses", lambda c: F.concat(F.lit("course:"), c))
+    return df.select("id", _codes(_keys(df)).alias("keys"), _codes(F.concat(_keys(df), tagged)).alias("codes"),
+                     F.concat_ws(",", "courses").alias(courses), "courses", "phone_hash", "email_hash")
 
-def fuzzy_pairs(customers: DataFrame, legacy: DataFrame, excluded: DataFrame, top: int = 5, rare: int = 32) -> DataFrame:
+
+def _shared(mine: str, theirs: str) -> Column:
+    """Weight of the shared codes, with the shared names and nicknames counted in the higher bits."""
+    kind = lambda k: k.bitwiseAND(7).cast("int")
+    value = F.array(*[F.lit(w + (1 << 20 if k == "name" else 1 << 40 if k == "nick" else 0)).cast("long") for k, w in zip(KINDS, KIND_WEIGHTS)])
+    return F.aggregate(F.array_intersect(mine, theirs), F.lit(0).cast("long"), lambda a, k: a + F.element_at(value, kind(k)))
+
+
+def ranked_lists(people: DataFrame, keys: DataFrame) -> tuple:
+    """(entries, classes): for each key and course set its people in id order with their place, and the number of them."""
+    long = people.select(F.explode("keys").alias("key"), "lset", F.col("id").alias("legacy_id"), F.col("codes").alias("lcodes"),
+                         F.col("phone_hash").alias("lphone"), F.col("email_hash").alias("lemail"), F.col("courses").alias("lcourses"))
+    entries = settle(numbered(long.join(keys, "key", "left_semi"), ["key", "lset"], ["legacy_id"], "pos"))
+    classes = entries.groupBy("key", "lset").agg(F.count("*").alias("n"), F.first("lcourses").alias("lcourses"))
+    return entries.drop("lcourses"), settle(classes)
+
+
+def _opened(wanted: DataFrame, classes: DataFrame, entries: DataFrame, depth: int) -> tuple:
+    """Beginnings of the lists (key, cset): the first ``depth`` people by shared courses, then id; and what is left of each.
+
+    A class of a course set is read as far as it can belong to the first ``depth``. The rest: the most courses that anybody
+    further down shares, and an id that all of those with so many are greater than.
+    """
+    overlap = F.size(F.array_intersect("courses", "lcourses"))
+    graded = wanted.join(classes, "key").select("key", "cset", "lset", "n", overlap.alias("overlap"))
+    above = Window.partitionBy("key", "cset").orderBy(F.desc("overlap")).rangeBetween(Window.unboundedPreceding, -1)
+    graded = graded.withColumn("quota", F.lit(depth) - F.coalesce(F.sum("n").over(above), F.lit(0)))
+    opened = graded.where("quota > 0").join(entries, ["key", "lset"]).where("pos <= quota")
+    last = opened.where("pos = quota and n > quota").select("key", "cset", "lset", F.col("legacy_id").alias("last"))
+    left = graded.where("n > quota").join(last, ["key", "cset", "lset"], "left").groupBy("key", "cset", "overlap").agg(
+        F.min(F.coalesce("last", F.lit(""))).alias("last"))
+    rest = left.groupBy("key", "cset").agg(F.max(F.struct("overlap", "last")).alias("rest"))
+    return opened.select("key", "cset", "legacy_id", "lcodes", "lphone", "lemail"), rest
+
+
+def fuzzy_pairs(customers: DataFrame, legacy: DataFrame, top: int = 5, depth: int = 16, deeper: int = 8) -> DataFrame:
     """The ``top`` best undecided partners of every open customer: pair, score and rank.
 
-    ``excluded`` holds the pairs decided by rules. ``rare`` only moves work between the two exact
-    paths; it never changes the result.
+    Each key has one list of people for a course set, ranked by shared courses and id. A round opens the first ``depth``
+    places of the lists of every customer that is still searching; a person met there is scored in full at once (the list
+    carries its keys), and only who reaches the customer's present N-th best goes on. Somebody not met yet is further down in
+    some of the customer's lists: with o shared courses it can only be in those whose rest still offers o, so the most it can
+    score is the largest ``2 o + weights of these lists``. A customer whose N-th best is above that (or equal with a smaller
+    id) is done; the others open their lists ``deeper`` times as far. Pairs that rules decide are passed over when scored.
     """
-    c = customers.where("open").select("id", "courses", _keys(customers).alias("keys"))
-    p = legacy.select("id", "courses", _keys(legacy).alias("keys"))
-
-    key_sizes = p.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n"))
-    common = key_sizes.where(F.col("n") > rare).select("key", F.lit(True).alias("is_common"))
-
-    def split(df):
-        long = df.select("id", F.explode("keys").alias("key")).join(common, "key", "left")
-        rare_keys = long.where("is_common is null").select("id", "key")
-        per_id = long.where("is_common").groupBy("id").agg(F.array_sort(F.collect_list("key")).alias("common_keys"))
-        return rare_keys, per_id
-
-    c_rare, c_common = split(c)
-    p_rare, p_common = split(p)
-
-    # Combinations of common keys. A combination few people hold is joined like a rare key, and only the
-    # smallest such ones are needed: whoever shares more keys is found there too and scored on all of them.
-    sizes = settle(p_common.select(F.explode(_subsets(F.col("common_keys"))).alias("block")).groupBy("block").agg(F.count("*").alias("n")))
-    c_large, c_small = _split_blocks(c_common, sizes, rare)
-    p_large, p_small = _split_blocks(p_common, sizes, rare)
-
-    rare_pairs = c_rare.unionByName(c_small).join(
-        p_rare.unionByName(p_small).withColumnRenamed("id", "legacy_id"), "key").select("id", "legacy_id").distinct()
-    scored_rare = (
-        rare_pairs.join(c, "id")
-        .join(p.select(F.col("id").alias("legacy_id"), F.col("courses").alias("lc"), F.col("keys").alias("lk")), "legacy_id")
-        .select("id", "legacy_id", (
-            F.aggregate(F.array_intersect("keys", "lk"), F.lit(0), lambda a, k: a + _weight(k))
-            + F.size(F.array_intersect("courses", "lc")) * COURSE_WEIGHT).alias("score")))
-
-    # Large combinations: people of a block grouped by course set.
-    n_excluded = excluded.groupBy(F.col("customer_id").alias("id")).agg(F.count("*").alias("skip"))
-    c_blocks = settle(c_large.join(c.select("id", "courses"), "id").join(n_excluded, "id", "left")
-                      .select("id", F.concat_ws(",", "courses").alias("cset"), "courses",
-                              (F.lit(top) + F.coalesce("skip", F.lit(0))).alias("need"), "block"))
-    need = c_blocks.groupBy("block", "cset").agg(F.max("need").alias("need"), F.first("courses").alias("courses"))
-    p_blocks = (p_large.join(p.select("id", "courses"), "id")
-                .select(F.col("id").alias("legacy_id"), F.concat_ws(",", "courses").alias("lset"), "courses", "block"))
-    deepest = need.groupBy("block").agg(F.max("need").alias("deep"))
-    # Position inside (block, course set) by id; rows past the deepest need can never be read.
-    in_class = Window.partitionBy("block", "lset").orderBy("legacy_id")
-    ranked = settle(_spread_row_number(p_blocks.join(deepest, "block"), in_class)
-              .where(F.col("pos") <= F.col("deep")).select("block", "lset", F.col("courses").alias("lc"), "legacy_id", "pos"))
-    classes = ranked.groupBy("block", "lset").agg(F.first("lc").alias("lc"), F.min("legacy_id").alias("head"))
-    key_weight = F.aggregate(F.filter(F.split("block", SEP), lambda k: k != ""), F.lit(0), lambda a, k: a + _weight(k))
-    graded = need.join(classes, "block").select(
-        "block", "cset", "lset", "need", "head",
-        (key_weight + F.size(F.array_intersect("courses", "lc")) * COURSE_WEIGHT).alias("score"))
-    # The first ``need`` people of a list come from at most that many course sets, the ones with the best heads.
-    by_head = Window.partitionBy("block", "cset").orderBy(F.desc("score"), "head")
-    graded = graded.withColumn("place", F.row_number().over(by_head)).where(F.col("place") <= F.col("need"))
-    lists = settle(graded.drop("head", "place").join(ranked.select("block", "lset", "legacy_id", "pos"), ["block", "lset"])
-             .where(F.col("pos") <= F.col("need"))
-             .withColumn("rank", F.row_number().over(
-                 Window.partitionBy("block", "cset").orderBy(F.desc("score"), "legacy_id")))
-             .where(F.col("rank") <= F.col("need")).select("block", "cset", "legacy_id", "score", "rank"))
-    # The score a block guarantees at a customer's depth is a floor: lower entries of other blocks cannot reach its top.
-    wants = c_blocks.select("id", "block", "cset", "need")
-    floor = (wants.join(lists.select("block", "cset", F.col("rank").alias("need"), "score"), ["block", "cset", "need"])
-             .groupBy("id").agg(F.max("score").alias("floor")))
-    scored_common = (wants.join(floor, "id", "left").join(lists, ["block", "cset"])
-                     .where((F.col("rank") <= F.col("need")) & (F.col("score") >= F.coalesce("floor", F.lit(0))))
-                     .select("id", "legacy_id", "score"))
-
-    pairs = (scored_rare.unionByName(scored_common)
-             .groupBy(F.col("id").alias("customer_id"), F.col("legacy_id").alias("legacy_person_id"))
-             .agg(F.max("score").alias("score"))
-             .join(excluded, ["customer_id", "legacy_person_id"], "left_anti"))
-    best = Window.partitionBy("customer_id").orderBy(F.desc("score"), "legacy_person_id")
-    return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
-
-
-def _split_blocks(side: DataFrame, sizes: DataFrame, rare: int) -> tuple:
-    """Blocks of each person: the large ones (id, block), and the smallest small ones as keys (id, key)."""
-    n = F.col("n")
-    known = side.select("id", F.explode(_subsets(F.col("common_keys"))).alias("block")).join(sizes, "block")
-    sets = known.groupBy("id").agg(F.collect_set(F.when(n > rare, F.col("block"))).alias("large"),
-                                   F.collect_set(F.when(n <= rare, F.col("block"))).alias("small"))
-
-    def smallest(block):
-        keys = F.filter(F.split(block, SEP), lambda k: k != "")
-        return F.forall(keys, lambda k: F.array_contains("large", F.concat(F.lit(SEP), F.array_join(F.array_remove(keys, k), SEP))))
-
-    sets = settle(sets.select("id", "large", F.filter("small", smallest).alias("small")))
-    return sets.select("id", F.explode("large").alias("block")), sets.select("id", F.explode("small").alias("key"))
-
-
-def _spread_row_number(df: DataFrame, window) -> DataFrame:
-    """Row number within (block, lset), cut in two steps so a hot class never meets one task whole:
-    each of 64 slices keeps its own first ``deep`` rows, then the survivors are numbered."""
-    slices = df.withColumn("slice", F.pmod(F.xxhash64("legacy_id"), F.lit(64)))
-    local = Window.partitionBy("block", "lset", "slice").orderBy("legacy_id")
-    kept = slices.withColumn("pos", F.row_number().over(local)).where(F.col("pos") <= F.col("deep")).drop("pos", "slice")
-    return kept.withColumn("pos", F.row_number().over(window))
+    c = settle(_profile(customers.where("open"), "cset"))
+    p = settle(_profile(legacy, "lset"))
+    entries, classes = ranked_lists(p, c.select(F.explode("keys").alias("key")).distinct())
+    k_most = c.agg(F.max(F.size("keys"))).first()[0] or 0
+    kind_weight = F.element_at(F.array(*map(F.lit, KIND_WEIGHTS)), F.col("key").bitwiseAND(7).cast("int"))
+    searching = c.select("*", F.lit(None).cast("long").alias("floor"))
+    done = best = None
+    while True:
+        wants = searching.select("id", "cset", F.explode("keys").alias("key"))
+        wanted = searching.select(F.explode("keys").alias("key"), "cset", "courses").groupBy("key", "cset").agg(F.first("courses").alias("courses"))
+        opened, rest = _opened(wanted, classes, entries, depth)
+        met = searching.select("id", "cset", "codes", "phone_hash", "email_hash", "floor", F.explode("keys").alias("key")).join(opened, ["key", "cset"])
+        met = met.withColumn("v", _shared("codes", "lcodes"))
+        names, nick = F.shiftright("v", 20).bitwiseAND((1 << 20) - 1), F.shiftright("v", 40)
+        same = lambda a, b: F.coalesce(F.col(a) == F.col(b), F.lit(False))
+        ruled = same("phone_hash", "lphone") | same("email_hash", "lemail") | ((names >= 2) & (nick >= 1))
+        scored = met.where(~ruled).select("id", "legacy_id", F.col("v").bitwiseAND((1 << 20) - 1).alias("score"), "floor").where("score >= coalesce(floor, 0)").drop("floor")
+        if best is not None:
+            scored = scored.unionByName(best.join(searching, "id", "left_semi"))
+        order = Window.partitionBy("id").orderBy(F.desc("score"), "legacy_id")
+        # Somebody is met at most once a key, and once as best so far.
+        first = scored.withColumn("r", F.row_number().over(order)).where(F.col("r") <= top * (k_most + 1)).select("id", "legacy_id", "score").distinct()
+        best = settle(first.withColumn("r", F.row_number().over(order)).where(F.col("r") <= top).drop("r"))
+        done = best if done is None else done.join(searching, "id", "left_anti").unionByName(best)
+        reached = best.groupBy("id").agg(F.count("*").alias("n"), F.min("score").alias("floor"), F.min(F.struct((-F.col("score")).alias("s"), "legacy_id")).alias("first"),
+                                         F.max(F.struct((-F.col("score")).alias("s"), "legacy_id")).alias("nth"))
+        reached = reached.select("id", F.when(F.col("n") == top, F.col("floor")).alias("floor"), F.col("nth.legacy_id").alias("nth"))
+        unread = wants.join(rest, ["key", "cset"]).groupBy("id").agg(F.collect_list(F.struct(F.col("rest.overlap").alias("o"), kind_weight.alias("w"), F.col("rest.last").alias("last"))).alias("lists"))
+
+        def reach(x):
+            """The most that somebody with ``x.o`` shared courses can score, and the id it must be greater than for that."""
+            having = F.filter("lists", lambda y: y["o"] >= x["o"])
+            weight = F.aggregate(having, F.lit(0), lambda a, y: a + y["w"])
+            last = F.array_max(F.transform(F.filter("lists", lambda y: y["o"] == x["o"]), lambda y: y["last"]))
+            return F.struct((weight + COURSE_WEIGHT * x["o"]).cast("long").alias("most"), last.alias("last"))
+
+        open_ = unread.join(reached, "id", "left").where(F.col("floor").isNull() | F.exists(F.transform("lists", reach), lambda b: (
+            (b["most"] > F.col("floor")) | ((b["most"] == F.col("floor")) & (b["last"] < F.col("nth"))))))
+        searching = settle(c.join(open_.select("id", "floor"), "id"))
+        if searching.isEmpty():
+            break
+        depth *= deeper
+    ranked = Window.partitionBy("customer_id").orderBy(F.desc("score"), "legacy_person_id")
+    return done.select(F.col("id").alias("customer_id"), F.col("legacy_id").alias("legacy_person_id"), "score").withColumn("rank", F.row_number().over(ranked))
 
 
 def evidence(pairs: DataFrame, customers: DataFrame, legacy: DataFrame) -> DataFrame:
@@ -242,11 +247,11 @@ def decide(df: DataFrame) -> DataFrame:
     return df.withColumn("_d", d).select(*df.columns, "_d.method", "_d.confidence", "_d.score", "_d.status")
 
 
-def candidates(customers: DataFrame, legacy: DataFrame, top: int = 5, rare: int = 32) -> DataFrame:
+def candidates(customers: DataFrame, legacy: DataFrame, top: int = 5, depth: int = 16) -> DataFrame:
     """Every rule pair and the top undecided pairs of each customer, with evidence and decision."""
     customers, legacy = settle(customers), settle(legacy)
-    ruled = settle(hash_pairs(customers, legacy).unionByName(name_rule_pairs(customers, legacy)).distinct())
-    loose = settle(fuzzy_pairs(customers, legacy, ruled, top, rare).select("customer_id", "legacy_person_id"))
+    ruled = expand_groups(rule_groups(customers, legacy))
+    loose = fuzzy_pairs(customers, legacy, top, depth).select("customer_id", "legacy_person_id")
     return settle(decide(evidence(ruled.unionByName(loose), customers, legacy)))
 
 
