@@ -199,6 +199,26 @@ def match_candidates(t):
         "nickname_match", "age_band_match", "competing_candidates", "course_overlap", "days_between_first_seen")
 
 
+def _members(rule, key):
+    """Rows of a rule's groups on both sides; ``key`` is an expression over the side's columns."""
+    return f"""SELECT '{rule}' AS rule, {key} AS key, 'customer' AS side, customer_id AS id, open FROM c
+    UNION ALL SELECT '{rule}', {key}, 'legacy', person_id, TRUE FROM l"""
+
+
+NAME_PAIRS = "unnest(flatten([[nick || ' ' || x || ' ' || y FOR y IN names IF x < y] FOR x IN names]))"
+
+
+@query("match_rule_groups", f"""WITH {SIDES}, members AS ({_members('phone_hash', 'phone')} UNION ALL {_members('email_hash', 'email')}
+    UNION ALL {_members('names', NAME_PAIRS)}),
+  sizes AS (SELECT rule, key, count(*) FILTER (side = 'customer') AS n_customers, count(*) FILTER (side = 'customer' AND open) AS n_open,
+      count(*) FILTER (side = 'legacy') AS n_legacy FROM members WHERE key IS NOT NULL GROUP BY ALL)
+  SELECT rule, side, id, open, n_customers, n_open, n_legacy, n_customers = 1 AND n_legacy = 1 AS clear
+  FROM members JOIN sizes USING (rule, key) WHERE n_open > 0 AND n_legacy > 0""")
+def match_rule_groups(t):
+    """Members of all groups behind the rules: as many rows as members, whatever the number of pairs."""
+    return L.rule_groups(*match_sides(t)).drop("key")
+
+
 @query("match_pair_features", f"""WITH {SIDES} SELECT sha256(customer_id || '|' || legacy_person_id) AS pair_id, ov AS name_key_overlap,
     ta AS name_key_total_a, tb AS name_key_total_b, nk AS nickname_match, ag AS age_band_match, l4 AS phone_last4_match,
     dm AS email_domain_match, co AS course_overlap, dd AS days_between_first_seen FROM dec WHERE method IS NULL""")
