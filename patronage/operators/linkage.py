@@ -12,8 +12,11 @@ The results equal scoring every pair.
 """
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from patronage.functions.courses import CODES
 from patronage.functions.dates import days_between
 from patronage.functions.text import age_band, age_from_be, email_domain, last4
 from patronage.operators.identity import lookup_key
@@ -23,9 +26,9 @@ from patronage.sources.store import settle
 # --- Fixed values: key weights of the candidate score ---
 WEIGHTS = {"name": 3, "nick": 3, "last4": 2, "domain": 1, "age": 1}
 COURSE_WEIGHT = 2
-#: Kinds in the low three bits of a key's code, from 1 on, and their weights.
-KINDS = [*WEIGHTS, "course"]
-KIND_WEIGHTS = [*WEIGHTS.values(), COURSE_WEIGHT]
+#: Lists of at most so many people are read to their end at once, by so many customers in one call.
+SHORT, CALL = 512, 2048
+SHORT_MOST = 1 << 20
 
 
 def _empty() -> Column:
@@ -64,7 +67,7 @@ def _keys(df: DataFrame) -> Column:
 
 def _codes(keys: Column) -> Column:
     """Tagged keys as numbers: 61 bits of hash and the kind."""
-    kind = lambda k: F.array_position(F.array(*map(F.lit, KINDS)), F.substring_index(k, ":", 1))
+    kind = lambda k: F.array_position(F.array(*map(F.lit, WEIGHTS)), F.substring_index(k, ":", 1))
     return F.transform(keys, lambda k: F.shiftleft(F.xxhash64(k), 3).bitwiseOR(kind(k)))
 
 
@@ -105,101 +108,173 @@ def expand_groups(groups: DataFrame) -> DataFrame:
 # --- undecided remainder ---------------------------------------------------------------------
 
 
-def _profile(df: DataFrame, courses: str) -> DataFrame:
-    """id, codes of the blocking keys, codes of keys and courses, the courses, their set as text, and the hashes."""
-    tagged = F.transform("courses", lambda c: F.concat(F.lit("course:"), c))
-    return df.select("id", _codes(_keys(df)).alias("keys"), _codes(F.concat(_keys(df), tagged)).alias("codes"),
-                     F.concat_ws(",", "courses").alias(courses), "courses", "phone_hash", "email_hash")
+SINGLE = ["nick", "last4", "domain", "age", "phone_hash", "email_hash"]
 
 
-def _shared(mine: str, theirs: str) -> Column:
-    """Weight of the shared codes, with the shared names and nicknames counted in the higher bits."""
-    kind = lambda k: k.bitwiseAND(7).cast("int")
-    value = F.array(*[F.lit(w + (1 << 20 if k == "name" else 1 << 40 if k == "nick" else 0)).cast("long") for k, w in zip(KINDS, KIND_WEIGHTS)])
-    return F.aggregate(F.array_intersect(mine, theirs), F.lit(0).cast("long"), lambda a, k: a + F.element_at(value, kind(k)))
 
+def _profile(df: DataFrame, prefix: str) -> DataFrame:
+    """What a pair is scored by, as numbers: names, courses and the single values; and the codes of the blocking keys.
+
+    ``marks`` has a bit for each name's hash (no common bit: no common name), ``taken`` a bit for each course of the dictionary.
+    """
+    of = lambda c: F.transform(c, lambda x: F.xxhash64(x))
+    bits = lambda numbers: F.aggregate(numbers, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+    bit = F.array(*[F.lit(1 << i).cast("long") for i in range(63)])
+    marks = bits(F.transform("names", lambda x: F.element_at(bit, (F.pmod(F.xxhash64(x), F.lit(63)) + 1).cast("int"))))
+    taken = reduce(lambda a, b: a.bitwiseOR(b), [F.when(F.array_contains("courses", c), 1 << i).otherwise(0) for i, c in enumerate(CODES)])
+    single = [F.when(F.col(c).isNotNull(), F.xxhash64(c)).alias(prefix + c) for c in SINGLE]
+    return df.select(F.col("id").alias(prefix + "id"), _codes(_keys(df)).alias("keys"), of("names").alias(prefix + "names"), marks.alias(prefix + "marks"), taken.cast("long").alias(prefix + "taken"),
+                     of(F.array_except("courses", F.array(*map(F.lit, CODES)))).alias(prefix + "courses"), F.concat_ws(",", "courses").alias(prefix + "set"), *single)
 
-def ranked_lists(people: DataFrame, keys: DataFrame) -> tuple:
-    """(entries, classes): for each key and course set its people in id order with their place, and the number of them."""
-    long = people.select(F.explode("keys").alias("key"), "lset", F.col("id").alias("legacy_id"), F.col("codes").alias("lcodes"),
-                         F.col("phone_hash").alias("lphone"), F.col("email_hash").alias("lemail"), F.col("courses").alias("lcourses"))
-    entries = settle(numbered(long.join(keys, "key", "left_semi"), ["key", "lset"], ["legacy_id"], "pos"))
-    classes = entries.groupBy("key", "lset").agg(F.count("*").alias("n"), F.first("lcourses").alias("lcourses"))
-    return entries.drop("lcourses"), settle(classes)
 
+def _overlap() -> Column:
+    """Courses that both sides hold."""
+    other = F.when((F.size("c_courses") > 0) & (F.size("l_courses") > 0), F.size(F.array_intersect("c_courses", "l_courses"))).otherwise(0)
+    return F.bit_count(F.col("c_taken").bitwiseAND(F.col("l_taken"))) + other
 
-def _opened(wanted: DataFrame, classes: DataFrame, entries: DataFrame, depth: int) -> tuple:
-    """Beginnings of the lists (key, cset): the first ``depth`` people by shared courses, then id; and what is left of each.
 
-    A class of a course set is read as far as it can belong to the first ``depth``. The rest: the most courses that anybody
-    further down shares, and an id that all of those with so many are greater than.
+def _score(pairs: DataFrame, overlap: Column) -> DataFrame:
+    """(c_id, l_id, score) of the pairs that no rule decides and that reach ``floor``, where it is known.
+
+    What costs little comes first: only a pair that could reach the floor with all its names equal has its names compared.
+    """
+    same = {c: F.coalesce(F.col(f"c_{c}") == F.col(f"l_{c}"), F.lit(False)) for c in SINGLE}
+    points = overlap * COURSE_WEIGHT
+    for kind in ("nick", "last4", "domain", "age"):
+        points = points + same[kind].cast("int") * WEIGHTS[kind]
+    marked, floor = F.col("c_marks").bitwiseAND(F.col("l_marks")) != 0, F.coalesce("floor", F.lit(0))
+    most = F.when(marked, F.least(F.size("c_names"), F.size("l_names"))).otherwise(0)
+    near = pairs.where(~same["phone_hash"] & ~same["email_hash"] & (points + most * WEIGHTS["name"] >= floor))
+    named = near.select("c_id", "l_id", "floor", same["nick"].alias("nick"), points.alias("points"), F.when(marked, F.size(F.array_intersect("c_names", "l_names"))).otherwise(0).alias("names"))
+    scored = named.where(~(F.col("nick") & (F.col("names") >= 2))).select("c_id", "l_id", "floor", (F.col("points") + F.col("names") * WEIGHTS["name"]).alias("score"))
+    return scored.where("score >= coalesce(floor, 0)").drop("floor")
+
+
+def _reached(best: DataFrame, top: int) -> DataFrame:
+    """(c_id, floor, nth): score and id of the N-th best of the customers that have as many."""
+    nth = F.max(F.struct((-F.col("score")).alias("s"), "l_id"))
+    return best.groupBy("c_id").agg(F.count("*").alias("n"), nth.alias("nth")).where(F.col("n") == top).select("c_id", (-F.col("nth.s")).alias("floor"), F.col("nth.l_id").alias("nth"))
+
+
+def _matrix(lists, width: int, blank: int) -> np.ndarray:
+    """Lists of numbers as rows of equal width."""
+    out = np.full((len(lists), width), blank, np.int64)
+    for i, own in enumerate(lists):
+        out[i, : len(own)] = own
+    return out
+
+
+def _score_block(left, right, top: int):
+    """The best partners of each customer among the people of one short list: one matrix of scores, no row for each pair."""
+    right = right.sort_by("l_id")
+    common = lambda name, blanks: (
+        lambda a, b: (_matrix(a, max([1, *map(len, a)]), blanks[0])[:, None, :, None] == _matrix(b, max([1, *map(len, b)]), blanks[1])[None, :, None, :]).sum(axis=(2, 3))
+    )(left.column(f"c_{name}").to_pylist(), right.column(f"l_{name}").to_pylist())
+    one = lambda t, name: t.column(name).to_numpy()
+    same = lambda name: (lambda a, b: (a[:, None] == b[None, :]))(one(left, f"c_{name}"), one(right, f"l_{name}"))
+    names, nick = common("names", (-1, -2)), same("nick")
+    taken = one(left, "c_taken")[:, None] & one(right, "l_taken")[None, :]
+    courses = common("courses", (-1, -2)) + sum((taken >> i) & 1 for i in range(len(CODES)))
+    score = names * WEIGHTS["name"] + nick * WEIGHTS["nick"] + same("last4") * WEIGHTS["last4"] + same("domain") * WEIGHTS["domain"] + same("age") * WEIGHTS["age"] + courses * COURSE_WEIGHT
+    ruled = same("phone_hash") | same("email_hash") | (nick & (names >= 2))
+    place = np.where(ruled, -1, score * SHORT_MOST + (SHORT_MOST - 1 - np.arange(right.num_rows)))
+    kept = min(top, right.num_rows)
+    at = np.argpartition(-place, kept - 1, axis=1)[:, :kept]
+    row = np.repeat(np.arange(left.num_rows), kept)
+    at = at.ravel()
+    good = place[row, at] >= 0
+    row, at = row[good], at[good]
+    return pa.table({"c_id": left.column("c_id").take(pa.array(row)), "l_id": right.column("l_id").take(pa.array(at)), "score": pa.array(score[row, at].astype(np.int32))})
+
+
+def _met_in_short_lists(c_long: DataFrame, listed: DataFrame, short: DataFrame, top: int) -> DataFrame:
+    """The best of every short list for each customer that has its key; a key with many customers is dealt to many calls."""
+    def blanked(df, prefix, blank):  # values that are missing equal nothing
+        return df.withColumns({prefix + x: F.coalesce(prefix + x, F.lit(blank).cast("long")) for x in SINGLE})
+
+    asked = c_long.groupBy("key").agg(F.ceil(F.count("*") / CALL).cast("int").alias("calls")).join(short.select("key"), "key")
+    left = blanked(c_long, "c_", -1).join(asked, "key").withColumn("call", F.pmod(F.xxhash64("c_id"), "calls").cast("int")).drop("calls", "c_set", "c_marks")
+    right = blanked(listed, "l_", -2).join(asked, "key").withColumn("call", F.explode(F.sequence(F.lit(0), F.col("calls") - 1))).drop("calls", "l_set", "l_marks")
+
+    def run(left, right):
+        return _score_block(left, right, top) if left.num_rows and right.num_rows else pa.table({"c_id": pa.array([], pa.string()), "l_id": pa.array([], pa.string()), "score": pa.array([], pa.int32())})
+
+    return left.groupBy("key", "call").cogroup(right.groupBy("key", "call")).applyInArrow(run, "c_id string, l_id string, score int")
+
+
+def _best(scored: DataFrame, top: int, times: int) -> DataFrame:
+    """The first ``top`` partners of each customer; nobody appears more than ``times`` times in ``scored``."""
+    order = Window.partitionBy("c_id").orderBy(F.desc("score"), "l_id")
+    first = scored.withColumn("r", F.row_number().over(order)).where(F.col("r") <= top * times).select("c_id", "l_id", "score").distinct()
+    return first.withColumn("r", F.row_number().over(order)).where(F.col("r") <= top).drop("r")
+
+
+def _opened(wanted: DataFrame, classes: DataFrame, entries: DataFrame, done: int, depth: int) -> tuple:
+    """The next places, up to ``depth``, of the lists (key, c_set), ranked by shared courses, then id; and where the unread rest begins.
+
+    A class of people with equal courses is read as far as it can belong to the first ``depth``; the classes are then merged.
+    The rest has at most as many shared courses as the last that was read, and with as many only greater ids.
     """
-    overlap = F.size(F.array_intersect("courses", "lcourses"))
-    graded = wanted.join(classes, "key").select("key", "cset", "lset", "n", overlap.alias("overlap"))
-    above = Window.partitionBy("key", "cset").orderBy(F.desc("overlap")).rangeBetween(Window.unboundedPreceding, -1)
-    graded = graded.withColumn("quota", F.lit(depth) - F.coalesce(F.sum("n").over(above), F.lit(0)))
-    opened = graded.where("quota > 0").join(entries, ["key", "lset"]).where("pos <= quota")
-    last = opened.where("pos = quota and n > quota").select("key", "cset", "lset", F.col("legacy_id").alias("last"))
-    left = graded.where("n > quota").join(last, ["key", "cset", "lset"], "left").groupBy("key", "cset", "overlap").agg(
-        F.min(F.coalesce("last", F.lit(""))).alias("last"))
-    rest = left.groupBy("key", "cset").agg(F.max(F.struct("overlap", "last")).alias("rest"))
-    return opened.select("key", "cset", "legacy_id", "lcodes", "lphone", "lemail"), rest
-
-
-def fuzzy_pairs(customers: DataFrame, legacy: DataFrame, top: int = 5, depth: int = 16, deeper: int = 8) -> DataFrame:
+    graded = wanted.join(classes, "key").select("key", "c_set", "l_set", "n", _overlap().alias("overlap"))
+    above = Window.partitionBy("key", "c_set").orderBy(F.desc("overlap")).rangeBetween(Window.unboundedPreceding, -1)
+    graded = graded.withColumn("above", F.coalesce(F.sum("n").over(above), F.lit(0)))
+    quota = F.lit(depth) - F.col("above")
+    merged = Window.partitionBy("key", "c_set").orderBy(F.desc("overlap"), "l_id")
+    read = graded.where(quota > 0).join(entries, ["key", "l_set"]).where(F.col("pos") <= quota).withColumn("at", F.row_number().over(merged)).where(F.col("at") <= depth)
+    longer = graded.groupBy("key", "c_set").agg(F.sum("n").alias("n")).where(F.col("n") > depth).select("key", "c_set")
+    rest = read.where(F.col("at") == depth).join(longer, ["key", "c_set"]).select("key", "c_set", F.struct("overlap", F.col("l_id").alias("last")).alias("rest"))
+    return read.where(F.col("at") > done).drop("l_set", "n", "above", "pos", "at"), rest
+
+
+def fuzzy_pairs(customers: DataFrame, legacy: DataFrame, top: int = 5, depth: int = 64, deeper: int = 16, short: int = SHORT) -> DataFrame:
     """The ``top`` best undecided partners of every open customer: pair, score and rank.
 
-    Each key has one list of people for a course set, ranked by shared courses and id. A round opens the first ``depth``
-    places of the lists of every customer that is still searching; a person met there is scored in full at once (the list
-    carries its keys), and only who reaches the customer's present N-th best goes on. Somebody not met yet is further down in
-    some of the customer's lists: with o shared courses it can only be in those whose rest still offers o, so the most it can
-    score is the largest ``2 o + weights of these lists``. A customer whose N-th best is above that (or equal with a smaller
-    id) is done; the others open their lists ``deeper`` times as far. Pairs that rules decide are passed over when scored.
+    Each key has a list of people. Lists of at most ``short`` people are read to their end: a constant for each key of a customer.
+    The others are ranked, for each course set, by shared courses and id, and read in rounds: a round opens the first ``depth``
+    places of the lists of every customer that is still searching, scores whom it meets there in full, and passes on only who
+    reaches the customer's present N-th best. Somebody not met yet is further down in some of the customer's long lists: with o
+    shared courses it can only be in those whose rest still offers o, so the most it can score is the largest ``2 o + weights of
+    these lists``. A customer whose N-th best is above that (or equal with a smaller id) is done; the others read ``deeper``
+    times as far. Pairs that rules decide are passed over when they are scored.
     """
-    c = settle(_profile(customers.where("open"), "cset"))
-    p = settle(_profile(legacy, "lset"))
-    entries, classes = ranked_lists(p, c.select(F.explode("keys").alias("key")).distinct())
-    k_most = c.agg(F.max(F.size("keys"))).first()[0] or 0
-    kind_weight = F.element_at(F.array(*map(F.lit, KIND_WEIGHTS)), F.col("key").bitwiseAND(7).cast("int"))
-    searching = c.select("*", F.lit(None).cast("long").alias("floor"))
-    done = best = None
-    while True:
-        wants = searching.select("id", "cset", F.explode("keys").alias("key"))
-        wanted = searching.select(F.explode("keys").alias("key"), "cset", "courses").groupBy("key", "cset").agg(F.first("courses").alias("courses"))
-        opened, rest = _opened(wanted, classes, entries, depth)
-        met = searching.select("id", "cset", "codes", "phone_hash", "email_hash", "floor", F.explode("keys").alias("key")).join(opened, ["key", "cset"])
-        met = met.withColumn("v", _shared("codes", "lcodes"))
-        names, nick = F.shiftright("v", 20).bitwiseAND((1 << 20) - 1), F.shiftright("v", 40)
-        same = lambda a, b: F.coalesce(F.col(a) == F.col(b), F.lit(False))
-        ruled = same("phone_hash", "lphone") | same("email_hash", "lemail") | ((names >= 2) & (nick >= 1))
-        scored = met.where(~ruled).select("id", "legacy_id", F.col("v").bitwiseAND((1 << 20) - 1).alias("score"), "floor").where("score >= coalesce(floor, 0)").drop("floor")
-        if best is not None:
-            scored = scored.unionByName(best.join(searching, "id", "left_semi"))
-        order = Window.partitionBy("id").orderBy(F.desc("score"), "legacy_id")
-        # Somebody is met at most once a key, and once as best so far.
-        first = scored.withColumn("r", F.row_number().over(order)).where(F.col("r") <= top * (k_most + 1)).select("id", "legacy_id", "score").distinct()
-        best = settle(first.withColumn("r", F.row_number().over(order)).where(F.col("r") <= top).drop("r"))
-        done = best if done is None else done.join(searching, "id", "left_anti").unionByName(best)
-        reached = best.groupBy("id").agg(F.count("*").alias("n"), F.min("score").alias("floor"), F.min(F.struct((-F.col("score")).alias("s"), "legacy_id")).alias("first"),
-                                         F.max(F.struct((-F.col("score")).alias("s"), "legacy_id")).alias("nth"))
-        reached = reached.select("id", F.when(F.col("n") == top, F.col("floor")).alias("floor"), F.col("nth.legacy_id").alias("nth"))
-        unread = wants.join(rest, ["key", "cset"]).groupBy("id").agg(F.collect_list(F.struct(F.col("rest.overlap").alias("o"), kind_weight.alias("w"), F.col("rest.last").alias("last"))).alias("lists"))
+    # Customers are dealt evenly and by a fixed number: the joins below multiply rows, which their small inputs do not show.
+    dealt = lambda df, by="c_id": df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), by)
+    c, p = settle(dealt(_profile(customers.where("open"), "c_"))), settle(_profile(legacy, "l_"))
+    key = F.explode("keys").alias("key")
+    held = p.select(key).groupBy("key").agg(F.count("*").alias("n"))
+    keys = settle(c.select(key).distinct().join(held, "key"))
+    c_long, p_long = c.select("*", key).drop("keys"), p.select("*", key).drop("keys")
+    times = (c.agg(F.max(F.size("keys"))).first()[0] or 0) + 1
+
+    listed = settle(numbered(p_long.join(keys, "key", "left_semi"), ["key", "l_set"], ["l_id"], "pos"))
+    best = settle(_best(_met_in_short_lists(c_long, listed.drop("pos"), keys.where(F.col("n") <= short), top), top, times))
+
+    common = keys.where(F.col("n") > short).select("key")
+    entries = listed.join(common, "key", "left_semi")
+    classes = settle(entries.groupBy("key", "l_set").agg(F.count("*").alias("n"), F.first("l_courses").alias("l_courses"), F.first("l_taken").alias("l_taken")))
+    entries = entries.drop("l_courses", "l_taken")
+    weight = F.element_at(F.array(*map(F.lit, WEIGHTS.values())), F.col("key").bitwiseAND(7).cast("int"))
+    searching, done = settle(dealt(c_long.join(common, "key", "left_semi").withColumn("weight", weight))), 0
+    while not searching.isEmpty():
+        wanted = searching.groupBy("key", "c_set").agg(F.first("c_courses").alias("c_courses"), F.first("c_taken").alias("c_taken"))
+        opened, rest = _opened(wanted, classes, entries, done, depth)
+        met = dealt(searching.join(_reached(best, top).select("c_id", "floor"), "c_id", "left")).join(dealt(opened, "l_id"), ["key", "c_set"])
+        best = settle(_best(_score(met, F.col("overlap")).unionByName(best), top, times))
+        reached = _reached(best, top)
+        unread = searching.join(rest, ["key", "c_set"]).groupBy("c_id").agg(F.collect_list(F.struct(F.col("rest.overlap").alias("o"), "weight", F.col("rest.last").alias("last"))).alias("lists"))
 
         def reach(x):
             """The most that somebody with ``x.o`` shared courses can score, and the id it must be greater than for that."""
-            having = F.filter("lists", lambda y: y["o"] >= x["o"])
-            weight = F.aggregate(having, F.lit(0), lambda a, y: a + y["w"])
+            sum_ = F.aggregate(F.filter("lists", lambda y: y["o"] >= x["o"]), F.lit(0), lambda a, y: a + y["weight"])
             last = F.array_max(F.transform(F.filter("lists", lambda y: y["o"] == x["o"]), lambda y: y["last"]))
-            return F.struct((weight + COURSE_WEIGHT * x["o"]).cast("long").alias("most"), last.alias("last"))
+            return F.struct((sum_ + COURSE_WEIGHT * x["o"]).alias("most"), last.alias("last"))
 
-        open_ = unread.join(reached, "id", "left").where(F.col("floor").isNull() | F.exists(F.transform("lists", reach), lambda b: (
+        open_ = unread.join(reached, "c_id", "left").where(F.col("floor").isNull() | F.exists(F.transform("lists", reach), lambda b: (
             (b["most"] > F.col("floor")) | ((b["most"] == F.col("floor")) & (b["last"] < F.col("nth"))))))
-        searching = settle(c.join(open_.select("id", "floor"), "id"))
-        if searching.isEmpty():
-            break
-        depth *= deeper
+        searching = settle(dealt(searching.join(open_.select("c_id"), "c_id", "left_semi")))
+        done, depth = depth, depth * deeper
     ranked = Window.partitionBy("customer_id").orderBy(F.desc("score"), "legacy_person_id")
-    return done.select(F.col("id").alias("customer_id"), F.col("legacy_id").alias("legacy_person_id"), "score").withColumn("rank", F.row_number().over(ranked))
+    return best.select(F.col("c_id").alias("customer_id"), F.col("l_id").alias("legacy_person_id"), "score").withColumn("rank", F.row_number().over(ranked))
 
 
 def evidence(pairs: DataFrame, customers: DataFrame, legacy: DataFrame) -> DataFrame:
@@ -247,11 +322,11 @@ def decide(df: DataFrame) -> DataFrame:
     return df.withColumn("_d", d).select(*df.columns, "_d.method", "_d.confidence", "_d.score", "_d.status")
 
 
-def candidates(customers: DataFrame, legacy: DataFrame, top: int = 5, depth: int = 16) -> DataFrame:
+def candidates(customers: DataFrame, legacy: DataFrame, top: int = 5, **search) -> DataFrame:
     """Every rule pair and the top undecided pairs of each customer, with evidence and decision."""
     customers, legacy = settle(customers), settle(legacy)
     ruled = expand_groups(rule_groups(customers, legacy))
-    loose = fuzzy_pairs(customers, legacy, top, depth).select("customer_id", "legacy_person_id")
+    loose = fuzzy_pairs(customers, legacy, top, **search).select("customer_id", "legacy_person_id")
     return settle(decide(evidence(ruled.unionByName(loose), customers, legacy)))
 
 
