@@ -42,17 +42,19 @@ SWEEPS, BURN, DRAWS = 1, 2, 4
 STRENGTH, PARENT_STRENGTH = 1.0, 1.0
 #: Customers up to which a draw is exact.
 EXACT = 32
+#: Compression of arrays.
+LEVEL = 5
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def pack(a: np.ndarray) -> bytes:
     """The array's bytes by significance, compressed: small numbers in wide types take little room."""
     raw = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+    return squeeze(raw)
 
 
 def squeeze(data: bytes) -> bytes:
-    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", compression_level=LEVEL).compress(data, asbytes=True)
 
 
 def words_of(data: bytes) -> list:
@@ -235,10 +237,11 @@ def _ask_pairs(parts: int):
 
 
 def _opened(asked: pa.Table):
-    """(chunk, contexts, customers, context number of each pair, next words, counts) of each question, by chunk."""
-    for chunk, us, customers, k, w, n in sorted(zip(*(asked.column(c).to_pylist() for c in ("chunk", "us", "customers", "k", "w", "n")))):
+    """(chunk, contexts, context number of each pair, next words, and what else was asked for) of each question, by chunk."""
+    more = [c for c in ("customers", "n") if c in asked.column_names]
+    for chunk, us, k, w, *rest in sorted(zip(*(asked.column(c).to_pylist() for c in ("chunk", "us", "k", "w", *more)))):
         us, k = unpack(us, np.int64), unpack(k, np.int64)
-        yield chunk, us, unpack(customers, np.int64), np.repeat(np.arange(len(us)), k), unpack(w, np.int64), unpack(n, np.int64)
+        yield chunk, us, np.repeat(np.arange(len(us)), k), unpack(w, np.int64), *(unpack(x, np.int64) for x in rest)
 
 
 CELLS = pa.schema([("part", pa.int64()), ("us", pa.binary()), ("customers", pa.binary()), ("k", pa.binary()), ("w", pa.binary()), ("c", pa.binary()), ("ones", pa.int64()), ("twos", pa.int64())])
@@ -246,7 +249,7 @@ CELLS = pa.schema([("part", pa.int64()), ("us", pa.binary()), ("customers", pa.b
 
 def _merge_pairs(key, asked):
     """The restaurants of a part: contexts and customers, and the dishes of each with their customers."""
-    parts = [(us[u], w, n, us, customers) for _, us, customers, u, w, n in _opened(asked)]
+    parts = [(us[u], w, n, us, customers) for _, us, u, w, customers, n in _opened(asked)]
     us, first = np.unique(np.concatenate([p[3] for p in parts]), return_index=True)
     customers = np.concatenate([p[4] for p in parts])[first]
     u, w, n = (np.concatenate([p[i][p[2] > 0] for p in parts]) for i in range(3))
@@ -425,7 +428,7 @@ def _answer(law: dict, seed: int):
         tables, totals = part.sweep([seed, cells["part"]], DRAWS)
         own = part.c - law["d"] * tables
         cell, out = part.of << 40 | part.w, []
-        for chunk, us, _, u, w, _ in _opened(asked):
+        for chunk, us, u, w in _opened(asked):
             u = np.searchsorted(part.us, us)[u]
             at = np.minimum(np.searchsorted(cell, u << 40 | np.maximum(w, 0)), max(len(cell) - 1, 0))
             seen = (w >= 0) & (part.of[at] == u) & (part.w[at] == w) if len(cell) else np.zeros(len(w), bool)
@@ -516,7 +519,7 @@ def score(docs: DataFrame, key: str, held: Column, text: str = "text", seed: int
             law["parent_d"] = _discount(sums)
     answers = told.where("part >= 0").select("part", "to", "kind", "values")
     both = cells.unionByName(answers, allowMissingColumns=True)
-    of_pairs = asked.groupBy("part").cogroup(both.groupBy("part")).applyInArrow(_answer(dict(law), seed + 2000), _spark(ANSWER))
+    of_pairs = asked.select("part", "chunk", "us", "k", "w").groupBy("part").cogroup(both.groupBy("part")).applyInArrow(_answer(dict(law), seed + 2000), _spark(ANSWER))
     parent = told.where("part < 0").select(F.col("to"), "part", "values")
     of_words = words.withColumnRenamed("part", "to").groupBy("to").cogroup(parent.groupBy("to")).applyInArrow(_words_of_parent, _spark(ANSWER))
     replies = words.unionByName(of_pairs).unionByName(of_words).select("chunk", "part", "kind", "a", "b")
