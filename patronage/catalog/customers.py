@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from patronage.catalog import query
 from patronage.functions import vocabulary as V
 from patronage.functions.courses import COURSES
-from patronage.operators import intents as I, recommend as R
+from patronage.operators import intents as I, precedence, recommend as R
 from patronage.plans import reports as P
 
 NOW = "1999-06-30"
@@ -47,7 +47,7 @@ VERDICT_SQL = """WITH RECURSIVE ordered AS (SELECT *, row_number() OVER (PARTITI
 
 @query("staff_verdicts", VERDICT_SQL)
 def verdicts(t):
-    return I.staff_verdicts(t.intents.where("voided_at is null")).select("intent_id", "rejection")
+    return precedence.staff_verdicts(t.intents.where("voided_at is null")).select("intent_id", "rejection")
 
 
 HIST = """h AS (SELECT p.customer_id, course_code, counts_as_seat, session_start, 'partner' AS source, synthetic FROM purchase_items i

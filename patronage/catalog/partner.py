@@ -119,6 +119,60 @@ def quarantine(t):
     return P.quarantine_table(log(t)).select("event_id", "reason")
 
 
+#: Opinions replayed arrival by arrival: ``live`` are the rows of a pair that count, ``held`` also the voided ones.
+REPLAY = f"""{SUBJ[:SUBJ.index("),", SUBJ.index("st AS"))]}),
+  op AS (SELECT f.*, CASE WHEN st.external_id IS NOT NULL THEN st.lid WHEN type = 'intent' THEN 'cus_' || left(sha256('line|partner|' || line_user_id), 26) END AS cust
+    FROM opinion_feed f LEFT JOIN st ON st.external_id = line_user_id),
+  it AS (SELECT * FROM op WHERE type = 'intent' AND cust IS NOT NULL),
+  acts AS (SELECT cust, course, k, 'intent' AS act, k AS id, source = 'staff' AS staff, observed,
+      {{'obs': observed, 'staff': source = 'staff', 'conf': CASE WHEN source = 'staff' THEN 1.0 ELSE CAST(confidence AS DOUBLE) END, 'k': k, 'sticky': lock_kind = 'sticky'}} AS entry FROM it
+    UNION ALL SELECT it.cust, it.course, v.k, 'void', it.k, NULL, NULL, NULL FROM op v JOIN it ON it.k = v.k - 1 WHERE v.type = 'intent.void'
+    UNION ALL SELECT p.cust, p.course, e.k, 'erase', NULL, NULL, NULL, NULL FROM op e JOIN (SELECT DISTINCT cust, course FROM it) p ON p.cust = e.cust WHERE e.type = 'erase'),
+  num AS (SELECT *, row_number() OVER (PARTITION BY cust, course ORDER BY k) AS n FROM acts),
+  f AS (SELECT DISTINCT cust, course, 0::BIGINT AS n, NULL::BIGINT AS k, NULL::VARCHAR AS act, NULL::VARCHAR AS no, FALSE AS hit,
+      []::STRUCT(obs DATE, staff BOOLEAN, conf DOUBLE, k BIGINT, sticky BOOLEAN)[] AS live, []::BIGINT[] AS held FROM it
+    UNION ALL SELECT cust, course, n, k, act, no, CASE act WHEN 'intent' THEN TRUE WHEN 'void' THEN list_contains(held, id) ELSE len(held) > 0 END,
+      CASE WHEN act = 'intent' AND no IS NULL THEN list_append(live, entry) WHEN act = 'intent' THEN live WHEN act = 'void' THEN list_filter(live, lambda x: x.k <> id) ELSE [] END,
+      CASE WHEN act = 'intent' AND no IS NULL THEN list_append(held, id) WHEN act = 'erase' THEN [] ELSE held END
+    FROM (SELECT num.*, f.live, f.held, CASE WHEN num.act = 'intent' AND NOT num.staff AND list_sort(f.live)[-1].staff THEN
+        CASE WHEN list_sort(f.live)[-1].sticky THEN 'staff_sticky' WHEN observed <= list_sort(f.live)[-1].obs THEN 'staff_decided' END END AS no
+      FROM f JOIN num ON num.cust = f.cust AND num.course IS NOT DISTINCT FROM f.course AND num.n = f.n + 1))"""
+OPINIONS = f"WITH RECURSIVE {CHAIN}, {REPLAY}"
+
+
+def opinions(t):
+    return P.intake(t.opinion_raw, t.identities, t.customers)
+
+
+@query("partner_intents", f"""{OPINIONS}, fin AS (SELECT cust, course, live, held, list_sort(live)[-1].k AS top FROM f
+      QUALIFY row_number() OVER (PARTITION BY cust, course ORDER BY n DESC) = 1),
+    rows AS (SELECT cust, course, unnest(held) AS k, [x.k FOR x IN live] AS alive, top FROM fin)
+    SELECT 'opn-' || k AS event_id, cust AS customer_id, course AS course_code, NOT list_contains(alive, k) AS voided, k IS NOT DISTINCT FROM top AS current FROM rows
+    UNION ALL SELECT 'opn-' || op.k, NULL, course, EXISTS (SELECT 1 FROM op v WHERE v.type = 'intent.void' AND v.k = op.k + 1), FALSE FROM op WHERE type = 'intent' AND cust IS NULL""")
+def partner_intents(t):
+    """What is left of the opinions after staff precedence, voids and erasures, and which of them are current."""
+    left = P.fold_intents(opinions(t), "2026-01-01")
+    voided = F.col("voided_at").isNotNull()
+    return left.select("event_id", "customer_id", "course_code", voided.alias("voided"), (F.col("customer_id").isNotNull() & ~voided & F.col("superseded_at").isNull()).alias("current"))
+
+
+@query("partner_intent_voids", f"""{OPINIONS} SELECT op.k AS seq, op.type, CASE WHEN op.type = 'intent' THEN CASE WHEN op.cust IS NULL THEN 'pending_identity' WHEN no IS NULL THEN 'accepted' ELSE 'rejected' END
+      WHEN coalesce(hit, w.k IS NOT NULL) THEN 'accepted' ELSE 'quarantined' END AS status,
+    CASE WHEN op.type = 'intent' THEN CASE WHEN op.cust IS NULL THEN 'identity_not_found' ELSE coalesce(no, 'line') END
+      WHEN NOT coalesce(hit, w.k IS NOT NULL) THEN 'void_target_not_found' END AS reason
+    FROM op LEFT JOIN (SELECT k, no, hit FROM f WHERE act <> 'erase') r ON r.k = op.k LEFT JOIN op w ON w.k = op.k - 1 AND w.type = 'intent' AND w.cust IS NULL WHERE op.type <> 'erase'""")
+def partner_intent_voids(t):
+    """The outcome of every opinion and every void in arrival order."""
+    return P.judge_opinions(opinions(t))[0].where("type <> 'erase'").select("seq", "type", "status", "reason")
+
+
+@query("partner_erasures", f"""{OPINIONS} SELECT op.k AS seq, cust AS customer_id, CASE WHEN cust IS NULL THEN 'pending_identity' ELSE 'accepted' END AS status,
+    CASE WHEN cust IS NULL THEN 'subject_not_found' END AS reason, (SELECT count(*) FROM f WHERE act = 'erase' AND hit AND f.k = op.k) AS pairs FROM op WHERE type = 'erase'""")
+def partner_erasures(t):
+    """Every erasure with its customer and the number of (customer, course) pairs whose opinions it takes back."""
+    return P.erasure_report(*P.judge_opinions(opinions(t)))
+
+
 LATER = """lph AS (SELECT phone, count(*) AS n, min(customer_id) AS owner FROM customers WHERE (status = 'active' OR c_custkey % 20 = 1) AND phone IS NOT NULL GROUP BY 1),
   lem AS (SELECT email, count(*) AS n, min(customer_id) AS owner FROM customers WHERE (status = 'active' OR c_custkey % 20 = 1) AND email IS NOT NULL GROUP BY 1),
   pd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY e ORDER BY revision DESC, k DESC) AS rp FROM log2 WHERE status = 'pending_identity' AND type = 'purchase') WHERE rp = 1),

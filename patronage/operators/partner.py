@@ -382,21 +382,56 @@ def fold_purchases(log: DataFrame) -> tuple:
     return head, items
 
 
+def opinion_arrivals(log: DataFrame) -> DataFrame:
+    """Opinions, their voids and erasures of known customers, as arrivals that ``precedence.replay`` runs through."""
+    kind = F.when(F.col("type") == "intent", "intent").when(F.col("type") == "intent.void", "void").when(F.col("type") == "erase", "erase")
+    rows = log.where("status = 'accepted'").withColumn("kind", kind).where("kind is not null and (kind = 'void' or customer_id is not null)")
+    target = F.concat_ws("\x01", "partner_id", F.when(F.col("kind") == "void", F.col("voids")).otherwise(F.col("event_id")))
+    return rows.select("seq", "kind", target.alias("event_id"), "customer_id", F.col("intent_course").alias("course_code"), F.col("intent_source").alias("source"),
+                       F.col("intent_lock").alias("lock_kind"), F.col("occurred_at").alias("observed_at"), F.col("intent_confidence").alias("confidence"))
+
+
+def judge_opinions(log: DataFrame) -> tuple:
+    """(log, replayed): the log after staff precedence in arrival order, with voids and erasures taken into account.
+
+    A refused opinion is rejected; a void whose opinion was refused, or erased before, has lost its target.
+    """
+    from patronage.operators.precedence import replay
+    replayed = settle(replay(opinion_arrivals(log)))
+    by_seq = replayed.groupBy("seq").agg(F.max("rejection").alias("_no"), F.max("hit").alias("_hit"))
+    j = log.join(by_seq, "seq", "left")
+    pending = log.where("type = 'intent' and status = 'pending_identity'").select("partner_id", F.col("event_id").alias("voids"), F.lit(True).alias("_waits")).distinct()
+    j = j.join(pending, ["partner_id", "voids"], "left")
+    lost = (F.col("type") == "intent.void") & (F.col("status") == "accepted") & ~F.coalesce("_hit", "_waits", F.lit(False))
+    refused = (F.col("type") == "intent") & F.col("_no").isNotNull()
+    out = j.withColumns({"status": F.when(refused, "rejected").when(lost, "quarantined").otherwise(F.col("status")),
+                         "reason": F.when(refused, F.col("_no")).when(lost, "void_target_not_found").otherwise(F.col("reason"))})
+    return out.select(*log.columns), replayed
+
+
 def fold_intents(log: DataFrame, now: str) -> DataFrame:
-    """Opinions of the log after staff precedence, voids and current-row marking."""
-    from patronage.operators.intents import mark_superseded, staff_verdicts
-    cur = _current(log, "intent")
+    """Opinions of the log after staff precedence, voids, erasures and current-row marking."""
+    from patronage.operators.intents import mark_superseded
+    judged, replayed = judge_opinions(log)
+    judged = settle(judged)
+    gone = replayed.where("kind = 'erase'").groupBy("customer_id").agg(F.max("seq").alias("_gone"))
+    cur = _current(judged, "intent").join(gone, "customer_id", "left").where("_gone is null or seq > _gone")
     rows = cur.select(
         _id("int_", "partner_id", "event_id").alias("intent_id"), "customer_id", F.col("intent_course").alias("course_code"), *EVENT,
         F.col("intent_status").alias("status"), F.col("intent_reason").alias("hesitation_reason"), F.col("intent_confidence").alias("confidence"),
         ((F.col("intent_source") == "ai") & (F.col("intent_confidence") < 0.6)).alias("below_threshold"), F.col("intent_source").alias("source"),
         F.col("intent_lock").alias("lock_kind"), F.col("intent_model").alias("model"), F.col("occurred_at").alias("observed_at"),
         F.timestamp_seconds("seq").alias("created_at"))
-    kept = staff_verdicts(rows).where("rejection is null").drop("rejection")
-    stamped = kept.join(_voided(log, "intent"), EVENT, "left").withColumn("voided_at", F.when(F.col("_void"), F.lit(now).cast("timestamp"))).drop("_void")
+    stamped = rows.join(_voided(judged, "intent"), EVENT, "left").withColumn("voided_at", F.when(F.col("_void"), F.lit(now).cast("timestamp"))).drop("_void")
     return mark_superseded(stamped, now)
 
 
+def erasure_report(log: DataFrame, replayed: DataFrame) -> DataFrame:
+    """Every erasure with its outcome, and how many (customer, course) pairs lost opinions by it."""
+    hit = replayed.where("kind = 'erase'").groupBy("seq").agg(F.count_if("hit").alias("pairs"))
+    return log.where("type = 'erase'").join(hit, "seq", "left").select("seq", "customer_id", "status", "reason", F.coalesce("pairs", F.lit(0)).alias("pairs"))
+
+
 def erase_requests(log: DataFrame) -> DataFrame:
     """Customers to erase; an unknown subject is never erased."""
     return log.where("type = 'erase' and status = 'accepted'").select("customer_id", F.col("erase_reason").alias("reason"))

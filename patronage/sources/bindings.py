@@ -218,6 +218,20 @@ VIEWS["partner_raw"] = """
       FROM {partner_feed}"""
 
 
+VIEWS["opinion_feed"] = """
+      SELECT o_orderkey AS k, 'U' || CAST(o_custkey % 200 AS STRING) AS line_user_id,
+        CASE WHEN o_orderkey % 97 = 0 THEN 'erase' WHEN o_orderkey % 7 = 3 THEN 'intent.void' ELSE 'intent' END AS type,
+        CASE o_orderkey % 3 WHEN 0 THEN 'INNER' WHEN 1 THEN 'COMMU' END AS course, CASE WHEN o_orderkey % 5 < 2 THEN 'staff' ELSE 'ai' END AS source,
+        CASE WHEN o_orderkey % 20 < 2 THEN 'sticky' ELSE 'soft' END AS lock_kind, CASE o_orderkey % 5 WHEN 2 THEN '0.7' WHEN 3 THEN '0.8' ELSE '0.9' END AS confidence,
+        DATE '2024-01-01' + CAST(o_orderkey * 7919 % 300 AS INT) AS observed
+      FROM {orders}"""
+VIEWS["opinion_raw"] = """
+      SELECT 'partner-a' AS partner_id, k AS seq, '{"eventId":"opn-' || CAST(k AS STRING) || '","type":"' || type || '","occurredAt":"' || CAST(observed AS STRING) || 'T10:00:00Z"'
+        || CASE WHEN type = 'intent.void' THEN ',"voids":"opn-' || CAST(k - 1 AS STRING) || '"' ELSE ',"subject":{"lineUserId":"' || line_user_id || '"}' END
+        || CASE type WHEN 'erase' THEN ',"erase":{"reason":"customer_request","requestedAt":"2024-01-05T10:00:00Z"}' WHEN 'intent' THEN
+          ',"intent":{' || CASE WHEN course IS NOT NULL THEN '"courseCode":"' || course || '",' ELSE '' END || '"status":"interested","confidence":' || confidence || ',"source":"' || source || '"'
+          || CASE WHEN source = 'staff' THEN ',"lock":"' || lock_kind || '"' ELSE ',"model":"m1"' END || '}' ELSE '' END || '}' AS raw
+      FROM {opinion_feed}"""
 VIEWS["webhook_raw"] = """
       SELECT event_id AS seq, CAST(ts AS TIMESTAMP) AS received_at, '{"destination":"chan_0","events":[{' || CASE WHEN event_id % 7 <> 0 THEN '"webhookEventId":"w' || CAST(event_id AS STRING) || '",' ELSE '' END
         || '"type":"message","timestamp":' || CAST(1700000000000 + event_id * 1000 AS STRING) || ',"source":{"type":"' || CASE WHEN event_id % 9 = 0 THEN 'group' ELSE 'user' END

@@ -8,7 +8,7 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
-from patronage.operators import answers as A, events as E, intents as I, partner as P, quality as Q, recommend as R
+from patronage.operators import answers as A, events as E, intents as I, partner as P, precedence, quality as Q, recommend as R
 from patronage.plans.analytics import AnalyticsQuery, run_analytics
 from patronage.streaming import jobs as J
 
@@ -80,7 +80,7 @@ def replay(rows):
 @pytest.mark.parametrize("seed", range(4))
 def test_staff_verdicts_equal_a_replay(spark, seed):
     rows = random_intents(seed)
-    got = {r.intent_id: r.rejection for r in I.staff_verdicts(spark.createDataFrame(rows, INTENT)).collect()}
+    got = {r.intent_id: r.rejection for r in precedence.staff_verdicts(spark.createDataFrame(rows, INTENT)).collect()}
     assert got == replay(rows)
 
 
