@@ -200,17 +200,7 @@ def reconciled_purchases(t):
     return P.fold_purchases(P.reconciled(events, _found_later(t, events)))[0].select("event_id", "customer_id")
 
 
-@query("partner_corrections", f"""{LOG} SELECT count(*) AS fixed FROM (SELECT e FROM log2 WHERE outcome = 'quarantined' AND type = 'purchase' AND k % 10 <> 7 AND k % 10 <> 6 AND k % 17 = 0)""")
-def corrections(t):
-    fixes = t.partner_feed.where("k % 17 = 0 and k % 10 not in (6, 7)").select(
-        F.lit("partner-a").alias("partner_id"), F.concat(F.lit("ord-"), F.col("e").cast("string")).alias("event_id"),
-        (F.col("k") + 1_000_000_000).alias("fix_seq"), F.lit("COMMU").alias("fix_course"),
-        F.lit(None).cast("string").alias("fix_status"), F.lit(None).cast("string").alias("fix_voids"))
-    fixed = P.intake(t.partner_raw, t.identities, t.customers, fixes).where("seq >= 1000000000 and status in ('accepted', 'pending_identity')")
-    return fixed.agg(F.count("*").alias("fixed"))
-
-
-@query("partner_corrected_events", f"""{LOG}, q AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY e ORDER BY revision DESC, k DESC) AS rq FROM log2 WHERE status = 'quarantined') WHERE rq = 1),
+CORRECTED = f"""{LOG}, q AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY e ORDER BY revision DESC, k DESC) AS rq FROM log2 WHERE status = 'quarantined') WHERE rq = 1),
     reach AS (SELECT e AS te, max(revision) AS top FROM log2 WHERE status IN ('accepted', 'pending_identity', 'quarantined') GROUP BY 1),
     fo AS (SELECT * FROM (SELECT e AS oe, cust AS owner, row_number() OVER (PARTITION BY e ORDER BY k) AS ro FROM log2 WHERE outcome = 'ok') WHERE ro = 1),
     own AS (SELECT q.*, top, oe, owner, CASE WHEN type = 'purchase.void' THEN NULL WHEN by_line THEN lid WHEN mk AND type <> 'tag' THEN 'cus_' || left(sha256('line|partner|' || line_user_id), 26)
@@ -218,17 +208,30 @@ def corrections(t):
     fx AS (SELECT *, CASE WHEN revision + 1 <= top THEN 'duplicate' WHEN type = 'purchase' AND oe IS NOT NULL AND fcust IS NOT NULL AND fcust IS DISTINCT FROM owner THEN 'rejected'
       WHEN type = 'tag' THEN 'quarantined' WHEN type = 'purchase' AND coalesce(fcust, owner) IS NULL THEN 'pending_identity' ELSE 'accepted' END AS fst FROM own),
     tg AS (SELECT e AS ge, min(came) AS came FROM (SELECT e, k AS came FROM log2 WHERE type = 'purchase' AND status IN ('accepted', 'pending_identity')
-      UNION ALL SELECT e, k + 1000000000 FROM fx WHERE type = 'purchase' AND fst IN ('accepted', 'pending_identity')) GROUP BY 1)
-    SELECT 'ord-' || fx.e AS event_id, revision + 1 AS revision, CASE WHEN type = 'purchase' THEN 'COMMU' END AS course,
+      UNION ALL SELECT e, k + 1000000000 FROM fx WHERE type = 'purchase' AND fst IN ('accepted', 'pending_identity')) GROUP BY 1),
+    fixed AS (SELECT 'ord-' || fx.e AS event_id, revision + 1 AS revision, CASE WHEN type = 'purchase' THEN 'COMMU' END AS course,
       CASE WHEN type = 'purchase.void' AND fst = 'accepted' AND NOT coalesce(tg.came < fx.k + 1000000000, FALSE) THEN 'quarantined' ELSE fst END AS status
-    FROM fx LEFT JOIN tg ON fx.type = 'purchase.void' AND ge = fx.k - 1""")
-def corrected_events(t):
-    """What becomes of every event with a row in quarantine, re-sent orders and lost voids included, after a fix of its course."""
+    FROM fx LEFT JOIN tg ON fx.type = 'purchase.void' AND ge = fx.k - 1)"""
+
+
+def _fixed(t):
+    """Every event with a row in quarantine, re-sent orders and lost voids included, after a fix of its course."""
     none = F.lit(None).cast("string")
     fixes = log(t).where("status = 'quarantined'").groupBy("partner_id", "event_id").agg(F.max(F.struct("revision", "seq")).alias("l")).select(
         "partner_id", "event_id", (F.col("l.seq") + 1_000_000_000).alias("fix_seq"), F.lit("COMMU").alias("fix_course"), none.alias("fix_status"), none.alias("fix_voids"))
-    fixed = P.intake(t.partner_raw, t.identities, t.customers, fixes).where("seq >= 1000000000")
-    return fixed.select("event_id", "revision", F.when(F.col("type") == "purchase", F.get("lines", F.lit(0))["course_code"]).alias("course"), "status")
+    return P.intake(t.partner_raw, t.identities, t.customers, fixes).where("seq >= 1000000000")
+
+
+@query("partner_corrected_events", f"{CORRECTED} SELECT * FROM fixed")
+def corrected_events(t):
+    """What becomes of each of them."""
+    return _fixed(t).select("event_id", "revision", F.when(F.col("type") == "purchase", F.get("lines", F.lit(0))["course_code"]).alias("course"), "status")
+
+
+@query("partner_corrections", f"{CORRECTED} SELECT count(*) AS fixed FROM fixed WHERE status IN ('accepted', 'pending_identity')")
+def corrections(t):
+    """How many of them leave quarantine."""
+    return _fixed(t).where("status in ('accepted', 'pending_identity')").agg(F.count("*").alias("fixed"))
 
 
 def _waiting(t):
@@ -243,28 +246,26 @@ def _candidates(t, events):
     return N.match_candidates_for(events, t.customers).select("event_id", "candidate_id", F.concat_ws(",", "matched_by").alias("matched_by"))
 
 
-@query("partner_review_candidates", f"""{LOG}, ev AS (SELECT k, '+66' || substr(l.phone, 2) AS phone, l.email, CASE WHEN k % 3 = 0 THEN n.display_name END AS name
+REVIEW = f"""{LOG}, ev AS (SELECT k, '+66' || substr(l.phone, 2) AS phone, l.email, n.display_name AS name
       FROM log2 l LEFT JOIN customers n ON n.c_custkey = l.c WHERE l.status IN ('quarantined', 'pending_identity')),
     hits AS (SELECT k, customer_id, 'phone' AS how FROM ev JOIN customers c ON c.phone = ev.phone WHERE status = 'active'
       UNION SELECT k, customer_id, 'email' FROM ev JOIN customers c ON c.email = ev.email WHERE status = 'active'
       UNION SELECT k, customer_id, 'name' FROM ev JOIN customers c ON c.display_name = ev.name WHERE status = 'active'),
     g AS (SELECT k, customer_id, string_agg(how, ',' ORDER BY how) AS matched_by, count(*) AS n FROM hits GROUP BY 1, 2)
-    SELECT 'ord-' || k AS event_id, customer_id AS candidate_id, matched_by FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n DESC, customer_id) AS rn FROM g) WHERE rn <= 20""")
-def review_candidates(t):
-    return _candidates(t, _waiting(t).withColumn("display_name", F.when(F.col("k") % 3 == 0, F.col("display_name"))))
+    SELECT 'ord-' || k AS event_id, customer_id AS candidate_id, matched_by FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n DESC, customer_id) AS rn FROM g) WHERE rn <= 20"""
 
 
-@query("partner_review_all_candidates", f"""{LOG}, ev AS (SELECT k, '+66' || substr(l.phone, 2) AS phone, l.email, n.display_name AS name
-      FROM log2 l LEFT JOIN customers n ON n.c_custkey = l.c WHERE l.status IN ('quarantined', 'pending_identity')),
-    hits AS (SELECT k, customer_id, 'phone' AS how FROM ev JOIN customers c ON c.phone = ev.phone WHERE status = 'active'
-      UNION SELECT k, customer_id, 'email' FROM ev JOIN customers c ON c.email = ev.email WHERE status = 'active'
-      UNION SELECT k, customer_id, 'name' FROM ev JOIN customers c ON c.display_name = ev.name WHERE status = 'active'),
-    g AS (SELECT k, customer_id, string_agg(how, ',' ORDER BY how) AS matched_by, count(*) AS n FROM hits GROUP BY 1, 2)
-    SELECT 'ord-' || k AS event_id, customer_id AS candidate_id, matched_by FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n DESC, customer_id) AS rn FROM g) WHERE rn <= 20""")
+@query("partner_review_all_candidates", REVIEW)
 def review_all_candidates(t):
     return _candidates(t, _waiting(t))
 
 
+@query("partner_review_candidates", f"SELECT event_id, count(*) AS candidates, min(candidate_id) AS first_id FROM ({REVIEW}) GROUP BY event_id")
+def review_candidates(t):
+    """How many customers every waiting event may belong to."""
+    return review_all_candidates(t).groupBy("event_id").agg(F.count("*").alias("candidates"), F.min("candidate_id").alias("first_id"))
+
+
 @query("contact_conflicts", """WITH o AS (SELECT customer_id, phone FROM customers WHERE status = 'active' AND phone IS NOT NULL),
     p AS (SELECT c.customer_id, min(o.customer_id) AS candidate_id FROM customers c JOIN o ON o.phone = c.phone AND o.customer_id <> c.customer_id GROUP BY 1)
     , no AS (SELECT customer_id AS a, 'cus_' || (c_custkey - 1) AS b FROM customers WHERE c_custkey % 20 = 7)
