@@ -36,7 +36,7 @@ from pyspark.sql.types import ArrayType, BooleanType, StructField, StructType
 from patronage.llm.shared import settle, text_batches
 
 #: Tokens of a chunk; pairs of a part; bytes of text that are cut to words at once; customers from which a context is split.
-CHUNK, PART, PIECE, HOT = 3 << 20, 1 << 22, 1 << 20, 1 << 21
+CHUNK, PART, PIECE, HOT = 1 << 21, 1 << 21, 1 << 20, 1 << 20
 #: Sweeps that end with the parent; draws of a sweep that are left out, and those that are averaged; strengths of a context and of the parent.
 SWEEPS, BURN, DRAWS = 1, 2, 4
 STRENGTH, PARENT_STRENGTH = 1.0, 1.0
