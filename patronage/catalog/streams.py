@@ -26,7 +26,7 @@ def stream_ingest(t):
 def stream_fold(t):
     w = J.workspace(t.spark, "fold")
     empty = t.spark.createDataFrame([], "line_user_id string, first_interaction_at timestamp, last_interaction_at timestamp, first_message_at timestamp")
-    snaps = J.Snapshots(empty, f"{w}/snap")
+    snaps = J.ChangeRows(empty, f"{w}/rows", ["line_user_id"])
     J.drain(J.fold_contacts(streamed(t).inbound, snaps, f"{w}/cp"))
     day = lambda c, n: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(n)
     return snaps.latest().select("line_user_id", day("first_interaction_at", "first_at"), day("last_interaction_at", "last_at"), day("first_message_at", "first_message"))
@@ -35,7 +35,7 @@ def stream_fold(t):
 @query("stream_current_intents", f"WITH {CUR} SELECT customer_id, course_code, intent_id FROM cur")
 def stream_current(t):
     w = J.workspace(t.spark, "current")
-    snaps = J.Snapshots(t.intents.limit(0), f"{w}/snap")
+    snaps = J.ChangeRows(t.intents.limit(0), f"{w}/rows", ["customer_id", "course_code"])
     J.drain(J.keep_current_intents(streamed(t).intents, snaps, f"{w}/cp"))
     return snaps.latest().select("customer_id", "course_code", "intent_id")
 
@@ -51,7 +51,7 @@ def stream_lock(t):
 @query("stream_request_counts", """SELECT user_id, strftime(to_timestamp(CAST(floor(epoch(ts)) AS BIGINT) // 3600 * 3600), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS n, greatest(0, count(*) - 2) AS refused FROM events GROUP BY 1, 2""")
 def stream_quota(t):
     log = streamed(t).events.select("user_id", F.col("ts").cast("timestamp").alias("at"))
-    out = J.run_to_table(J.request_counts(log, "user_id", "at", 2, "1 hour"), "quota")
+    out = J.run_to_table(J.request_counts(log, "user_id", "at", 2, "1 hour"), "quota", ["window_start", "user_id"])
     return out.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
 
 
@@ -59,7 +59,7 @@ def stream_quota(t):
     SELECT strftime(to_timestamp(s * 3600), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS n FROM w GROUP BY s HAVING count(*) >= 10""")
 def stream_spikes(t):
     log = streamed(t).events.where("event_type = 'error'").select(F.col("ts").cast("timestamp").alias("at"))
-    out = J.run_to_table(J.error_spikes(log, "at", 10, "3 hours", "1 hour"), "spikes")
+    out = J.run_to_table(J.error_spikes(log, "at", 10, "3 hours", "1 hour"), "spikes", ["window_start"])
     return out.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
 
 
@@ -67,6 +67,6 @@ def stream_spikes(t):
 def stream_mirror(t):
     w = J.workspace(t.spark, "mirror")
     scrub = lambda d: S.scrub_customers(d, KEY)
-    snaps = J.Snapshots(scrub(t.customers.limit(0)), f"{w}/snap")
+    snaps = J.ChangeRows(scrub(t.customers.limit(0)), f"{w}/rows", ["customer_id"])
     J.drain(J.mirror(streamed(t, "customer").customers, snaps, "customer_id", scrub, f"{w}/cp"))
     return snaps.latest().select("customer_id", F.date_format("source_updated_at", "yyyy-MM-dd").alias("source_day"), F.right("phone", F.lit(4)).alias("tail"))

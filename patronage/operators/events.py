@@ -3,6 +3,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from patronage.functions.text import SECRET_KEY, redact_text
 from patronage.functions.vocabulary import FIXED_LIMITS as L
+from patronage.operators.numbering import numbered
 
 SUPPORTED = ["follow", "unfollow", "message"]
 BODY_JSON = ("destination string, events array<struct<webhookEventId:string, type:string, timestamp:bigint, source:struct<type:string,userId:string>, "
@@ -137,8 +138,7 @@ def retain(df: DataFrame, at: str, now: str, days: int | None = None, years: int
 def quota(log: DataFrame, key: str, at: str, limit: int, window_s: int) -> DataFrame:
     """Fixed-window quota over a request log: n-th call in the window, allowed, remaining, retry-after."""
     second = F.unix_timestamp(at)
-    w = Window.partitionBy(key, "window_start").orderBy(at, "event_id")
-    out = log.withColumn("window_start", (F.floor(second / window_s) * window_s).cast("long")).withColumn("n", F.row_number().over(w))
+    out = numbered(log.withColumn("window_start", (F.floor(second / window_s) * window_s).cast("long")), [key, "window_start"], [at, "event_id"], "n")
     left = F.greatest(F.lit(1), (F.col("window_start") + window_s) - second)
     return out.withColumns({"allowed": F.col("n") <= limit, "remaining": F.greatest(F.lit(0), F.lit(limit) - F.col("n")), "retry_after_s": left.cast("int")})
 

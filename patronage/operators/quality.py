@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from patronage.functions.text import birth_year_be, normalize_email, normalize_phone, number, strip
 from patronage.functions.vocabulary import FIXED_LIMITS as L
+from patronage.operators.numbering import numbered
 from patronage.sources.store import spread
 
 
@@ -212,16 +213,11 @@ def version_conflicts(submissions: DataFrame, schemas: DataFrame) -> DataFrame:
 def number_revisions(submissions: DataFrame, stored: DataFrame) -> DataFrame:
     """Revision per customer after the stored ones, in (at, id) order.
 
-    Day offsets come from a small per-day count, so one busy customer is cut by day.
+    Submissions are numbered by ranges, so one busy customer spreads over many tasks.
     """
     base = stored.groupBy("customer_id").agg(F.max("revision").alias("_base"))
-    s = submissions.withColumn("_day", F.to_date("at"))
-    days = s.groupBy("customer_id", "_day").agg(F.count("*").alias("n"))
-    past = Window.partitionBy("customer_id").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    days = days.withColumn("_before", F.coalesce(F.sum("n").over(past), F.lit(0))).drop("n")
-    local = F.row_number().over(Window.partitionBy("customer_id", "_day").orderBy("at", "submission_id"))
-    return s.withColumn("_pos", local).join(days, ["customer_id", "_day"]).join(base, "customer_id", "left").withColumn(
-        "revision", (F.coalesce("_base", F.lit(0)) + F.col("_before") + F.col("_pos")).cast("int")).drop("_day", "_pos", "_before", "_base")
+    placed = numbered(submissions, ["customer_id"], ["at", "submission_id"], "_pos").join(base, "customer_id", "left")
+    return placed.withColumn("revision", (F.coalesce("_base", F.lit(0)) + F.col("_pos")).cast("int")).drop("_pos", "_base")
 
 
 def first_submissions(submissions: DataFrame) -> DataFrame:

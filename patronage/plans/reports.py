@@ -1,9 +1,10 @@
 """Sheet-shaped reports, customer profiles and review queues."""
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from patronage.functions import vocabulary as V
 from patronage.functions.courses import clean_code, course_name, literal_map
 from patronage.functions.text import confidence_label
+from patronage.operators.numbering import numbered as number_rows
 
 SECTION = {"summary": 0, "header": 1, "row": 2}
 
@@ -153,17 +154,12 @@ def customer_sheet(customers: DataFrame, current_year: int) -> DataFrame:
 def sheet_write_plan(rows: DataFrame, existing: DataFrame) -> DataFrame:
     """Row number per key: known keys keep theirs, new ones follow the last row by (day, key).
 
-    Numbers are day offsets plus a position within the day, so no task orders the whole table.
+    Rows are numbered by ranges, so neither a busy day nor the whole table is ordered by one task.
     """
     placed = rows.select("customer_id", F.to_date("updated_at").alias("_day")).join(existing, "customer_id", "left")
-    new = placed.where("row_number is null")
-    per_day = new.groupBy("_day").agg(F.count("*").alias("n"))
-    offsets = per_day.withColumn("_before", F.coalesce(F.sum("n").over(
-        Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_day", "_before")
     last = existing.agg(F.coalesce(F.max("row_number"), F.lit(1))).scalar()
-    local = F.row_number().over(Window.partitionBy("_day").orderBy("customer_id"))
-    numbered = new.withColumn("_pos", local).join(offsets, "_day").select(
-        "customer_id", (last + F.col("_before") + F.col("_pos")).cast("long").alias("row_number"), F.lit("append").alias("action"))
+    new = number_rows(placed.where("row_number is null").select("customer_id", "_day"), [], ["_day", "customer_id"], "_pos")
+    numbered = new.select("customer_id", (last + F.col("_pos")).cast("long").alias("row_number"), F.lit("append").alias("action"))
     kept = placed.where("row_number is not null").select("customer_id", F.col("row_number").cast("long"), F.lit("update").alias("action"))
     return kept.unionByName(numbered)
 

@@ -1,41 +1,73 @@
 """Structured Streaming twins of the batch jobs.
 
 Late rows are handled by commuting rules (minimum, maximum, revision), not by dropping them; only
-deduplication and rate windows use a watermark. Tables that a stream maintains are versioned
-snapshots: batch n reads version n-1 and overwrites version n, so a replayed batch gives the same files.
+deduplication and rate windows use a watermark, which also bounds their state. Tables that a stream maintains
+are change rows: batch n adds the new state of the keys it touches as version n, and replaces that version when it is replayed.
 """
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from patronage.operators.events import land_webhooks
 from patronage.operators.intents import current_intents
-from patronage.sources.store import shared_folder, upsert
+from patronage.sources.store import shared_folder
 
 
 def workspace(spark, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/stream-{name}-{uuid.uuid4().hex}"
 
 
-class Snapshots:
-    """Versions of one table under a shared folder, numbered by micro-batch."""
+class ChangeRows:
+    """A keyed table as change rows under a shared folder, one partition a micro-batch; a key's largest version is its state.
 
-    def __init__(self, empty: DataFrame, folder: str):
-        self.empty, self.folder, self.last = empty, folder, -1
+    A batch writes as many rows as keys it touches, whatever the size of the table. Nothing is kept in the driver: after a
+    restart the versions are found in the folder.
+    """
 
-    def before(self, batch_id: int) -> DataFrame:
-        return self.empty if batch_id == 0 else self.empty.sparkSession.read.parquet(f"{self.folder}/v{batch_id - 1}")
+    def __init__(self, empty: DataFrame, folder: str, key: list):
+        self.empty, self.folder, self.key = empty, folder, key
+
+    def _rows(self) -> DataFrame:
+        spark, schema = self.empty.sparkSession, StructType([*self.empty.schema.fields, StructField("version", LongType())])
+        try:
+            return spark.read.schema(schema).parquet(self.folder)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return spark.createDataFrame([], schema)
+
+    def _state(self, rows: DataFrame) -> DataFrame:
+        rest = [c for c in self.empty.columns if c not in self.key]
+        return rows.groupBy(*self.key).agg(F.max_by(F.struct(*rest), "version").alias("r")).select(*self.key, "r.*").select(*self.empty.columns)
+
+    def before(self, batch_id: int, touched: DataFrame) -> DataFrame:
+        """What the keys of ``touched`` hold before a batch."""
+        keys = touched.select(*[F.col(k).alias(f"_{k}") for k in self.key]).distinct()
+        rows = self._rows().where(F.col("version") < batch_id)
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in self.key])
+        return self._state(rows.join(keys, same, "left_semi"))
 
     def write(self, df: DataFrame, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.folder}/v{batch_id}")
-        self.last = batch_id
+        (df.select(*self.empty.columns).withColumn("version", F.lit(batch_id).cast("long")).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("version").parquet(self.folder))
 
     def latest(self) -> DataFrame:
-        return self.before(self.last + 1)
+        return self._state(self._rows())
+
+    def compact(self, to: str) -> "ChangeRows":
+        """The same table in a new folder, with one row a key."""
+        new = ChangeRows(self.empty, to, self.key)
+        version = self._rows().agg(F.max("version")).first()[0]
+        if version is not None:
+            new.write(self.latest(), version)
+        return new
 
 
 def drain(query) -> None:
@@ -52,22 +84,19 @@ def ingest(raw: DataFrame, out: str, checkpoint: str):
             .outputMode("append").trigger(availableNow=True).start())
 
 
-def fold_contacts(events: DataFrame, snapshots: Snapshots, checkpoint: str):
+def fold_contacts(events: DataFrame, table: ChangeRows, checkpoint: str):
     """First and last contact per chat user; a late event still moves the first contact back."""
     msg = F.when(F.col("event_type") == "message", F.col("occurred_at"))
     totals = events.where(F.col("event_type").isin("follow", "unfollow", "message") & F.col("line_user_id").isNotNull()).groupBy("line_user_id").agg(
         F.min("occurred_at").alias("first_interaction_at"), F.max("occurred_at").alias("last_interaction_at"), F.min(msg).alias("first_message_at"))
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        snapshots.write(upsert(snapshots.before(batch_id), batch, ["line_user_id"]), batch_id)
-
-    return totals.writeStream.outputMode("update").foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return totals.writeStream.outputMode("update").foreachBatch(table.write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def keep_current_intents(intents: DataFrame, snapshots: Snapshots, checkpoint: str):
+def keep_current_intents(intents: DataFrame, table: ChangeRows, checkpoint: str):
     """Current opinion per (customer, course): stored winners compete with the batch."""
     def merge(batch: DataFrame, batch_id: int) -> None:
-        snapshots.write(current_intents(snapshots.before(batch_id).unionByName(batch)), batch_id)
+        table.write(current_intents(table.before(batch_id, batch).unionByName(batch)), batch_id)
 
     return intents.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -119,26 +148,22 @@ def error_spikes(errors: DataFrame, at: str, threshold: int, window: str = "15 m
     return g.where(F.col("n") >= threshold).select(F.col("window.start").alias("window_start"), "n")
 
 
-def run_to_table(df: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Run a windowed stream over what is available and return its rows as a settled table."""
+def run_to_table(df: DataFrame, name: str, key: list) -> DataFrame:
+    """Run a windowed stream over what is available and return its rows; windows behind the watermark leave the state."""
     spark = df.sparkSession
     folder = workspace(spark, name)
-    schema = df.schema
-    snaps = Snapshots(spark.createDataFrame([], schema), f"{folder}/rows")
-    q = (df.writeStream.outputMode(mode).foreachBatch(lambda b, i: snaps.write(b, i)).option("checkpointLocation", f"{folder}/cp")
-         .trigger(availableNow=True).start())
-    drain(q)
-    return snaps.latest()
+    table = ChangeRows(spark.createDataFrame([], df.schema), f"{folder}/rows", key)
+    drain(df.writeStream.outputMode("update").foreachBatch(table.write).option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start())
+    return table.latest()
 
 
-def mirror(changes: DataFrame, snapshots: Snapshots, key: str, scrub, checkpoint: str):
+def mirror(changes: DataFrame, table: ChangeRows, key: str, scrub, checkpoint: str):
     """Scrubbed mirror fed by a change stream of source rows; the newest version of a row wins."""
     def merge(batch: DataFrame, batch_id: int) -> None:
         rest = [c for c in batch.columns if c not in (key, "updated_at")]
         newest = batch.groupBy(key).agg(F.max(F.struct("updated_at", F.struct(*rest).alias("r"))).alias("t")).select(key, "t.updated_at", "t.r.*")
-        held = snapshots.before(batch_id)
-        old = held.select(key, F.col("source_updated_at").alias("_held"))
+        old = table.before(batch_id, newest).select(key, F.col("source_updated_at").alias("_held"))
         fresh = newest.join(old, key, "left").where("_held is null or updated_at >= _held").drop("_held")
-        snapshots.write(upsert(held, scrub(fresh), [key]), batch_id)
+        table.write(scrub(fresh), batch_id)
 
     return changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -108,7 +108,7 @@ def test_late_intent_does_not_become_current_in_any_order(spark, tmp_path):
     df = spark.createDataFrame([(*r, k % 3) for k, (_, r) in enumerate(order)], INTENT + ", part int")
     split_files(spark, df, str(tmp_path / "in"), 3)
     stream = spark.readStream.schema(INTENT).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    snaps = J.Snapshots(spark.createDataFrame([], INTENT), str(tmp_path / "snap"))
+    snaps = J.ChangeRows(spark.createDataFrame([], INTENT), str(tmp_path / "snap"), ["customer_id", "course_code"])
     J.drain(J.keep_current_intents(stream, snaps, str(tmp_path / "cp")))
     assert {(r.customer_id, r.course_code): r.intent_id for r in snaps.latest().collect()} == want
 
@@ -122,7 +122,7 @@ def test_contact_fold_stream_in_shuffled_order(spark, tmp_path):
     split_files(spark, df, str(tmp_path / "in"), 4)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     empty = spark.createDataFrame([], "line_user_id string, first_interaction_at timestamp, last_interaction_at timestamp, first_message_at timestamp")
-    snaps = J.Snapshots(empty, str(tmp_path / "snap"))
+    snaps = J.ChangeRows(empty, str(tmp_path / "snap"), ["line_user_id"])
     J.drain(J.fold_contacts(stream, snaps, str(tmp_path / "cp")))
     pick = ["line_user_id", "first_interaction_at", "last_interaction_at", "first_message_at"]
     batch = E.fold_customers(df).select(pick)
@@ -290,3 +290,20 @@ def test_recommendations(spark):
                                     "superseded_at timestamp, voided_at timestamp")
     rows = R.follow_ups(intents, people_, summary).collect()
     assert [(r.reco_id, r.suggested_action) for r in rows] == [("follow_up:c1:COMMU", "เสนอผ่อน / ส่วนลด")]
+
+
+def test_change_rows_after_a_restart(spark, tmp_path):
+    """A new object finds the versions in the folder; a batch writes its own keys only, and a replayed batch replaces itself."""
+    schema = "k string, j string, v int"
+    rows = lambda *r: spark.createDataFrame(list(r), schema)
+    make = lambda: J.ChangeRows(rows(), str(tmp_path / "t"), ["k", "j"])
+    assert make().latest().collect() == []
+    make().write(rows(*[(f"k{i}", None, i) for i in range(50)]), 0)
+    assert make().before(1, rows(("k3", None, 0), ("new", None, 0))).collect() == [("k3", None, 3)]
+    for _ in range(2):
+        make().write(make().before(1, rows(("k3", None, 0))).withColumn("v", F.col("v") + 100).unionByName(rows(("new", "x", 7))), 1)
+    table = make()
+    assert spark.read.parquet(str(tmp_path / "t")).groupBy("version").count().orderBy("version").collect() == [(0, 50), (1, 2)]
+    assert {r.k: r.v for r in table.latest().collect()} == {**{f"k{i}": i for i in range(50)}, "k3": 103, "new": 7}
+    assert sorted(table.compact(str(tmp_path / "c")).latest().collect(), key=str) == sorted(table.latest().collect(), key=str)
+    assert spark.read.parquet(str(tmp_path / "c")).count() == 51
