@@ -2,8 +2,9 @@
 from pyspark.sql import functions as F
 
 from patronage.catalog import query
-from patronage.operators import identity as N, partner as P, scrub as S
+from patronage.operators import identity as N, merging as M, partner as P, scrub as S
 
+STAMP = "2026-01-01"
 CHAIN = """chain AS (SELECT customer_id, merged_into AS cur, 1 AS hops FROM customers WHERE status = 'merged'
     UNION ALL SELECT chain.customer_id, m.merged_into, hops + 1 FROM chain JOIN customers m ON m.customer_id = chain.cur AND m.status = 'merged' WHERE hops < 5),
   ends AS (SELECT customer_id, arg_max(cur, hops) AS cur, max(hops) AS hops FROM chain GROUP BY 1)"""
@@ -295,13 +296,64 @@ def merge_winners(t):
     return _merges(t)
 
 
-@query("merged_customers", f"""WITH {MERGE} SELECT c.customer_id, CASE WHEN l.loser_id IS NOT NULL THEN 'merged' ELSE c.status END AS status, coalesce(l.winner_id, c.merged_into) AS merged_into,
-    coalesce(c.email, lo.email) AS email, coalesce(c.title, lo.title) AS title, coalesce(c.birth_year, lo.birth_year) AS birth_year,
+MERGED = """SELECT c.customer_id, CASE WHEN l.loser_id IS NOT NULL THEN 'merged' ELSE c.status END AS status, coalesce(l.winner_id, c.merged_into) AS merged_into,
+    coalesce(c.email, lo.email) AS email, coalesce(c.phone, lo.phone) AS phone, coalesce(c.title, lo.title) AS title, coalesce(c.birth_year, lo.birth_year) AS birth_year,
+    coalesce(c.display_name, lo.display_name) AS display_name, coalesce(c.nickname, lo.nickname) AS nickname, coalesce(c.full_name_en, lo.full_name_en) AS full_name_en,
+    coalesce(c.heard_from, lo.heard_from) AS heard_from, array_to_string(list_sort(list_distinct([c.source_channel, lo.source_channel])), ',') AS sources,
+    c.consent_data, c.consent_marketing, c.sheet_dirty OR l.loser_id IS NOT NULL OR lo.customer_id IS NOT NULL AS sheet_dirty,
+    c.ai_dirty OR l.loser_id IS NOT NULL OR lo.customer_id IS NOT NULL AS ai_dirty,
+    strftime(CASE WHEN l.loser_id IS NOT NULL OR lo.customer_id IS NOT NULL THEN TIMESTAMP '2026-01-01' ELSE c.updated_at END, '%Y-%m-%d') AS updated_at,
     strftime(least(c.first_interaction_at, coalesce(lo.first_interaction_at, c.first_interaction_at)), '%Y-%m-%d') AS first_interaction_at
-    FROM customers c LEFT JOIN win l ON l.loser_id = c.customer_id LEFT JOIN win w ON w.winner_id = c.customer_id LEFT JOIN customers lo ON lo.customer_id = w.loser_id""")
+    FROM customers c LEFT JOIN win l ON l.loser_id = c.customer_id LEFT JOIN win w ON w.winner_id = c.customer_id LEFT JOIN customers lo ON lo.customer_id = w.loser_id"""
+
+
+@query("merged_customers", f"WITH {MERGE} {MERGED}")
 def merged_customers(t):
+    """Every column that a merge writes and that these customers have."""
+    day = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
     return N.apply_merges(t.customers, _merges(t), "2026-01-01").select(
-        "customer_id", "status", "merged_into", "email", "title", "birth_year", F.date_format("first_interaction_at", "yyyy-MM-dd").alias("first_interaction_at"))
+        "customer_id", "status", "merged_into", "email", "phone", "title", "birth_year", "display_name", "nickname", "full_name_en", "heard_from",
+        F.concat_ws(",", "sources").alias("sources"), "consent_data", "consent_marketing", "sheet_dirty", "ai_dirty", day("updated_at"), day("first_interaction_at"))
+
+
+#: Pairs that meet: k with k - 1 and k - 1 with k - 2. One survivor a group, one that never loses if there is one.
+GRAPH = MERGE.replace("c_custkey % 10 = 7", "c_custkey % 10 IN (6, 7)") + """,
+  links AS (SELECT winner_id AS x, loser_id AS y FROM win UNION SELECT loser_id, winner_id FROM win),
+  reach AS (SELECT x, x AS y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y),
+  graph AS (SELECT x AS loser_id, arg_min(y, (y IN (SELECT loser_id FROM win), y)) AS winner_id FROM reach GROUP BY x),
+  fin AS (SELECT * FROM graph WHERE loser_id <> winner_id)"""
+CHILDREN = ["identities", "purchases", "owned_items", "intents", "submissions", "customer_links"]
+
+
+def _run(t):
+    pairs = t.customers.where("c_custkey % 10 in (6, 7) and status = 'active' and (c_custkey - 1) % 20 > 1").select(
+        F.concat(F.lit("cus_"), (F.col("c_custkey") - 1).cast("string")).alias("a"), F.col("customer_id").alias("b"))
+    return M.merge_run(t.customers, N.pick_winner(pairs, t.customers, t.identities), {c: getattr(t, c) for c in CHILDREN}, STAMP)
+
+
+@query("merge_graph", f"WITH RECURSIVE {GRAPH} SELECT loser_id AS customer_id, winner_id AS survivor_id FROM fin")
+def merge_graph(t):
+    """The tombstones of a run whose merges meet, with their survivors."""
+    before = t.customers.select("customer_id", F.col("merged_into").alias("was"))
+    return _run(t)["customers"].join(before, "customer_id").where("status = 'merged' and not (merged_into <=> was)").select("customer_id", F.col("merged_into").alias("survivor_id"))
+
+
+@query("merge_moves", f"WITH RECURSIVE {GRAPH} " + " UNION ALL ".join(
+    f"SELECT winner_id, '{c}' AS child, count(*) AS n FROM {c} JOIN fin ON loser_id = customer_id GROUP BY 1" for c in CHILDREN))
+def merge_moves(t):
+    """Rows that came to each survivor, by table."""
+    return _run(t)["moved"]
+
+
+@query("merged_intents", f"""WITH RECURSIVE {GRAPH}, mine AS (SELECT i.* REPLACE (coalesce(winner_id, customer_id) AS customer_id) FROM intents i LEFT JOIN fin ON loser_id = customer_id),
+    top AS (SELECT intent_id FROM (SELECT *, row_number() OVER (PARTITION BY customer_id, course_code ORDER BY observed_at DESC,
+      CASE WHEN source = 'staff' THEN 0 ELSE 1 END, confidence DESC, created_at DESC, intent_id DESC) AS rn FROM mine WHERE voided_at IS NULL) WHERE rn = 1)
+    SELECT m.intent_id, m.customer_id, top.intent_id IS NULL AS superseded FROM mine m LEFT JOIN top ON top.intent_id = m.intent_id
+    WHERE m.customer_id IN (SELECT winner_id FROM fin)""")
+def merged_intents(t):
+    """The survivors' opinions, their own and those that came, with the current one of each course decided again."""
+    out, won = _run(t), merge_graph(t).select(F.col("survivor_id").alias("customer_id")).distinct()
+    return out["intents"].join(won, "customer_id", "left_semi").select("intent_id", "customer_id", F.col("superseded_at").isNotNull().alias("superseded"))
 
 
 @query("merged_purchases", f"""WITH {MERGE} SELECT purchase_id, coalesce(winner_id, customer_id) AS customer_id FROM purchases LEFT JOIN win ON loser_id = customer_id""")
