@@ -53,6 +53,17 @@ def pack(a: np.ndarray) -> bytes:
     return squeeze(raw)
 
 
+def pack_steps(a: np.ndarray) -> bytes:
+    """Longs that mostly rise slowly, as packed steps."""
+    d = np.diff(a, prepend=0)
+    return pack((d << 1) ^ (d >> 63))
+
+
+def unpack_steps(data: bytes) -> np.ndarray:
+    z = unpack(data, np.int64)
+    return np.cumsum((z >> 1) ^ -(z & 1))
+
+
 def squeeze(data: bytes) -> bytes:
     return len(data).to_bytes(8, "little") + pa.Codec("zstd", compression_level=LEVEL).compress(data, asbytes=True)
 
@@ -110,7 +121,8 @@ def _chunks(schema: pa.Schema):
             row, key, held, size, lead = map(list, zip(*book.pieces))
             known = np.repeat(~np.array(held), size)
             chunk = TaskContext.get().partitionId() * 2**32 + made
-            values = [chunk, len(codes), int(known.sum()), squeeze(b" ".join(book.words)), pack(codes), row, key, held, size, lead]
+            marks = np.array([zlib.crc32(w) >> 8 for w in book.words], np.int32)
+            values = [chunk, len(codes), int(known.sum()), squeeze(b" ".join(book.words)), pack(marks), pack(codes), row, key, held, size, lead]
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, schema)], schema=schema)
 
         book, filled = _Book(), 0
@@ -130,17 +142,13 @@ def _chunks(schema: pa.Schema):
     return run
 
 
-def _shares(words: list, parts: int) -> np.ndarray:
-    return np.array([zlib.crc32(w) % parts for w in words], np.int64)
-
-
 def _ask_words(parts: int):
     def run(batches):
         for batch in batches:
-            for chunk, blob, packed, held, sizes in zip(*(batch.column(c).to_pylist() for c in ("chunk", "words", "codes", "held", "sizes"))):
+            for chunk, blob, marks, packed, held, sizes in zip(*(batch.column(c).to_pylist() for c in ("chunk", "words", "marks", "codes", "held", "sizes"))):
                 words, codes = words_of(blob), unpack(packed, np.int32)
                 counts = np.bincount(codes[np.repeat(~np.array(held), sizes)], minlength=len(words))
-                share, rows = _shares(words, parts), []
+                share, rows = unpack(marks, np.int32) % parts, []
                 order = np.argsort(share, kind="stable")
                 ends = np.searchsorted(share[order], np.arange(parts + 1))
                 for p in np.unique(share).tolist():
@@ -181,26 +189,26 @@ class _Pairs:
     """The tokens of a chunk with their contexts, and the distinct pairs in the order in which they are asked for."""
 
     def __init__(self, chunk: dict, answers: list, parts: int):
-        words = words_of(chunk["words"])
+        self.share = unpack(chunk["marks"], np.int32) % parts
+        n_words = len(self.share)
         self.codes, sizes = unpack(chunk["codes"], np.int32), np.array(chunk["sizes"])
         starts = np.cumsum(sizes) - sizes
         self.before = np.concatenate([np.zeros(1, np.int32), self.codes[:-1]])
         self.before[starts[sizes > 0]] = np.array(chunk["leads"])[sizes > 0]
         self.train = np.repeat(~np.array(chunk["held"]), sizes)
-        self.number, self.count = np.full(len(words), -1, np.int64), np.zeros(len(words), np.int64)
-        self.share = _shares(words, parts)
+        self.number, self.count = np.full(n_words, -1, np.int64), np.zeros(n_words, np.int64)
         for part, ids, counts in answers:
             own = self.share == part
             self.number[own], self.count[own] = unpack(ids, np.int64), unpack(counts, np.int64)
-        key, of = np.unique(self.before * np.int64(len(words)) + self.codes, return_inverse=True)
+        key, of = np.unique(self.before * np.int64(n_words) + self.codes, return_inverse=True)
         self.of = of.astype(np.int32)
         n = np.bincount(self.of, weights=self.train, minlength=len(key)).astype(np.int64)
-        u, w = key // len(words), key % len(words)
+        u, w = key // n_words, key % n_words
         contexts = np.unique(u)
         contexts = contexts[self.number[contexts] >= 0]
         asked = np.flatnonzero((self.number[u] >= 0) & (self.number[w] >= 0))
         self.place = np.full(len(key), -1, np.int64)  # of a pair among the questions; then of a context alone
-        self.alone = np.full(len(words), -1, np.int64)
+        self.alone = np.full(n_words, -1, np.int64)
         u, w = np.concatenate([u[asked], contexts]), np.concatenate([self.number[w[asked]], np.full(len(contexts), -1)])
         n = np.concatenate([n[asked], np.zeros(len(contexts), np.int64)])
         self.customers = self.count[u]
@@ -230,7 +238,7 @@ def _ask_pairs(parts: int):
             for part in np.unique(p.part).tolist():
                 own = slice(ends[part], ends[part + 1])
                 u, first = p.u[own], _starts(p.u[own])
-                rows.append((part, chunk["chunk"], pack(u[first]), pack(p.customers[own][first]), pack(np.diff(np.append(first, len(u)))), pack(p.w[own]), pack(p.n[own])))
+                rows.append((part, chunk["chunk"], pack(u[first]), pack(p.customers[own][first]), pack(np.diff(np.append(first, len(u)))), pack_steps(p.w[own]), pack(p.n[own])))
         return pa.table([pa.array(list(v), f.type) for v, f in zip(zip(*rows), PAIRS)] if rows else [pa.array([], f.type) for f in PAIRS], schema=PAIRS)
 
     return run
@@ -241,7 +249,7 @@ def _opened(asked: pa.Table):
     more = [c for c in ("customers", "n") if c in asked.column_names]
     for chunk, us, k, w, *rest in sorted(zip(*(asked.column(c).to_pylist() for c in ("chunk", "us", "k", "w", *more)))):
         us, k = unpack(us, np.int64), unpack(k, np.int64)
-        yield chunk, us, np.repeat(np.arange(len(us)), k), unpack(w, np.int64), *(unpack(x, np.int64) for x in rest)
+        yield chunk, us, np.repeat(np.arange(len(us)), k), unpack_steps(w), *(unpack(x, np.int64) for x in rest)
 
 
 CELLS = pa.schema([("part", pa.int64()), ("us", pa.binary()), ("customers", pa.binary()), ("k", pa.binary()), ("w", pa.binary()), ("c", pa.binary()), ("ones", pa.int64()), ("twos", pa.int64())])
@@ -256,7 +264,7 @@ def _merge_pairs(key, asked):
     cell, of = np.unique(np.searchsorted(us, u) << 40 | w, return_inverse=True)
     c = np.bincount(of, weights=n, minlength=len(cell)).astype(np.int64)
     k = np.bincount(cell >> 40, minlength=len(us))
-    row = (key[0].as_py(), pack(us), pack(customers), pack(k), pack(cell & (2**40 - 1)), pack(c), int((c == 1).sum()), int((c == 2).sum()))
+    row = (key[0].as_py(), pack(us), pack(customers), pack(k), pack_steps(cell & (2**40 - 1)), pack(c), int((c == 1).sum()), int((c == 2).sum()))
     return pa.table([pa.array([v], f.type) for v, f in zip(row, CELLS)], schema=CELLS)
 
 
@@ -309,7 +317,7 @@ class _Part:
 
     def __init__(self, cells: dict, told: list, law: dict):
         self.us, self.customers, k = (unpack(cells[x], np.int64) for x in ("us", "customers", "k"))
-        self.w, self.c = unpack(cells["w"], np.int64), unpack(cells["c"], np.int64)
+        self.w, self.c = unpack_steps(cells["w"]), unpack(cells["c"], np.int64)
         self.of = np.repeat(np.arange(len(self.us)), k)
         self.words, self.word = np.unique(self.w, return_inverse=True)
         self.hot = np.flatnonzero(self.customers >= HOT)
@@ -492,15 +500,15 @@ def score(docs: DataFrame, key: str, held: Column, text: str = "text", seed: int
     of_key = StructType([StructField("rows", ArrayType(numbered.schema["row"].dataType)), StructField("keys", ArrayType(kind)), StructField("held", ArrayType(BooleanType()))])
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    head = pa.schema([("chunk", pa.int64()), ("tokens", pa.int64()), ("train", pa.int64()), ("words", pa.binary()), ("codes", pa.binary())])
+    head = pa.schema([("chunk", pa.int64()), ("tokens", pa.int64()), ("train", pa.int64()), ("words", pa.binary()), ("marks", pa.binary()), ("codes", pa.binary())])
     schema = pa.schema([*head, *to_arrow_schema(of_key), ("sizes", pa.list_(pa.int64())), ("leads", pa.list_(pa.int32()))])
     chunks = settle(numbered.mapInArrow(_chunks(schema), StructType([*_spark(head).fields, *of_key.fields, *_spark(schema).fields[-2:]])))
     size = chunks.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("train"), F.lit(0)).alias("train")).first()
     parts = 1 + size.tokens // PART
-    words = settle(chunks.select("chunk", "words", "codes", "held", "sizes").mapInArrow(_ask_words(parts), "part long, chunk long, words binary, counts binary").groupBy("part").applyInArrow(_count_words(parts), _spark(ANSWER)))
+    words = settle(chunks.select("chunk", "words", "marks", "codes", "held", "sizes").mapInArrow(_ask_words(parts), "part long, chunk long, words binary, counts binary").groupBy("part").applyInArrow(_count_words(parts), _spark(ANSWER)))
     known = words.groupBy("part").agg(F.max("known").alias("known")).agg(F.sum("known")).first()[0] or 0
     law = {"parts": parts, "tokens": size.train, "words": known}
-    texts = chunks.select("chunk", "words", "codes", "held", "sizes", "leads")
+    texts = chunks.select("chunk", "marks", "codes", "held", "sizes", "leads")
     asked = settle(texts.groupBy("chunk").cogroup(words.select("chunk", "part", "a", "b").groupBy("chunk")).applyInArrow(_ask_pairs(parts), _spark(PAIRS)))
     cells = settle(asked.groupBy("part").applyInArrow(_merge_pairs, _spark(CELLS)))
     rare = cells.agg(F.sum("ones").alias("ones"), F.sum("twos").alias("twos")).first()
@@ -521,10 +529,10 @@ def score(docs: DataFrame, key: str, held: Column, text: str = "text", seed: int
     both = cells.unionByName(answers, allowMissingColumns=True)
     of_pairs = asked.select("part", "chunk", "us", "k", "w").groupBy("part").cogroup(both.groupBy("part")).applyInArrow(_answer(dict(law), seed + 2000), _spark(ANSWER))
     parent = told.where("part < 0").select(F.col("to"), "part", "values")
-    of_words = words.withColumnRenamed("part", "to").groupBy("to").cogroup(parent.groupBy("to")).applyInArrow(_words_of_parent, _spark(ANSWER))
+    of_words = words.select("chunk", F.col("part").alias("to"), "a").groupBy("to").cogroup(parent.groupBy("to")).applyInArrow(_words_of_parent, _spark(ANSWER))
     replies = words.unionByName(of_pairs).unionByName(of_words).select("chunk", "part", "kind", "a", "b")
     result = StructType([numbered.schema["row"], StructField("key", kind), *_spark(pa.schema([("held", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])).fields])
-    pieces = chunks.drop("tokens", "train").groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_score(dict(law), to_arrow_schema(result)), result)
+    pieces = chunks.drop("tokens", "train", "words").groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_score(dict(law), to_arrow_schema(result)), result)
     sums = [F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")]
     whole = pieces.groupBy("row").agg(F.first("key").alias("key"), F.first("held").alias("held"), *sums)
     return whole.select(F.col("key").alias(key), F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(size.train).cast("long").alias("train_tokens"), "base_score", "score")

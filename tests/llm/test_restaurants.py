@@ -70,7 +70,7 @@ def test_sweeps_agree_with_customers_that_stand_up_one_by_one():
             total = [a + len(b) for a, b in zip(total, tables)]
     copies = 2000
     law = {"d": d, "parts": 1, "rest": 0.0, "all": 1.0}
-    cells = {"us": r.pack(np.arange(copies)), "customers": r.pack(np.full(copies, sum(c))), "k": r.pack(np.full(copies, 4)), "w": r.pack(np.tile(np.arange(4), copies)), "c": r.pack(np.tile(np.array(c), copies))}
+    cells = {"us": r.pack(np.arange(copies)), "customers": r.pack(np.full(copies, sum(c))), "k": r.pack(np.full(copies, 4)), "w": r.pack_steps(np.tile(np.arange(4), copies)), "c": r.pack(np.tile(np.array(c), copies))}
     part = r._Part(cells, [(0, 1, r.pack(np.array(p)))], law)
     mean, _ = part.sweep(3, 12)
     mean = mean.reshape(copies, 4).mean(axis=0)
@@ -162,3 +162,6 @@ def test_packed_arrays():
         for n in (0, 1, 1000):
             a = np.random.default_rng(0).integers(-5, 1 << 20, n).astype(kind)
             assert (r.unpack(r.pack(a), kind) == a).all()
+    for n in (0, 1, 1000):
+        a = np.sort(np.random.default_rng(1).integers(-1, 1 << 40, n))
+        assert (r.unpack_steps(r.pack_steps(a)) == a).all() and (r.unpack_steps(r.pack_steps(a[::-1])) == a[::-1]).all()
