@@ -19,10 +19,10 @@ def sheet_rows(t):
 
 
 # Expected reading of each sample cell: kind, start month and day, precision ('' = none). {y} is the sheet year.
-EXPECT = [("enrolled", "{y}-06-27", "day"), ("relearn", "{y}-08-30", "day"), ("free", "{y}-01-17", "day"), ("waitlist", None, "none"),
-          ("refund", None, "none"), ("enrolled", "2026-01-17", "day"), ("enrolled", "{y}-10-01", "month"), (None, None, None),
-          ("transfer", "{y}-03-08", "day"), ("unknown", None, "none"), ("adjustment", None, "none"), ("enrolled", "{y}-03-03", "day"),
-          ("enrolled", "{y}-01-30", "day"), ("enrolled", "{y}-06-13", "day"), ("enrolled", "{y}-06-27", "day")]
+EXPECT = [("enrolled", "{y}-05-04", "day"), ("relearn", "{y}-09-06", "day"), ("free", "{y}-02-21", "day"), ("waitlist", None, "none"),
+          ("refund", None, "none"), ("enrolled", "2026-11-09", "day"), ("enrolled", "{y}-12-01", "month"), (None, None, None),
+          ("transfer", "{y}-04-22", "day"), ("unknown", None, "none"), ("adjustment", None, "none"), ("enrolled", "{y}-03-02", "day"),
+          ("enrolled", "{y}-03-28", "day"), ("enrolled", "{y}-07-19", "day"), ("enrolled", "{y}-08-14", "day")]
 K = "(row_number - 2)"
 
 
@@ -46,7 +46,7 @@ LPY = "'lpy_' || left(sha256(sheet || '|' || row_number), 26)"
 
 
 @query("course_cells", f"""WITH {ROWS} SELECT sheet, row_number, kind, start AS session_start, prec AS session_precision, kind = 'enrolled' AS counts_as_seat,
-    {K} % {len(CELLS)} = 13 AS substitute, CASE WHEN {K} % {len(CELLS)} = 10 THEN 'IN-6806-00164' END AS ref_slip FROM r WHERE kind IS NOT NULL""")
+    {K} % {len(CELLS)} = 13 AS substitute, CASE WHEN {K} % {len(CELLS)} = 10 THEN 'IN-7001-00042' END AS ref_slip FROM r WHERE kind IS NOT NULL""")
 def course_cells(t):
     return X.row_cells(X.parse_rows(sheet_rows(t))).where("course_code is not null").select(
         "sheet", "row_number", "kind", "session_start", "session_precision", "counts_as_seat", "substitute", "ref_slip")

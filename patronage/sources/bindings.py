@@ -170,9 +170,9 @@ VIEWS["lead_mappings"] = """
       FROM {customer}"""
 
 
-# --- Fixed values: sample course cells, one per order key modulo their number ---
-CELLS = ["27-28 Jun", "RL 30-31 Aug", "Free 17-18 Jan", "Wait", "คืนเงิน", "17-18 Jan 26", "Oct", "", "8-9 Mar ย้ายเรียน IN",
-         "2026.0", "เพิ่ม IN-6806-00164", "31 Feb", "30,31 Jan-1 Feb", "13-14 Jun คุณสมชาย ใจดี เรียนแทน", "27-28 Jun D-1"]
+# Sample course cells of every kind, one per order key modulo their number.
+CELLS = ["4-5 May", "RL 6-7 Sep", "Free 21-22 Feb", "wait list", "คืนเงิน", "9-10 Nov 26", "Dec", "", "22-23 Apr ย้ายเรียน PS",
+         "2027.0", "เพิ่ม IN-7001-00042", "30 Feb", "28,29 Mar-1 Apr", "19-20 Jul คุณมานี รักเรียน เรียนแทน", "14-15 Aug D-1"]
 VIEWS["sheet_flat"] = f"""
       SELECT 'Inner' || CASE WHEN o_orderkey % 2 = 0 THEN '2025' ELSE '2026' END AS sheet, CAST(o_orderkey + 2 AS BIGINT) AS row_number,
         CASE WHEN o_orderkey % 11 <> 0 THEN CAST(CAST(o_orderdate AS DATE) AS STRING) END AS paid_text,
