@@ -222,19 +222,22 @@ def join(docs: DataFrame, key: str = "doc_id", percent: int = PERCENT, rounds: i
     groups = settle(lists.join(lists.groupBy(*alike).agg(F.min("node").alias("group")), alike).select("node", "group"))
     standing = mixed.join(groups.where("node = group"), "node", "left_semi")
     # Components first: two of them can hold a pair only if they share as many tokens in all as their sizes ask for at least.
-    held = standing.groupBy("token", "component").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    sizes = held.groupBy("component").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    held = settle(held.select("token", "component").join(sizes, "component"))
-    near = (100 * F.col("s.hi") >= percent * F.col("t.lo")) & (100 * F.col("t.hi") >= percent * F.col("s.lo"))
-    meets = settle(held.alias("s").join(held.alias("t"), (F.col("s.token") == F.col("t.token")) & (F.col("s.component") < F.col("t.component")) & near).select(
-        F.col("s.token").alias("token"), F.col("s.component").alias("c"), F.col("t.component").alias("d"), F.least("s.lo", "t.lo").alias("lo"), F.greatest("s.hi", "t.hi").alias("hi")))
-    least = _needed(F.col("lo"), F.col("hi"), percent) - 1  # rounding may raise it by one above that of sizes between
-    possible = meets.groupBy("c", "d", "lo", "hi").agg(F.count("*").alias("shared")).where(~_similar_sizes(F.col("lo"), F.col("hi"), percent) | (F.col("shared") >= least))
-    meets = meets.join(possible.select("c", "d"), ["c", "d"], "left_semi").select("token", "c", "d")
+    sizes = standing.groupBy("component").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("node").alias("node"), (F.min("node") < F.max("node")).alias("many"))
+    held = settle(standing.select("token", "component").distinct().join(sizes, "component"))
+    near = (F.col("s.token") == F.col("t.token")) & (F.col("s.component") < F.col("t.component")) & (100 * F.col("s.hi") >= percent * F.col("t.lo")) & (100 * F.col("t.hi") >= percent * F.col("s.lo"))
+    either = F.col("s.many") | F.col("t.many")
+    ends = [F.col("s.component").alias("c"), F.col("t.component").alias("d")]
+    meets = held.alias("s").join(held.alias("t"), near).select(*ends, F.col("s.node").alias("ga"), F.col("t.node").alias("gb"), either.alias("many"), F.least("s.lo", "t.lo").alias("lo"), F.greatest("s.hi", "t.hi").alias("hi"))
+    counts = meets.groupBy(*meets.columns).agg(F.count("*").alias("shared"))
+    least, similar = _needed(F.col("lo"), F.col("hi"), percent), _similar_sizes(F.col("lo"), F.col("hi"), percent)
+    # Two single nodes are counted for good; between other components, rounding may raise the bound by one above that of sizes between.
+    possible = settle(counts.where(F.when(F.col("many"), ~similar | (F.col("shared") >= least - 1)).otherwise(similar & (F.col("shared") >= least))))
+    meets = held.alias("s").join(held.alias("t"), near & either).select(F.col("s.token").alias("token"), *ends).join(possible.where("many").select("c", "d"), ["c", "d"], "left_semi")
     side = lambda x, c: standing.select("token", F.col("component").alias(c), F.struct("node", "n").alias(x))
     across = meets.join(side("s", "c"), ["token", "c"]).join(side("t", "d"), ["token", "d"]).where(_similar_sizes(F.col("s.n"), F.col("t.n"), percent))
     counted = across.groupBy(F.col("s.node").alias("a"), F.col("t.node").alias("b"), F.col("s.n").alias("m"), F.col("t.n").alias("n")).agg(F.count("*").alias("shared"))
     enough = counted.where(F.col("shared") >= _needed(F.col("m"), F.col("n"), percent)).select(F.col("a").alias("ga"), F.col("b").alias("gb"))
+    enough = enough.unionByName(possible.where("not many").select("ga", "gb"))
     members = enough.join(groups.select(F.col("group").alias("ga"), F.col("node").alias("a")), "ga").join(groups.select(F.col("group").alias("gb"), F.col("node").alias("b")), "gb")
     left = members.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = verified(settle(left.join(first, ["a", "b"], "left_anti")))
