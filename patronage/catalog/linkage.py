@@ -192,6 +192,10 @@ def pairs_of(t):
     return L.candidates(*match_sides(t))
 
 
+def undecided_of(t):
+    return L.undecided(*match_sides(t))
+
+
 @query("match_candidates", f"WITH {SIDES} SELECT customer_id, legacy_person_id, {PLAIN} FROM dec")
 def match_candidates(t):
     return pairs_of(t).select(
@@ -223,12 +227,12 @@ def match_rule_groups(t):
     ta AS name_key_total_a, tb AS name_key_total_b, nk AS nickname_match, ag AS age_band_match, l4 AS phone_last4_match,
     dm AS email_domain_match, co AS course_overlap, dd AS days_between_first_seen FROM dec WHERE method IS NULL""")
 def match_pair_features(t):
-    return L.pair_features(pairs_of(t))
+    return L.pair_features(undecided_of(t))
 
 
 @query("feature_export_audit", f"WITH {SIDES} SELECT count(*) AS \"rows\", 0 AS unsafe FROM dec WHERE method IS NULL")
 def feature_export_audit(t):
-    return S.feature_export_audit(L.pair_features(pairs_of(t)))
+    return S.feature_export_audit(L.pair_features(undecided_of(t)))
 
 
 ANSWER = """SELECT customer_id, legacy_person_id, CASE ov % 3 WHEN 0 THEN 'different' WHEN 1 THEN 'same' ELSE 'unsure' END AS decision,
@@ -250,7 +254,7 @@ EXT = f"ans AS ({ANSWER}), ext AS (SELECT *, CASE WHEN reason LIKE '%@%' THEN 'u
     CASE WHEN d2 = 'same' THEN CASE WHEN confidence >= 0.7 THEN 'medium' ELSE 'low' END END AS confidence,
     CASE WHEN d2 = 'same' THEN 'needs_review' END AS status FROM ext""")
 def external_decisions(t):
-    pairs = pairs_of(t)
+    pairs = settle(undecided_of(t))
     d = L.external_decisions(pairs, _answers(pairs))
     return d.select("customer_id", "legacy_person_id", "decision", "fallback", F.when(F.col("decision") == "same", F.col("confidence")).alias("confidence"), "status")
 
@@ -268,7 +272,7 @@ RECON = f"""WITH {SIDES}, {EXT}, planned AS (SELECT customer_id, legacy_person_i
 
 
 def reconciled(t):
-    pairs = pairs_of(t)
+    pairs = settle(pairs_of(t))
     ext = settle(L.external_decisions(pairs, _answers(pairs)))
     return pairs, L.reconcile_links(L.plan_links(pairs, ext), t.customer_links, pairs, ext)
 

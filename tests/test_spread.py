@@ -68,3 +68,37 @@ def test_answers_are_parsed_once(spark, folder, used):
     valid = Q.valid_submissions(t.submissions, O.RULES).select(F.col("event_id").alias("id"), "answers").select(used)
     plan = valid._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json(") == 1
+
+
+def test_undecided_pairs_need_no_rule_pairs(spark, folder, monkeypatch):
+    from patronage.catalog import linkage as C
+    from patronage.operators import linkage as L
+
+    def refuse(*args):
+        raise AssertionError("pairs of rules were made")
+
+    monkeypatch.setattr(L, "fuzzy_pairs", lambda c, l, top: c.sparkSession.createDataFrame([], "customer_id string, legacy_person_id string, score int, rank int"))
+    monkeypatch.setattr(L, "rule_groups", refuse)
+    monkeypatch.setattr(L, "_rule_keys", refuse)
+    t = Tables(spark, folder)
+    assert C.feature_export_audit(t).first()["rows"] == 0 and C.match_pair_features(t).isEmpty() and C.external_decisions(t).isEmpty()
+
+
+def test_lists_are_scored_block_by_block(monkeypatch):
+    import random
+
+    import pyarrow as pa
+    from patronage.operators import linkage as L
+    rng = random.Random(5)
+
+    def side(p, n, blank):
+        one = {p + x: pa.array([rng.choice([blank, 1, 2, 3]) for _ in range(n)]) for x in L.SINGLE}
+        many = {p + x: pa.array([rng.sample(range(5), rng.randint(0, 3)) for _ in range(n)], pa.list_(pa.int64())) for x in ("names", "courses")}
+        return pa.table({p + "id": [f"{p}{i:03d}" for i in range(n)], **one, **many, p + "taken": pa.array([rng.randint(0, 127) for _ in range(n)])})
+
+    left, right = side("c_", 40, -1), side("l_", 101, -2)
+    found = []
+    for block in (3, 1000):
+        monkeypatch.setattr(L, "BLOCK", block)
+        found.append(L._score_list(left, right, 5).to_pylist())
+    assert len(found[0]) == 200 and found[0] == found[1]
