@@ -111,16 +111,16 @@ def _judge(names):
     return run
 
 
-def staff_verdicts(df: DataFrame) -> DataFrame:
-    """Replay arrivals in (created_at, intent_id) order; adds ``rejection``: ``staff_sticky``, ``staff_decided`` or null."""
+def staff_verdicts(df: DataFrame, arrival: list = ARRIVAL) -> DataFrame:
+    """Replay arrivals in ``arrival`` order, (created_at, intent_id) as a rule; adds ``rejection``: ``staff_sticky``, ``staff_decided`` or null."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = settle(df.where("customer_id is not null").repartitionByRange(n, *PAIR, *ARRIVAL).withColumn("_range", F.format_string("%09d", F.spark_partition_id())))
+    ranged = settle(df.where("customer_id is not null").repartitionByRange(n, *PAIR, *arrival).withColumn("_range", F.format_string("%09d", F.spark_partition_id())))
     staff = F.when(F.col("source") == "staff", _rank_struct((F.col("lock_kind") == "sticky").alias("sticky")))
     past = Window.partitionBy(*PAIR).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     parts = ranged.groupBy(*PAIR, "_range").agg(F.max(staff).alias("lead"))
     # Pairs that span ranges: as many rows as ranges, however many arrivals.
     spans = settle(parts.withColumns({"_past": F.max("lead").over(past), "parts": F.count("*").over(Window.partitionBy(*PAIR))}).where("parts > 1").drop("lead", "parts"))
-    order = [*PAIR, "_range", *ARRIVAL]
+    order = [*PAIR, "_range", *arrival]
 
     def begun(rows, starts, how):
         """Rows with what their stretch begins in, stretch by stretch and in order."""
