@@ -244,28 +244,32 @@ def _ask_pairs(parts: int):
     return run
 
 
-def _opened(asked: pa.Table):
-    """(chunk, contexts, context number of each pair, next words, and what else was asked for) of each question, by chunk."""
-    more = [c for c in ("customers", "n") if c in asked.column_names]
-    for chunk, us, k, w, *rest in sorted(zip(*(asked.column(c).to_pylist() for c in ("chunk", "us", "k", "w", *more)))):
-        us, k = unpack(us, np.int64), unpack(k, np.int64)
-        yield chunk, us, np.repeat(np.arange(len(us)), k), unpack_steps(w), *(unpack(x, np.int64) for x in rest)
-
-
-CELLS = pa.schema([("part", pa.int64()), ("us", pa.binary()), ("customers", pa.binary()), ("k", pa.binary()), ("w", pa.binary()), ("c", pa.binary()), ("ones", pa.int64()), ("twos", pa.int64())])
+CELLS = pa.schema([("part", pa.int64()), ("chunk", pa.int64()), ("us", pa.binary()), ("customers", pa.binary()), ("k", pa.binary()), ("w", pa.binary()), ("c", pa.binary()), ("ones", pa.int64()), ("twos", pa.int64()), ("at", pa.binary())])
 
 
 def _merge_pairs(key, asked):
-    """The restaurants of a part: contexts and customers, and the dishes of each with their customers."""
-    parts = [(us[u], w, n, us, customers) for _, us, u, w, customers, n in _opened(asked)]
-    us, first = np.unique(np.concatenate([p[3] for p in parts]), return_index=True)
+    """The restaurants of a part: contexts and customers, and the pairs of each with their customers, 0 for those that training texts lack.
+
+    Every chunk gets a row of its own with the places of its questions in the list of all contexts, each followed by its pairs,
+    so the questions need not be moved again for their answers.
+    """
+    parts = []
+    for chunk, us, k, w, customers, n in sorted(zip(*(asked.column(c).to_pylist() for c in ("chunk", "us", "k", "w", "customers", "n")))):
+        us = unpack(us, np.int64)
+        parts.append((chunk, us, np.repeat(us, unpack(k, np.int64)), unpack_steps(w), unpack(customers, np.int64), unpack(n, np.int64)))
+    us, first = np.unique(np.concatenate([p[1] for p in parts]), return_index=True)
     customers = np.concatenate([p[4] for p in parts])[first]
-    u, w, n = (np.concatenate([p[i][p[2] > 0] for p in parts]) for i in range(3))
-    cell, of = np.unique(np.searchsorted(us, u) << 40 | w, return_inverse=True)
+    u, w, n = (np.concatenate([p[i] for p in parts]) for i in (2, 3, 5))
+    cell, of = np.unique(np.searchsorted(us, u) << 40 | w + 1, return_inverse=True)
     c = np.bincount(of, weights=n, minlength=len(cell)).astype(np.int64)
+    pair = (cell & (2**40 - 1)) > 0
+    place = np.cumsum(pair) + (cell >> 40)  # a context may be asked for alone in another part only
+    cell, c = cell[pair], c[pair]
     k = np.bincount(cell >> 40, minlength=len(us))
-    row = (key[0].as_py(), pack(us), pack(customers), pack(k), pack_steps(cell & (2**40 - 1)), pack(c), int((c == 1).sum()), int((c == 2).sum()))
-    return pa.table([pa.array([v], f.type) for v, f in zip(row, CELLS)], schema=CELLS)
+    part, ends = key[0].as_py(), np.cumsum([len(p[2]) for p in parts])[:-1]
+    rows = [(part, None, pack(us), pack(customers), pack(k), pack_steps((cell & (2**40 - 1)) - 1), pack(c), int((c == 1).sum()), int((c == 2).sum()), None)]
+    rows += [(part, p[0], None, None, None, None, None, None, None, pack_steps(at)) for p, at in zip(parts, np.split(place[of], ends))]
+    return _table(rows, CELLS)
 
 
 # --- seating ---------------------------------------------------------------------------------------------------------
@@ -319,6 +323,10 @@ class _Part:
         self.us, self.customers, k = (unpack(cells[x], np.int64) for x in ("us", "customers", "k"))
         self.w, self.c = unpack_steps(cells["w"]), unpack(cells["c"], np.int64)
         self.of = np.repeat(np.arange(len(self.us)), k)
+        # places of contexts and pairs in the list of both, as the chunks know them
+        self.size, self.alone, seen = len(self.us) + len(self.c), np.cumsum(k) - k + np.arange(len(k)), np.flatnonzero(self.c)
+        self.place = seen + self.of[seen] + 1
+        self.w, self.c, self.of = self.w[seen], self.c[seen], self.of[seen]
         self.words, self.word = np.unique(self.w, return_inverse=True)
         self.hot = np.flatnonzero(self.customers >= HOT)
         self.tables, self.law = np.ones(len(self.c), np.int64), law
@@ -434,14 +442,10 @@ def _answer(law: dict, seed: int):
         cells = next(r for r in rows if r["c"] is not None)
         part = _Part(cells, sorted((r["to"], r["kind"], r["values"]) for r in rows if r["c"] is None), law)
         tables, totals = part.sweep([seed, cells["part"]], DRAWS)
-        own = part.c - law["d"] * tables
-        cell, out = part.of << 40 | part.w, []
-        for chunk, us, u, w in _opened(asked):
-            u = np.searchsorted(part.us, us)[u]
-            at = np.minimum(np.searchsorted(cell, u << 40 | np.maximum(w, 0)), max(len(cell) - 1, 0))
-            seen = (w >= 0) & (part.of[at] == u) & (part.w[at] == w) if len(cell) else np.zeros(len(w), bool)
-            value = np.where(w < 0, totals[u], np.where(seen, own[at] if len(cell) else 0.0, 0.0))
-            out.append((chunk, cells["part"], 2, pack(value.astype(np.float32)), None, None))
+        value, out = np.zeros(part.size, np.float32), []
+        value[part.place], value[part.alone] = part.c - law["d"] * tables, totals
+        for chunk, at in sorted(zip(asked.column("chunk").to_pylist(), asked.column("at").to_pylist())):
+            out.append((chunk, cells["part"], 2, pack(value[unpack_steps(at)]), None, None))
         return _table(out, ANSWER)
 
     return run
@@ -509,8 +513,9 @@ def score(docs: DataFrame, key: str, held: Column, text: str = "text", seed: int
     known = words.groupBy("part").agg(F.max("known").alias("known")).agg(F.sum("known")).first()[0] or 0
     law = {"parts": parts, "tokens": size.train, "words": known}
     texts = chunks.select("chunk", "marks", "codes", "held", "sizes", "leads")
-    asked = settle(texts.groupBy("chunk").cogroup(words.select("chunk", "part", "a", "b").groupBy("chunk")).applyInArrow(_ask_pairs(parts), _spark(PAIRS)))
-    cells = settle(asked.groupBy("part").applyInArrow(_merge_pairs, _spark(CELLS)))
+    asked = texts.groupBy("chunk").cogroup(words.select("chunk", "part", "a", "b").groupBy("chunk")).applyInArrow(_ask_pairs(parts), _spark(PAIRS))
+    merged = settle(asked.groupBy("part").applyInArrow(_merge_pairs, _spark(CELLS)))
+    cells = merged.where("chunk is null").drop("chunk", "at")
     rare = cells.agg(F.sum("ones").alias("ones"), F.sum("twos").alias("twos")).first()
     law["d"] = _discount(rare)
     requests, told = cells.mapInArrow(_first_customers(law), _spark(ASK)), None
@@ -527,7 +532,7 @@ def score(docs: DataFrame, key: str, held: Column, text: str = "text", seed: int
             law["parent_d"] = _discount(sums)
     answers = told.where("part >= 0").select("part", "to", "kind", "values")
     both = cells.unionByName(answers, allowMissingColumns=True)
-    of_pairs = asked.select("part", "chunk", "us", "k", "w").groupBy("part").cogroup(both.groupBy("part")).applyInArrow(_answer(dict(law), seed + 2000), _spark(ANSWER))
+    of_pairs = merged.where("chunk is not null").select("part", "chunk", "at").groupBy("part").cogroup(both.groupBy("part")).applyInArrow(_answer(dict(law), seed + 2000), _spark(ANSWER))
     parent = told.where("part < 0").select(F.col("to"), "part", "values")
     of_words = words.select("chunk", F.col("part").alias("to"), "a").groupBy("to").cogroup(parent.groupBy("to")).applyInArrow(_words_of_parent, _spark(ANSWER))
     replies = words.unionByName(of_pairs).unionByName(of_words).select("chunk", "part", "kind", "a", "b")

@@ -165,3 +165,25 @@ def test_packed_arrays():
     for n in (0, 1, 1000):
         a = np.sort(np.random.default_rng(1).integers(-1, 1 << 40, n))
         assert (r.unpack_steps(r.pack_steps(a)) == a).all() and (r.unpack_steps(r.pack_steps(a[::-1])) == a[::-1]).all()
+
+
+def test_questions_travel_once_and_answers_find_their_places():
+    rng, asked, kept = np.random.default_rng(5), [], []
+    for chunk in range(3):
+        pairs = sorted({(int(u), int(w)) for u, w in zip(rng.integers(0, 40, 400), rng.zipf(1.3, 400) % 10**6)})
+        pairs = sorted(pairs + [(u, -1) for u in {u for u, _ in pairs} if u % 5])
+        u, w = (np.array(x, np.int64) for x in zip(*pairs))
+        n = np.where(w < 0, 0, rng.integers(0, 3, len(w)))
+        us, k = np.unique(u, return_counts=True)
+        asked.append((7, chunk, r.pack(us), r.pack(us + 5), r.pack(k), r.pack_steps(w), r.pack(n)))
+        kept.append(dict(zip(pairs, n.tolist())))
+    cells, *places = r._merge_pairs((r.pa.scalar(7),), r._table(asked, r.PAIRS)).to_pylist()
+    part = r._Part(cells, [], {})
+    want = sum((Counter(x) for x in kept), Counter())
+    own = {(int(part.us[o]), int(w)): int(c) for o, w, c in zip(part.of, part.w, part.c)}
+    assert own == {p: c for p, c in want.items() if c}
+    value = np.zeros(part.size)
+    value[part.place], value[part.alone] = part.c, -1 - part.us
+    for row, x in zip(places, kept):
+        assert value[r.unpack_steps(row["at"])].tolist() == [-1 - u if w < 0 else want[u, w] for u, w in sorted(x)]
+    assert sum(len(row["at"]) for row in places) < sum(len(b) for row in asked for b in (row[2], row[4], row[5]))
