@@ -11,9 +11,10 @@ Exact, by a grouped prefix join:
    tokens with, in two rounds of groups and leaders, and linked nodes are merged. Large groups of near copies become one
    component here with one comparison per node and round.
 4. What is left are pairs of nodes that share a token but belong to different components. Groups with one component are
-   dropped whole. In the others, nodes of one component and size with identical shared prefix tokens are one group; pairs
-   of groups across components that share enough tokens for the threshold are expanded to their members and verified. So no
-   link between components is lost, and none within one is listed.
+   dropped whole. In the others, nodes of one component and size with identical shared prefix tokens are one group. Groups of
+   two components meet at the rarest tokens that these share, as many as the threshold leaves no pair without; those that
+   share enough tokens for it are expanded to their members and verified. So no link between components is lost, and none
+   within one is listed.
 5. Whole sets are made again from the text for the nodes to be verified only; a bitmap of fixed size tells which.
 
 Defined results: a null or empty text, or one of white space, has no shingles and links with nothing; fewer words than a
@@ -149,6 +150,17 @@ def _similar_sizes(m: Column, n: Column, percent: int) -> Column:
     return 100 * F.least(m, n) >= percent * F.greatest(m, n)
 
 
+def rarest(meets: DataFrame) -> DataFrame:
+    """(token, c, d, most): where members of the components c and d need to meet.
+
+    ``meets`` has every token that c and d share, the number of them, how many of them two members share at ``least``, and as
+    ``weight`` the pairs of members that hold the token. Members that share k of s tokens share one of any s - k + 1 of them, so
+    the lightest do: a token is of use to pairs that must share at ``most`` so many.
+    """
+    turned = meets.withColumn("turn", F.row_number().over(Window.partitionBy("c", "d").orderBy("weight", "token")))
+    return turned.withColumn("most", F.col("shared") - F.col("turn") + 1).where("most >= least").select("token", "c", "d", "most")
+
+
 def marked_rows(keys: DataFrame, bits: int = MARKS) -> bytes:
     """A bit for each hash value of ``row_key``, as bytes; their number is fixed, so the result has ``bits`` / 8 bytes."""
     place = F.pmod("row_key", F.lit(bits))
@@ -217,13 +229,13 @@ def join(docs: DataFrame, key: str = "doc_id", percent: int = PERCENT, rounds: i
     mixed = settle(now.join(mixed, "token"))
     # nodes of one component and size that share the same tokens with others are one group, whose least node stands for it
     lists = mixed.groupBy("node", "n", "component").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
-    lists = lists.select("node", "n", "component", F.xxhash64("tokens").alias("l1"), F.xxhash64(F.lit(1), "tokens").alias("l2"))
+    lists = settle(lists.select("node", "n", "component", "tokens", F.xxhash64("tokens").alias("l1"), F.xxhash64(F.lit(1), "tokens").alias("l2")))
     alike = ["component", "n", "l1", "l2"]
     groups = settle(lists.join(lists.groupBy(*alike).agg(F.min("node").alias("group")), alike).select("node", "group"))
     standing = mixed.join(groups.where("node = group"), "node", "left_semi")
     # Components first: two of them can hold a pair only if they share as many tokens in all as their sizes ask for at least.
     sizes = standing.groupBy("component").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("node").alias("node"), (F.min("node") < F.max("node")).alias("many"))
-    held = settle(standing.select("token", "component").distinct().join(sizes, "component"))
+    held = settle(standing.groupBy("token", "component").agg(F.count("*").alias("nodes")).join(sizes, "component"))
     near = (F.col("s.token") == F.col("t.token")) & (F.col("s.component") < F.col("t.component")) & (100 * F.col("s.hi") >= percent * F.col("t.lo")) & (100 * F.col("t.hi") >= percent * F.col("s.lo"))
     either = F.col("s.many") | F.col("t.many")
     ends = [F.col("s.component").alias("c"), F.col("t.component").alias("d")]
@@ -231,12 +243,17 @@ def join(docs: DataFrame, key: str = "doc_id", percent: int = PERCENT, rounds: i
     counts = meets.groupBy(*meets.columns).agg(F.count("*").alias("shared"))
     least, similar = _needed(F.col("lo"), F.col("hi"), percent), _similar_sizes(F.col("lo"), F.col("hi"), percent)
     # Two single nodes are counted for good; between other components, rounding may raise the bound by one above that of sizes between.
-    possible = settle(counts.where(F.when(F.col("many"), ~similar | (F.col("shared") >= least - 1)).otherwise(similar & (F.col("shared") >= least))))
-    meets = held.alias("s").join(held.alias("t"), near & either).select(F.col("s.token").alias("token"), *ends).join(possible.where("many").select("c", "d"), ["c", "d"], "left_semi")
+    bound = F.when(similar, F.greatest(least - F.when(F.col("many"), 1).otherwise(0), F.lit(1))).otherwise(F.when(F.col("many"), 1))
+    possible = settle(counts.withColumn("least", bound).where("shared >= least"))
+    meets = held.alias("s").join(held.alias("t"), near & either).select(F.col("s.token").alias("token"), *ends, (F.col("s.nodes") * F.col("t.nodes")).alias("weight"))
+    probes = rarest(meets.join(possible.where("many").select("c", "d", "shared", "least"), ["c", "d"]))
     side = lambda x, c: standing.select("token", F.col("component").alias(c), F.struct("node", "n").alias(x))
-    across = meets.join(side("s", "c"), ["token", "c"]).join(side("t", "d"), ["token", "d"]).where(_similar_sizes(F.col("s.n"), F.col("t.n"), percent))
-    counted = across.groupBy(F.col("s.node").alias("a"), F.col("t.node").alias("b"), F.col("s.n").alias("m"), F.col("t.n").alias("n")).agg(F.count("*").alias("shared"))
-    enough = counted.where(F.col("shared") >= _needed(F.col("m"), F.col("n"), percent)).select(F.col("a").alias("ga"), F.col("b").alias("gb"))
+    asked = _needed(F.col("s.n"), F.col("t.n"), percent) <= F.col("most")
+    across = probes.join(side("s", "c"), ["token", "c"]).join(side("t", "d"), ["token", "d"]).where(_similar_sizes(F.col("s.n"), F.col("t.n"), percent) & asked)
+    across = settle(across.select(F.col("s.node").alias("ga"), F.col("t.node").alias("gb")).distinct())
+    tokens = lambda x, y: lists.select(F.col("node").alias(x), F.struct("n", "tokens").alias(y))
+    counted = across.join(tokens("ga", "s"), "ga").join(tokens("gb", "t"), "gb").withColumn("shared", F.size(F.array_intersect("s.tokens", "t.tokens")))
+    enough = counted.where(F.col("shared") >= _needed(F.col("s.n"), F.col("t.n"), percent)).select("ga", "gb")
     enough = enough.unionByName(possible.where("not many").select("ga", "gb"))
     members = enough.join(groups.select(F.col("group").alias("ga"), F.col("node").alias("a")), "ga").join(groups.select(F.col("group").alias("gb"), F.col("node").alias("b")), "gb")
     left = members.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))

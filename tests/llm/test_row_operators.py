@@ -184,6 +184,23 @@ def test_needed_tokens_bound(spark):
     assert df.where("shared < 1").count() == 0
 
 
+def test_members_meet_at_the_rarest_tokens_and_none_is_missed(spark):
+    """A large component and single nodes near it: every pair with enough shared tokens meets, few others do."""
+    rng = random.Random(2)
+    large = {a: {t for t in range(30) if rng.random() < 0.6} for a in range(200)}
+    single = {-b: set(rng.sample(range(30), 14)) for b in range(1, 31)}
+    rows, want = [], set()
+    for d, own in single.items():
+        for t in own:
+            rows.append((t, 0, d, sum(t in x for x in large.values()), len(own), 13))
+        want |= {(a, d) for a, x in large.items() if len(x & own) >= 13}
+    meets = spark.createDataFrame(rows, "token long, c long, d long, weight long, shared long, least int")
+    probes = jaccard.rarest(meets).collect()
+    met = [(a, x.d) for x in probes for a, own in large.items() if x.token in own and x.most >= 13]
+    assert want and want <= set(met)
+    assert len(met) < 0.15 * sum(x[3] for x in rows)
+
+
 def test_join_edges(spark, odd_docs):
     got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join(odd_docs).collect()]
     assert len(got) == odd_docs.count()
