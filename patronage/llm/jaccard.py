@@ -15,7 +15,8 @@ Exact, by a grouped prefix join:
    two components meet at the rarest tokens that these share, as many as the threshold leaves no pair without; those that
    share enough tokens for it are expanded to their members and verified. So no link between components is lost, and none
    within one is listed.
-5. Whole sets are made again from the text for the nodes to be verified only; a bitmap of fixed size tells which.
+5. Whole sets are made again from the text for the nodes to be verified only; a bitmap of fixed size tells which. They are
+   dealt by node once for both ends of the pairs, and one end goes to the other.
 
 Defined results: a null or empty text, or one of white space, has no shingles and links with nothing; fewer words than a
 shingle form one shingle; repeated rows are documents of their own, also with equal ids; a component's id is its smallest
@@ -115,25 +116,17 @@ def _sets(bits: bytes, size: int):
                 continue
             chosen = np.flatnonzero(marked[batch.column("row_key").to_numpy() % size])
             for _, texts in text_batches([batch.take(pa.array(chosen))] if len(chosen) else []):
-                sets = [x.tobytes() for x in map(shingles, texts)]
-                yield pa.RecordBatch.from_arrays([pa.array(map(xxhash.xxh3_128_digest, sets), pa.binary()), pa.array(sets, pa.binary())], names=["node", "shingles"])
+                sets = [x.view(np.int64) for x in map(shingles, texts)]
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)], dtype=np.int32)), pa.array(np.concatenate(sets)))
+                yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), lists], names=["node", "shingles"])
 
     return run
 
 
-def _verified(percent: int):
-    def run(batches):
-        for batch in batches:
-            yes = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                small, large = (x, y) if len(x) <= len(y) else (y, x)
-                at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                both = int((large[at] == small).sum())
-                yes.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(yes, pa.bool_())], names=["a", "b", "linked"])
-
-    return run
+def _linked(x: Column, y: Column, percent: int) -> Column:
+    """Whether two sets, arrays without repeats, overlap as much as it takes."""
+    both = F.size(F.array_intersect(x, y)).cast("long")
+    return 100 * both >= percent * (F.size(x) + F.size(y) - both)
 
 
 def _needed(m: Column, n: Column, percent: int) -> Column:
@@ -184,58 +177,63 @@ def join(docs: DataFrame, key: str = "doc_id", percent: int = PERCENT, rounds: i
     made = rows.mapInArrow(_nodes(common, percent), f"doc_id {kind}, text_key long, node binary, n long, prefix array<long>")
     # one row of each node keeps the prefix, and gets the short number by which the node goes from here on
     turn = F.row_number().over(Window.partitionBy("node").orderBy("doc_id", "text_key"))
-    every = made.where("n > 0").withColumn("head", turn == 1).unionByName(made.where("n = 0").withColumn("head", F.lit(False)))
+    alone = F.monotonically_increasing_id().cast("string").cast("binary")  # documents without shingles are dealt each for itself
+    full = F.col("n") > 0
+    every = made.withColumn("node", F.coalesce("node", alone)).withColumn("head", full & (turn == 1)).withColumn("node", F.when(full, F.col("node")))
     every = settle(every.withColumns({"prefix": F.when(F.col("head"), F.col("prefix")), "id": F.when(F.col("head"), F.monotonically_increasing_id())}))
     heads = every.where("head")
 
-    # tokens that at least two nodes share
+    # tokens that at least two nodes share, as the lists of their nodes
     entries = heads.select(F.col("id").alias("node"), F.col("n").cast("int").alias("n"), F.explode("prefix").alias("token"))
-    entries = settle(entries.withColumn("met", F.count("*").over(Window.partitionBy("token"))).where("met > 1"))
+    entries = entries.withColumn("met", F.count("*").over(Window.partitionBy("token"))).where("met > 1")
     # a node is the more central, the more nodes its tokens meet: what others were copied from comes before its copies
-    central = settle(entries.groupBy("node").agg(F.sum("met").alias("central")))
+    lists = settle(entries.groupBy("node", "n").agg(F.sum("met").alias("central"), F.collect_list("token").alias("tokens")))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """(a, b, linked) of (a, b); only the sets of nodes in ``pairs`` are made again and moved."""
         ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
         row_key = F.xxhash64("text_key", "doc_id").alias("row_key")
         nodes = settle(heads.join(ids, "id", "left_semi").select("id", "node", row_key))
-        found = rows.select("text", row_key).mapInArrow(_sets(marked_rows(nodes.select("row_key")), MARKS), "node binary, shingles binary")
-        sets = settle(found.join(nodes.select("id", "node"), "node").dropDuplicates(["id"]).select("id", "shingles"))
-        left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
-        right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-        return settle(pairs.join(left, "a").join(right, "b").mapInArrow(_verified(percent), "a long, b long, linked boolean"))
+        found = rows.select("text", row_key).mapInArrow(_sets(marked_rows(nodes.select("row_key")), MARKS), "node binary, shingles array<long>")
+        # The sets are dealt by node once, for both ends of the pairs; only those of the first end travel again, to the second.
+        sets = found.join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"])
+        named = lambda end, to: nodes.select(F.col("id").alias(end), F.col("node").alias(to))
+        asked = pairs.join(named("a", "first"), "a").join(named("b", "second"), "b")
+        left = sets.select(F.col("node").alias("first"), F.col("shingles").alias("x"))
+        right = sets.select(F.col("node").alias("second"), F.col("shingles").alias("y"))
+        both = asked.join(left, "first").join(right, "second")
+        return settle(both.select("a", "b", _linked(F.col("x"), F.col("y"), percent).alias("linked")))
 
     # each node with the group leaders that it shares most tokens with
-    guesses = []
+    now = lists.select("node", "n", "central", F.explode("tokens").alias("token")).repartition("token")
     for turn in range(rounds):
         # sizes within a factor, shifted by a part of it in the next round
         step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + turn / rounds)
-        now = entries.join(central, "node").select("token", "node", "n", "central", step.alias("step"))
-        leader = F.max(F.struct("central", "node", "n"))
-        led = now.join(now.groupBy("token", "step").agg(leader.alias("leader")), ["token", "step"]).where(F.col("leader.node") != F.col("node"))
-        votes = led.groupBy("node", "n", F.col("leader.node").alias("b"), F.col("leader.n").alias("m")).agg(F.count("*").alias("votes"))
-        votes = votes.where(_similar_sizes(F.col("m"), F.col("n"), percent) & (F.col("votes") >= _needed(F.col("m"), F.col("n"), percent)))
-        best = votes.groupBy(F.col("node").alias("a")).agg(F.max(F.struct("votes", "b")).alias("best"))
-        guesses.append(best.select("a", F.col("best.b").alias("b")))
-    pairs = guesses[0]
-    for more in guesses[1:]:
-        pairs = pairs.unionByName(more)
+        group = Window.partitionBy("token", f"step{turn}")
+        now = now.withColumn(f"step{turn}", step).withColumn(f"leader{turn}", F.max(F.struct("central", "node", "n")).over(group))
+    led = now.select("node", "n", F.posexplode(F.array(*[f"leader{turn}" for turn in range(rounds)])).alias("turn", "leader")).where(F.col("leader.node") != F.col("node"))
+    votes = led.groupBy("turn", "node", "n", F.col("leader.node").alias("b"), F.col("leader.n").alias("m")).agg(F.count("*").alias("votes"))
+    votes = votes.where(_similar_sizes(F.col("m"), F.col("n"), percent) & (F.col("votes") >= _needed(F.col("m"), F.col("n"), percent)))
+    pairs = votes.groupBy("turn", F.col("node").alias("a")).agg(F.max(F.struct("votes", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
     first = verified(settle(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
     member = settle(components(first.where("linked").select("a", "b")))
 
     # pairs across components that share enough tokens
-    now = entries.select("token", "node", "n").join(member, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = now.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("token")
-    mixed = settle(now.join(mixed, "token"))
+    now = lists.join(member, "node", "left").select("node", "n", F.coalesce("component", "node").alias("component"), F.explode("tokens").alias("token"))
+    token = Window.partitionBy("token")
+    mixed = now.withColumns({"c0": F.min("component").over(token), "c1": F.max("component").over(token)}).where("c0 <> c1")
     # nodes of one component and size that share the same tokens with others are one group, whose least node stands for it
     lists = mixed.groupBy("node", "n", "component").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
     lists = settle(lists.select("node", "n", "component", "tokens", F.xxhash64("tokens").alias("l1"), F.xxhash64(F.lit(1), "tokens").alias("l2")))
     alike = ["component", "n", "l1", "l2"]
-    groups = settle(lists.join(lists.groupBy(*alike).agg(F.min("node").alias("group")), alike).select("node", "group"))
-    standing = mixed.join(groups.where("node = group"), "node", "left_semi")
+    groups = settle(lists.join(lists.groupBy(*alike).agg(F.min("node").alias("group")), alike).select("node", "group", "n", "component"))
     # Components first: two of them can hold a pair only if they share as many tokens in all as their sizes ask for at least.
-    sizes = standing.groupBy("component").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("node").alias("node"), (F.min("node") < F.max("node")).alias("many"))
-    held = settle(standing.groupBy("token", "component").agg(F.count("*").alias("nodes")).join(sizes, "component"))
+    stands = groups.where("node = group").select("node", "n", "component")
+    sizes = stands.groupBy("component").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("node").alias("least"), (F.min("node") < F.max("node")).alias("many"))
+    standing = settle(lists.select("node", "tokens").join(stands.join(sizes, "component"), "node"))
+    own = ["component", "lo", "hi", "least", "many"]
+    held = standing.select(*own, F.explode("tokens").alias("token")).groupBy("token", *own).agg(F.count("*").alias("nodes"))
+    held = settle(held.withColumnRenamed("least", "node"))
     near = (F.col("s.token") == F.col("t.token")) & (F.col("s.component") < F.col("t.component")) & (100 * F.col("s.hi") >= percent * F.col("t.lo")) & (100 * F.col("t.hi") >= percent * F.col("s.lo"))
     either = F.col("s.many") | F.col("t.many")
     ends = [F.col("s.component").alias("c"), F.col("t.component").alias("d")]
@@ -247,7 +245,7 @@ def join(docs: DataFrame, key: str = "doc_id", percent: int = PERCENT, rounds: i
     possible = settle(counts.withColumn("least", bound).where("shared >= least"))
     meets = held.alias("s").join(held.alias("t"), near & either).select(F.col("s.token").alias("token"), *ends, (F.col("s.nodes") * F.col("t.nodes")).alias("weight"))
     probes = rarest(meets.join(possible.where("many").select("c", "d", "shared", "least"), ["c", "d"]))
-    side = lambda x, c: standing.select("token", F.col("component").alias(c), F.struct("node", "n").alias(x))
+    side = lambda x, c: standing.select(F.explode("tokens").alias("token"), F.col("component").alias(c), F.struct("node", "n").alias(x))
     asked = _needed(F.col("s.n"), F.col("t.n"), percent) <= F.col("most")
     across = probes.join(side("s", "c"), ["token", "c"]).join(side("t", "d"), ["token", "d"]).where(_similar_sizes(F.col("s.n"), F.col("t.n"), percent) & asked)
     across = settle(across.select(F.col("s.node").alias("ga"), F.col("t.node").alias("gb")).distinct())

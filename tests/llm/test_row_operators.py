@@ -201,6 +201,28 @@ def test_members_meet_at_the_rarest_tokens_and_none_is_missed(spark):
     assert len(met) < 0.15 * sum(x[3] for x in rows)
 
 
+def test_texts_are_cut_once_a_step_and_sets_dealt_once(spark, monkeypatch):
+    """The prefixes take one pass over the texts; both ends of the pairs read the same dealt sets, and no task holds them in Python."""
+    plans, settle = [], jaccard.settle
+
+    def seen(df):
+        df.collect()
+        plans.append((df.columns, df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]))
+        return settle(df)
+
+    monkeypatch.setattr(jaccard, "settle", seen)
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(300)}" for _ in range(80)]
+    texts = [" ".join(base[: 80 - k % 6]) for k in range(40)] + [" ".join(f"x{rng.randrange(10**6)}" for _ in range(30)) for _ in range(20)] + ["", None]
+    got = jaccard.join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {(x.doc_id, x.n_shingles, x.component_id) for x in got} == {(k, n, c) for k, (n, c) in enumerate(brute_classes(texts))}
+    prefixes = [p for c, p in plans if "prefix" in c]
+    assert len(prefixes) == 1 and prefixes[0].count("MapInArrow") == 1
+    verified = [p for c, p in plans if "linked" in c]
+    assert len(verified) == 2 and all("array_intersect" in p for p in verified)
+    assert not any(c == ["id", "shingles"] for c, _ in plans)
+
+
 def test_join_edges(spark, odd_docs):
     got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join(odd_docs).collect()]
     assert len(got) == odd_docs.count()
