@@ -93,20 +93,27 @@ def _cut(text: str):
         at = gap.start()
 
 
+class _Codes(dict):
+    """Numbers words in the order in which they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = code = len(self)
+        return code
+
+    def of(self, words: list) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+
+
 class _Book:
     """A chunk in the making: dictionary (the end of a text is the empty word 0), codes, and the pieces of texts in it."""
 
     def __init__(self):
-        self.words, self.codes, self.pieces = {b"": 0}, [], []
+        self.words, self.codes, self.pieces = _Codes({b"": 0}), [], []
 
     def add(self, row, key, held, before: bytes, words: list, last: bool):
-        code = self.words
-        lead = code.setdefault(before, len(code))
-        own = [code.setdefault(w, len(code)) for w in words]
-        if last:
-            own.append(0)
-        self.codes.append(np.array(own, np.int32))
-        self.pieces.append((row, key, held, len(own), lead))
+        lead = self.words[before]
+        self.codes.append(self.words.of([*words, b""] if last else words))
+        self.pieces.append((row, key, held, len(words) + last, lead))
 
     def size(self) -> int:
         return sum(p[3] for p in self.pieces)
@@ -167,16 +174,16 @@ def _count_words(parts: int):
 
     def run(key, asked):
         part, asks = key[0].as_py(), sorted(zip(*(asked.column(c).to_pylist() for c in ("chunk", "words", "counts"))))
-        total: dict = {}
-        for _, blob, counts in asks:
-            for w, c in zip(words_of(blob), unpack(counts, np.int64).tolist()):
-                total[w] = total.get(w, 0) + c
-        named = sorted((w for w, c in total.items() if c), key=lambda w: (-total[w], w))
-        number = {w: rank * parts + part for rank, w in enumerate(named)}
-        rows = []
-        for chunk, blob, _ in asks:
-            words = words_of(blob)
-            rows.append((chunk, part, 0, pack(np.array([number.get(w, -1) for w in words], np.int64)), pack(np.array([total[w] for w in words], np.int64)), len(named)))
+        code = _Codes()
+        codes = [code.of(words_of(blob)) for _, blob, _ in asks]
+        total = np.zeros(len(code), np.int64)
+        for own, (_, _, counts) in zip(codes, asks):
+            total[own] += unpack(counts, np.int64)  # the words of a chunk are distinct
+        order = np.fromiter((c for _, c in sorted(code.items())), np.int64, len(code))
+        named = order[np.argsort(-total[order], kind="stable")][: np.count_nonzero(total)]
+        number = np.full(len(code), -1, np.int64)
+        number[named] = np.arange(len(named)) * parts + part
+        rows = [(chunk, part, 0, pack(number[own]), pack(total[own]), len(named)) for own, (chunk, _, _) in zip(codes, asks)]
         return pa.table([pa.array(list(v), f.type) for v, f in zip(zip(*rows), ANSWER)], schema=ANSWER)
 
     return run
@@ -215,7 +222,8 @@ class _Pairs:
         salt = np.where(w >= 0, w, 0) % (1 + self.customers // HOT)
         u = self.number[u]
         part = ((u + salt * 1_000_003).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % parts
-        order = np.lexsort((w, u, part))
+        order = np.argsort(u << 31 | w + 1) if max(u.max(initial=0), w.max(initial=0)) < 2**31 - 1 else np.lexsort((w, u))
+        order = order[np.argsort(part[order].astype(np.uint16 if parts <= 2**16 else np.int64), kind="stable")]
         self.part, self.u, self.w, self.n, self.customers = part[order], u[order], w[order], n[order], self.customers[order]
         back = np.empty(len(order), np.int64)
         back[order] = np.arange(len(order))

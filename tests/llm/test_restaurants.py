@@ -187,3 +187,31 @@ def test_questions_travel_once_and_answers_find_their_places():
     for row, x in zip(places, kept):
         assert value[r.unpack_steps(row["at"])].tolist() == [-1 - u if w < 0 else want[u, w] for u, w in sorted(x)]
     assert sum(len(row["at"]) for row in places) < sum(len(b) for row in asked for b in (row[2], row[4], row[5]))
+
+
+def test_words_are_counted_without_python_steps_for_each_question():
+    """Numbers and counts equal plain dictionaries; asking for known words once more costs no call for each word."""
+    import sys
+
+    rng = np.random.default_rng(4)
+    chunks = [(k, [b"w%d" % i for i in rng.permutation(300)[:200]], rng.integers(0, 4, 200)) for k in range(40)]
+    asked = pa.table({"chunk": [k for k, *_ in chunks], "words": [restaurants.squeeze(b" ".join(w)) for _, w, _ in chunks], "counts": [restaurants.pack(n) for *_, n in chunks]})
+    calls = [0]
+
+    def told(frame, event, what):
+        calls[0] += 1
+
+    sys.setprofile(told)
+    try:
+        out = restaurants._count_words(7)((pa.scalar(3),), asked)
+    finally:
+        sys.setprofile(None)
+    total = {}
+    for _, words, n in chunks:
+        for w, c in zip(words, n.tolist()):
+            total[w] = total.get(w, 0) + c
+    rank = {w: i * 7 + 3 for i, w in enumerate(sorted((w for w, c in total.items() if c), key=lambda w: (-total[w], w)))}
+    for (_, words, _), row in zip(chunks, out.to_pylist()):
+        assert restaurants.unpack(row["a"], np.int64).tolist() == [rank.get(w, -1) for w in words]
+        assert restaurants.unpack(row["b"], np.int64).tolist() == [total[w] for w in words] and row["known"] == len(rank)
+    assert calls[0] < 40 * 200
