@@ -209,6 +209,7 @@ class _Pairs:
             self.number[own], self.count[own] = unpack(ids, np.int64), unpack(counts, np.int64)
         key, of = np.unique(self.before * np.int64(n_words) + self.codes, return_inverse=True)
         self.of = of.astype(np.int32)
+        del of
         n = np.bincount(self.of, weights=self.train, minlength=len(key)).astype(np.int64)
         u, w = key // n_words, key % n_words
         contexts = np.unique(u)
@@ -216,6 +217,7 @@ class _Pairs:
         asked = np.flatnonzero((self.number[u] >= 0) & (self.number[w] >= 0))
         self.place = np.full(len(key), -1, np.int64)  # of a pair among the questions; then of a context alone
         self.alone = np.full(n_words, -1, np.int64)
+        del key
         u, w = np.concatenate([u[asked], contexts]), np.concatenate([self.number[w[asked]], np.full(len(contexts), -1)])
         n = np.concatenate([n[asked], np.zeros(len(contexts), np.int64)])
         self.customers = self.count[u]
@@ -479,6 +481,7 @@ def _score(law: dict, schema: pa.Schema):
         for chunk in chunks.to_pylist():
             p = _Pairs(chunk, [(part, a, b) for part, kind, a, b in given if kind == 0], law["parts"])
             parent, value = np.zeros(len(p.number)), np.zeros(len(p.u))
+            p.u = p.w = p.n = p.train = None  # asked before; not needed for the answers
             for part, kind, a, _ in given:
                 if kind == 1:
                     parent[p.share == part] = unpack(a, np.float64)

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -195,7 +196,7 @@ def test_words_are_counted_without_python_steps_for_each_question():
 
     rng = np.random.default_rng(4)
     chunks = [(k, [b"w%d" % i for i in rng.permutation(300)[:200]], rng.integers(0, 4, 200)) for k in range(40)]
-    asked = pa.table({"chunk": [k for k, *_ in chunks], "words": [restaurants.squeeze(b" ".join(w)) for _, w, _ in chunks], "counts": [restaurants.pack(n) for *_, n in chunks]})
+    asked = pa.table({"chunk": [k for k, *_ in chunks], "words": [r.squeeze(b" ".join(w)) for _, w, _ in chunks], "counts": [r.pack(n) for *_, n in chunks]})
     calls = [0]
 
     def told(frame, event, what):
@@ -203,7 +204,7 @@ def test_words_are_counted_without_python_steps_for_each_question():
 
     sys.setprofile(told)
     try:
-        out = restaurants._count_words(7)((pa.scalar(3),), asked)
+        out = r._count_words(7)((pa.scalar(3),), asked)
     finally:
         sys.setprofile(None)
     total = {}
@@ -212,6 +213,6 @@ def test_words_are_counted_without_python_steps_for_each_question():
             total[w] = total.get(w, 0) + c
     rank = {w: i * 7 + 3 for i, w in enumerate(sorted((w for w, c in total.items() if c), key=lambda w: (-total[w], w)))}
     for (_, words, _), row in zip(chunks, out.to_pylist()):
-        assert restaurants.unpack(row["a"], np.int64).tolist() == [rank.get(w, -1) for w in words]
-        assert restaurants.unpack(row["b"], np.int64).tolist() == [total[w] for w in words] and row["known"] == len(rank)
+        assert r.unpack(row["a"], np.int64).tolist() == [rank.get(w, -1) for w in words]
+        assert r.unpack(row["b"], np.int64).tolist() == [total[w] for w in words] and row["known"] == len(rank)
     assert calls[0] < 40 * 200
