@@ -54,6 +54,32 @@ def test_subjects_without_a_chat_id_are_not_dealt_by_it(spark, folder):
         assert not sides and "_line" in plan
 
 
+@pytest.mark.parametrize("kind,payload", [("partner_raw", []), ("opinion_raw", P.ARRIVAL)])
+def test_columns_that_nobody_reads_take_no_part_in_the_log(spark, folder, monkeypatch, kind, payload):
+    t, kept = Tables(spark, folder), []
+    inner = P.settle
+    monkeypatch.setattr(P, "settle", lambda df: kept.append(set(df.columns)) or inner(df))
+    told = ["seq", "event_id", "status", "reason", "customer_id"]
+    narrow = P.intake(getattr(t, kind), t.identities, t.customers, payload=payload)
+    assert kept and not any(c & ({"raw", "lines", *P.PURCHASE} - set(payload)) for c in kept) and not set(P.SUBJECT) & set(narrow.columns)
+    whole = P.intake(getattr(t, kind), t.identities, t.customers)
+    assert {"raw", *P.PURCHASE, *P.SUBJECT} <= set(whole.columns) and set(payload) <= set(narrow.columns)
+    assert sorted(map(str, narrow.select(told).collect())) == sorted(map(str, whole.select(told).collect())) and narrow.count() > 1000
+
+
+def test_facts_of_an_event_come_from_one_aggregation(spark):
+    """The first stored row gives the type, the first good one the owner; events without a good row have no owner."""
+    rows = [("a", 1, "quarantined", "purchase", None), ("a", 2, "ok", "purchase", "c1"), ("a", 3, "ok", "purchase", "c2"), ("b", 4, "quarantined", "tag", None), ("c", 5, "rejected", "refund", None)]
+    e = spark.createDataFrame([("p", i, s, s, t, o, c) for i, s, o, t, c in rows], "partner_id string, event_id string, seq long, revision int, type string, outcome string, customer_id string").withColumns(
+        {"intent_course": F.lit(None).cast("string"), "reason": F.lit("why"), "evidence": F.lit("line"), "ambiguous": F.lit(False)})
+    with plain_joins(spark):
+        out = P.settle_revisions(e)
+        firsts = [x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "AS f#" in x]
+        assert firsts and all("AS o#" in x for x in firsts)
+    got = {r.seq: (r.status, r.reason, r.customer_id) for r in out.collect()}
+    assert got == {1: ("quarantined", "why", "c1"), 2: ("accepted", "line", "c1"), 3: ("rejected", "revision_identity_change", "c1"), 4: ("quarantined", "why", None), 5: ("rejected", "why", None)}
+
+
 def test_corrections_use_the_log_that_intake_has_made(spark, folder, monkeypatch):
     t, parsed = Tables(spark, folder), []
     inner = P.parse_events
