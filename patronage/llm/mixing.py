@@ -138,7 +138,8 @@ def mix(docs: DataFrame, seed: int = 11, block: int = BLOCK, shard: int = SHARD,
     """
     rows = settle(placed(settle(docs.select("key", "source", "size", *carry)), seed))
     sources = settle(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, repeats))
-    taken = drawn(sources, seed, block, shard, repeats).select(F.col("source").alias("s"), "block_no", "pass")
+    # A shard's counts are a few rows and become thousands of slots, so their size says nothing: planned by it, the slots would be broadcast.
+    taken = drawn(sources, seed, block, shard, repeats).select(F.col("source").alias("s"), "block_no", "pass").hint("merge")
     end = F.col("start") + F.col("size")
     by_block = rows.where("size > 0").select("key", "source", "start", "size", *carry, F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((end - 1) / block))).alias("at"))
     pieces = by_block.join(taken, by_block.source.eqNullSafe(taken.s) & (by_block["at"] == taken.block_no)).select(
